@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from tarsift.catalog import content  # noqa: F401
+from tarsift.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _bits(data: bytes | None) -> float | None:
@@ -17,7 +18,7 @@ def _bits(data: bytes | None) -> float | None:
     return float(-(share * np.log2(share)).sum())
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def byte_entropy(data: pd.Series) -> pd.Series:
     """Shannon entropy in bits per byte. Pass NULL for rows that need no answer: they
     then cost no transfer."""

@@ -9,6 +9,7 @@ REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 
 # Worth having on any cluster; a value the deployment already chose is kept.
 RECOMMENDED = {
+    "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
