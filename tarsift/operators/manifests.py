@@ -195,9 +195,9 @@ def hook_urls(manifests: DataFrame, config: ScanConfig | None = None) -> DataFra
 def risky_hooks(manifests: DataFrame, config: ScanConfig | None = None) -> DataFrame:
     """Versions with a risky hook and the hooks that make them so."""
     found = lifecycle_hooks(manifests, config).filter("is_risky")
-    hooks = F.collect_list(F.struct("position", "key", "tags"))
+    hooks = F.collect_set(F.struct("position", "key", "tags"))
     ordered = F.transform(F.array_sort(hooks), lambda h: F.struct(h["key"], h["tags"]))
-    # At most one entry per hook kind, so the list is short.
+    # One entry per hook kind and tag set, so the set is short.
     return found.groupBy(*KEYS).agg(ordered.alias("lifecycle"))
 
 
