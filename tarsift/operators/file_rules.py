@@ -96,27 +96,46 @@ def rule_frame(
     return rows.select("name", "version", "rule", "severity", "details.*")
 
 
-def findings_of(
-    files: DataFrame,
+FOUND = "array<struct<rule:string,severity:string,details:string>>"
+
+
+def with_found(
+    base: DataFrame,
     rules: Iterable[FileRule],
     features: dict[str, Feature],
     config: ScanConfig,
+    more: Iterable[Column] = (),
 ) -> DataFrame:
-    """Many rules in one pass over the files, as findings with JSON details."""
+    """The rows of ``base`` without content, with what was found as an array ``found``.
+
+    ``more`` are further columns of the same array type, over ``body`` and ``low``.
+    """
     rules = list(rules)
-    needed = {key for rule in rules for key in rule.needs}
-    base = with_features(prepared(files), features, needed, config)
+    columns = [col for col in base.columns if col != "content"]
+    needed = {key for rule in rules for key in rule.needs} | {"body", "low"}
+    featured = with_features(base, features, needed, config)
     per_rule = [
-        F.when(rule.applies(config), F.transform(rule.rows(config), _as_json)) for rule in rules
+        F.when(rule.applies(config), F.transform(rule.rows(config), as_found)) for rule in rules
     ]
-    empty = F.array().cast("array<struct<rule:string,severity:string,details:string>>")
-    merged = F.concat(*[F.coalesce(rows, empty) for rows in per_rule])
-    return base.select(*FILE_KEYS, F.inline(merged)).select(
+    empty = F.array().cast(FOUND)
+    merged = [F.coalesce(rows, empty) for rows in [*per_rule, *more]]
+    return featured.select(*columns, F.concat(*merged).alias("found"))
+
+
+def findings_of(
+    files: DataFrame,
+    rules: Iterable[FileRule],
+    features: dict[str, Feature],
+    config: ScanConfig,
+) -> DataFrame:
+    """Many rules in one pass over the files, as findings with JSON details."""
+    found = with_found(prepared(files), rules, features, config)
+    return found.select(*FILE_KEYS, F.inline(F.array_compact("found"))).select(
         "name", "version", "rule", "severity", F.col("path").alias("file_path"), "details"
     )
 
 
-def _as_json(item: Column) -> Column:
+def as_found(item: Column) -> Column:
     return F.struct(
         item["rule"].alias("rule"),
         item["severity"].alias("severity"),

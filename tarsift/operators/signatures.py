@@ -138,43 +138,57 @@ def _signature_row(signature: Signature) -> Column:
     )
 
 
-def scan_signatures(
-    files: DataFrame, signatures: list[Signature], config: ScanConfig | None = None
-) -> DataFrame:
-    """One row per (file, signature), typed."""
-    config = config or ScanConfig()
-    base = prepared(files).filter(c("size") <= config.signature_max_mb * 1024 * 1024)
-    base = base.withColumn("body", tx.byte_text(c("content")))
-    base = base.withColumn("low", F.lower("body"))
-    rows = F.array_compact(F.array(*[_signature_row(s) for s in signatures]))
-    hits = base.select(*FILE_KEYS, "size", F.inline(rows))
-    file_name = F.substring_index("path", "/", -1)
-    tags = F.when(
-        F.size("yara_tags") > 0, F.array_join(F.slice("yara_tags", 1, 5), ", ")
-    ).otherwise(lit("suspicious"))
+def _typed(row: Column) -> Column:
+    """The details of a match, next to its severity."""
+    file_name = F.substring_index(c("path"), "/", -1)
+    tags = row["yara_tags"]
+    shown_tags = F.when(F.size(tags) > 0, F.array_join(F.slice(tags, 1, 5), ", ")).otherwise(
+        lit("suspicious")
+    )
     described = F.coalesce(
-        F.try_element_at("yara_metadata", lit("description")), lit("No description available")
+        F.try_element_at(row["yara_metadata"], lit("description")),
+        lit("No description available"),
     )
-    first_line = F.get(c("places.matched_strings"), lit(0))["line_number"]
+    matched = row["places"]["matched_strings"]
+    line = F.get(matched, lit(0))["line_number"].cast("string")
     explanation = F.concat(
-        F.format_string(fv.EXPLAIN["yara_match"], c("yara_rule"), file_name),
-        F.coalesce(F.concat(lit(" at line "), first_line.cast("string")), lit("")),
-        lit(". Pattern type: "), tags, lit(". "), described,
+        F.format_string(fv.EXPLAIN["yara_match"], row["yara_rule"], file_name),
+        F.coalesce(F.concat(lit(" at line "), line), lit("")),
+        lit(". Pattern type: "), shown_tags, lit(". "), described,
     )
-    return hits.select(
-        "name",
-        "version",
+    return F.struct(
         lit("yara_match").alias("rule"),
-        "severity",
-        "path",
-        file_name.alias("file_name"),
-        c("size").alias("file_size_bytes"),
-        "yara_rule",
-        "yara_tags",
-        "yara_metadata",
-        "places.matched_strings",
-        "places.match_count",
-        explanation.alias("explanation"),
+        row["severity"].alias("severity"),
+        F.struct(
+            c("path").alias("path"),
+            file_name.alias("file_name"),
+            c("size").alias("file_size_bytes"),
+            row["yara_rule"].alias("yara_rule"),
+            tags.alias("yara_tags"),
+            row["yara_metadata"].alias("yara_metadata"),
+            matched.alias("matched_strings"),
+            row["places"]["match_count"].alias("match_count"),
+            explanation.alias("explanation"),
+        ).alias("details"),
+    )
+
+
+def signature_rows(signatures: list[Signature], config: ScanConfig) -> Column:
+    """array<struct<rule, severity, details>> over ``body``, ``low`` and ``content``."""
+    rows = F.array_compact(F.array(*[_signature_row(s) for s in signatures]))
+    small_enough = c("size") <= config.signature_max_mb * 1024 * 1024
+    return F.when(small_enough, F.transform(rows, _typed))
+
+
+def scan_signatures(
+    files: DataFrame, signatures: list[Signature], config: ScanConfig | None = None
+) -> DataFrame:
+    """One row per (file, signature), typed."""
+    base = prepared(files).withColumn("body", tx.byte_text(c("content")))
+    base = base.withColumn("low", F.lower("body"))
+    rows = F.array_compact(signature_rows(signatures, config or ScanConfig()))
+    return base.select(*FILE_KEYS, F.inline(rows)).select(
+        "name", "version", "rule", "severity", "details.*"
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
@@ -32,35 +32,36 @@ def with_user_weights(config: ScanConfig, specs: list[RuleSpec]) -> ScanConfig:
     return config.with_(user_weights={**config.user_weights, **weights})
 
 
-def apply_user_rules(files: DataFrame, specs: list[RuleSpec]) -> DataFrame:
-    """Typed rows for all specs in one pass over the files."""
-    base = prepared(files).filter(
-        F.col("suffix").isin(*sorted({s for spec in specs for s in spec.suffixes}))
-    )
-    base = base.withColumn("body", tx.byte_text(F.col("content")))
-    matches = [
-        tx.all_matches(F.col("body"), spec.pattern, F.col("suffix").isin(*spec.suffixes)).alias(
-            f"m{i}"
+def user_rows(specs: list[RuleSpec]) -> Column:
+    """array<struct<rule, severity, details>> over ``body``."""
+
+    def row(spec: RuleSpec) -> Column:
+        found = tx.all_matches(
+            F.col("body"), spec.pattern, F.col("suffix").isin(*spec.suffixes)
         )
-        for i, spec in enumerate(specs)
-    ]
-    base = base.select("*", *matches)
+        return tx.let(found, lambda matches: of(spec, matches))
 
-    def row(i: int, spec: RuleSpec):
-        found = F.col(f"m{i}")
-        samples = F.transform(F.slice(F.array_distinct(found), 1, spec.limit), tx.utf8)
+    def of(spec: RuleSpec, matches: Column) -> Column:
+        samples = F.transform(F.slice(F.array_distinct(matches), 1, spec.limit), tx.utf8)
         return F.when(
-            tx.has(found),
+            tx.has(matches),
             finding(
                 spec.name,
                 spec.severity,
                 samples=samples,
-                match_count=F.size(found),
+                match_count=F.size(matches),
                 explanation=F.lit(spec.explanation).cast("string"),
             ),
         )
 
-    rows = F.array_compact(F.array(*[row(i, spec) for i, spec in enumerate(specs)]))
-    return base.select(*FILE_KEYS, F.inline(rows)).select(
+    return F.array_compact(F.array(*[row(spec) for spec in specs]))
+
+
+def apply_user_rules(files: DataFrame, specs: list[RuleSpec]) -> DataFrame:
+    """Typed rows for all specs in one pass over the files."""
+    suffixes = sorted({s for spec in specs for s in spec.suffixes})
+    base = prepared(files).filter(F.col("suffix").isin(*suffixes))
+    base = base.withColumn("body", tx.byte_text(F.col("content")))
+    return base.select(*FILE_KEYS, F.inline(F.array_compact(user_rows(specs)))).select(
         "name", "version", "rule", "severity", "details.*"
     )

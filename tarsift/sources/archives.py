@@ -33,7 +33,11 @@ MEMBER_SCHEMA = (
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 2000
 
-OK, TRAVERSAL, OVER_LIMIT, UNREADABLE = "ok", "path_traversal", "over_limit", "unreadable"
+# An archive of more compressed bytes than this has its members spread.
+LARGE_ARCHIVE_BYTES = 64 << 20
+
+OK, TRAVERSAL, OVER_LIMIT = "ok", "path_traversal", "over_limit"
+UNREADABLE, MISSING, UNNAMED = "unreadable", "missing", "unnamed"
 
 
 def archive_files(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFrame:
@@ -45,26 +49,44 @@ def archive_files(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFr
 
 
 def read_archives(
-    spark: SparkSession, path: str, max_extract_bytes: int | None = None
+    spark: SparkSession,
+    path: str,
+    max_extract_bytes: int | None = None,
+    large_bytes: int = LARGE_ARCHIVE_BYTES,
 ) -> DataFrame:
-    return extract_members(archive_files(spark, path), max_extract_bytes)
+    """Members of all archives under a folder.
+
+    Members of ordinary archives stay in the task that unpacked them. Those of a large
+    archive are spread over the cluster before anything scans them, so that one huge
+    archive does not keep one task busy with all rules.
+    """
+    archives = archive_files(spark, path)
+    ordinary = extract_members(archives.filter(c("length") <= large_bytes), max_extract_bytes)
+    large = extract_members(archives.filter(c("length") > large_bytes), max_extract_bytes)
+    return ordinary.unionByName(large.repartition("archive", "ordinal"))
 
 
 def extract_members(archives: DataFrame, max_extract_bytes: int | None = None) -> DataFrame:
-    """One row per archive member, for a frame of (path, content).
+    """One row per archive member, for a frame of (path, content) or of (path) alone; then
+    each task opens the archives it was given.
 
     ``status`` says what became of the archive. Of one that is not "ok" only a single
-    row without content remains, so nothing in it is scanned. The members of an accepted
+    row without content remains, so nothing in it is scanned; so it is with an archive
+    that has no members. The members of an accepted
     archive are regular files ("file"), links ("symlink", "hardlink") and the rest.
     """
     limit = max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
 
+    given = "content" in archives.columns
+
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
+            contents = batch["content"] if given else map(_fetch, batch["path"])
+            for path, content in zip(batch["path"], contents):
                 yield from _batched(_members(path, content, limit))
 
-    rows = archives.select("path", "content").mapInPandas(unpack, MEMBER_SCHEMA)
+    columns = ["path", "content"] if given else ["path"]
+    rows = archives.select(*columns).mapInPandas(unpack, MEMBER_SCHEMA)
     name, version = name_and_version(c("archive"))
     return rows.select(name.alias("name"), version.alias("version"), "*")
 
@@ -85,13 +107,30 @@ def _batched(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(pending, columns=_COLUMNS)
 
 
-def _members(path: str, content: bytes, limit: int | None) -> Iterator[tuple]:
+def _fetch(path: str) -> bytes | None:
+    """An archive by its path or URI; None when it is not there."""
+    import pyarrow.fs as pafs
+
+    uri = path if "://" in path else path.removeprefix("file:")
+    filesystem, place = pafs.FileSystem.from_uri(uri)
+    try:
+        with filesystem.open_input_stream(place, compression=None) as stream:
+            return stream.read()
+    except FileNotFoundError:
+        return None
+
+
+def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tuple]:
+    if content is None:
+        yield (path, None, MISSING, False, None, None, None, None, None, None)
+        return
     size = len(content)
     status, has_manifest = _verdict(content, limit)
     if status != OK:
         yield (path, size, status, has_manifest, None, None, None, None, None, None)
         return
     with _open(content) as tar:
+        ordinal = -1
         for ordinal, member in enumerate(tar):
             kind = _kind(member)
             data = tar.extractfile(member).read() if kind == "file" else None
@@ -99,6 +138,8 @@ def _members(path: str, content: bytes, limit: int | None) -> Iterator[tuple]:
                 path, size, status, has_manifest, ordinal, posixpath.normpath(member.name), kind,
                 member.size if kind == "file" else 0, member.linkname or None, data,
             )
+    if ordinal < 0:
+        yield (path, size, status, has_manifest, None, None, None, None, None, None)
 
 
 def _open(content: bytes) -> tarfile.TarFile:
@@ -156,6 +197,11 @@ def archive_name(name, version):
     return F.concat(F.replace(name, lit("/"), lit("__")), lit("@"), version, lit(".tgz"))
 
 
+def archive_path(folder: str, name, version):
+    """Where the archive of a version lies under a download folder."""
+    return F.concat(lit(folder.rstrip("/") + "/"), archive_name(name, version))
+
+
 def storage_key(name, version):
     return F.concat(lit("npm-raw-tarballs/"), name, lit("/"), version, lit(".tgz"))
 
@@ -178,6 +224,7 @@ def pick_manifests(members: DataFrame) -> DataFrame:
     """
     base = F.substring_index("path", "/", -1)
     found = members.filter((c("kind") == "file") & (base == "package.json"))
+    found = found.filter(c("name").isNotNull())
     order = F.struct(c("path") != "package/package.json", c("path"))
     best = F.min_by(F.struct("path", "content"), order)
     return found.groupBy("name", "version").agg(best.alias("best")).select(
@@ -186,7 +233,13 @@ def pick_manifests(members: DataFrame) -> DataFrame:
 
 
 def rejected_archives(members: DataFrame) -> DataFrame:
-    return members.filter(c("status") != OK).select("archive", "name", "version", "status")
+    """Archives that give no result, with the reason; one without a name and version has
+    nothing its findings could belong to."""
+    unnamed = c("name").isNull() | c("version").isNull()
+    failed = ~c("status").isin(OK, OVER_LIMIT)
+    status = F.when(failed, c("status")).otherwise(lit(UNNAMED))
+    rows = members.filter(failed | unnamed).select("archive", "name", "version", status.alias("status"))
+    return rows.distinct()
 
 
 def symlink_escapes(members: DataFrame) -> DataFrame:
