@@ -10,6 +10,7 @@ from tarsift.catalog.registry import flat, query, sql_list, sql_text
 from tarsift.config import ScanConfig
 from tarsift.operators.content_rules import content_rule, scan_files
 from tarsift.operators.locate import locate_matches
+from tarsift.sources.tables import spread
 from tarsift.views import view, view_sql
 
 KEYS = ["name", "version", "path", "severity"]
@@ -20,17 +21,20 @@ ALLOWED = "(.*\\.)?(" + "|".join(d.replace(".", "\\.") for d in fv.ALLOW_DOMAINS
 
 
 def files(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, "files").withColumn("content", F.col("content").cast("binary"))
+    rows = view(spark, folder, "files").withColumn("content", F.col("content").cast("binary"))
+    return spread(rows, "path")
 
 
 def html_files(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, "html_files").withColumn("content", F.col("content").cast("binary"))
+    rows = view(spark, folder, "html_files")
+    return spread(rows.withColumn("content", F.col("content").cast("binary")), "path")
 
 
 def binary_files(spark: SparkSession, folder: str) -> DataFrame:
-    return view(spark, folder, "binary_files").withColumn(
+    rows = view(spark, folder, "binary_files").withColumn(
         "content", F.concat(F.unhex("magic"), F.col("text").cast("binary"))
     )
+    return spread(rows, "path")
 
 
 def first_at() -> list:
@@ -423,7 +427,7 @@ def h1(spark, folder):
     "h2_fake_captcha",
     sql_rule(
         "medium",
-        f"regexp_matches(content, {sql_text(fv.LURE_BUTTON)}) OR regexp_matches(content, {sql_text(fv.CAPTCHA_TEXT)})",
+        f"regexp_matches(content, {sql_text(fv.LURE_BUTTON)}) OR regexp_matches(content, {sql_text('(?i)' + '|'.join(fv.CAPTCHA_TEXTS))})",
         f"array_to_string(list_slice(regexp_extract_all(content, {sql_text(fv.LURE_BUTTON)}, 1), 1, 3), '|') AS button_samples",
         source="html_files",
     ),
@@ -444,7 +448,7 @@ _CDN = (
 @query(
     "h3_external_cdn_load",
     sql_rule(
-        "medium", f"regexp_matches(content, {sql_text(fv.CDN_HOST)})",
+        "medium", f"regexp_matches(content, {sql_text('(?i)' + '|'.join(h.replace('.', '[.]') for h in fv.CDN_HOSTS))})",
         f"array_to_string(list_sort({_CDN}), '|') AS cdn_urls", f"CAST(len({_CDN}) AS INT) AS cdn_count",
         source="html_files",
     ),
@@ -484,7 +488,7 @@ def p1(spark, folder):
 
 @query(
     "p2_port_binding",
-    sql_rule("medium", f"suffix = '.py' AND regexp_matches(content, {sql_text(fv.PY_SOCKET)})"),
+    sql_rule("medium", f"suffix = '.py' AND regexp_matches(content, {sql_text('(?i)socket[.]socket|(bind|listen|accept)[(]')})"),
 )
 def p2(spark, folder):
     return content_rule(files(spark, folder), "port_binding").select(*KEYS)

@@ -7,6 +7,10 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tarsift.session import ship_with_tasks
+
+ship_with_tasks(__name__)
+
 
 def _bits(data: bytes | None) -> float | None:
     if data is None:

@@ -7,12 +7,15 @@ Text taken out of that reading goes back through :func:`utf8` before anyone sees
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tarsift import fixed_values as fv
+
 REPLACEMENT = "�"
 
 # Matches per step of the two-level scan in `match_positions`. Appending to an array
@@ -35,6 +38,11 @@ def utf8(text: Column) -> Column:
     return clean_text(F.encode(text, "ISO-8859-1"))
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end, Unicode's included."""
+    return F.btrim(text, F.lit(fv.WHITESPACE))
+
+
 def suffix_of(path: Column) -> Column:
     """Lower-cased file suffix with its dot; '' when there is none or for a dot file."""
     base = F.substring_index(path, "/", -1)
@@ -81,12 +89,11 @@ def url_domain(url: Column) -> Column:
 
 def domain_allowed(domain: Column, allowed: tuple[str, ...]) -> Column:
     """Exact or dot-suffix match on the lower-cased domain; no domain passes."""
-    low = F.lower(domain)
-    ok = F.coalesce(domain, F.lit("")) == ""
-    if allowed:
-        ok = ok | low.isin(*allowed)
-        ok = ok | reduce(lambda a, b: a | b, [F.endswith(low, F.lit("." + d)) for d in allowed])
-    return ok
+    passes = F.coalesce(domain, F.lit("")) == ""
+    if not allowed:
+        return passes
+    listed = "|".join(re.escape(d) for d in allowed)
+    return passes | F.lower(domain).rlike(rf"(?s)\A(?:.*\.)?(?:{listed})\z")
 
 
 def off_list(domain: Column, allowed: tuple[str, ...]) -> Column:
@@ -211,11 +218,15 @@ SNIPPET_BEFORE, SNIPPET_AFTER, SNIPPET_MAX = 120, 60, 240
 
 
 def _tidy_snippet(raw: Column) -> Column:
-    trimmed = F.regexp_replace(F.translate(raw, "\x00", ""), r"(?U)^\s+|\s+$", "")
-    return F.when(
-        F.length(trimmed) > SNIPPET_MAX,
-        F.concat(F.left(trimmed, F.lit(SNIPPET_MAX - 3)), F.lit("...")),
-    ).otherwise(trimmed)
+    """Without NULs and outer space, shortened; NULL when nothing is left."""
+
+    def shortened(text: Column) -> Column:
+        size = F.length(text)
+        return F.when(
+            size > SNIPPET_MAX, F.concat(F.left(text, F.lit(SNIPPET_MAX - 3)), F.lit("..."))
+        ).when(size > 0, text)
+
+    return let(strip(F.translate(raw, "\x00", "")), shortened)
 
 
 def snippet_at(content: Column, offset: Column, span: Column) -> Column:
@@ -225,14 +236,14 @@ def snippet_at(content: Column, offset: Column, span: Column) -> Column:
     # A slice past the end of the content simply stops there.
     stop = offset + F.greatest(span, F.lit(SNIPPET_AFTER))
     piece = F.substring(content, begin + 1, stop - begin)
-    return F.nullif(_tidy_snippet(clean_text(piece)), F.lit(""))
+    return _tidy_snippet(clean_text(piece))
 
 
 def text_snippet_at(text: Column, offset: Column, span: Column) -> Column:
     """As :func:`snippet_at`, by characters of decoded text."""
     begin = F.greatest(offset - SNIPPET_BEFORE, F.lit(0))
     stop = offset + F.greatest(span, F.lit(SNIPPET_AFTER))
-    return F.nullif(_tidy_snippet(F.substring(text, begin + 1, stop - begin)), F.lit(""))
+    return _tidy_snippet(F.substring(text, begin + 1, stop - begin))
 
 
 def location(place: Column, value: Column, snippet: Column) -> Column:
@@ -240,7 +251,7 @@ def location(place: Column, value: Column, snippet: Column) -> Column:
         place["line"].alias("line"),
         place["column"].alias("column"),
         snippet.alias("snippet"),
-        F.nullif(value, F.lit("")).alias("match"),
+        F.when(value != "", value).alias("match"),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from tarsift.functions.entropy import byte_entropy
 from tarsift.operators.file_rules import (
     Feature,
     FileRule,
+    Located,
     finding,
     findings_of,
     row,
@@ -60,18 +63,28 @@ def may_be_binary(config: ScanConfig) -> Column:
 # for most files a rule costs a few substring searches and no regex at all.
 
 
-def _found(pattern: str, *literals: str, route=is_code, group: int = 0):
-    def build(config: ScanConfig) -> Column:
-        gate = route(config)
-        if literals:
-            gate = gate & tx.contains_any(c("low"), list(literals))
-        return tx.all_matches(c("body"), pattern, gate, group)
+def _mentions(*literals: str | tuple[str, ...]) -> Column:
+    """One of the literals occurs. A tuple is a literal that must occur before any of
+    the longer ones that contain it is looked for."""
+    tests = [
+        F.contains(c("low"), lit(item))
+        if isinstance(item, str)
+        else F.contains(c("low"), lit(item[0])) & tx.contains_any(c("low"), list(item[1:]))
+        for item in literals
+    ]
+    return reduce(lambda a, b: a | b, tests)
+
 
-    return build
+def _found(pattern: str, *literals: str | tuple[str, ...], route=is_code, group: int = 0):
+    return lambda config: tx.all_matches(
+        c("body"), pattern, route(config) & _mentions(*literals), group
+    )
 
 
-def _located(pattern: str, matches: str, count: int = 5):
-    return lambda config: tx.first_locations(c("content"), c("body"), pattern, c(matches), count)
+def _dynamic_code(config: ScanConfig) -> Column:
+    constructed = F.contains(c("low"), lit("function")) & c("low").rlike(r"new\s+function")
+    gate = is_code(config) & (_mentions("eval") | constructed)
+    return tx.all_matches(c("body"), fv.DYNAMIC_CODE, gate)
 
 
 def _url_hits(config: ScanConfig) -> Column:
@@ -100,12 +113,6 @@ def _url_places(config: ScanConfig) -> Column:
     return F.when(tx.has(c("urls")), tx.match_positions(tx.match_steps(gaps, c("urls"))))
 
 
-def _first_url_locations(config: ScanConfig) -> Column:
-    head = real_text(F.slice(c("urls"), 1, 5))
-    places = F.slice(c("url_places"), 1, 5)
-    return F.when(tx.has(c("urls")), tx.locations(c("content"), places, head))
-
-
 def _url_domains(config: ScanConfig) -> Column:
     """Per domain: count, first URLs and first locations, by first ordinal."""
     hits, starts, places = c("url_hits"), c("url_run_starts"), c("url_places")
@@ -148,15 +155,12 @@ def _env_locations(config: ScanConfig) -> Column:
 
 def _long_line_at(config: ScanConfig) -> Column:
     """Offset of the first line of 4000 bytes or more; NULL without one."""
-    at = F.regexp_instr(c("body"), lit(fv.LONG_LINE))
+    long_enough = F.exists(F.split(c("body"), "\n"), lambda line: F.length(line) >= 4000)
+    gate = is_js(config) & (c("size") >= 4000) & long_enough
+    starts_line = lambda at: F.substring(c("content"), at, lit(1)) == F.unhex(lit("0A"))
     return tx.let(
-        F.when(is_js(config) & (c("size") >= 4000), at),
-        lambda pos: F.when(
-            pos > 0,
-            F.when(F.substring(c("content"), pos, lit(1)) == F.unhex(lit("0A")), pos).otherwise(
-                pos - 1
-            ),
-        ),
+        F.when(gate, F.regexp_instr(c("body"), lit(fv.LONG_LINE))),
+        lambda at: F.when(starts_line(at), at).otherwise(at - 1),
     )
 
 
@@ -186,13 +190,24 @@ def _entropy_input(config: ScanConfig) -> Column:
 
 
 def _base64_blobs(config: ScanConfig) -> Column:
-    gate = is_code(config) & (c("size") >= 120)
+    # A run holds no space, so a file without a long word has none.
+    long_word = F.exists(F.split(c("body"), " "), lambda word: F.length(word) >= 120)
+    gate = is_code(config) & (c("size") >= 120) & long_word
     return F.slice(tx.all_matches(c("body"), fv.BASE64_RUN, gate), 1, 3)
 
 
+def _hex_runs(config: ScanConfig) -> Column:
+    # After the first escape of a run comes space, a backslash or the next escape's x.
+    gate = is_large_enough_js(config) & c("body").rlike(fv.HEX_RUN_START)
+    return F.when(gate, F.nullif(F.regexp_extract(c("decoded"), fv.HEX_RUN, 0), lit("")))
+
+
 def _techniques(config: ScanConfig) -> Column:
     text, low = c("decoded"), c("low")
-    functions = (F.length(text) - F.length(F.replace(text, lit("function"), lit("")))) / 8
+    functions = F.when(
+        F.contains(text, lit("function")),
+        (F.length(text) - F.length(F.replace(text, lit("function"), lit("")))) / 8,
+    )
     checks = [
         ("hex_encoding", c("hex_runs").isNotNull()),
         (
@@ -251,10 +266,10 @@ def _form_actions(config: ScanConfig) -> Column:
     return F.when(gate, F.filter(actions, outward))
 
 
-FEATURES: dict[str, Feature] = {
+FEATURES: dict[str, Feature | Located] = {
     "body": Feature(0, lambda config: tx.byte_text(c("content"))),
     "low": Feature(1, lambda config: F.lower(c("body"))),
-    "urls": Feature(2, _found(fv.URL, "http://", "https://")),
+    "urls": Feature(2, _found(fv.URL, ("://", "http://", "https://"))),
     "url_hits": Feature(3, _url_hits),
     "url_places": Feature(3, _url_places),
     "url_run_starts": Feature(4, _url_run_starts),
@@ -263,33 +278,39 @@ FEATURES: dict[str, Feature] = {
         2,
         _found(
             fv.NET_CLIENT,
-            "http.get", "https.get", "http.request", "undici", "axios", "node-fetch", "node_fetch",
+            ("http", "http.get", "https.get", "http.request"),
+            ("node", "node-fetch", "node_fetch"),
+            "undici", "axios",
         ),
     ),
-    "net_locations": Feature(3, _located(fv.NET_CLIENT, "net")),
+    "net_locations": Located(fv.NET_CLIENT, "net"),
     "c2": Feature(
         2,
         _found(
             fv.C2_ENDPOINT,
-            "discord.com/api", "discordapp.com/api", "hooks.slack.com", "api.telegram.org",
-            "pastebin.com", "webhook", "ipfs://", "ngrok.io", "oast.",
+            (".com", "discord.com/api", "discordapp.com/api", "hooks.slack.com", "pastebin.com"),
+            ("://", "ipfs://"),
+            "api.telegram.org", "webhook", "ngrok.io", "oast.",
         ),
     ),
-    "c2_locations": Feature(3, _located(fv.C2_ENDPOINT, "c2")),
+    "c2_locations": Located(fv.C2_ENDPOINT, "c2"),
     "writes": Feature(
         2,
         _found(
             fv.FS_WRITE,
-            "fs.writefile", "fs.appendfile", "fs.createwritestream", "fs.copyfile", "fs.mkdir",
+            (
+                "fs.", "fs.writefile", "fs.appendfile", "fs.createwritestream", "fs.copyfile",
+                "fs.mkdir",
+            ),
         ),
     ),
-    "write_locations": Feature(3, _located(fv.FS_WRITE, "writes")),
+    "write_locations": Located(fv.FS_WRITE, "writes"),
     "hints": Feature(
         3, lambda config: tx.all_matches(c("body"), fv.SENSITIVE_PATH, tx.has(c("writes")))
     ),
-    "hint_locations": Feature(4, _located(fv.SENSITIVE_PATH, "hints")),
-    "ci": Feature(2, _found(fv.CI_CHECK, "process.env.ci", "is-docker", "is-wsl")),
-    "ci_locations": Feature(3, _located(fv.CI_CHECK, "ci")),
+    "hint_locations": Located(fv.SENSITIVE_PATH, "hints"),
+    "ci": Feature(2, _found(fv.CI_CHECK, ("process.env.", "process.env.ci"), "is-docker", "is-wsl")),
+    "ci_locations": Located(fv.CI_CHECK, "ci"),
     "decoded": Feature(2, _decoded),
     "env_keys": Feature(
         3,
@@ -304,34 +325,40 @@ FEATURES: dict[str, Feature] = {
     "long_line_location": Feature(3, _long_line_location),
     "entropy": Feature(2, _entropy_input),
     "blobs": Feature(2, _base64_blobs),
-    "blob_locations": Feature(3, _located(fv.BASE64_RUN, "blobs", 3)),
+    "blob_locations": Located(fv.BASE64_RUN, "blobs", count=3),
     "spawns": Feature(2, _found(fv.CHILD_PROCESS, "child_process")),
     "spawn_calls": Feature(2, _found(fv.CHILD_PROCESS, "child_process", group=1)),
-    "spawn_locations": Feature(3, _located(fv.CHILD_PROCESS, "spawns")),
-    "dynamic": Feature(2, _found(fv.DYNAMIC_CODE, "eval", "function")),
-    "dynamic_locations": Feature(3, _located(fv.DYNAMIC_CODE, "dynamic")),
-    "url_locations": Feature(4, _first_url_locations),
+    "spawn_locations": Located(fv.CHILD_PROCESS, "spawns", "spawn_calls"),
+    "dynamic": Feature(2, _dynamic_code),
+    "dynamic_locations": Located(fv.DYNAMIC_CODE, "dynamic"),
+    "url_locations": Located(fv.URL, "urls"),
     "env_reads": Feature(2, _found(fv.PROCESS_ENV, "process.env.")),
-    "env_read_locations": Feature(3, _located(fv.PROCESS_ENV, "env_reads")),
-    "hex_runs": Feature(
-        3,
-        lambda config: F.when(
-            is_large_enough_js(config),
-            F.nullif(F.regexp_extract(c("decoded"), fv.HEX_RUN, 0), lit("")),
-        ),
-    ),
+    "env_read_locations": Located(fv.PROCESS_ENV, "env_reads"),
+    "hex_runs": Feature(3, _hex_runs),
     "non_ascii_runs": Feature(3, _non_ascii_runs),
     "techniques": Feature(4, _techniques),
     "has_cdn": Feature(
         2,
-        lambda config: is_html(config) & c("body").rlike(fv.CDN_HOST),
+        lambda config: is_html(config) & tx.contains_any(c("low"), fv.CDN_HOSTS),
     ),
     "cdn_urls": Feature(3, _cdn_urls),
     "form_actions": Feature(2, _form_actions),
     "lure_buttons": Feature(2, _found(fv.LURE_BUTTON, "<button", route=is_html, group=1)),
     "iframes": Feature(2, _found(fv.IFRAME_SRC, "<iframe", route=is_html, group=1)),
-    "py_servers": Feature(2, _found(fv.PY_SERVER, route=is_python)),
-    "py_downloads": Feature(2, _found(fv.PY_DOWNLOAD, route=is_python, group=1)),
+    "py_servers": Feature(
+        2,
+        _found(
+            fv.PY_SERVER, "from flask import", "from fastapi import", "http.server",
+            "httpserver", "socketserver", route=is_python,
+        ),
+    ),
+    "py_downloads": Feature(
+        2,
+        _found(
+            fv.PY_DOWNLOAD, "requests.", "urllib.request", "wget", "curl",
+            route=is_python, group=1,
+        ),
+    ),
 }
 
 
@@ -498,7 +525,9 @@ def _base64_rows(config: ScanConfig) -> Column:
             blob_length=F.length(blob),
             decoded_preview=_preview(blob),
             explanation=explain("big_base64_blob"),
-            locations=F.array(place.dropFields("match")),
+            locations=F.array(
+                F.struct(place["line"], place["column"], place["snippet"])
+            ),
         )
 
     return F.when(tx.has(c("blobs")), F.zip_with(c("blobs"), c("blob_locations"), of))
@@ -536,16 +565,11 @@ def _generic_rows(config: ScanConfig) -> Column:
 
     def of(pattern: str, matches: str, samples: str, places: str) -> Column:
         shown = real_text(F.slice(c(samples), 1, 10))
-        located = c(places)
-        if samples != matches:
-            located = F.zip_with(
-                located, F.slice(shown, 1, 5), lambda p, v: p.withField("match", v)
-            )
         item = finding(
             "suspicious_pattern", "medium",
             pattern=lit(fv.GENERIC_PATTERN_NAMES[pattern]),
             samples=tx.first_distinct(shown, 10, 5),
-            locations=located,
+            locations=c(places),
         )
         return F.when(tx.has(c(matches)), item)
 
@@ -587,7 +611,7 @@ def _phishing_rows(config: ScanConfig) -> Column:
 
 def _captcha_rows(config: ScanConfig) -> Column:
     return row(
-        tx.has(c("lure_buttons")) | c("body").rlike(fv.CAPTCHA_TEXT), "fake_captcha", "medium",
+        tx.has(c("lure_buttons")) | tx.contains_any(c("low"), fv.CAPTCHA_TEXTS), "fake_captcha", "medium",
         button_samples=F.coalesce(
             real_text(F.slice(c("lure_buttons"), 1, 3)), F.array().cast("array<string>")
         ),
@@ -625,7 +649,7 @@ def _py_server_rows(config: ScanConfig) -> Column:
 
 def _py_socket_rows(config: ScanConfig) -> Column:
     return row(
-        c("body").rlike(fv.PY_SOCKET), "port_binding", "medium",
+        tx.contains_any(c("low"), fv.PY_SOCKET_CALLS), "port_binding", "medium",
         explanation=explain("port_binding"),
     )
 
@@ -681,7 +705,7 @@ RULES: dict[str, FileRule] = {
         FileRule(
             "suspicious_pattern", is_code,
             (
-                *_TEXT, "urls", "url_places", "url_locations", "spawns", "spawn_calls", "spawn_locations",
+                *_TEXT, "urls", "url_locations", "spawns", "spawn_calls", "spawn_locations",
                 "dynamic", "dynamic_locations", "env_reads", "env_read_locations",
             ),
             _generic_rows,
@@ -693,11 +717,11 @@ RULES: dict[str, FileRule] = {
         ),
         FileRule("phishing_form", is_html, (*_TEXT, "form_actions"), _phishing_rows),
         FileRule("fake_captcha", is_html, (*_TEXT, "lure_buttons"), _captcha_rows),
-        FileRule("external_cdn_load", is_html, ("body", "has_cdn", "cdn_urls"), _cdn_rows),
+        FileRule("external_cdn_load", is_html, (*_TEXT, "has_cdn", "cdn_urls"), _cdn_rows),
         FileRule("iframe_embed", is_html, (*_TEXT, "iframes"), _iframe_rows),
-        FileRule("http_server", is_python, ("body", "py_servers"), _py_server_rows),
-        FileRule("port_binding", is_python, ("body",), _py_socket_rows),
-        FileRule("python_download", is_python, ("body", "py_downloads"), _py_download_rows),
+        FileRule("http_server", is_python, (*_TEXT, "py_servers"), _py_server_rows),
+        FileRule("port_binding", is_python, _TEXT, _py_socket_rows),
+        FileRule("python_download", is_python, (*_TEXT, "py_downloads"), _py_download_rows),
         FileRule("shell_download", is_shell, _TEXT, _shell_download_rows),
     ]
 }

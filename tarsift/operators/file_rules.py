@@ -28,6 +28,23 @@ class Feature:
     build: Callable[[ScanConfig], Column]
 
 
+@dataclass(frozen=True)
+class Located:
+    """Locations of the first ``count`` matches of a pattern in the file's bytes.
+
+    ``matches`` and ``shown`` name features: the matches, and what to show of each.
+    """
+
+    pattern: str
+    matches: str
+    shown: str | None = None
+    count: int = 5
+
+
+# Locations come after all matches are there.
+LOCATED_LAYER = 4
+
+
 @dataclass(frozen=True)
 class FileRule:
     """``rows`` builds array<struct<rule, severity, details struct>> (NULL for none)."""
@@ -57,21 +74,54 @@ def _text(value: str | Column) -> Column:
 
 
 def with_features(
-    files: DataFrame, features: dict[str, Feature], needed: Iterable[str], config: ScanConfig
+    files: DataFrame,
+    features: dict[str, Feature | Located],
+    needed: Iterable[str],
+    config: ScanConfig,
 ) -> DataFrame:
     """Add the needed features, layer by layer.
 
     A feature that later layers use more than once stays in a projection of its own, so
     it is computed once per file.
     """
-    chosen = {key: features[key] for key in features if key in set(needed)}
-    for layer in sorted({f.layer for f in chosen.values()}):
-        files = files.select(
-            "*", *[f.build(config).alias(key) for key, f in chosen.items() if f.layer == layer]
-        )
+    wanted = set(needed)
+    plain = {k: f for k, f in features.items() if k in wanted and isinstance(f, Feature)}
+    located = {k: f for k, f in features.items() if k in wanted and isinstance(f, Located)}
+    layers = {f.layer for f in plain.values()} | ({LOCATED_LAYER} if located else set())
+    for layer in sorted(layers):
+        added = [f.build(config).alias(k) for k, f in plain.items() if f.layer == layer]
+        if layer == LOCATED_LAYER and located:
+            added.append(_locations_of(list(located.values())).alias("located"))
+        files = files.select("*", *added)
+    if located:
+        each = [F.get("located", F.lit(i)).alias(k) for i, k in enumerate(located)]
+        files = files.select("*", *each)
     return files
 
 
+def _locations_of(located: list[Located]) -> Column:
+    """One array of locations per entry, all of them from a single expression."""
+
+    def input_of(item: Located) -> Column:
+        found = F.slice(F.col(item.matches), 1, item.count)
+        gaps = F.split(F.col("body"), item.pattern, item.count + 1)
+        return F.when(
+            tx.has(F.col(item.matches)),
+            F.struct(
+                found.alias("found"),
+                F.slice(F.col(item.shown or item.matches), 1, item.count).alias("shown"),
+                gaps.alias("between"),
+            ),
+        )
+
+    def of(entry: Column) -> Column:
+        places = tx.match_positions(tx.match_steps(entry["between"], entry["found"]))
+        shown = F.transform(entry["shown"], tx.utf8)
+        return F.when(entry.isNotNull(), tx.locations(F.col("content"), places, shown))
+
+    return F.transform(F.array(*[input_of(item) for item in located]), of)
+
+
 def prepared(files: DataFrame) -> DataFrame:
     """A files table with the columns rules read: suffix and size are derived if absent."""
     if "suffix" not in files.columns:
@@ -84,7 +134,7 @@ def prepared(files: DataFrame) -> DataFrame:
 def rule_frame(
     files: DataFrame,
     rule: FileRule,
-    features: dict[str, Feature],
+    features: dict[str, Feature | Located],
     config: ScanConfig,
 ) -> DataFrame:
     """One rule as a typed frame: file keys, rule, severity and the detail columns."""
@@ -102,7 +152,7 @@ FOUND = "array<struct<rule:string,severity:string,details:string>>"
 def with_found(
     base: DataFrame,
     rules: Iterable[FileRule],
-    features: dict[str, Feature],
+    features: dict[str, Feature | Located],
     config: ScanConfig,
     more: Iterable[Column] = (),
 ) -> DataFrame:
@@ -125,7 +175,7 @@ def with_found(
 def findings_of(
     files: DataFrame,
     rules: Iterable[FileRule],
-    features: dict[str, Feature],
+    features: dict[str, Feature | Located],
     config: ScanConfig,
 ) -> DataFrame:
     """Many rules in one pass over the files, as findings with JSON details."""

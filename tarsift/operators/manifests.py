@@ -45,7 +45,7 @@ def field(path: str, source: str = "manifest") -> Column:
 
 def clean(value: Column) -> Column:
     """Text without NUL characters and outer space; empty becomes NULL."""
-    return F.nullif(F.regexp_replace(F.translate(value, "\x00", ""), r"(?U)^\s+|\s+$", ""), lit(""))
+    return F.nullif(tx.strip(F.translate(value, "\x00", "")), lit(""))
 
 
 def _first_filled(document: Column, *fields: str) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 # Correctness-relevant: timestamps in the stored tables are UTC.
@@ -9,6 +12,9 @@ REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 
 # Worth having on any cluster; a value the deployment already chose is kept.
 RECOMMENDED = {
+    # Rules are built from many small column calls; recording the call site of each one
+    # costs more than building them.
+    "spark.sql.dataFrameQueryContext.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
@@ -17,6 +23,12 @@ RECOMMENDED = {
 }
 
 
+def ship_with_tasks(module: str) -> None:
+    """Send the functions of a module to the workers by value, so that executors need no
+    installed copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the settings to a session that somebody else built."""
     for key, value in REQUIRED.items():

@@ -10,34 +10,20 @@ archive is accepted at all, and contents then leave in batches of a fixed byte s
 
 from __future__ import annotations
 
-import io
-import posixpath
-import tarfile
-import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
 from tarsift.functions import text as tx
+from tarsift.sources.unpack import MEMBER_SCHEMA, OK, OVER_LIMIT, unpacker
 
 c, lit = F.col, F.lit
 
-MEMBER_SCHEMA = (
-    "archive string, archive_bytes bigint, status string, has_manifest boolean, "
-    "ordinal int, path string, kind string, size bigint, linkname string, content binary"
-)
-# A batch of members leaves the task when it holds this much content.
-BATCH_BYTES = 32 << 20
-BATCH_ROWS = 2000
 
 # An archive of more compressed bytes than this has its members spread.
 LARGE_ARCHIVE_BYTES = 64 << 20
 
-OK, TRAVERSAL, OVER_LIMIT = "ok", "path_traversal", "over_limit"
-UNREADABLE, MISSING, UNNAMED = "unreadable", "missing", "unnamed"
+UNNAMED = "unnamed"
 
 
 def archive_files(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFrame:
@@ -77,109 +63,12 @@ def extract_members(archives: DataFrame, max_extract_bytes: int | None = None) -
     """
     limit = max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
 
-    given = "content" in archives.columns
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            contents = batch["content"] if given else map(_fetch, batch["path"])
-            for path, content in zip(batch["path"], contents):
-                yield from _batched(_members(path, content, limit))
-
-    columns = ["path", "content"] if given else ["path"]
-    rows = archives.select(*columns).mapInPandas(unpack, MEMBER_SCHEMA)
+    columns = ["path", "content"] if "content" in archives.columns else ["path"]
+    rows = archives.select(*columns).mapInPandas(unpacker(limit), MEMBER_SCHEMA)
     name, version = name_and_version(c("archive"))
     return rows.select(name.alias("name"), version.alias("version"), "*")
 
 
-_COLUMNS = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
-
-
-def _batched(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
-    pending: list[tuple] = []
-    held = 0
-    for row in rows:
-        pending.append(row)
-        held += len(row[-1] or b"")
-        if held >= BATCH_BYTES or len(pending) >= BATCH_ROWS:
-            yield pd.DataFrame(pending, columns=_COLUMNS)
-            pending, held = [], 0
-    if pending:
-        yield pd.DataFrame(pending, columns=_COLUMNS)
-
-
-def _fetch(path: str) -> bytes | None:
-    """An archive by its path or URI; None when it is not there."""
-    import pyarrow.fs as pafs
-
-    uri = path if "://" in path else path.removeprefix("file:")
-    filesystem, place = pafs.FileSystem.from_uri(uri)
-    try:
-        with filesystem.open_input_stream(place, compression=None) as stream:
-            return stream.read()
-    except FileNotFoundError:
-        return None
-
-
-def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tuple]:
-    if content is None:
-        yield (path, None, MISSING, False, None, None, None, None, None, None)
-        return
-    size = len(content)
-    status, has_manifest = _verdict(content, limit)
-    if status != OK:
-        yield (path, size, status, has_manifest, None, None, None, None, None, None)
-        return
-    with _open(content) as tar:
-        ordinal = -1
-        for ordinal, member in enumerate(tar):
-            kind = _kind(member)
-            data = tar.extractfile(member).read() if kind == "file" else None
-            yield (
-                path, size, status, has_manifest, ordinal, posixpath.normpath(member.name), kind,
-                member.size if kind == "file" else 0, member.linkname or None, data,
-            )
-    if ordinal < 0:
-        yield (path, size, status, has_manifest, None, None, None, None, None, None)
-
-
-def _open(content: bytes) -> tarfile.TarFile:
-    # Stream mode: members come in archive order and nothing is held back.
-    return tarfile.open(fileobj=io.BytesIO(content), mode="r|gz")
-
-
-def _verdict(content: bytes, limit: int | None) -> tuple[str, bool]:
-    """What becomes of an archive, from its headers in order: the first breach decides."""
-    total, has_manifest = 0, False
-    try:
-        with _open(content) as tar:
-            for member in tar:
-                if _escapes(member.name):
-                    return TRAVERSAL, False
-                if member.isfile():
-                    total += member.size
-                    if limit is not None and total > limit:
-                        return OVER_LIMIT, False
-                    has_manifest |= posixpath.basename(member.name) == "package.json"
-    except (tarfile.TarError, EOFError, OSError, zlib.error):
-        return UNREADABLE, False
-    return OK, has_manifest
-
-
-def _escapes(name: str) -> bool:
-    resolved = posixpath.normpath(name)
-    return name.startswith("/") or resolved == ".." or resolved.startswith("../")
-
-
-def _kind(member: tarfile.TarInfo) -> str:
-    if member.isfile():
-        return "file"
-    if member.issym():
-        return "symlink"
-    if member.islnk():
-        return "hardlink"
-    return "dir" if member.isdir() else "other"
-
-
 def name_and_version(archive):
     """(name, version) from an archive path: the version follows the last @, and __
     stands for the / of a scope. Without an @ both are NULL."""
