@@ -6,6 +6,8 @@ writes under its own id and is skipped when that id is already stored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -42,22 +44,31 @@ def daily_activity(versions: DataFrame, delay: str = "2 days") -> DataFrame:
     ).select(c("window.start").cast("date").alias("date"), "versions", "packages")
 
 
+def downloaded(folder: str) -> Callable[[DataFrame], DataFrame]:
+    """Archives by their place under a download folder. Only paths travel to the tasks;
+    each task opens its own archives."""
+    return lambda wanted: wanted.select(
+        archive_path(folder, c("name"), c("version")).alias("path")
+    )
+
+
 def analyse_batch(
     store: Store,
     batch: DataFrame,
     batch_id: int,
-    downloads: str,
+    open_archives: Callable[[DataFrame], DataFrame],
     config: ScanConfig | None = None,
     signatures: list[Signature] | None = None,
     folder: str | None = None,
 ) -> bool:
-    """Scan the archives of one batch of queue messages and store the result."""
+    """Scan the archives of one batch of queue messages and store the result.
+
+    ``open_archives`` turns (name, version) into (path) or (path, content).
+    """
     config = config or ScanConfig()
     wanted = batch.select(*KEYS).distinct()
     fresh = skip_analyzed(wanted, store.current("versions"))
-    # Only paths travel to the tasks; each opens its own archives.
-    paths = fresh.select(archive_path(downloads, c("name"), c("version")).alias("path"))
-    members = extract_members(paths, config.max_extract_bytes)
+    members = extract_members(open_archives(fresh), config.max_extract_bytes)
     result = scan_archives(members, config, signatures, folder=folder)
     return store.merge_scan(batch_id, result, source="queue")
 
@@ -65,7 +76,7 @@ def analyse_batch(
 def analyse_worker(
     messages: DataFrame,
     store: Store,
-    downloads: str,
+    open_archives: Callable[[DataFrame], DataFrame],
     checkpoint: str,
     config: ScanConfig | None = None,
     signatures: list[Signature] | None = None,
@@ -75,7 +86,7 @@ def analyse_worker(
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not store.has_commit(batch_id):
-            analyse_batch(store, batch, batch_id, downloads, config, signatures, folder)
+            analyse_batch(store, batch, batch_id, open_archives, config, signatures, folder)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
