@@ -580,7 +580,7 @@ def s20_tables(spark, folder):
     counted = hosts.groupBy("item").agg(F.count("*").alias("rows"))
     allowed = (
         counted.select("item", "rows", F.explode(F.array_compact(suffixes)).alias("domain"))
-        .join(F.broadcast(allow_domains_frame(spark, config)), "domain", "left_semi")
+        .join(allow_domains_frame(spark, config), "domain", "left_semi")
         .dropDuplicates(["item"])
         .select(F.lit("allowed").alias("kind"), "item", "rows")
     )
@@ -714,7 +714,7 @@ def rs1(spark, folder):
     config = with_user_weights(ScanConfig(), RULE_SPECS)
     rows = apply_user_rules(files(spark, folder), RULE_SPECS)
     weights = weights_frame(spark, config).filter("variant = ''").drop("variant")
-    return rows.join(F.broadcast(weights), "rule").select(
+    return rows.join(weights, "rule").select(
         "name", "version", "path", "rule", "severity", "match_count", "weight"
     )
 

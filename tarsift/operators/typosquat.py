@@ -240,7 +240,7 @@ def _base_permutations(base: Column) -> Column:
     size = F.length(base)
     places = F.when(size > 0, F.sequence(lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     char = lambda i: F.substring(base, i + 1, lit(1))
-    inserted = F.array(*[lit(ch) for ch in fv.INSERTED_CHARACTERS])
+    inserted = F.split(lit(fv.INSERTED_CHARACTERS), "")
     looks = F.create_map(
         *[
             part
@@ -284,20 +284,22 @@ def permutations_of(names: DataFrame) -> DataFrame:
         .when(F.startswith("name", lit("@")), F.substring("name", 2, 2**31 - 1))
         .otherwise(c("name"))
     )
-    prepared = names.select("name", scope.alias("scope"), base.alias("base"))
+    prepared = names.select("name", scope.alias("scope"), base.alias("base")).distinct()
+    variations = F.split(lit(" ".join(fv.SCOPE_VARIATIONS)), " ")
+
+    def forms(perm: Column) -> Column:
+        under = F.transform(variations, lambda v: F.concat(lit("@"), v, lit("/"), perm))
+        around = F.transform(variations, lambda v: F.concat(lit("@"), perm, lit("/"), v))
+        own = F.array(F.concat(lit("@"), c("scope"), lit("/"), perm))
+        return F.when(c("scope") != "", F.concat(own, under, around)).otherwise(
+            F.concat(F.array(perm), under)
+        )
+
     long_enough = F.filter(_base_permutations(c("base")), lambda p: F.length(p) > 1)
-    rows = prepared.select("name", "scope", F.explode(F.array_compact(long_enough)).alias("perm"))
-    variations = F.array(*[lit(v) for v in fv.SCOPE_VARIATIONS])
-    under = F.transform(variations, lambda v: F.concat(lit("@"), v, lit("/"), c("perm")))
-    around = F.transform(variations, lambda v: F.concat(lit("@"), c("perm"), lit("/"), v))
-    own = F.array(F.concat(lit("@"), c("scope"), lit("/"), c("perm")))
-    forms = F.when(c("scope") != "", F.concat(own, under, around)).otherwise(
-        F.concat(F.array("perm"), under)
-    )
-    exploded = rows.select("name", F.explode(F.array_compact(forms)).alias("permutation"))
-    return exploded.filter(
-        (c("permutation") != c("name")) & (F.length("permutation") > 2)
-    ).dropDuplicates(["name", "permutation"])
+    # A name's permutations are some thousands: each row keeps its own apart.
+    every = F.array_distinct(F.flatten(F.transform(long_enough, forms)))
+    wanted = F.filter(every, lambda p: (p != c("name")) & (F.length(p) > 2))
+    return prepared.select("name", F.explode(F.array_compact(wanted)).alias("permutation"))
 
 
 def names_in_permutations(names: DataFrame, permutations: DataFrame) -> DataFrame:

@@ -93,11 +93,12 @@ def manifests_of(facts: DataFrame) -> DataFrame:
     return found.groupBy(*KEYS).agg(F.min_by("manifest", order).alias("manifest"))
 
 
-def findings_of_facts(facts: DataFrame, config: ScanConfig | None = None) -> DataFrame:
+def findings_of_facts(
+    facts: DataFrame, manifests: DataFrame, config: ScanConfig | None = None
+) -> DataFrame:
     """All findings of a scan: of files, manifests, packaging and their combinations."""
     config = config or ScanConfig()
     facts = facts.filter(c("name").isNotNull() & c("version").isNotNull())
-    manifests = manifests_of(facts)
     packaged = facts.filter(c("has_manifest") & (c("kind") == "file")).select(*KEYS, "path")
     in_files = facts.select(*KEYS, "path", F.inline(F.array_compact("found"))).select(
         *KEYS, "rule", "severity", c("path").alias("file_path"), "details"
@@ -120,13 +121,15 @@ def findings_of_facts(facts: DataFrame, config: ScanConfig | None = None) -> Dat
     return union_findings(single, to_findings(combined))
 
 
-def result_of(facts: DataFrame, findings: DataFrame, config: ScanConfig) -> ScanResult:
+def result_of(
+    facts: DataFrame, manifests: DataFrame, findings: DataFrame, config: ScanConfig
+) -> ScanResult:
     versions = scanned_versions(facts)
     return ScanResult(
         versions=versions,
         findings=findings,
         scores=score_versions(findings, config, versions),
-        metadata=mf.package_metadata(manifests_of(facts)),
+        metadata=mf.package_metadata(manifests),
         rejects=ar.rejected_archives(facts),
     )
 
@@ -143,5 +146,6 @@ def scan_archives(
     if rules:
         config = with_user_weights(config, rules)
     facts = written(scan_members(members, config, signatures, rules), "scan-facts", folder)
-    findings = written(findings_of_facts(facts, config), "scan-findings", folder)
-    return result_of(facts, findings, config)
+    manifests = written(manifests_of(facts), "scan-manifests", folder)
+    found = findings_of_facts(facts, manifests, config)
+    return result_of(facts, manifests, written(found, "scan-findings", folder), config)
