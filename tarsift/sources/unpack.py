@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import gzip
 import io
 import posixpath
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 
@@ -23,6 +24,8 @@ _COLUMNS = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
 # A batch of members leaves the task when it holds this much content.
 BATCH_BYTES = 32 << 20
 BATCH_ROWS = 2000
+# An archive that decompresses to no more than this is held decompressed.
+KEPT_BYTES = 32 << 20
 
 OK, TRAVERSAL, OVER_LIMIT = "ok", "path_traversal", "over_limit"
 UNREADABLE, MISSING = "unreadable", "missing"
@@ -31,11 +34,15 @@ UNREADABLE, MISSING = "unreadable", "missing"
 def unpacker(limit: int | None):
     """The function a task runs over batches of (path, content) or (path)."""
 
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
             contents = batch["content"] if "content" in batch else map(_fetch, batch["path"])
             for path, content in zip(batch["path"], contents):
-                yield from _batched(_members(path, content, limit))
+                yield from _members(path, content, limit)
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Members of many small archives share a batch.
+        yield from _batched(rows(batches))
 
     return unpack
 
@@ -71,11 +78,12 @@ def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tu
         yield (path, None, MISSING, False, None, None, None, None, None, None)
         return
     size = len(content)
-    status, has_manifest = _verdict(content, limit)
+    opened = _opener(content)
+    status, has_manifest = _verdict(opened, limit)
     if status != OK:
         yield (path, size, status, has_manifest, None, None, None, None, None, None)
         return
-    with _open(content) as tar:
+    with opened() as tar:
         ordinal = -1
         for ordinal, member in enumerate(tar):
             kind = _kind(member)
@@ -88,16 +96,25 @@ def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tu
         yield (path, size, status, has_manifest, None, None, None, None, None, None)
 
 
-def _open(content: bytes) -> tarfile.TarFile:
-    # Stream mode: members come in archive order and nothing is held back.
-    return tarfile.open(fileobj=io.BytesIO(content), mode="r|gz")
+def _opener(content: bytes) -> Callable[[], tarfile.TarFile]:
+    """How to read the archive, more than once. A small one is decompressed once and kept;
+    any other is decompressed again each time, member by member."""
+    if len(content) <= KEPT_BYTES:
+        try:
+            data = gzip.GzipFile(fileobj=io.BytesIO(content)).read(KEPT_BYTES + 1)
+        except (EOFError, OSError, zlib.error):
+            data = None
+        if data is not None and len(data) <= KEPT_BYTES:
+            return lambda: tarfile.open(fileobj=io.BytesIO(data), mode="r:")
+    stream = lambda: gzip.GzipFile(fileobj=io.BytesIO(content))
+    return lambda: tarfile.open(fileobj=stream(), mode="r|")
 
 
-def _verdict(content: bytes, limit: int | None) -> tuple[str, bool]:
+def _verdict(opened: Callable[[], tarfile.TarFile], limit: int | None) -> tuple[str, bool]:
     """What becomes of an archive, from its headers in order: the first breach decides."""
     total, has_manifest = 0, False
     try:
-        with _open(content) as tar:
+        with opened() as tar:
             for member in tar:
                 if _escapes(member.name):
                     return TRAVERSAL, False
