@@ -676,7 +676,14 @@ FROM scores s JOIN versions v ON v.name = s.name AND v.version = s.version LEFT
 def y4(spark, folder):
     """Signature findings for every analysed version and for one unknown version each,
     appended twice: unknown versions and the rerun add nothing."""
-    base, versions = findings(spark, folder), view(spark, folder, "versions")
+    from tarsift.catalog.sources import scratch
+    from tarsift.plans.scan import written
+
+    # Stored tables, as they would be: each is derived once.
+    stored = lambda df, name: written(df, name, scratch(spark, "y4"))
+    base = stored(findings(spark, folder), "findings")
+    versions = stored(view(spark, folder, "versions"), "versions")
+    known_scores = stored(view(spark, folder, "scores"), "scores")
     analysed = versions.filter("status = 'analyzed'")
     unknown = analysed.withColumn("version", F.concat("version", F.lit("-x")))
     found = analysed.unionByName(unknown).select(
@@ -686,7 +693,7 @@ def y4(spark, folder):
     found = to_findings(found)
     once = append_signature_findings(base, found, versions)
     twice = append_signature_findings(once, found, versions)
-    scores = rescore(twice, view(spark, folder, "scores"), analysed)
+    scores = rescore(twice, known_scores, analysed)
     counts = twice.groupBy("name", "version").agg(F.count("*").alias("findings"))
     return scores.join(counts, ["name", "version"], "left").select(
         "name", "version", "score", F.coalesce("findings", F.lit(0)).alias("findings")

@@ -15,7 +15,7 @@ from tarsift.config import ScanConfig
 from tarsift.functions.timestamps import parse_timestamp
 from tarsift.operators import queue_building as qb
 from tarsift.plans import merge
-from tarsift.plans.scan import ScanResult, scan_archives
+from tarsift.plans.scan import ScanResult, scan_archives, written
 from tarsift.plans.store import Store
 from tarsift.session import checkpoint_folder
 from tarsift.sources import archives as ar
@@ -570,12 +570,14 @@ def u8(spark, folder):
 def u_store(spark, folder):
     """Two commits into a store, the second one twice; read back."""
     t = tables(spark, folder)
-    analysed = t.versions.filter("status = 'analyzed'").select(*KEYS)
-    of = lambda df: df.join(analysed, KEYS, "left_semi")
+    stored = lambda df: written(df, "input", scratch(spark, "store-input"))
+    analysed = stored(t.versions.filter("status = 'analyzed'").select(*KEYS))
+    of = lambda df: stored(df.join(analysed, KEYS, "left_semi"))
     none = analysed.select(*[c(k) for k in KEYS], *[lit(None).cast("string").alias(a) for a in ("author", "description")])
     store = Store(spark, scratch(spark, "store"), buckets=4)
-    first = ScanResult(analysed, of(t.findings).limit(0), of(t.scores), none, analysed)
-    second = ScanResult(analysed, of(t.findings), of(t.scores), none, analysed)
+    found, scores = of(t.findings), of(t.scores)
+    first = ScanResult(analysed, found.limit(0), scores, none, analysed)
+    second = ScanResult(analysed, found, scores, none, analysed)
     store.merge_scan(1, first, AT())
     store.merge_scan(2, second, AT())
     store.merge_scan(2, first, AT())

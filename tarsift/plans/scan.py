@@ -81,6 +81,19 @@ def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def one_archive_each(facts: DataFrame) -> DataFrame:
+    """Facts with one archive per version: where several were read, the last by path.
+
+    The superfluous archives are few, so they are what is joined away.
+    """
+    pairs = facts.filter(c("name").isNotNull()).select(*KEYS, "archive").distinct()
+    several = pairs.groupBy(*KEYS).agg(
+        F.max("archive").alias("kept"), F.count("*").alias("n")
+    ).filter("n > 1")
+    dropped = pairs.join(several, KEYS).filter(c("archive") != c("kept")).select("archive")
+    return facts.join(dropped, "archive", "left_anti")
+
+
 def scanned_versions(facts: DataFrame) -> DataFrame:
     kept = facts.filter(c("status").isin(ar.OK, ar.OVER_LIMIT) & c("name").isNotNull())
     return kept.select(*KEYS).distinct()
@@ -146,6 +159,7 @@ def scan_archives(
     if rules:
         config = with_user_weights(config, rules)
     facts = written(scan_members(members, config, signatures, rules), "scan-facts", folder)
+    facts = one_archive_each(facts)
     manifests = written(manifests_of(facts), "scan-manifests", folder)
     found = findings_of_facts(facts, manifests, config)
     return result_of(facts, manifests, written(found, "scan-findings", folder), config)

@@ -4,7 +4,8 @@ There is no table format here, so a merge works on copies: rows live in a fixed
 buckets by key, a merge rewrites only the buckets its batch touches, into a folder of its
 own, and one appended log record makes all of it current at once. A reader takes the
 latest folder of every bucket from the log; a failed merge leaves folders nobody reads; a
-merge that is run again under the same id is skipped.
+merge that is run again under the same id is skipped. Ids count per writer, so a stream
+and a batch job can share a store; the order of commits is the log's own sequence.
 
 Merges into one store must not overlap: one writer at a time.
 """
@@ -42,8 +43,9 @@ SCHEMAS = {
 # not fill a bucket alone.
 BUCKET_KEYS = {"packages": ["name"]}
 VERSION_KEYS = ["name", "version"]
-HISTORY = ("scan_runs", "scan_run_findings")
-LOG_SCHEMA = "commit bigint, table_name string, bucket int, folder string"
+LOG_SCHEMA = (
+    "seq bigint, writer string, commit bigint, table_name string, bucket int, folder string"
+)
 
 
 @dataclass(frozen=True)
@@ -51,6 +53,7 @@ class Store:
     spark: SparkSession
     root: str
     buckets: int = 256
+    writer: str = "scan"
     keys: dict[str, list[str]] = field(default_factory=lambda: dict(BUCKET_KEYS))
 
     # --- reading
@@ -67,7 +70,7 @@ class Store:
         if buckets is not None:
             log = log.filter(c("bucket").isin(*buckets))
         # One record per bucket: at most as many as the store has buckets.
-        latest = log.groupBy("bucket").agg(F.max_by("folder", "commit").alias("folder"))
+        latest = log.groupBy("bucket").agg(F.max_by("folder", "seq").alias("folder"))
         folders = [row["folder"] for row in latest.collect() if row["folder"]]
         return self._read(table, folders)
 
@@ -79,13 +82,14 @@ class Store:
 
     def history(self, table: str) -> DataFrame:
         """Appended rows of all recorded commits."""
-        log = self.log().filter(c("table_name") == table).select("commit").distinct()
-        path = f"{self.root}/{table}"
-        rows = self.spark.read.parquet(path)
-        return rows.join(log, "commit", "left_semi").drop("commit", "run_date")
+        log = self.log().filter(c("table_name") == table)
+        recorded = log.select(_label(c("writer"), c("commit")).alias("commit")).distinct()
+        rows = self.spark.read.parquet(f"{self.root}/{table}")
+        return rows.join(recorded, "commit", "left_semi").drop("commit", "run_date")
 
     def has_commit(self, commit: int) -> bool:
-        return not self.log().filter(c("commit") == commit).isEmpty()
+        mine = (c("writer") == self.writer) & (c("commit") == commit)
+        return not self.log().filter(mine).isEmpty()
 
     # --- writing
 
@@ -108,7 +112,7 @@ class Store:
             return []
         names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
         rows = merged(self.current(table, buckets)).select(*names)
-        folder = f"{self.root}/{table}/commit={commit}"
+        folder = f"{self.root}/{table}/commit={self.writer}-{commit}"
         rows = rows.withColumn("bucket", self.bucket_of(table))
         # Rebalancing gathers a bucket's rows into few files and splits a heavy bucket.
         rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
@@ -120,13 +124,15 @@ class Store:
 
     def append(self, commit: int, table: str, rows: DataFrame) -> list[tuple]:
         dated = rows.withColumn("run_date", F.to_date("completed_at"))
-        path = f"{self.root}/{table}/commit={commit}"
+        path = f"{self.root}/{table}/commit={self.writer}-{commit}"
         dated.write.mode("overwrite").partitionBy("run_date").parquet(path)
         return [(commit, table, None, path)]
 
     def publish(self, records: list[tuple]) -> None:
         """One file, one rename: the commit is visible as a whole or not at all."""
-        log = self.spark.createDataFrame(records, LOG_SCHEMA)
+        last = self.log().agg(F.max("seq")).first()[0] or 0
+        rows = [(last + 1, self.writer, *record) for record in records]
+        log = self.spark.createDataFrame(rows, LOG_SCHEMA)
         log.coalesce(1).write.mode("append").json(f"{self.root}/_log")
 
     # --- merges
@@ -182,6 +188,10 @@ class Store:
         return True
 
 
+def _label(writer: Column, commit: Column) -> Column:
+    return F.concat(writer, lit("-"), commit.cast("string"))
+
+
 def _now() -> Column:
     """One moment for everything a commit writes."""
     return lit(datetime.now(timezone.utc)).cast("timestamp")

@@ -111,6 +111,17 @@ def test_user_rules_are_scored_with_the_rest(spark, work):
     assert scores["plain"] == (7, "suspicious")
 
 
+def test_one_archive_per_version(spark, work):
+    folder = write_archives(work)
+    from pathlib import Path
+
+    other = Path(folder, "a-mirror")
+    other.mkdir()
+    (other / "links@1.0.0.tgz").write_bytes(ARCHIVES["dropper@3.1.0.tgz"])
+    result = scan_archives(ar.read_archives(spark, folder), folder=work + "/shared")
+    assert rows(result.findings.filter("name = 'links'"), "rule") == [("symlink_escape",)] * 2
+
+
 def test_store_merges_are_repeatable(spark, work):
     result = scan(spark, work)
     store = Store(spark, work + "/store", buckets=4)
@@ -127,6 +138,11 @@ def test_store_merges_are_repeatable(spark, work):
         ("again", 2), ("test", 2)
     ]
     assert store.history("scan_run_findings").count() == 2 * result.findings.count()
+    # Another writer has ids of its own; its later commit is the current one.
+    other = Store(spark, work + "/store", buckets=4, writer="rescan")
+    gone = type(result)(result.versions, result.findings.limit(0), result.scores, result.metadata, result.rejects)
+    assert other.merge_scan(1, gone)
+    assert store.current("findings").count() == 0
 
 
 def test_store_forgets_findings_that_are_gone(spark, work):
