@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import json
+from pathlib import Path
 
+import pytest
 from archive_fixtures import ARCHIVES, write_archives
 
-from tarsift.config import ScanConfig
 from tarsift.operators.user_rules import RuleSpec
 from tarsift.plans.scan import scan_archives
 from tarsift.plans.store import Store
@@ -69,16 +70,19 @@ def test_manifest_choice(spark, work):
     assert "bare" not in picked
 
 
-def scan(spark, work, **kwargs):
+@pytest.fixture(scope="module")
+def result(spark, tmp_path_factory):
+    """One scan of all fixture archives, with a user rule among the rules."""
+    work = str(tmp_path_factory.mktemp("scan"))
+    spec = RuleSpec("module_use", "low", r"module\.exports", weight=7)
     members = ar.read_archives(spark, write_archives(work))
-    return scan_archives(members, folder=work + "/shared", **kwargs)
+    return scan_archives(members, folder=work + "/shared", rules=[spec])
 
 
-def test_whole_scan(spark, work):
-    result = scan(spark, work)
+def test_whole_scan(result):
     found = rows(result.findings, "name", "rule")
     of = lambda name: sorted(rule for n, rule in found if n == name)
-    assert of("plain") == []
+    assert of("plain") == ["module_use"]
     assert of("@s/p") == ["has_bin", "suspicious_pattern", "suspicious_pattern", "url_outside_allowlist"]
     assert of("links") == ["symlink_escape", "symlink_escape"]
     # Without a manifest only the links and the missing manifest are reported.
@@ -92,7 +96,8 @@ def test_whole_scan(spark, work):
         "url_outside_allowlist", "writes_outside_pkg",
     ]
     scores = dict((r["name"], (r["score"], r["label"])) for r in result.scores.collect())
-    assert scores["plain"] == (0, "clean")
+    assert scores["plain"] == (7, "suspicious")
+    assert scores["broken-json"] == (0, "clean")
     assert scores["dropper"] == (4 + 10 + 10 + 4 + 2 + 2 + 8 + 6 + 6 + 6, "malicious")
     assert "escape" not in scores and "not-gzip" not in scores
     assert rows(result.rejects.na.fill(""), "name", "status") == [
@@ -104,17 +109,8 @@ def test_whole_scan(spark, work):
     assert dict(rows(result.metadata, "name", "author"))["@s/p"] == "Ann"
 
 
-def test_user_rules_are_scored_with_the_rest(spark, work):
-    spec = RuleSpec("module_use", "low", r"module\.exports", weight=7)
-    result = scan(spark, work, rules=[spec])
-    scores = dict((r["name"], (r["score"], r["label"])) for r in result.scores.collect())
-    assert scores["plain"] == (7, "suspicious")
-
-
 def test_one_archive_per_version(spark, work):
     folder = write_archives(work)
-    from pathlib import Path
-
     other = Path(folder, "a-mirror")
     other.mkdir()
     (other / "links@1.0.0.tgz").write_bytes(ARCHIVES["dropper@3.1.0.tgz"])
@@ -122,8 +118,7 @@ def test_one_archive_per_version(spark, work):
     assert rows(result.findings.filter("name = 'links'"), "rule") == [("symlink_escape",)] * 2
 
 
-def test_store_merges_are_repeatable(spark, work):
-    result = scan(spark, work)
+def test_store_merges_are_repeatable(spark, work, result):
     store = Store(spark, work + "/store", buckets=4)
     assert store.merge_scan(1, result, source="test")
     assert not store.merge_scan(1, result)
@@ -145,8 +140,7 @@ def test_store_merges_are_repeatable(spark, work):
     assert store.current("findings").count() == 0
 
 
-def test_store_forgets_findings_that_are_gone(spark, work):
-    result = scan(spark, work)
+def test_store_forgets_findings_that_are_gone(spark, work, result):
     store = Store(spark, work + "/store", buckets=4)
     store.merge_scan(1, result)
     nothing = result.findings.limit(0)
@@ -155,8 +149,7 @@ def test_store_forgets_findings_that_are_gone(spark, work):
     assert store.current("findings").count() == 0
 
 
-def test_store_keeps_other_versions(spark, work):
-    result = scan(spark, work)
+def test_store_keeps_other_versions(spark, work, result):
     store = Store(spark, work + "/store", buckets=1)
     store.merge_scan(1, result)
     part = result.versions.filter("name = 'links'")
