@@ -163,6 +163,29 @@ def _origin() -> Column:
 _STATE = "struct<offset:int,line:int,start:int>"
 
 
+def gaps_by_text(text: Column, matches: Column) -> Column:
+    """The text before each of a few matches, found by looking for their texts in turn.
+
+    Much cheaper than running a slow pattern once more, and the same for any pattern that
+    depends on nothing around a match: an earlier place with the same text would have
+    matched itself.
+    """
+
+    def find(state: Column, match: Column) -> Column:
+        return let(
+            F.call_function("locate", match, text, state["at"]),
+            lambda found: F.struct(
+                (found + F.length(match)).alias("at"),
+                F.concat(
+                    state["gaps"], F.array(F.substring(text, state["at"], found - state["at"]))
+                ).alias("gaps"),
+            ),
+        )
+
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<string>").alias("gaps"))
+    return F.aggregate(matches, start, find, lambda state: state["gaps"])
+
+
 def match_positions(steps: Column, chunk: int = CHUNK) -> Column:
     """array<struct<offset, line, column, span>> of the matches, in order.
 

@@ -330,7 +330,7 @@ FEATURES: dict[str, Feature | Located] = {
     "spawn_calls": Feature(2, _found(fv.CHILD_PROCESS, "child_process", group=1)),
     "spawn_locations": Located(fv.CHILD_PROCESS, "spawns", "spawn_calls"),
     "dynamic": Feature(2, _dynamic_code),
-    "dynamic_locations": Located(fv.DYNAMIC_CODE, "dynamic"),
+    "dynamic_locations": Located(fv.DYNAMIC_CODE, "dynamic", in_context=True),
     "url_locations": Located(fv.URL, "urls"),
     "env_reads": Feature(2, _found(fv.PROCESS_ENV, "process.env.")),
     "env_read_locations": Located(fv.PROCESS_ENV, "env_reads"),

@@ -33,12 +33,14 @@ class Located:
     """Locations of the first ``count`` matches of a pattern in the file's bytes.
 
     ``matches`` and ``shown`` name features: the matches, and what to show of each.
+    ``in_context`` says that the pattern looks at what surrounds a match.
     """
 
     pattern: str
     matches: str
     shown: str | None = None
     count: int = 5
+    in_context: bool = False
 
 
 # Locations come after all matches are there.
@@ -104,7 +106,10 @@ def _locations_of(located: list[Located]) -> Column:
 
     def input_of(item: Located) -> Column:
         found = F.slice(F.col(item.matches), 1, item.count)
-        gaps = F.split(F.col("body"), item.pattern, item.count + 1)
+        if item.in_context:
+            gaps = F.split(F.col("body"), item.pattern, item.count + 1)
+        else:
+            gaps = tx.gaps_by_text(F.col("body"), found)
         return F.when(
             tx.has(F.col(item.matches)),
             F.struct(
