@@ -125,6 +125,14 @@ def prefix_sums(data: np.ndarray, which: int = 0) -> np.ndarray:
     return sums
 
 
+def value_sums(values: np.ndarray, which: int = 0) -> np.ndarray:
+    """As prefix_sums, over 64-bit values (hashes of words, for instance)."""
+    sums = np.empty(len(values) + 1, np.uint64)
+    sums[0] = 0
+    np.cumsum(values * powers(len(values) + 1, which)[0][: len(values)], out=sums[1:])
+    return sums
+
+
 def range_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
     """A 64-bit hash of the bytes from start to end, for many ranges."""
     inverse = powers(len(sums), which)[1]

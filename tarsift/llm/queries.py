@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarsift.llm import suffix_dedup
+from tarsift.llm import fingerprint, mixing, simhash_dedup, suffix_dedup, window_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -18,7 +18,46 @@ def op1_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return window_dedup.dedup_windows(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
+def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, folder, "documents")).select(
+        "doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id"
+    )
+
+
+def op6_document_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    own, edited, following = F.col("sketch"), F.col("edited_sketch"), F.col("next_sketch")
+    return fingerprint.fingerprinted(table(spark, folder, "documents")).select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprint.as_text(own).alias("fingerprint"),
+        fingerprint.as_text(edited).alias("edited_fingerprint"),
+        fingerprint.resemblance(own, edited).alias("near_edited"),
+        fingerprint.resemblance(own, following).alias("near_next"),
+        fingerprint.containment(own, edited).alias("contained_in_edited"),
+        fingerprint.distinct_shingles(own).alias("distinct_shingles"),
+    )
+
+
+def op7_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(table(spark, folder, "documents")).select(
+        "doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken"
+    )
+
+
 QUERIES = {
     "op1_suffix_array_dedup": op1_suffix_array_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_mixing_sources": op7_mixing_sources,
+}
+ORACLES: dict[str, str] = {
+    "op7_mixing_sources": mixing.ORACLE,
 }
-ORACLES: dict[str, str] = {}
