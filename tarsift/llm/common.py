@@ -162,9 +162,11 @@ def sliding(values: np.ndarray, width: int, best: np.ufunc, beyond: int) -> np.n
     return out
 
 
-def words(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(
+    data: np.ndarray, at: np.ndarray, space: np.ndarray = SPACE
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each word, and the index of the first word of each document (n + 1)."""
-    black = ~SPACE[data]
+    black = ~space[data]
     first = np.zeros(len(data) + 1, bool)
     first[at] = True
     before = np.empty(len(data), bool)

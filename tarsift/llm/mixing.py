@@ -32,6 +32,8 @@ SHARE = 1.5
 CAP = 2
 BITS = 12
 LEVELS = 5
+#: Sources whose plan (4,096 rows each) is sent to all executors: at most about 20 MB.
+BROADCAST_SOURCES = 64
 
 
 def word_count(text: Column) -> Column:
@@ -44,15 +46,19 @@ def bucket(level: int) -> Column:
     return F.shiftright("h", BITS * (LEVELS - 1 - level)).bitwiseAND(F.lit((1 << BITS) - 1)).cast("int")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, and the hash: the upper 60 bits of an MD5 of doc_id."""
-    name = F.concat(F.lit("mix:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.col("source").cast("string").alias("source"),
-        word_count(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("size"),
+def facts_of(doc_id: Column, text: Column, source: Column) -> list[Column]:
+    """source, size, and the hash: the upper 60 bits of an MD5 of doc_id."""
+    name = F.concat(F.lit("mix:"), F.coalesce(doc_id.cast("string"), F.lit("null")))
+    return [
+        source.cast("string").alias("source"),
+        word_count(F.coalesce(text.cast("string"), F.lit(""))).alias("size"),
         F.conv(F.substring(F.md5(name.cast("binary")), 1, 15), 16, 10).cast("long").alias("h"),
-    )
+    ]
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    facts = facts_of(F.col("doc_id"), F.col("text"), F.col("source"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *facts)
 
 
 def targets(sizes: DataFrame) -> DataFrame:
@@ -119,28 +125,54 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
     return found.select("source", (F.col("limit") + nearer).alias("limit"))
 
 
-def mix(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies (times the document is taken), taken."""
-    docs = stored(sized(docs))
+def planned(docs: DataFrame) -> DataFrame:
+    """Of each source (of) and bucket (at): source_size, target, copies, rest and limit."""
     histogram = docs.groupBy("source", bucket(0).alias("bucket")).agg(F.sum("size").alias("words"))
     shares = stored(targets(histogram.groupBy("source").agg(F.sum("words").alias("source_size"))))
     limits = thresholds(docs, shares.select("source", F.col("rest").alias("left")))
     # Rows meet (source, bucket), not the source alone: a hot source has as many keys as buckets.
-    plan = (
+    return (
         histogram.select("source", "bucket")
         .join(shares.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
         .join(limits.withColumnRenamed("source", "t"), F.col("source").eqNullSafe(F.col("t")), "left")
         .select(F.col("source").alias("of"), F.col("bucket").alias("at"), "source_size", "target", "copies", "rest", "limit")
     )
+
+
+def taken(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """docs (source, size, h and others) with source_size, target, copies and taken."""
     # A budget that never ends takes everything; without a rest nothing is taken once more.
     more = F.when(F.col("limit").isNull(), F.col("rest") > 0).otherwise(F.col("h") < F.col("limit")).cast("long")
     return (
         docs.join(plan, F.col("source").eqNullSafe(F.col("of")) & (bucket(0) == F.col("at")))
         .withColumn("copies", F.col("copies") + more)
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .withColumn("taken", F.col("copies") * F.col("size"))
+        .drop("of", "at", "rest", "limit")
     )
 
 
+def mix(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies (times the document is taken), taken."""
+    docs = stored(sized(docs))
+    return taken(docs, planned(docs)).drop("h")
+
+
+def mixture(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, all columns, with copies: how often it takes them.
+
+    The texts do not move if the plan is small (`BROADCAST_SOURCES` sources at most: it has a
+    row for each source and bucket); else rows meet the plan by source and bucket.
+    """
+    names = docs.columns
+    hidden = [f"c{k}" for k in range(len(names))]
+    frame = docs.toDF(*hidden)
+    facts = facts_of(*(F.col(hidden[names.index(c)]) for c in ("doc_id", "text", "source")))
+    plan = stored(planned(stored(frame.select(*facts))))
+    if plan.select("of").distinct().limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    return taken(frame.select(*hidden, *facts), plan).where("copies > 0").select(*hidden, "copies").toDF(*names, "copies")
+
+
 #: DuckDB SQL for `mix` over documents, with plain running sums.
 ORACLE = r"""
 WITH d AS (

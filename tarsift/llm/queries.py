@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarsift.llm import fingerprint, mixing, simhash_dedup, suffix_dedup, window_dedup
+from tarsift.llm import (
+    decontamination,
+    fingerprint,
+    html_text,
+    language_id,
+    mixing,
+    quality,
+    simhash_dedup,
+    suffix_dedup,
+    token_counts,
+    window_dedup,
+)
+from tarsift.llm.common import held_out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -24,6 +36,20 @@ def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, folder: str, vocabulary: str | None = None) -> DataFrame:
+    """vocabulary: a file of a public tokenizer; none: the installed piece vocabulary."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    return token_counts.token_counts(table(spark, folder, "documents"), token_counts.unigram_pieces(str(vocabulary)))
+
+
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return quality.quality(docs, quality.fit(docs, table(spark, folder, "labels")))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, folder, "documents")).select(
         "doc_id", simhash_dedup.hexadecimal().alias("fingerprint"), "component_id"
@@ -51,13 +77,38 @@ def op7_mixing_sources(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return html_text.main_text(pages, html_text.fit(pages)).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
+def op9_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return language_id.identify(docs, language_id.fit(docs)).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
 QUERIES = {
-    "op1_suffix_array_dedup": op1_suffix_array_dedup,
-    "op2_substring_dedup": op2_substring_dedup,
-    "op5_simhash_near_dedup": op5_simhash_near_dedup,
-    "op6_document_fingerprints": op6_document_fingerprints,
-    "op7_mixing_sources": op7_mixing_sources,
-}
-ORACLES: dict[str, str] = {
-    "op7_mixing_sources": mixing.ORACLE,
+    query.__name__: query
+    for query in (
+        op1_suffix_array_dedup,
+        op2_substring_dedup,
+        op3_token_counts,
+        op4_quality_classifier,
+        op5_simhash_near_dedup,
+        op6_document_fingerprints,
+        op7_mixing_sources,
+        op8_html_extraction,
+        op9_benchmark_decontamination,
+        op10_language_id,
+    )
 }
+#: The others are held against brute force, held-out labels or an exact rule in tests/llm.
+ORACLES: dict[str, str] = {"op7_mixing_sources": mixing.ORACLE}

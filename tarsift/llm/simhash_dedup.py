@@ -25,7 +25,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsift.llm.common import U64, bucket_count, bucket_of, by_bucket, discard, mix, runs, stored, unpack
@@ -264,4 +264,27 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, segments
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def one_of_each(docs: DataFrame, shingle: int, radius: int, segments: int) -> DataFrame:
+    """The rows of docs, all columns: of each group of near texts the smallest doc_id stays.
+
+    Rows with one doc_id are one document, of which one row stays (the smallest hash of its
+    text). Rows without doc_id stay.
+    """
+    names = docs.columns
+    hidden = [f"c{k}" for k in range(len(names))]
+    frame = docs.toDF(*hidden)
+    doc_id, text = hidden[names.index("doc_id")], hidden[names.index("text")]
+    seen = frame.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    near = near_duplicates(seen, shingle, radius, segments)
+    stays = near.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
+    first = Window.partitionBy("id").orderBy(F.xxhash64(text))
+    kept = (
+        frame.withColumn("id", F.col(doc_id).cast("long"))
+        .join(stays, "id", "left_semi")
+        .withColumn("nth", F.row_number().over(first))
+        .where("nth = 1")
+    )
+    return kept.select(*hidden).union(frame.where(F.col(doc_id).isNull())).toDF(*names)
+
+
 ship_with_tasks(__name__)

@@ -34,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarsift.llm.common import (
@@ -317,11 +317,10 @@ def repeats(context: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, text and ranges (start, end; null: none) of the bytes to remove, per row.
+    """docs with what is to be removed from each row's text: marks and ranges (null: none).
 
     Both joins are by doc_id over the same exchange of the texts, which moves once.
     """
-    docs = docs.select("doc_id", "text")
     keyed = docs.where("doc_id is not null")
     buckets = bucket_count(text_bytes(docs), BUCKET_BYTES)
     found = repeated_anchors(anchors(keyed, buckets, length, gram), length, gram)
@@ -338,9 +337,10 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     return marked.join(cut.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").drop("of")
 
 
-def remove(ranged: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
+def remove(ranged: DataFrame, length: int, gram: int, columns: list[str]) -> DataFrame:
+    """The named columns, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
     reach = length - gram
+    own_schema = ", ".join(f"{c} {ranged.schema[c].dataType.simpleString()}" for c in columns)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -368,18 +368,53 @@ def remove(ranged: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFra
                     own = own[~out]
                 kept.append(own.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes), pa.array(gone), pa.array(spans), pa.array(kept, pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
+                [batch.column(c) for c in columns]
+                + [pa.array(sizes), pa.array(gone), pa.array(spans), pa.array(kept, pa.binary())],
+                [*columns, "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return ranged.select("doc_id", "text", "marks", "ranges").mapInArrow(
-        cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    return ranged.select("text", "marks", "ranges", *columns).mapInArrow(
+        cut, f"{own_schema}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
 
 def dedup_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """Every document without the strings of `length` bytes that start earlier as well."""
-    return remove(covered_ranges(documents(docs), length, gram), length, gram)
+    """doc_id and its text without the strings of `length` bytes that start earlier as well."""
+    return remove(covered_ranges(documents(docs), length, gram), length, gram, ["doc_id"])
+
+
+def whole_characters(kept: Column) -> Column:
+    """The bytes as text. Cut characters become U+FFFD, which goes unless the text holds its own."""
+    text = F.make_valid_utf8(kept.cast("string"))
+    return F.when(F.is_valid_utf8(kept.cast("string")), text).otherwise(F.replace(text, F.lit("\ufffd"), F.lit("")))
+
+
+def dedup_documents(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """The rows of docs, all columns, with the remaining text and (where there is one) its n_chars.
+
+    Unchanged texts stay as they are. Of a character that is removed in part nothing stays.
+    """
+    names = docs.columns
+    hidden = [f"c{k}" for k in range(len(names))]
+    frame = docs.toDF(*hidden)
+    doc_id, text = hidden[names.index("doc_id")], hidden[names.index("text")]
+    rows = frame.select(
+        F.col(doc_id).cast("long").alias("doc_id"),
+        F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+        F.struct(*(c for c in hidden if c != text), F.col(text).isNull().alias("none")).alias("rest"),
+    )
+    cut = remove(covered_ranges(rows, length, gram), length, gram, ["rest"])
+    out = cut.withColumn("new", F.when(~F.col("rest.none"), whole_characters(F.col("kept"))))
+    columns = []
+    for name, c in zip(names, hidden, strict=True):
+        if c == text:
+            columns.append(F.col("new"))
+        elif name == "n_chars":
+            kind = frame.schema[c].dataType
+            columns.append(F.coalesce(F.length("new").cast(kind), F.col(f"rest.{c}")))
+        else:
+            columns.append(F.col(f"rest.{c}"))
+    return out.select(*columns).toDF(*names)
 
 
 ship_with_tasks(__name__)
