@@ -30,7 +30,7 @@ from tarsift.views import FINDING_RULES, view, view_sql
 
 c = F.col
 
-J = "(CASE WHEN json_valid(manifest) THEN manifest ELSE '{}' END)"
+J = "(CASE WHEN json_valid(as_read) THEN as_read ELSE '{}' END)"
 
 
 def j(path: str) -> str:
@@ -44,7 +44,7 @@ def j(path: str) -> str:
         tail=f"""
 SELECT name, version, {j('name')} AS package_name,
        CAST(coalesce(len(json_keys(json_extract({J}, '$.scripts'))), 0) AS INT) AS scripts,
-       json_valid(manifest) AS valid FROM manifests""",
+       json_valid(as_read) AS valid FROM manifests""",
     ),
 )
 def s7(spark, folder):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -29,9 +28,9 @@ KEYS = ["name", "version"]
 
 
 def scratch(spark, label: str) -> str:
-    """A new folder under the shared one; a temporary one where none is set, as in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tarsift-")
-    return f"{checkpoint_folder(spark, shared)}/{label}-{uuid.uuid4().hex}"
+    """A new folder under the shared one; under the warehouse where none is named."""
+    shared = checkpoint_folder(spark, spark.conf.get("spark.sql.warehouse.dir"))
+    return f"{shared}/tarsift-queries/{label}-{uuid.uuid4().hex}"
 
 
 def members(spark, folder, limit=None):
@@ -394,8 +393,13 @@ def q8(spark, folder):
  FROM known k FULL JOIN latest l ON k.name = l.name AND k.version = l.version""",
 )
 def q9(spark, folder):
-    records = qb.latest_versions(documents(spark, folder))
-    merged = qb.upsert_queued(stored_versions(spark, folder), records.unionByName(records))
+    records = qb.latest_versions(documents(spark, folder)).withColumn("queued_at", lit("2024-01-02T00:00:00Z"))
+    # Queued twice before, with other facts: the record queued last counts.
+    earlier = records.withColumns({"queued_at": lit("2024-01-01T00:00:00Z"), "tarball": lit("a"), "shasum": lit("ff")})
+    unknown = records.withColumns({"queued_at": lit(None).cast("string"), "integrity": lit("zz")})
+    merged = qb.upsert_queued(
+        stored_versions(spark, folder), earlier.unionByName(records).unionByName(unknown)
+    )
     return merged.withColumn("published_at", stamp(c("published_at"))).drop("analyzed_at")
 
 
@@ -427,9 +431,9 @@ AT = lambda: lit(MOMENT).cast("timestamp")
     "u1_upsert_packages",
     sql(
         f"""SELECT p.name, p.ecosystem, coalesce(s.a, p.author) AS author, p.description, p.dependents,
- CASE WHEN s.name IS NOT NULL THEN '{MOMENT}' ELSE '2001-08-01 00:00:00' END AS last_seen
+ CASE WHEN s.name IS NOT NULL THEN '{MOMENT}' ELSE '2001-08-01 00:00:00' END AS last_seen, '1999-01-01 00:00:00' AS created_at
  FROM packages p LEFT JOIN (SELECT name, max(CASE WHEN status = 'queued' THEN 'New Author' END) AS a FROM versions GROUP BY name) s ON p.name = s.name
- UNION ALL SELECT DISTINCT concat(name, '-new'), 'npm', NULL, 'fresh', NULL, '{MOMENT}' FROM versions"""
+ UNION ALL SELECT DISTINCT concat(name, '-new'), 'npm', NULL, 'fresh', NULL, '{MOMENT}', '{MOMENT}' FROM versions"""
     ),
 )
 def u1(spark, folder):
@@ -444,8 +448,9 @@ def u1(spark, folder):
         F.concat("name", lit("-new")).alias("name"), "version", text(None).alias("author"),
         text("fresh\x00").alias("description"),
     )
-    merged = merge.upsert_packages(t.packages, known.unionByName(new), AT())
-    return merged.withColumn("last_seen", stamp(c("last_seen")))
+    stored = t.packages.withColumn("created_at", lit("1999-01-01 00:00:00").cast("timestamp"))
+    merged = merge.upsert_packages(stored, known.unionByName(new), AT())
+    return merged.withColumns({"last_seen": stamp(c("last_seen")), "created_at": stamp(c("created_at"))})
 
 
 @query(

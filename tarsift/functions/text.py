@@ -28,6 +28,41 @@ def byte_text(content: Column) -> Column:
     return F.decode(content, "ISO-8859-1")
 
 
+def byte_literal(value: str) -> str:
+    """A text as it stands in the byte reading of a file."""
+    return value.encode().decode("latin-1")
+
+
+def byte_pattern(pattern: str, nocase: bool = False) -> str:
+    """A regular expression for the byte reading of a file.
+
+    A non-ASCII character becomes the bytes it is stored as, in one group so that what follows
+    applies to all of them; without regard to case, either of its two forms. A set of
+    characters is one byte wide in that reading, so one that names non-ASCII characters is
+    refused, and so is one of them after a backslash.
+    """
+    if pattern.isascii():
+        return pattern
+    out, escaped, inside = [], False, False
+    for char in pattern:
+        if char.isascii():
+            out.append(char)
+            if escaped:
+                escaped = False
+            elif char == "\\":
+                escaped = True
+            elif char == "[":
+                inside = True
+            elif char == "]":
+                inside = False
+            continue
+        if escaped or inside:
+            raise ValueError(f"no byte pattern for {char!r} in {pattern!r}")
+        forms = {char.lower(), char.upper()} if nocase else {char}
+        out.append("(?:" + "|".join(re.escape(byte_literal(f)) for f in sorted(forms)) + ")")
+    return "".join(out)
+
+
 def clean_text(content: Column) -> Column:
     """Binary content as UTF-8 text, invalid bytes dropped."""
     return F.replace(F.make_valid_utf8(content.cast("string")), F.lit(REPLACEMENT), F.lit(""))

@@ -15,14 +15,22 @@ from tarsift.functions import text as tx
 
 c, lit = F.col, F.lit
 KEYS = ["name", "version"]
+# The number words some JSON readers take, where a value stands.
+NOT_A_NUMBER = r"([:\[,]\s*)(?:NaN|-?Infinity)(?=\s*[,}\]])"
 
 
 def valid_json(manifest: Column) -> Column:
-    """The manifest text where it is one JSON object, else '{}': a broken manifest counts
-    as an empty one and the scan goes on."""
+    """The manifest where it is one JSON object, else '{}': a broken manifest counts as an
+    empty one and the scan goes on.
+
+    As readers of manifests do, of a repeated key the last value counts (the session allows
+    them, see ``session.REQUIRED``), and NaN and Infinity are no error: they read as null.
+    """
     text = F.regexp_replace(manifest, r"^\s+|\s+$", "")
     whole = F.startswith(text, lit("{")) & F.endswith(text, lit("}"))
-    return F.when(whole & F.try_parse_json(text).isNotNull(), text).otherwise(lit("{}"))
+    numbered = F.regexp_replace(text, NOT_A_NUMBER, "$1null")
+    document = F.coalesce(F.try_parse_json(text), F.try_parse_json(numbered))
+    return tx.let(document, lambda d: F.when(whole & d.isNotNull(), F.to_json(d)).otherwise(lit("{}")))
 
 
 def parse_manifests(manifests: DataFrame) -> DataFrame:

@@ -137,8 +137,11 @@ def upsert_queued(versions: DataFrame, records: DataFrame) -> DataFrame:
     """Versions with the records merged in: new ones are 'queued'; known ones get the
     archive's data refreshed and keep their status."""
     facts = F.struct("tarball", "integrity", "shasum", "published_at")
-    # A version may be queued many times; an aggregate keeps one record per task first.
-    once = records.groupBy(*KEYS).agg(F.min_by(facts, facts).alias("r"))
+    # A version may be queued many times; an aggregate keeps one record per task first. The
+    # record queued last counts; of records queued together the greater, which a missing
+    # value never is.
+    queued_at = c("queued_at").cast("timestamp") if "queued_at" in records.columns else lit(None)
+    once = records.groupBy(*KEYS).agg(F.max_by(facts, F.struct(queued_at, facts)).alias("r"))
     fresh = once.select(
         *KEYS,
         c("r.tarball").alias("new_tarball_url"),

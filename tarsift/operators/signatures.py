@@ -36,7 +36,11 @@ class SignatureString:
 
     @property
     def pattern(self) -> str:
-        body = self.value if self.is_regex else re.escape(self.value)
+        if self.is_regex:
+            body = tx.byte_pattern(self.value, self.nocase)
+        else:
+            plain = [re.escape(char) if char.isascii() else char for char in self.value]
+            body = tx.byte_pattern("".join(plain), self.nocase)
         return ("(?i)" if self.nocase else "") + body
 
 
@@ -62,8 +66,11 @@ def severity_of_tags(tags: Column) -> Column:
 
 
 def _occurs(string: SignatureString) -> Column:
-    if string.is_regex:
+    # The lower-cased byte reading is that of ASCII text only.
+    if string.is_regex or (string.nocase and not string.value.isascii()):
         return c("body").rlike(string.pattern)
+    if not string.value.isascii():
+        return F.contains(c("body"), lit(tx.byte_literal(string.value)))
     text, value = (c("low"), string.value.lower()) if string.nocase else (c("body"), string.value)
     return F.contains(text, lit(value))
 

@@ -36,9 +36,8 @@ def user_rows(specs: list[RuleSpec]) -> Column:
     """array<struct<rule, severity, details>> over ``body``."""
 
     def row(spec: RuleSpec) -> Column:
-        found = tx.all_matches(
-            F.col("body"), spec.pattern, F.col("suffix").isin(*spec.suffixes)
-        )
+        pattern = tx.byte_pattern(spec.pattern, nocase="(?i)" in spec.pattern)
+        found = tx.all_matches(F.col("body"), pattern, F.col("suffix").isin(*spec.suffixes))
         return tx.let(found, lambda matches: of(spec, matches))
 
     def of(spec: RuleSpec, matches: Column) -> Column:

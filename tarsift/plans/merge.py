@@ -22,14 +22,19 @@ def upsert_packages(packages: DataFrame, scanned: DataFrame, at: Column) -> Data
     merged = packages.join(facts.withColumn("seen", lit(True)), "name", "full_outer")
     untouched = [
         col for col in packages.columns
-        if col not in ("name", "ecosystem", "author", "description", "last_seen")
+        if col not in ("name", "ecosystem", "author", "description", "last_seen", "created_at")
     ]
+    created = []
+    if "created_at" in packages.columns:
+        new = F.when(c("ecosystem").isNull(), at)
+        created = [F.coalesce("created_at", new).alias("created_at")]
     return merged.select(
         "name",
         F.coalesce("ecosystem", lit("npm")).alias("ecosystem"),
         F.coalesce("new_author", "author").alias("author"),
         F.coalesce("new_description", "description").alias("description"),
         F.when(c("seen"), at).otherwise(c("last_seen")).alias("last_seen"),
+        *created,
         *untouched,
     )
 

@@ -7,8 +7,12 @@ import sys
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
-# Correctness-relevant: timestamps in the stored tables are UTC.
-REQUIRED = {"spark.sql.session.timeZone": "UTC"}
+# Correctness-relevant: timestamps in the stored tables are UTC; of a key that a manifest
+# repeats the last value counts, where Spark would refuse the document.
+REQUIRED = {
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.variant.allowDuplicateKeys": "true",
+}
 
 # Worth having on any cluster; a value the deployment already chose is kept.
 RECOMMENDED = {

@@ -101,7 +101,13 @@ SELECT doc_id AS file_id, concat('bin-', source) AS name, '1.0.0' AS version,
 FROM {documents}
 """
 
+# as_read is what a reader makes of the manifest: of repeated keys the last, NaN as null.
 MANIFESTS = """
+SELECT c_custkey, name, version, as_read,
+       CASE c_custkey % 3
+         WHEN 1 THEN concat('{"name":"earlier",', CASE WHEN as_read LIKE '%"scripts"%' THEN '"scripts":{},' ELSE '' END, substring(as_read, 2))
+         WHEN 2 THEN concat('{"size":NaN,"least":[-Infinity, 1],', substring(as_read, 2)) ELSE as_read END AS manifest
+FROM (
 SELECT c_custkey, concat('pkg-', CAST(c_custkey AS VARCHAR(20))) AS name, '1.0.0' AS version,
        concat('{"name":"pkg-', CAST(c_custkey AS VARCHAR(20)), '","version":"1.0.0"',
          CASE c_custkey % 8
@@ -114,8 +120,8 @@ SELECT c_custkey, concat('pkg-', CAST(c_custkey AS VARCHAR(20))) AS name, '1.0.0
            WHEN 6 THEN ',"author":{"name":"Kim","url":"https://kim.example"},"repository":{"type":"git","url":"https://github.com/k/m"},"homepage":"https://kim.example/home"'
            ELSE ',"author":[{"email":"a@b.example"},{"name":"Bo"}],"description":"  a tool "'
          END,
-         CASE c_custkey % 16 WHEN 15 THEN '' ELSE '}' END) AS manifest
-FROM {customer}
+         CASE c_custkey % 16 WHEN 15 THEN '' ELSE '}' END) AS as_read
+FROM {customer}) q
 """
 
 _POPULAR = "lodash express react vue webpack chalk typescript moment axios eslint".split()

@@ -12,11 +12,9 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1] / "tools"))
 from check_queries import compare, connect  # noqa: E402
 
 import __spark_entry__ as entry_module  # noqa: E402
+from tarsift.catalog import ORACLES, QUERIES  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-# Checked at full length by the tool; here the worker and store tests cover them.
-SLOW = {"e1_batch_scan", "st1_analyse_worker", "u_store_merge"}
-
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no driver tables here")
 
 
@@ -25,14 +23,16 @@ def db():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", [n for n in entry_module.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", QUERIES)
 def test_query(spark, db, name):
     ok, message, _ = compare(spark, db, FOLDER, name)
     assert ok, message
 
 
 def test_every_query_is_checked():
-    assert set(entry_module.oracle_sql()) == set(entry_module.queries())
+    assert set(ORACLES) == set(QUERIES)
+    assert set(QUERIES) <= set(entry_module.queries())
+    assert set(ORACLES) <= set(entry_module.oracle_sql())
 
 
 def test_entry(spark):
