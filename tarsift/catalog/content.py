@@ -263,7 +263,7 @@ def c11(spark, folder):
     return frames[0].unionByName(frames[1])
 
 
-_BLOBS = "list_slice(regexp_extract_all(content, '[A-Za-z0-9+/]{120,}={0,2}'), 1, 3)"
+_BLOBS = "regexp_extract_all(content, '[A-Za-z0-9+/]{120,}={0,2}')"
 
 
 @query(

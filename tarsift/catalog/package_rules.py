@@ -609,6 +609,14 @@ SIGNATURES = [
         tags=("suspicious", "script"),
     ),
     Signature("Long_Run", (SignatureString("$r", "QkQkQkQk"),), tags=("encoded",)),
+    Signature(
+        "Accented",
+        (
+            SignatureString("$p", "ción "),
+            SignatureString("$n", "ÈLE", nocase=True),
+            SignatureString("$x", r"ß[a-z]+", is_regex=True),
+        ),
+    ),
 ]
 _SIG = {
     "Exfil_Post": ("high", "content LIKE '%post(%' AND lower(content) LIKE '%https://discord%'",
@@ -618,6 +626,9 @@ _SIG = {
                      "len(regexp_extract_all(content, '\\beval \\(|child_process\\.\\w+'))",
                      "regexp_extract(content, '\\beval \\(|child_process\\.\\w+')"),
     "Long_Run": ("low", "content LIKE '%QkQkQkQk%'", "len(regexp_extract_all(content, 'QkQkQkQk'))", "'QkQkQkQk'"),
+    "Accented": ("low", "regexp_matches(content, 'ción |(?i:èle)|ß[a-z]+')",
+                 "len(regexp_extract_all(content, 'ción ')) + len(regexp_extract_all(content, '(?i)èle')) + len(regexp_extract_all(content, 'ß[a-z]+'))",
+                 "regexp_extract(content, 'ción |(?i:èle)|ß[a-z]+')"),
 }
 _SIG_SQL = " UNION ALL ".join(
     f"""SELECT name, version, path, '{rule}' AS yara_rule, '{severity}' AS severity, strlen(content) AS file_size_bytes,
@@ -703,6 +714,7 @@ def y4(spark, folder):
 RULE_SPECS = [
     RuleSpec("axios_call", "high", r"(?i)axios\s*\(", weight=6, explanation="calls axios"),
     RuleSpec("flask_app", "medium", r"(?i)flask", weight=3, suffixes=(".py",)),
+    RuleSpec("accent", "low", r"(?i)É[a-z]+", weight=1, suffixes=(".js",)),
 ]
 
 
@@ -714,7 +726,9 @@ RULE_SPECS = [
 SELECT name, version, path, 'axios_call' AS rule, 'high' AS severity, CAST(len(regexp_extract_all(content, '(?i)axios\\s*\\(')) AS INT) AS match_count, 6 AS weight
 FROM files WHERE {CODE} AND regexp_matches(content, '(?i)axios\\s*\\(')
 UNION ALL SELECT name, version, path, 'flask_app', 'medium', CAST(len(regexp_extract_all(content, '(?i)flask')) AS INT), 3
-FROM files WHERE suffix = '.py' AND regexp_matches(content, '(?i)flask')""",
+FROM files WHERE suffix = '.py' AND regexp_matches(content, '(?i)flask')
+UNION ALL SELECT name, version, path, 'accent', 'low', CAST(len(regexp_extract_all(content, '[Éé][a-zA-Z]+')) AS INT), 1
+FROM files WHERE suffix = '.js' AND regexp_matches(content, '[Éé][a-zA-Z]+')""",
     ),
 )
 def rs1(spark, folder):

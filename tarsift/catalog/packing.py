@@ -40,6 +40,8 @@ def _archive(doc: int, text: str) -> tuple[str, bytes]:
     manifest = f'{{"name":"archive-made-from-document-{doc}"}}'.encode()
     places = {3: [], 4: ["zeta", "alpha"]}.get(kind, ["package"])
     members = [(f"{place}/package.json", manifest) for place in places]
+    if kind == 0:  # replaced by later members of the same paths
+        members = [("package/package.json", b"{}"), ("package/index.js", b"eval (old)"), *members]
     members.append(("package/index.js", data))
     if kind == 2:
         members.append(("../x", b"out"))
@@ -51,6 +53,9 @@ def _archive(doc: int, text: str) -> tuple[str, bytes]:
             ("package/out", tarfile.SYMTYPE, "/etc/passwd"),
             ("package/up", tarfile.LNKTYPE, "../up"),
             ("package/fine", tarfile.SYMTYPE, "index.js"),
+            ("package/hard.js", tarfile.LNKTYPE, "package/index.js"),
+            ("package/lib/soft.js", tarfile.SYMTYPE, "../hard.js"),
+            ("package/gone.js", tarfile.SYMTYPE, "nowhere.js"),
         ]
     buffer = io.BytesIO()
     with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
@@ -81,5 +86,10 @@ m AS (
   UNION ALL SELECT a.*, 'package/package-lock.json', 'file', '{}', NULL FROM a WHERE k = 5
   UNION ALL SELECT a.*, 'package/out', 'symlink', NULL, '/etc/passwd' FROM a WHERE k = 1
   UNION ALL SELECT a.*, 'package/up', 'hardlink', NULL, '../up' FROM a WHERE k = 1
-  UNION ALL SELECT a.*, 'package/fine', 'symlink', NULL, 'index.js' FROM a WHERE k = 1),
+  UNION ALL SELECT a.*, 'package/fine', 'symlink', text, 'index.js' FROM a WHERE k = 1
+  UNION ALL SELECT a.*, 'package/hard.js', 'hardlink', text, 'package/index.js' FROM a WHERE k = 1
+  UNION ALL SELECT a.*, 'package/lib/soft.js', 'symlink', text, '../hard.js' FROM a WHERE k = 1
+  UNION ALL SELECT a.*, 'package/gone.js', 'symlink', NULL, 'nowhere.js' FROM a WHERE k = 1
+  UNION ALL SELECT a.*, 'package/package.json', 'superseded', NULL, NULL FROM a WHERE k = 0
+  UNION ALL SELECT a.*, 'package/index.js', 'superseded', NULL, NULL FROM a WHERE k = 0),
 o AS (SELECT * FROM m WHERE k <> 2)"""

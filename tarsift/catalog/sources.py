@@ -61,7 +61,7 @@ def s2(spark, folder):
 @query(
     "s3_extraction_limit",
     f"""WITH {BASE_SQL} SELECT name, version, 'extraction_limit_exceeded' AS rule, 'low' AS severity, archive AS path, 3000 AS max_extract_bytes
- FROM m WHERE kind = 'file' GROUP BY name, version, archive HAVING sum(strlen(content)) > 3000""",
+ FROM m WHERE kind = 'file' GROUP BY name, version, archive HAVING sum(strlen(content)) + CASE WHEN any_value(k) = 0 THEN 12 ELSE 0 END > 3000""",
 )
 def s3(spark, folder):
     return ar.extraction_limit_findings(members(spark, folder, 3000), 3000).drop("explanation")
@@ -88,7 +88,7 @@ def s5(spark, folder):
 
 @query(
     "s6_manifest_pick",
-    f"WITH {BASE_SQL} SELECT name, version, min(path) AS path, any_value(content) AS manifest FROM o WHERE path LIKE '%/package.json' GROUP BY name, version",
+    f"WITH {BASE_SQL} SELECT name, version, min(path) AS path, any_value(content) AS manifest FROM o WHERE path LIKE '%/package.json' AND kind = 'file' GROUP BY name, version",
 )
 def s6(spark, folder):
     return ar.pick_manifests(members(spark, folder))
@@ -103,12 +103,12 @@ def s6_none(spark, folder):
 
 
 _SCAN_SQL = f"""WITH {BASE_SQL},
-t AS (SELECT name, version, {_TECHNIQUES} AS techniques FROM o WHERE k <> 3 AND path = 'package/index.js' AND strlen(content) > 1000),
+t AS (SELECT name, version, {_TECHNIQUES} AS techniques FROM o WHERE k <> 3 AND path LIKE '%.js' AND strlen(content) > 1000),
 w AS (
   SELECT name, version, 'advanced_obfuscation' AS rule, CASE WHEN len(techniques) >= 3 THEN 5 ELSE 3 END AS weight FROM t WHERE len(techniques) > 0
   UNION ALL SELECT name, version, 'npmrc_present', 4 FROM a WHERE k = 5
   UNION ALL SELECT name, version, 'lockfile_present', 1 FROM a WHERE k = 5
-  UNION ALL SELECT name, version, 'symlink_escape', 0 FROM a, range(2) WHERE k = 1
+  UNION ALL SELECT name, version, 'symlink_escape', 0 FROM a, range(3) WHERE k = 1
   UNION ALL SELECT name, version, 'no_package_json', 0 FROM a WHERE k = 3),
 s AS (SELECT a.name, a.version, CAST(coalesce(sum(weight), 0) AS INT) AS score, count(rule) AS findings
       FROM a LEFT JOIN w ON a.name = w.name AND a.version = w.version WHERE k NOT IN (2, 6) GROUP BY a.name, a.version)

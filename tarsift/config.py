@@ -23,8 +23,10 @@ class ScanConfig:
     signature_max_mb: int = 999_999
     big_js_bytes: int = fv.BIG_JS_BYTES
     high_entropy: float = fv.HIGH_ENTROPY
-    # The entropy rule is defined on the head of a file; None measures the whole file.
-    entropy_sample_bytes: int | None = fv.ENTROPY_SAMPLE_BYTES
+    # None measures whole files; a number only so many bytes of their heads.
+    entropy_sample_bytes: int | None = None
+    # None reports every long base64 run of a file; a number only the first ones.
+    max_blobs: int | None = None
     # True gives the documented downgrade of plain build hooks; the default keeps the
     # shipped behaviour, in which it never applies.
     strict_benign: bool = False

@@ -58,7 +58,7 @@ def byte_pattern(pattern: str, nocase: bool = False) -> str:
             continue
         if escaped or inside:
             raise ValueError(f"no byte pattern for {char!r} in {pattern!r}")
-        forms = {char.lower(), char.upper()} if nocase else {char}
+        forms = {f for f in (char, char.lower(), char.upper()) if len(f) == 1} if nocase else {char}
         out.append("(?:" + "|".join(re.escape(byte_literal(f)) for f in sorted(forms)) + ")")
     return "".join(out)
 

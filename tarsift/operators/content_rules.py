@@ -182,18 +182,23 @@ def _long_line_location(config: ScanConfig) -> Column:
     )
 
 
+def entropy_wanted(config: ScanConfig) -> Column:
+    return is_code(config) & (c("size") > fv.ENTROPY_MIN_BYTES)
+
+
 def _entropy_input(config: ScanConfig) -> Column:
     data = c("content")
     if config.entropy_sample_bytes is not None:
         data = F.substring(data, lit(1), lit(config.entropy_sample_bytes))
-    return byte_entropy(F.when(is_code(config) & (c("size") > fv.ENTROPY_MIN_BYTES), data))
+    return byte_entropy(F.when(entropy_wanted(config), data))
 
 
 def _base64_blobs(config: ScanConfig) -> Column:
     # A run holds no space, so a file without a long word has none.
     long_word = F.exists(F.split(c("body"), " "), lambda word: F.length(word) >= 120)
     gate = is_code(config) & (c("size") >= 120) & long_word
-    return F.slice(tx.all_matches(c("body"), fv.BASE64_RUN, gate), 1, 3)
+    found = tx.all_matches(c("body"), fv.BASE64_RUN, gate)
+    return found if config.max_blobs is None else F.slice(found, 1, config.max_blobs)
 
 
 def _hex_runs(config: ScanConfig) -> Column:
@@ -323,9 +328,10 @@ FEATURES: dict[str, Feature | Located] = {
     "env_locations": Feature(4, _env_locations),
     "long_line_at": Feature(2, _long_line_at),
     "long_line_location": Feature(3, _long_line_location),
-    "entropy": Feature(2, _entropy_input),
+    # Before there are texts: rows that wait for Python carry the content alone.
+    "entropy": Feature(0, _entropy_input),
     "blobs": Feature(2, _base64_blobs),
-    "blob_locations": Located(fv.BASE64_RUN, "blobs", count=3),
+    "blob_locations": Located(fv.BASE64_RUN, "blobs", count=None),
     "spawns": Feature(2, _found(fv.CHILD_PROCESS, "child_process")),
     "spawn_calls": Feature(2, _found(fv.CHILD_PROCESS, "child_process", group=1)),
     "spawn_locations": Located(fv.CHILD_PROCESS, "spawns", "spawn_calls"),

@@ -30,7 +30,7 @@ class Feature:
 
 @dataclass(frozen=True)
 class Located:
-    """Locations of the first ``count`` matches of a pattern in the file's bytes.
+    """Locations of the first ``count`` matches of a pattern in the file's bytes; None: of all.
 
     ``matches`` and ``shown`` name features: the matches, and what to show of each.
     ``in_context`` says that the pattern looks at what surrounds a match.
@@ -39,7 +39,7 @@ class Located:
     pattern: str
     matches: str
     shown: str | None = None
-    count: int = 5
+    count: int | None = 5
     in_context: bool = False
 
 
@@ -105,16 +105,17 @@ def _locations_of(located: list[Located]) -> Column:
     """One array of locations per entry, all of them from a single expression."""
 
     def input_of(item: Located) -> Column:
-        found = F.slice(F.col(item.matches), 1, item.count)
+        first = lambda values: values if item.count is None else F.slice(values, 1, item.count)
+        found = first(F.col(item.matches))
         if item.in_context:
-            gaps = F.split(F.col("body"), item.pattern, item.count + 1)
+            gaps = F.split(F.col("body"), item.pattern, -1 if item.count is None else item.count + 1)
         else:
             gaps = tx.gaps_by_text(F.col("body"), found)
         return F.when(
             tx.has(F.col(item.matches)),
             F.struct(
                 found.alias("found"),
-                F.slice(F.col(item.shown or item.matches), 1, item.count).alias("shown"),
+                first(F.col(item.shown or item.matches)).alias("shown"),
                 gaps.alias("between"),
             ),
         )

@@ -16,9 +16,6 @@ from tarsift import fixed_values as fv
 
 c, lit = F.col, F.lit
 
-# A protected list longer than this belongs in the permutation join.
-MAX_INLINE_NAMES = 1000
-
 
 def bare_name(name: Column) -> Column:
     """``@scope/name`` -> ``name``, ``@x`` -> ``x``."""
@@ -39,8 +36,6 @@ def allowed_distance(target: Column) -> Column:
 
 
 def _protected(names: list[str]) -> Column:
-    if len(names) > MAX_INLINE_NAMES:
-        raise ValueError("too many names to compare inline: join their permutations instead")
     # One literal, folded to an array once per query.
     return F.split(lit("\n".join(names)), "\n")
 

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tarsift.config import ScanConfig
 from tarsift.functions import text as tx
 from tarsift.operators import manifests as mf
-from tarsift.operators.content_rules import FEATURES, RULES
-from tarsift.operators.file_rules import as_found, with_found
+from tarsift.operators.content_rules import FEATURES, RULES, entropy_wanted
+from tarsift.operators.file_rules import Feature, as_found, with_found
 from tarsift.operators.findings import to_findings, union_findings
 from tarsift.operators.scoring import cross_rule_findings, score_versions
 from tarsift.operators.signatures import Signature, signature_rows
@@ -54,12 +54,13 @@ def scan_members(
     manifest text."""
     config = config or ScanConfig()
     base_name = F.substring_index("path", "/", -1)
-    is_file = c("kind") == "file"
+    is_file = ar.is_content()
     manifest = F.when(is_file & (base_name == "package.json"), tx.clean_text(c("content")))
     # Only files of archives with a manifest are scanned; without a suffix no rule applies.
     suffix = F.when(is_file & c("has_manifest"), tx.suffix_of(c("path")))
     base = members.withColumns(
         {
+            "is_file": is_file,
             "manifest": manifest,
             "suffix": suffix,
             "content": F.when(suffix.isNotNull(), c("content")),
@@ -70,7 +71,12 @@ def scan_members(
         more.append(F.transform(signature_rows(signatures, config), as_found))
     if rules:
         more.append(F.transform(user_rows(rules), as_found))
-    return with_found(base, RULES.values(), FEATURES, config, more)
+    features = dict(FEATURES)
+    base = base.withColumnRenamed("entropy", "measured_entropy")
+    if "entropy" in members.columns and config.entropy_sample_bytes is None:
+        # Measured where the archive was unpacked: no Python stage in the scan.
+        features["entropy"] = Feature(2, lambda config: F.when(entropy_wanted(config), c("measured_entropy")))
+    return with_found(base, RULES.values(), features, config, more).drop("measured_entropy")
 
 
 def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
@@ -112,7 +118,7 @@ def findings_of_facts(
     """All findings of a scan: of files, manifests, packaging and their combinations."""
     config = config or ScanConfig()
     facts = facts.filter(c("name").isNotNull() & c("version").isNotNull())
-    packaged = facts.filter(c("has_manifest") & (c("kind") == "file")).select(*KEYS, "path")
+    packaged = facts.filter(c("has_manifest") & c("is_file")).select(*KEYS, "path")
     in_files = facts.select(*KEYS, "path", F.inline(F.array_compact("found"))).select(
         *KEYS, "rule", "severity", c("path").alias("file_path"), "details"
     )

@@ -10,7 +10,7 @@ archive is accepted at all, and contents then leave in batches of a fixed byte s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
@@ -40,31 +40,38 @@ def read_archives(
     max_extract_bytes: int | None = None,
     large_bytes: int = LARGE_ARCHIVE_BYTES,
 ) -> DataFrame:
-    """Members of all archives under a folder.
-
-    Members of ordinary archives stay in the task that unpacked them. Those of a large
-    archive are spread over the cluster before anything scans them, so that one huge
-    archive does not keep one task busy with all rules.
-    """
-    archives = archive_files(spark, path)
-    ordinary = extract_members(archives.filter(c("length") <= large_bytes), max_extract_bytes)
-    large = extract_members(archives.filter(c("length") > large_bytes), max_extract_bytes)
-    return ordinary.unionByName(large.repartition("archive", "ordinal"))
+    """Members of all archives under a folder."""
+    return extract_members(archive_files(spark, path), max_extract_bytes, large_bytes)
 
 
-def extract_members(archives: DataFrame, max_extract_bytes: int | None = None) -> DataFrame:
-    """One row per archive member, for a frame of (path, content) or of (path) alone; then
-    each task opens the archives it was given.
+def extract_members(
+    archives: DataFrame,
+    max_extract_bytes: int | None = None,
+    large_bytes: int = LARGE_ARCHIVE_BYTES,
+) -> DataFrame:
+    """One row per archive member, for a frame of (path, content), best with their length.
 
     ``status`` says what became of the archive. Of one that is not "ok" only a single
     row without content remains, so nothing in it is scanned; so it is with an archive
     that has no members. The members of an accepted
-    archive are regular files ("file"), links ("symlink", "hardlink") and the rest.
+    archive are regular files ("file"), links ("symlink", "hardlink") and the rest. They are
+    what extraction leaves: of several members of one path the last counts, the others are
+    "superseded" and without content, and a link to a file of the archive has its content.
+
+    Members of a large archive are spread over the cluster before anything scans them, so
+    that one huge archive does not keep one task busy with all rules.
     """
     limit = max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
 
     columns = ["path", "content"] if "content" in archives.columns else ["path"]
-    rows = archives.select(*columns).mapInPandas(unpacker(limit), MEMBER_SCHEMA)
+    unpacked = lambda some: some.select(*columns).mapInPandas(unpacker(limit), MEMBER_SCHEMA)
+    if "length" in archives.columns:
+        large = archives.filter(c("length") > large_bytes)
+        rows = unpacked(archives.filter(c("length") <= large_bytes)).unionByName(
+            unpacked(large).repartition("archive", "ordinal")
+        )
+    else:
+        rows = unpacked(archives)
     name, version = name_and_version(c("archive"))
     return rows.select(name.alias("name"), version.alias("version"), "*")
 
@@ -98,9 +105,15 @@ def storage_key(name, version):
 # --- tables derived from the members ----------------------------------------------------
 
 
+def is_content() -> Column:
+    """Members that are files once the archive is extracted: files, and links to files in it."""
+    link = c("kind").isin("symlink", "hardlink") & c("content").isNotNull()
+    return (c("kind") == "file") | link
+
+
 def regular_files(members: DataFrame) -> DataFrame:
     """The files to scan. An archive without a manifest is not scanned further."""
-    kept = members.filter((c("kind") == "file") & c("has_manifest"))
+    kept = members.filter(is_content() & c("has_manifest"))
     return kept.select(
         "name", "version", "path", tx.suffix_of(c("path")).alias("suffix"), "size", "content"
     )
@@ -112,7 +125,7 @@ def pick_manifests(members: DataFrame) -> DataFrame:
     Only manifest files take part, and each task first keeps its own best one.
     """
     base = F.substring_index("path", "/", -1)
-    found = members.filter((c("kind") == "file") & (base == "package.json"))
+    found = members.filter(is_content() & (base == "package.json"))
     found = found.filter(c("name").isNotNull())
     order = F.struct(c("path") != "package/package.json", c("path"))
     best = F.min_by(F.struct("path", "content"), order)

@@ -13,7 +13,8 @@ SIGNATURE_DOCUMENT_SCHEMA = (
     "package struct<name:string,version:string>, scanner string, part int, "
     f"findings array<{FINDING}>, scan_time double"
 )
-# A version with more findings than this gets several documents.
+FACTS = ["rule", "severity", "file_path", "details"]
+# A version gets a document for each so many findings.
 DOCUMENT_FINDINGS = 5000
 
 
@@ -24,24 +25,19 @@ def _parts(findings: DataFrame, size: int) -> DataFrame:
     it needs, so no array and no task has to hold all of them.
     """
     keys = ["name", "version"]
-    sizes = findings.groupBy(*keys).agg(
-        F.ceil(F.count("*") / size).cast("int").alias("parts")
-    )
     item = F.struct("rule", "severity", "file_path", "details")
-    large = sizes.filter(c("parts") > 1)
-    spread = findings.join(large, keys, "left").withColumn(
-        "part",
-        F.when(
-            c("parts").isNotNull(), F.pmod(F.xxhash64("rule", "file_path", "details"), c("parts"))
-        )
-        .otherwise(lit(0))
-        .cast("int"),
+    # Equal findings are counted first, and each of them gets a number, so that they spread too.
+    counted = findings.groupBy(*keys, *FACTS).agg(F.count("*").alias("times"))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("times") / size).cast("int").alias("parts"))
+    numbered = counted.withColumn("nth", F.explode(F.sequence(lit(1), c("times").cast("int"))))
+    spread = numbered.join(sizes, keys).withColumn(
+        "part", F.pmod(F.xxhash64(*FACTS, "nth"), c("parts")).cast("int")
     )
     return spread.groupBy(*keys, "part").agg(F.collect_list(item).alias("findings"))
 
 
 def finding_documents(findings: DataFrame, size: int = DOCUMENT_FINDINGS) -> DataFrame:
-    """{tgz, part, findings[]}: usually one document per version."""
+    """{tgz, part, findings[]}: a document per version and part."""
     from tarsift.sources.archives import archive_name
 
     return _parts(findings, size).select(

@@ -11,13 +11,16 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 
+from tarsift.fixed_values import ENTROPY_MIN_BYTES
+from tarsift.functions.entropy import bits_per_byte
 from tarsift.session import ship_with_tasks
 
 ship_with_tasks(__name__)
 
 MEMBER_SCHEMA = (
     "archive string, archive_bytes bigint, status string, has_manifest boolean, "
-    "ordinal int, path string, kind string, size bigint, linkname string, content binary"
+    "ordinal int, path string, kind string, size bigint, linkname string, entropy double, "
+    "content binary"
 )
 _COLUMNS = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
 
@@ -27,6 +30,9 @@ BATCH_ROWS = 2000
 # An archive that decompresses to no more than this is held decompressed.
 KEPT_BYTES = 32 << 20
 
+# What stands for the members of an archive that has none.
+NO_MEMBER = (None,) * 7
+
 OK, TRAVERSAL, OVER_LIMIT = "ok", "path_traversal", "over_limit"
 UNREADABLE, MISSING = "unreadable", "missing"
 
@@ -75,25 +81,69 @@ def _fetch(path: str) -> bytes | None:
 
 def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tuple]:
     if content is None:
-        yield (path, None, MISSING, False, None, None, None, None, None, None)
+        yield (path, None, MISSING, False, *NO_MEMBER)
         return
     size = len(content)
     opened = _opener(content)
-    status, has_manifest = _verdict(opened, limit)
-    if status != OK:
-        yield (path, size, status, has_manifest, None, None, None, None, None, None)
+    status, has_manifest, heads = _verdict(opened, limit)
+    archive = (path, size, status, has_manifest)
+    if status != OK or not heads:
+        yield (*archive, *NO_MEMBER)
         return
+    current, links = _as_extracted(heads)
     with opened() as tar:
-        ordinal = -1
         for ordinal, member in enumerate(tar):
-            kind = _kind(member)
-            data = tar.extractfile(member).read() if kind == "file" else None
-            yield (
-                path, size, status, has_manifest, ordinal, posixpath.normpath(member.name), kind,
-                member.size if kind == "file" else 0, member.linkname or None, data,
-            )
-    if ordinal < 0:
-        yield (path, size, status, has_manifest, None, None, None, None, None, None)
+            place, kind, linkname = heads[ordinal]
+            if kind != "file" or current[place] != ordinal:
+                if ordinal not in links:
+                    replaced = kind == "file" and current[place] != ordinal
+                    shown = "superseded" if replaced else kind
+                    yield (*archive, ordinal, place, shown, 0, linkname, None, None)
+                if kind != "file":
+                    continue
+            readers = [link for link, target in links.items() if target == ordinal]
+            if current[place] != ordinal and not readers:
+                continue
+            data = tar.extractfile(member).read()
+            measured = bits_per_byte(data) if len(data) > ENTROPY_MIN_BYTES else None
+            if current[place] == ordinal:
+                yield (*archive, ordinal, place, "file", len(data), linkname, measured, data)
+            for link in readers:
+                name, how, target = heads[link]
+                yield (*archive, link, name, how, len(data), target, measured, data)
+
+
+def _as_extracted(heads: list[tuple[str, str, str | None]]) -> tuple[dict[str, int], dict[int, int]]:
+    """What extraction leaves: the last member of each path, and the file each link that leads
+    to a file of the archive gives the content of. A hard link names a member that came before
+    it; a symbolic link is followed in the folder as it is in the end."""
+    current: dict[str, int] = {}
+    links: dict[int, int] = {}
+    for ordinal, (place, kind, linkname) in enumerate(heads):
+        if kind == "hardlink":
+            target = current.get(posixpath.normpath(linkname or ""))
+            if target is not None:
+                target = links.get(target, target)
+                if heads[target][1] == "file":
+                    links[ordinal] = target
+        current[place] = ordinal
+    for place, ordinal in current.items():
+        kind = heads[ordinal][1]
+        seen: set[int] = set()
+        at, where = ordinal, place
+        while kind == "symlink" and at not in seen:
+            seen.add(at)
+            where = posixpath.normpath(posixpath.join(posixpath.dirname(where), heads[at][2] or ""))
+            if where.startswith(("/", "../")) or where not in current:
+                break
+            at = current[where]
+            kind = heads[at][1]
+        if at != ordinal:
+            at = links.get(at, at)
+            if heads[at][1] == "file":
+                links[ordinal] = at
+    # A link that a later member replaced is no file any more.
+    return current, {k: v for k, v in links.items() if current[heads[k][0]] == k}
 
 
 def _opener(content: bytes) -> Callable[[], tarfile.TarFile]:
@@ -110,22 +160,26 @@ def _opener(content: bytes) -> Callable[[], tarfile.TarFile]:
     return lambda: tarfile.open(fileobj=stream(), mode="r|")
 
 
-def _verdict(opened: Callable[[], tarfile.TarFile], limit: int | None) -> tuple[str, bool]:
-    """What becomes of an archive, from its headers in order: the first breach decides."""
-    total, has_manifest = 0, False
+def _verdict(
+    opened: Callable[[], tarfile.TarFile], limit: int | None
+) -> tuple[str, bool, list[tuple[str, str, str | None]]]:
+    """What becomes of an archive, from its headers in order: the first breach decides; and
+    path, kind and link name of its members."""
+    total, has_manifest, heads = 0, False, []
     try:
         with opened() as tar:
             for member in tar:
                 if _escapes(member.name):
-                    return TRAVERSAL, False
+                    return TRAVERSAL, False, []
+                heads.append((posixpath.normpath(member.name), _kind(member), member.linkname or None))
                 if member.isfile():
                     total += member.size
                     if limit is not None and total > limit:
-                        return OVER_LIMIT, False
+                        return OVER_LIMIT, False, []
                     has_manifest |= posixpath.basename(member.name) == "package.json"
     except (tarfile.TarError, EOFError, OSError, zlib.error):
-        return UNREADABLE, False
-    return OK, has_manifest
+        return UNREADABLE, False, []
+    return OK, has_manifest, heads
 
 
 def _escapes(name: str) -> bool:
