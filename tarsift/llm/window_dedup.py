@@ -9,7 +9,7 @@ in both places. So a window cannot be more frequent than that gram, and grams ar
    only ever overestimate. Places whose gram is estimated to occur twice or more are candidates;
    no repeated window is lost. Sketches are sized by what a block receives, so that the rate of
    false candidates does not grow with the data, and no sketch is broadcast.
-3. The windows around candidates are grouped exactly, by a 128-bit hash of their words. All of
+3. The windows around candidates are grouped exactly, by a 96-bit hash of their words. All of
    them but those of the smallest doc_id are removed.
 
 Within a task equal grams and equal windows meet before the shuffle: what a smaller doc_id of
@@ -151,7 +151,7 @@ def windows_of(joined: DataFrame, buckets: int, window: int, gram: int) -> DataF
             marks = batch.column("marks")
             of = np.repeat(np.arange(len(marks)), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             places = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            ids, found = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+            ids, found = batch.column("id").to_numpy(zero_copy_only=False), []
             for a, b in chunks(data, at):
                 w = Windows(data[at[a] : at[b]], at[a : b + 1] - at[a], window, gram)
                 own = slice(*np.searchsorted(of, (a, b)))
@@ -160,7 +160,8 @@ def windows_of(joined: DataFrame, buckets: int, window: int, gram: int) -> DataF
                 flagged[j] = w.grams[j]
                 flagged = sliding(flagged, window - gram + 1, np.minimum, NEVER)
                 i = np.flatnonzero(w.valid & (flagged == w.least))
-                found.append((*w.keys(i, window), w.least[i], ids[a + w.row[i]], w.place[i].astype(np.int32)))
+                h0, h1 = w.keys(i, window)
+                found.append((h0, h1.astype(np.uint32), w.least[i], ids[a + w.row[i]], w.place[i].astype(np.int32)))
             if not found:
                 continue
             h0, h1, anchor, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
@@ -179,7 +180,7 @@ def windows_of(joined: DataFrame, buckets: int, window: int, gram: int) -> DataF
             ["bucket", "kind", "packed"],
         )
 
-    return joined.select("doc_id", "text", "marks").mapInArrow(scan, "bucket int, kind int, packed binary")
+    return joined.select("id", "text", "marks").mapInArrow(scan, "bucket int, kind int, packed binary")
 
 
 def merged(doc: np.ndarray, place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,7 +199,7 @@ def repeated_windows(packed: DataFrame, window: int) -> DataFrame:
     def reduce(table: pa.Table) -> pa.Table:
         kind = np.array(table["kind"].to_pylist())
         blobs = table["packed"].to_pylist()
-        h0, h1, doc, place = unpack([b for b, k in zip(blobs, kind, strict=True) if k == 0], ("u8", "u8", "i8", "i4"))
+        h0, h1, doc, place = unpack([b for b, k in zip(blobs, kind, strict=True) if k == 0], ("u8", "u4", "i8", "i4"))
         order = np.lexsort((doc, h1, h0))
         h0, h1, doc, place = h0[order], h1[order], doc[order], place[order]
         new = runs(h0, h1)
@@ -273,13 +274,19 @@ def dedup_windows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Da
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_list("place").alias("marks"))
     )
-    marked = docs.join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left").drop("of")
+    # Under another name: of a column that keeps its name one of the two plans would lose the
+    # alias, and the exchanges would no longer be equal.
+    texts = keyed.withColumnRenamed("doc_id", "id")
+    marked = texts.join(per_doc.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").drop("of")
     cut = (
         repeated_windows(windows_of(marked.where("marks is not null"), buckets, window, gram), window)
         .groupBy(F.col("doc_id").alias("of"))
         .agg(F.collect_list(F.struct("start", "end")).alias("ranges"))
     )
-    return remove(docs.join(cut.hint("shuffle_hash"), F.col("doc_id") == F.col("of"), "left"))
+    # Both joins are over one exchange of the texts.
+    ranged = marked.join(cut.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").drop("of")
+    ranged = ranged.withColumnRenamed("id", "doc_id")
+    return remove(ranged.unionByName(docs.where("doc_id is null"), allowMissingColumns=True))
 
 
 ship_with_tasks(__name__)
