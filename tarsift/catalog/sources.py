@@ -567,25 +567,35 @@ def u8(spark, folder):
 @query(
     "u_store_merge",
     sql(
-        """SELECT v.name, v.version, s.score, s.label, v.status, count(f.rule) AS findings
+        """SELECT v.name, v.version, s.score, s.label, 'analyzed' AS status, count(f.rule) AS findings
  FROM versions v JOIN scores s ON v.name = s.name AND v.version = s.version LEFT JOIN findings f ON v.name = f.name AND v.version = f.version
- GROUP BY v.name, v.version, s.score, s.label, v.status HAVING v.status = 'analyzed'"""
+ GROUP BY v.name, v.version, s.score, s.label"""
     ),
 )
 def u_store(spark, folder):
-    """Two commits into a store, the second one twice; read back."""
-    t = tables(spark, folder)
+    """All versions in overlapping commits, the last one twice, compacted in between and
+    vacuumed; read back."""
+    # Tables, as a scan leaves them: each is derived once.
+    derived = tables(spark, folder)
     stored = lambda df: written(df, "input", scratch(spark, "store-input"))
-    analysed = stored(t.versions.filter("status = 'analyzed'").select(*KEYS))
-    of = lambda df: stored(df.join(analysed, KEYS, "left_semi"))
-    none = analysed.select(*[c(k) for k in KEYS], *[lit(None).cast("string").alias(a) for a in ("author", "description")])
-    store = Store(spark, scratch(spark, "store"), buckets=4)
-    found, scores = of(t.findings), of(t.scores)
-    first = ScanResult(analysed, found.limit(0), scores, none, analysed)
-    second = ScanResult(analysed, found, scores, none, analysed)
-    store.merge_scan(1, first, AT())
-    store.merge_scan(2, second, AT())
-    store.merge_scan(2, first, AT())
+    all_versions = stored(derived.versions.select(*KEYS).distinct().withColumn("part", F.pmod(F.xxhash64(*KEYS), lit(4))))
+    all_findings, all_scores = stored(derived.findings), stored(derived.scores)
+    store = Store(spark, scratch(spark, "store"))
+
+    def scan(share: str, findings=all_findings, scores=all_scores) -> ScanResult:
+        versions = all_versions.filter(share).select(*KEYS)
+        none = versions.select(*KEYS, *[lit(None).cast("string").alias(a) for a in ("author", "description")])
+        rejects = versions.select(lit("d/x").alias("archive"), *KEYS, lit("unreadable").alias("status")).limit(0)
+        of = lambda df: df.join(versions, KEYS, "left_semi")
+        return ScanResult(versions, of(findings), of(scores), none, rejects)
+
+    nothing, wrong = all_findings.limit(0), all_scores.withColumn("score", lit(-1))
+    store.merge_scan(1, scan("part <= 2", nothing, wrong), AT())
+    store.merge_scan(2, scan("part <= 1"), AT())
+    store.compact()
+    store.vacuum()
+    store.merge_scan(3, scan("part >= 2"), AT())
+    store.merge_scan(3, scan("part >= 0", nothing, wrong), AT())
     counts = store.current("findings").groupBy(*KEYS).agg(F.count("*").alias("findings"))
     versions = store.current("versions").join(store.current("scores"), KEYS).join(counts, KEYS, "left")
     return versions.select(*KEYS, "score", "label", "status", F.coalesce("findings", lit(0)).alias("findings"))
@@ -601,30 +611,65 @@ def landed_queue(spark, folder, label: str) -> str:
     return path
 
 
-@query(
-    "st1_analyse_worker",
-    _SCAN_SQL,
-)
-def st1(spark, folder):
-    """The queue worker over all archives: the same result as the batch scan."""
+def worked_queue(spark, folder):
+    """A worker's store after two deliveries of all archives' messages and of missing ones."""
     packed = archives(spark, folder)
     name, version = ar.name_and_version(c("path"))
     stored = scratch(spark, "archives")
     packed.select(name.alias("name"), version.alias("version"), "path", "content").write.parquet(stored)
     table_of = spark.read.parquet(stored)
-    landed = scratch(spark, "messages")
-    messages = table_of.select(*KEYS, lit("2024-01-01T00:00:00Z").alias("queued_at"))
-    messages.unionByName(messages).write.json(landed)
-    store = Store(spark, scratch(spark, "worker-store"), buckets=4)
-    open_archives = lambda wanted: table_of.join(wanted, KEYS, "left_semi").select("path", "content")
-    writer = worker.analyse_worker(
-        qs.stream_queue(spark, landed), store, open_archives, scratch(spark, "worker-state"),
-        folder=scratch(spark, "worker-shared"),
+    landed, retried = scratch(spark, "messages"), scratch(spark, "retried")
+    messages = table_of.select(
+        *KEYS, lit("2024-01-01T00:00:00Z").alias("queued_at"), F.concat(lit("asked for "), "name").alias("rerun_reason")
     )
-    worker.run_available(writer)
+    missing = messages.filter("name LIKE '%5'").withColumn("version", lit("9.9.9"))
+    messages.unionByName(missing).repartition(3, "version").write.json(landed)
+    store = Store(spark, scratch(spark, "worker-store"))
+    found = lambda wanted: table_of.join(wanted, KEYS, "right").select(
+        F.coalesce("path", ar.archive_path("downloads", c("name"), c("version"))).alias("path"), "content"
+    )
+    state, shared = scratch(spark, "worker-state"), scratch(spark, "worker-shared")
+    for _ in range(2):
+        stream = qs.stream_queue(spark, landed, files_per_batch=2)
+        worker.run_available(worker.analyse_worker(stream, store, found, state, folder=shared, requeue=retried))
+        messages.write.mode("append").json(landed)
+    return store, retried
+
+
+@query("st1_analyse_worker", _SCAN_SQL)
+def st1(spark, folder):
+    """The queue worker over all archives: the same result as the batch scan."""
+    store, _ = worked_queue(spark, folder)
     return _scored(store.current("scores"), store.current("findings"))
 
 
+@query(
+    "st1_rejects",
+    f"WITH {BASE_SQL} SELECT DISTINCT archive, name, version, CASE k WHEN 2 THEN 'path_traversal' ELSE 'unreadable' END AS status, CAST(NULL AS INT) AS attempts FROM a WHERE k IN (2, 6) "
+    "UNION ALL SELECT concat('downloads/', replace(name, '/', '__'), '@9.9.9.tgz'), name, '9.9.9', 'missing', 1 FROM a WHERE name LIKE '%5'",
+)
+def st1_rejects(spark, folder):
+    """What the worker could not scan: stored, and missing archives queued again."""
+    store, retried = worked_queue(spark, folder)
+    again = qs.read_queue(spark, retried).groupBy(*KEYS).agg(F.max("attempts").alias("attempts"))
+    rejects = store.history("rejects").drop("completed_at").distinct()
+    return rejects.join(again, KEYS, "left").select("archive", *KEYS, "status", "attempts")
+
+
+@query(
+    "st1_run_details",
+    f"WITH {BASE_SQL} SELECT name, version, 'queue' AS source, '2024-01-01 00:00:00' AS queued_at, concat('asked for ', name) AS rerun_reason, true AS complete FROM a WHERE k NOT IN (2, 6)",
+)
+def st1_run_details(spark, folder):
+    """What a message said stands in the history of its run."""
+    store, _ = worked_queue(spark, folder)
+    filled = [c(name).isNotNull() for name in ("started_at", "completed_at", "analyzer_version", "config_hash", "findings_s3_key")]
+    complete = filled[0] & filled[1] & filled[2] & filled[3] & filled[4]
+    return store.history("scan_runs").select(
+        *KEYS, "source", stamp(c("queued_at")).alias("queued_at"), "rerun_reason", complete.alias("complete")
+    )
+
+
 @query(
     "st2_fresh_messages",
     view_sql(
@@ -637,7 +682,7 @@ def st2(spark, folder):
     known = view(spark, folder, "queue").select(
         *KEYS, F.when(F.substring("name", 5, 20).cast("int") % 7 == 0, "analyzed").otherwise("queued").alias("status")
     )
-    fresh = worker.fresh_messages(qs.stream_queue(spark, landed), known.distinct(), "400 days")
+    fresh = worker.fresh_messages(qs.stream_queue(spark, landed), known.distinct())
     out = scratch(spark, "st2-out")
     writer = fresh.select(*KEYS).writeStream.format("parquet").option("path", out)
     worker.run_available(writer.option("checkpointLocation", scratch(spark, "st2-state")))
@@ -646,20 +691,20 @@ def st2(spark, folder):
 
 @query(
     "st3_daily_activity",
-    "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS versions FROM events GROUP BY 1",
+    "SELECT strftime(ts, '%Y-%m-%d') AS date, count(*) AS versions, count(DISTINCT user_id) AS packages, "
+    "CAST(sum(event_id % 5) AS BIGINT) AS findings FROM events GROUP BY 1",
 )
 def st3(spark, folder):
     landed = scratch(spark, "st3")
     events = table(spark, folder, "events").select(
-        F.concat(lit("pkg-"), "user_id").alias("name"), c("ts").cast("timestamp").alias("analyzed_at")
+        F.concat(lit("pkg-"), "user_id").alias("name"), c("ts").cast("timestamp").alias("analyzed_at"),
+        (c("event_id") % 5).alias("findings"),
     )
     events.repartition(4, "name").write.parquet(landed)
-    stream = spark.readStream.schema("name string, analyzed_at timestamp").option("maxFilesPerTrigger", 2).parquet(landed)
+    stream = spark.readStream.schema("name string, analyzed_at timestamp, findings bigint").option("maxFilesPerTrigger", 2).parquet(landed)
     out = scratch(spark, "st3-out")
-    daily = worker.daily_activity(stream, "400 days")
-    worker.run_available(worker.write_updates(daily, out, scratch(spark, "st3-state")))
-    latest = worker.latest_by_key(spark, out, "date", "batch")
-    return latest.select(c("date").cast("string").alias("date"), "versions")
+    worker.run_available(worker.write_updates(worker.daily_activity(stream), out, scratch(spark, "st3-state")))
+    return worker.daily_totals(spark, out).withColumn("date", c("date").cast("string"))
 
 
 @query(

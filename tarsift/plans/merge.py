@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tarsift.functions.timestamps import parse_timestamp
 from tarsift.operators.manifests import clean
 from tarsift.operators.scoring import severity_counts
 
@@ -78,25 +79,44 @@ def sanitized(findings: DataFrame) -> DataFrame:
     )
 
 
-RUN_COLUMNS = [
-    "name", "version", "source", "queued_at", "started_at", "completed_at",
-    "analyzer_version", "config_hash", "score", "label", "high_count", "medium_count",
-    "low_count", "findings_s3_key", "rerun_reason", "requested_by",
-]
+RUN_SCHEMA = (
+    "name string, version string, source string, queued_at timestamp, started_at timestamp, "
+    "completed_at timestamp, analyzer_version string, config_hash string, score int, label string, "
+    "high_count bigint, medium_count bigint, low_count bigint, findings_s3_key string, "
+    "rerun_reason string, requested_by string"
+)
+RUN_COLUMNS = [part.split()[0] for part in RUN_SCHEMA.split(", ")]
+RUN_DETAILS = ("source", "queued_at", "started_at", "analyzer_version", "config_hash",
+               "findings_s3_key", "rerun_reason", "requested_by")
 
 
 def scan_run_rows(
-    scores: DataFrame, findings: DataFrame, completed_at: Column, **details: Column | str | None
+    scores: DataFrame,
+    findings: DataFrame,
+    completed_at: Column,
+    messages: DataFrame | None = None,
+    **details: Column | str | None,
 ) -> DataFrame:
-    """A history row per scored version, with its severity counts."""
+    """A history row per scored version, with its severity counts.
+
+    What the version's message says (``messages``, a row per version at most) comes before
+    what holds for the whole run (``details``).
+    """
     counts = severity_counts(findings)
     rows = scores.join(counts, KEYS, "left").withColumn("completed_at", completed_at)
-    for name in ("source", "queued_at", "started_at", "analyzer_version", "config_hash",
-                 "findings_s3_key", "rerun_reason", "requested_by"):
+    said = [name for name in RUN_DETAILS if messages is not None and name in messages.columns]
+    if said:
+        rows = rows.join(messages.select(*KEYS, *[c(name).alias(f"of_{name}") for name in said]), KEYS, "left")
+    for name in RUN_DETAILS:
         value = details.get(name)
-        kind = "timestamp" if name.endswith("_at") else "string"
         column = value if isinstance(value, Column) else lit(value)
-        rows = rows.withColumn(name, column.cast(kind))
+        if name.endswith("_at"):
+            own = parse_timestamp(c(f"of_{name}").cast("string")) if name in said else lit(None)
+            column = F.coalesce(own.cast("timestamp"), column.cast("timestamp"))
+        else:
+            own = c(f"of_{name}") if name in said else lit(None)
+            column = F.coalesce(own.cast("string"), column.cast("string"))
+        rows = rows.withColumn(name, column)
     for name in ("high_count", "medium_count", "low_count"):
         rows = rows.withColumn(name, F.coalesce(c(name), lit(0)))
     return rows.select(*RUN_COLUMNS)

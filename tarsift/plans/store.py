@@ -1,19 +1,22 @@
-"""Stored tables on plain Parquet, merged by bucket.
+"""Stored tables on plain Parquet: commits append, readers take the latest rows.
 
-There is no table format here, so a merge works on copies: rows live in a fixed number of
-buckets by key, a merge rewrites only the buckets its batch touches, into a folder of its
-own, and one appended log record makes all of it current at once. A reader takes the
-latest folder of every bucket from the log; a failed merge leaves folders nobody reads; a
-merge that is run again under the same id is skipped. Ids count per writer, so a stream
-and a batch job can share a store; the order of commits is the log's own sequence.
+A commit writes the rows of what it touched, and nothing else, into folders of its own, each
+row with the commit's sequence number; one appended log file makes all of it current at once.
+A merge therefore costs what its batch costs, however much is stored. Of a package or version
+the row of the latest commit counts; of findings and scores, the rows of the latest scan of
+their version, which the small ``scans`` table names.
+
+``compact`` writes what is current into one folder per table, after which readers need that
+folder and the commits since; ``vacuum`` removes what nobody reads any more and rolls the log
+up. A failed merge leaves folders nobody reads; a merge that is run again under the same id is
+skipped. Ids count per writer, so a stream and a batch job can share a store.
 
 Merges into one store must not overlap: one writer at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from datetime import datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,7 @@ from tarsift.plans.scan import ScanResult
 
 c, lit = F.col, F.lit
 
+VERSION_KEYS = ["name", "version"]
 SCHEMAS = {
     "packages": (
         "name string, ecosystem string, author string, description string, dependents int, "
@@ -38,23 +42,25 @@ SCHEMAS = {
         "details string"
     ),
     "scores": "name string, version string, score int, label string",
+    # Which versions a commit scanned: of findings and scores the last scan's rows count.
+    "scans": "name string, version string",
+    "scan_runs": merge.RUN_SCHEMA,
+    "scan_run_findings": (
+        "name string, version string, rule string, severity string, file_path string, "
+        "details string, completed_at timestamp"
+    ),
+    "rejects": "archive string, name string, version string, status string, completed_at timestamp",
 }
-# Packages by name; the rest by version, so that a package with very many versions does
-# not fill a bucket alone.
-BUCKET_KEYS = {"packages": ["name"]}
-VERSION_KEYS = ["name", "version"]
-LOG_SCHEMA = (
-    "seq bigint, writer string, commit bigint, table_name string, bucket int, folder string"
-)
+ROW_KEYS = {"packages": ["name"], "versions": VERSION_KEYS, "scans": VERSION_KEYS}
+OF_LAST_SCAN = ("findings", "scores")
+LOG_SCHEMA = "seq bigint, writer string, commit bigint, table_name string, is_base boolean, folder string"
 
 
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     root: str
-    buckets: int = 256
     writer: str = "scan"
-    keys: dict[str, list[str]] = field(default_factory=lambda: dict(BUCKET_KEYS))
 
     # --- reading
 
@@ -62,30 +68,42 @@ class Store:
         path = f"{self.root}/_log"
         if not _exists(self.spark, path):
             return self.spark.createDataFrame([], LOG_SCHEMA)
-        return self.spark.read.schema(LOG_SCHEMA).json(path)
-
-    def current(self, table: str, buckets: list[int] | None = None) -> DataFrame:
-        """The current rows of a table, or of some of its buckets."""
-        log = self.log().filter(c("table_name") == table)
-        if buckets is not None:
-            log = log.filter(c("bucket").isin(*buckets))
-        # One record per bucket: at most as many as the store has buckets.
-        latest = log.groupBy("bucket").agg(F.max_by("folder", "seq").alias("folder"))
-        folders = [row["folder"] for row in latest.collect() if row["folder"]]
-        return self._read(table, folders)
-
-    def _read(self, table: str, folders: list[str]) -> DataFrame:
-        schema = SCHEMAS[table]
+        # A roll-up and what it replaces may both be there for a moment.
+        return self.spark.read.schema(LOG_SCHEMA).json(path).distinct()
+
+    def _folders(self, table: str) -> list[str]:
+        """The latest base and the commits after it: as many as there were since compaction."""
+        rows = self.log().filter((c("table_name") == table) & c("folder").isNotNull()).collect()
+        base = max((r["seq"] for r in rows if r["is_base"]), default=-1)
+        return sorted(r["folder"] for r in rows if r["seq"] > base or (r["is_base"] and r["seq"] == base))
+
+    def _rows(self, table: str, keys: DataFrame | None = None) -> DataFrame:
+        """All stored rows that may still count, with their commit's seq; of some keys only."""
+        schema, folders = f"{SCHEMAS[table]}, seq bigint", self._folders(table)
         if not folders:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*sorted(folders))
+        rows = self.spark.read.schema(schema).parquet(*folders)
+        if keys is None:
+            return rows
+        by = ROW_KEYS.get(table, VERSION_KEYS)
+        return rows.join(keys.select(*by).distinct(), by, "left_semi")
+
+    def current(self, table: str, keys: DataFrame | None = None) -> DataFrame:
+        """The current rows of a table, or those of some keys (a frame that has them)."""
+        return self._current(table, keys).drop("seq")
+
+    def _current(self, table: str, keys: DataFrame | None = None) -> DataFrame:
+        rows = self._rows(table, keys)
+        if table in OF_LAST_SCAN:
+            return rows.join(self._current("scans", keys), [*VERSION_KEYS, "seq"], "left_semi")
+        if table not in ROW_KEYS:
+            return rows
+        whole = F.struct(*rows.columns)
+        return rows.groupBy(*ROW_KEYS[table]).agg(F.max_by(whole, "seq").alias("r")).select("r.*")
 
     def history(self, table: str) -> DataFrame:
         """Appended rows of all recorded commits."""
-        log = self.log().filter(c("table_name") == table)
-        recorded = log.select(_label(c("writer"), c("commit")).alias("commit")).distinct()
-        rows = self.spark.read.parquet(f"{self.root}/{table}")
-        return rows.join(recorded, "commit", "left_semi").drop("commit", "run_date")
+        return self.current(table)
 
     def has_commit(self, commit: int) -> bool:
         mine = (c("writer") == self.writer) & (c("commit") == commit)
@@ -93,77 +111,64 @@ class Store:
 
     # --- writing
 
-    def bucket_of(self, table: str) -> Column:
-        keys = self.keys.get(table, VERSION_KEYS)
-        return F.pmod(F.xxhash64(*keys), lit(self.buckets)).cast("int")
-
-    def touched(self, table: str, changed: DataFrame) -> list[int]:
-        """The buckets of the changed keys: at most as many as the store has."""
-        keys = self.keys.get(table, VERSION_KEYS)
-        found = changed.select(*keys).select(self.bucket_of(table).alias("bucket")).distinct()
-        return sorted(row["bucket"] for row in found.collect())
-
-    def stage(
-        self, commit: int, table: str, changed: DataFrame, merged: Callable[[DataFrame], DataFrame]
-    ) -> list[tuple]:
-        """Rewrite the touched buckets of a table; gives the log records to append."""
-        buckets = self.touched(table, changed)
-        if not buckets:
-            return []
-        names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
-        rows = merged(self.current(table, buckets)).select(*names)
-        folder = f"{self.root}/{table}/commit={self.writer}-{commit}"
-        rows = rows.withColumn("bucket", self.bucket_of(table))
-        # Rebalancing gathers a bucket's rows into few files and splits a heavy bucket.
-        rows.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(folder)
-        stored = self.spark.read.schema("bucket int").parquet(folder).distinct()
-        written = {row["bucket"] for row in stored.collect()}
-        # A bucket that lost all its rows is recorded without a folder.
-        place = lambda b: f"{folder}/bucket={b}" if b in written else None
-        return [(commit, table, b, place(b)) for b in buckets]
-
-    def append(self, commit: int, table: str, rows: DataFrame) -> list[tuple]:
-        dated = rows.withColumn("run_date", F.to_date("completed_at"))
-        path = f"{self.root}/{table}/commit={self.writer}-{commit}"
-        dated.write.mode("overwrite").partitionBy("run_date").parquet(path)
-        return [(commit, table, None, path)]
-
-    def publish(self, records: list[tuple]) -> None:
+    def _write(self, label: str, seq: int, tables: dict[str, DataFrame]) -> list[tuple]:
+        """Rows of a commit, each table in a folder of its own; gives the log's records."""
+        records = []
+        for table, rows in tables.items():
+            names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
+            folder = f"{self.root}/{table}/{label}"
+            rows = rows.select(*names, *([] if "seq" not in rows.columns else ["seq"]))
+            rows = rows if "seq" in rows.columns else rows.withColumn("seq", lit(seq).cast("bigint"))
+            # Few files for a small commit, more for a large one, whatever made the rows.
+            rows.hint("rebalance").write.mode("overwrite").parquet(folder)
+            records.append((table, folder))
+        return records
+
+    def _next(self) -> int:
+        return (self.log().agg(F.max("seq")).first()[0] or 0) + 1
+
+    def _publish(self, seq: int, commit: int | None, records: list[tuple], base: bool = False) -> None:
         """One file, one rename: the commit is visible as a whole or not at all."""
-        last = self.log().agg(F.max("seq")).first()[0] or 0
-        rows = [(last + 1, self.writer, *record) for record in records]
+        rows = [(seq, self.writer, commit, table, base, folder) for table, folder in records]
         log = self.spark.createDataFrame(rows, LOG_SCHEMA)
         log.coalesce(1).write.mode("append").json(f"{self.root}/_log")
 
     # --- merges
 
     def merge_scan(
-        self, commit: int, result: ScanResult, at: Column | None = None, **run_details
+        self,
+        commit: int,
+        result: ScanResult,
+        at: Column | None = None,
+        messages: DataFrame | None = None,
+        **run_details,
     ) -> bool:
-        """Store a scan. False when this commit is already in."""
+        """Store a scan. False when this commit is already in.
+
+        ``messages`` are the queue's messages, a row per version at most: what they say of a
+        run (queued_at, source, rerun_reason, ...) is kept with it.
+        """
         if self.has_commit(commit):
             return False
-        at = _now() if at is None else at
+        at, seq = _now() if at is None else at, self._next()
         scanned = result.versions
         people = scanned.join(result.metadata, VERSION_KEYS, "left")
-        records = self.stage(
-            commit, "packages", scanned, lambda old: merge.upsert_packages(old, people, at)
+        runs = merge.scan_run_rows(result.scores, result.findings, at, messages, **run_details)
+        records = self._write(
+            f"commit={self.writer}-{commit}",
+            seq,
+            {
+                "packages": merge.upsert_packages(self.current("packages", scanned), people, at),
+                "versions": merge.upsert_versions(self.current("versions", scanned), scanned, at),
+                "findings": merge.sanitized(result.findings),
+                "scores": result.scores,
+                "scans": scanned.select(*VERSION_KEYS).distinct(),
+                "scan_runs": runs,
+                "scan_run_findings": merge.scan_run_findings(result.findings, at),
+                "rejects": result.rejects.withColumn("completed_at", at),
+            },
         )
-        records += self.stage(
-            commit, "versions", scanned, lambda old: merge.upsert_versions(old, scanned, at)
-        )
-        records += self.stage(
-            commit, "findings", scanned,
-            lambda old: merge.replace_findings(old, result.findings, scanned),
-        )
-        records += self.stage(
-            commit, "scores", scanned, lambda old: merge.upsert_scores(old, result.scores)
-        )
-        runs = merge.scan_run_rows(result.scores, result.findings, at, **run_details)
-        records += self.append(commit, "scan_runs", runs)
-        found = merge.scan_run_findings(result.findings, at)
-        records += self.append(commit, "scan_run_findings", found)
-        self.publish(records)
+        self._publish(seq, commit, records)
         return True
 
     def merge_queue(self, commit: int, queued: DataFrame, at: Column | None = None) -> bool:
@@ -172,24 +177,78 @@ class Store:
 
         if self.has_commit(commit):
             return False
-        at = _now() if at is None else at
+        at, seq = _now() if at is None else at, self._next()
         people = queued.select(
             *VERSION_KEYS,
             lit(None).cast("string").alias("author"),
             lit(None).cast("string").alias("description"),
         )
-        records = self.stage(
-            commit, "packages", queued, lambda old: merge.upsert_packages(old, people, at)
+        records = self._write(
+            f"commit={self.writer}-{commit}",
+            seq,
+            {
+                "packages": merge.upsert_packages(self.current("packages", queued), people, at),
+                "versions": upsert_queued(self.current("versions", queued), queued),
+            },
         )
-        records += self.stage(
-            commit, "versions", queued, lambda old: upsert_queued(old, queued)
-        )
-        self.publish(records)
+        self._publish(seq, commit, records)
         return True
 
-
-def _label(writer: Column, commit: Column) -> Column:
-    return F.concat(writer, lit("-"), commit.cast("string"))
+    # --- upkeep
+
+    def compact(self, latest_runs_only: bool = False) -> int:
+        """Write what is current into one folder per table; gives the base's number.
+
+        Files get their size from the data (rebalanced). With ``latest_runs_only`` the run
+        history keeps the latest run of every version.
+        """
+        from tarsift.plans.reports import latest_runs
+
+        seq, tables = self._next(), {}
+        for table in SCHEMAS:
+            if not self._folders(table):
+                continue
+            rows = self._current(table)
+            if latest_runs_only and table == "scan_runs":
+                rows = latest_runs(rows)
+            if latest_runs_only and table == "scan_run_findings":
+                kept = latest_runs(self._current("scan_runs")).select(*VERSION_KEYS, "completed_at")
+                rows = rows.join(kept, [*VERSION_KEYS, "completed_at"], "left_semi")
+            tables[table] = rows
+        self._publish(seq, None, self._write(f"base={seq}", seq, tables), base=True)
+        return seq
+
+    def vacuum(self) -> list[str]:
+        """Remove folders and log files that nobody reads any more; gives what went.
+
+        Only between merges: a merge that is under way has folders that no log names yet.
+        """
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = path(self.root)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        used = {table: set(self._folders(table)) for table in SCHEMAS}
+        live = {f for folders in used.values() for f in folders}
+        log = f"{self.root}/_log"
+        if not fs.exists(path(log)):
+            return []
+        old_logs = [s.getPath() for s in fs.listStatus(path(log))]
+        # Commits stay known by their ids; folders that went are named no more.
+        rows = [
+            (r["seq"], r["writer"], r["commit"], r["table_name"], r["is_base"], r["folder"] if r["folder"] in live else None)
+            for r in self.log().collect()
+        ]
+        self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(log)
+        for place in old_logs:
+            fs.delete(place, False)
+        gone = []
+        for table, folders in used.items():
+            top = path(f"{self.root}/{table}")
+            names = {f.rsplit("/", 1)[1] for f in folders}
+            for status in fs.listStatus(top) if fs.exists(top) else []:
+                if status.getPath().getName() not in names:
+                    gone.append(f"{table}/{status.getPath().getName()}")
+                    fs.delete(status.getPath(), True)
+        return sorted(gone)
 
 
 def _now() -> Column:

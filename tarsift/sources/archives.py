@@ -49,7 +49,8 @@ def extract_members(
     max_extract_bytes: int | None = None,
     large_bytes: int = LARGE_ARCHIVE_BYTES,
 ) -> DataFrame:
-    """One row per archive member, for a frame of (path, content), best with their length.
+    """One row per archive member, for a frame of (path, content) and best their length.
+    Without content an archive counts as missing.
 
     ``status`` says what became of the archive. Of one that is not "ok" only a single
     row without content remains, so nothing in it is scanned; so it is with an archive
@@ -63,12 +64,11 @@ def extract_members(
     """
     limit = max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
 
-    columns = ["path", "content"] if "content" in archives.columns else ["path"]
-    unpacked = lambda some: some.select(*columns).mapInPandas(unpacker(limit), MEMBER_SCHEMA)
+    unpacked = lambda some: some.select("path", "content").mapInPandas(unpacker(limit), MEMBER_SCHEMA)
     if "length" in archives.columns:
-        large = archives.filter(c("length") > large_bytes)
-        rows = unpacked(archives.filter(c("length") <= large_bytes)).unionByName(
-            unpacked(large).repartition("archive", "ordinal")
+        is_large = F.coalesce(c("length") > large_bytes, lit(False))
+        rows = unpacked(archives.filter(~is_large)).unionByName(
+            unpacked(archives.filter(is_large)).repartition("archive", "ordinal")
         )
     else:
         rows = unpacked(archives)

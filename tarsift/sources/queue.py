@@ -9,7 +9,8 @@ c, lit = F.col, F.lit
 
 QUEUE_SCHEMA = (
     "name string, version string, tarball string, integrity string, shasum string, "
-    "published_at string, meta_head string, queued_at string, source string, fetched_at string"
+    "published_at string, meta_head string, queued_at string, source string, fetched_at string, "
+    "rerun_reason string, requested_by string, attempts int"
 )
 CHANGE_SCHEMA = "seq string, id string, deleted boolean"
 LISTING_SCHEMA = "id string, key string"
@@ -25,8 +26,12 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(QUEUE_SCHEMA).json(path).filter(c("name").isNotNull())
 
 
-def stream_queue(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(QUEUE_SCHEMA).json(path).filter(c("name").isNotNull())
+def stream_queue(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """The queue as a stream; ``files_per_batch`` bounds what one batch takes in."""
+    reader = spark.readStream.schema(QUEUE_SCHEMA)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(path).filter(c("name").isNotNull())
 
 
 def write_queue(records: DataFrame, path: str) -> None:

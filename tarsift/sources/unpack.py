@@ -38,12 +38,11 @@ UNREADABLE, MISSING = "unreadable", "missing"
 
 
 def unpacker(limit: int | None):
-    """The function a task runs over batches of (path, content) or (path)."""
+    """The function a task runs over batches of (path, content)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple]:
         for batch in batches:
-            contents = batch["content"] if "content" in batch else map(_fetch, batch["path"])
-            for path, content in zip(batch["path"], contents):
+            for path, content in zip(batch["path"], batch["content"]):
                 yield from _members(path, content, limit)
 
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -66,19 +65,6 @@ def _batched(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(pending, columns=_COLUMNS)
 
 
-def _fetch(path: str) -> bytes | None:
-    """An archive by its path or URI; None when it is not there."""
-    import pyarrow.fs as pafs
-
-    uri = path if "://" in path else path.removeprefix("file:")
-    filesystem, place = pafs.FileSystem.from_uri(uri)
-    try:
-        with filesystem.open_input_stream(place, compression=None) as stream:
-            return stream.read()
-    except FileNotFoundError:
-        return None
-
-
 def _members(path: str, content: bytes | None, limit: int | None) -> Iterator[tuple]:
     if content is None:
         yield (path, None, MISSING, False, *NO_MEMBER)

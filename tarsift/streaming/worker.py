@@ -6,12 +6,15 @@ writes under its own id and is skipped when that id is already stored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
+from tarsift import __version__
 from tarsift.config import ScanConfig
 from tarsift.functions.timestamps import parse_timestamp
 from tarsift.operators.queue_building import skip_analyzed
@@ -19,39 +22,88 @@ from tarsift.operators.signatures import Signature
 from tarsift.plans.scan import scan_archives
 from tarsift.plans.store import Store
 from tarsift.sources.archives import archive_path, extract_members
+from tarsift.sources.unpack import MISSING
 
 c, lit = F.col, F.lit
 KEYS = ["name", "version"]
 
 
+# A message whose archive is not there is queued again so many times.
+MAX_ATTEMPTS = 5
+
+
 def fresh_messages(
-    messages: DataFrame, versions: DataFrame | None = None, delay: str = "7 days"
+    messages: DataFrame, versions: DataFrame | None = None, delay: str | None = None
 ) -> DataFrame:
-    """Queue messages, each version once while ``delay`` lasts, without analysed ones.
+    """Queue messages, each version once, without analysed ones.
 
-    State is one entry per version and is dropped once the watermark has passed it.
+    State is one entry per version. Without ``delay`` none is forgotten and no message comes
+    too late; with it an entry is dropped once the watermark has passed it, and so are later
+    messages.
     """
     timed = messages.withColumn("queued_at", parse_timestamp(c("queued_at")))
-    once = timed.withWatermark("queued_at", delay).dropDuplicatesWithinWatermark(KEYS)
+    if delay is None:
+        once = timed.dropDuplicates(KEYS)
+    else:
+        once = timed.withWatermark("queued_at", delay).dropDuplicatesWithinWatermark(KEYS)
     return once if versions is None else skip_analyzed(once, versions)
 
 
-def daily_activity(versions: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Analysed versions and packages per day, kept up to date (update mode)."""
-    days = versions.withWatermark("analyzed_at", delay).groupBy(F.window("analyzed_at", "1 day"))
-    return days.agg(
-        F.count("*").alias("versions"), F.approx_count_distinct("name").alias("packages")
-    ).select(c("window.start").cast("date").alias("date"), "versions", "packages")
+def daily_activity(versions: DataFrame) -> DataFrame:
+    """Analysed versions and their findings by day and package, kept up to date (update mode).
+
+    Counting packages exactly takes a state entry for each; `daily_totals` adds them up.
+    """
+    findings = c("findings") if "findings" in versions.columns else lit(None)
+    return (
+        versions.filter(c("analyzed_at").isNotNull())
+        .groupBy(F.to_date("analyzed_at").alias("date"), "name")
+        .agg(F.count("*").alias("versions"), F.coalesce(F.sum(findings.cast("bigint")), lit(0)).alias("findings"))
+    )
 
 
-def downloaded(folder: str) -> Callable[[DataFrame], DataFrame]:
-    """Archives by their place under a download folder. Only paths travel to the tasks;
-    each task opens its own archives."""
-    return lambda wanted: wanted.select(
-        archive_path(folder, c("name"), c("version")).alias("path")
+def daily_totals(spark: SparkSession, path: str) -> DataFrame:
+    """Versions, packages and findings per day, from what a `daily_activity` stream wrote."""
+    latest = latest_by_key(spark, path, ["date", "name"], "batch")
+    return latest.groupBy("date").agg(
+        F.sum("versions").alias("versions"),
+        F.count("*").alias("packages"),
+        F.sum("findings").alias("findings"),
     )
 
 
+def downloaded(spark: SparkSession, folder: str) -> Callable[[DataFrame], DataFrame]:
+    """Archives by their place under a download folder on any Hadoop file system.
+
+    A listing without contents says which of a batch's archives are there; those paths (as many
+    as the batch has messages) are what is opened. The others come without content.
+    """
+
+    def opened(wanted: DataFrame) -> DataFrame:
+        paths = wanted.select(archive_path(folder, c("name"), c("version")).alias("path")).distinct()
+        file_name = lambda path: F.substring_index(path, "/", -1).alias("file")
+        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.tgz").load(folder)
+        there = listing.select(c("path").alias("place"), file_name("path"))
+        met = paths.withColumn("file", F.substring_index("path", "/", -1)).join(there, "file", "left")
+        places = [r["place"] for r in met.filter("place IS NOT NULL").select("place").collect()]
+        missing = met.filter("place IS NULL").select(
+            "path", lit(None).cast("bigint").alias("length"), lit(None).cast("binary").alias("content")
+        )
+        if not places:
+            return missing
+        found = spark.read.format("binaryFile").load(places).select("path", "length", "content")
+        return found.unionByName(missing)
+
+    return opened
+
+
+def once_each(messages: DataFrame) -> DataFrame:
+    """One message per version: the one queued last."""
+    whole = F.struct(*messages.columns)
+    order = F.struct(parse_timestamp(c("queued_at")), whole) if "queued_at" in messages.columns else whole
+    return messages.groupBy(*KEYS).agg(F.max_by(whole, order).alias("m")).select("m.*")
+
+
 def analyse_batch(
     store: Store,
     batch: DataFrame,
@@ -60,17 +112,30 @@ def analyse_batch(
     config: ScanConfig | None = None,
     signatures: list[Signature] | None = None,
     folder: str | None = None,
+    requeue: str | None = None,
 ) -> bool:
     """Scan the archives of one batch of queue messages and store the result.
 
-    ``open_archives`` turns (name, version) into (path) or (path, content).
+    ``open_archives`` turns (name, version) into (path, content), without content where there
+    is no archive. Rejected archives are stored with the commit. Messages whose archive is
+    missing go back to the queue folder ``requeue`` with their attempts counted; a batch that is
+    delivered again may send them twice, which the next batch's `once_each` makes good.
     """
     config = config or ScanConfig()
-    wanted = batch.select(*KEYS).distinct()
-    fresh = skip_analyzed(wanted, store.current("versions"))
-    members = extract_members(open_archives(fresh), config.max_extract_bytes)
+    messages = skip_analyzed(once_each(batch), store.current("versions", batch.select(*KEYS)))
+    members = extract_members(open_archives(messages.select(*KEYS)), config.max_extract_bytes)
+    started = lit(datetime.now(timezone.utc)).cast("timestamp")
     result = scan_archives(members, config, signatures, folder=folder)
-    return store.merge_scan(batch_id, result, source="queue")
+    if requeue:
+        tries = F.coalesce(c("attempts"), lit(0)) if "attempts" in messages.columns else lit(0)
+        gone = result.rejects.filter(c("status") == MISSING).select(*KEYS).distinct()
+        again = messages.join(gone, KEYS, "left_semi").withColumn("attempts", (tries + 1).cast("int"))
+        again.filter(c("attempts") < MAX_ATTEMPTS).coalesce(1).write.mode("append").json(requeue)
+    return store.merge_scan(
+        batch_id, result, messages=messages, source="queue", started_at=started,
+        analyzer_version=__version__, config_hash=hashlib.sha256(repr(config).encode()).hexdigest()[:16],
+        findings_s3_key=f"{store.root}/findings/commit={store.writer}-{batch_id}",
+    )
 
 
 def analyse_worker(
@@ -81,12 +146,13 @@ def analyse_worker(
     config: ScanConfig | None = None,
     signatures: list[Signature] | None = None,
     folder: str | None = None,
+    requeue: str | None = None,
 ) -> DataStreamWriter:
     """The continuous worker. Choose a trigger and start the writer that comes back."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
         if not store.has_commit(batch_id):
-            analyse_batch(store, batch, batch_id, open_archives, config, signatures, folder)
+            analyse_batch(store, batch, batch_id, open_archives, config, signatures, folder, requeue)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
@@ -108,11 +174,12 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     return query
 
 
-def latest_by_key(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+def latest_by_key(spark: SparkSession, path: str, key: str | list[str], order: str) -> DataFrame:
     """The last state of rows that an update-mode stream wrote batch by batch."""
     rows = spark.read.parquet(path)
     whole = F.struct(*rows.columns)
-    return rows.groupBy(key).agg(F.max_by(whole, c(order)).alias("r")).select("r.*").drop(order)
+    keys = [key] if isinstance(key, str) else key
+    return rows.groupBy(*keys).agg(F.max_by(whole, c(order)).alias("r")).select("r.*").drop(order)
 
 
 def write_updates(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:

@@ -8,7 +8,7 @@ from archive_fixtures import ARCHIVES, write_archives
 
 from tarsift.operators.user_rules import RuleSpec
 from tarsift.plans.scan import scan_archives
-from tarsift.plans.store import Store
+from tarsift.plans.store import SCHEMAS, Store
 from tarsift.sources import archives as ar
 
 
@@ -119,7 +119,7 @@ def test_one_archive_per_version(spark, work):
 
 
 def test_store_merges_are_repeatable(spark, work, result):
-    store = Store(spark, work + "/store", buckets=4)
+    store = Store(spark, work + "/store")
     assert store.merge_scan(1, result, source="test")
     assert not store.merge_scan(1, result)
     before = rows(store.current("findings"), "name", "rule", "details")
@@ -134,14 +134,14 @@ def test_store_merges_are_repeatable(spark, work, result):
     ]
     assert store.history("scan_run_findings").count() == 2 * result.findings.count()
     # Another writer has ids of its own; its later commit is the current one.
-    other = Store(spark, work + "/store", buckets=4, writer="rescan")
+    other = Store(spark, work + "/store", writer="rescan")
     gone = type(result)(result.versions, result.findings.limit(0), result.scores, result.metadata, result.rejects)
     assert other.merge_scan(1, gone)
     assert store.current("findings").count() == 0
 
 
 def test_store_forgets_findings_that_are_gone(spark, work, result):
-    store = Store(spark, work + "/store", buckets=4)
+    store = Store(spark, work + "/store")
     store.merge_scan(1, result)
     nothing = result.findings.limit(0)
     clean = type(result)(result.versions, nothing, result.scores, result.metadata, result.rejects)
@@ -150,7 +150,7 @@ def test_store_forgets_findings_that_are_gone(spark, work, result):
 
 
 def test_store_keeps_other_versions(spark, work, result):
-    store = Store(spark, work + "/store", buckets=1)
+    store = Store(spark, work + "/store")
     store.merge_scan(1, result)
     part = result.versions.filter("name = 'links'")
     only = type(result)(
@@ -166,3 +166,74 @@ def test_store_keeps_other_versions(spark, work, result):
         r for r in rows(result.findings, "name", "rule") if r[0] != "links"
     ]
     assert len([r for r in now if r[0] == "links"]) == 1
+
+
+def test_store_compaction_changes_nothing(spark, work, result):
+    store = Store(spark, work + "/store")
+    store.merge_scan(1, result)
+    part = result.versions.filter("name = 'links'")
+    only = type(result)(
+        part, result.findings.filter("name = 'links'").limit(1), result.scores.filter("name = 'links'"),
+        result.metadata, result.rejects.limit(0),
+    )
+    files = {p for p in Path(work, "store").rglob("*.parquet")}
+    store.merge_scan(2, only)
+    # A small commit leaves what is stored alone, and adds no more than its own rows.
+    assert files <= {p for p in Path(work, "store").rglob("*.parquet")}
+    added = spark.read.parquet(work + "/store/versions/commit=scan-2")
+    assert [r["name"] for r in added.collect()] == ["links"]
+    state = lambda: {t: rows(store.current(t).na.fill(""), *store.current(t).columns) for t in SCHEMAS}
+    before = state()
+    store.compact()
+    assert state() == before
+    assert store.vacuum()
+    assert state() == before
+    assert not store.merge_scan(1, result) and not store.merge_scan(2, only)
+    store.merge_scan(3, only)
+    assert rows(store.current("findings"), "name", "rule") == sorted((r[0], r[2]) for r in before["findings"])
+    store.compact(latest_runs_only=True)
+    runs = store.current("scan_runs")
+    assert runs.count() == runs.select("name", "version").distinct().count() == result.scores.count()
+
+
+def test_rejects_are_stored(spark, work, result):
+    store = Store(spark, work + "/store")
+    store.merge_scan(1, result)
+    shown = rows(store.history("rejects").na.fill(""), "name", "status")
+    assert shown == rows(result.rejects.na.fill(""), "name", "status")
+
+
+def test_members_as_extracted(spark):
+    """Links have the content of what they lead to; the last member of a path counts."""
+    import io
+    import tarfile
+
+    buffer = io.BytesIO()
+    with tarfile.open(fileobj=buffer, mode="w:gz") as tar:
+        def add(name, data=b"", kind=tarfile.REGTYPE, target=""):
+            info = tarfile.TarInfo(name)
+            info.type, info.linkname, info.size = kind, target, len(data)
+            tar.addfile(info, io.BytesIO(data))
+
+        add("package/package.json", b"{}")
+        add("package/a.js", b"first")
+        add("package/early.js", kind=tarfile.LNKTYPE, target="package/a.js")
+        add("package/a.js", b"second")
+        add("package/late.js", kind=tarfile.LNKTYPE, target="package/a.js")
+        add("package/lib/soft.js", kind=tarfile.SYMTYPE, target="../loop.js")
+        add("package/loop.js", kind=tarfile.SYMTYPE, target="./a.js")
+        add("package/self.js", kind=tarfile.SYMTYPE, target="self.js")
+        add("package/out.js", kind=tarfile.SYMTYPE, target="../../x")
+        add("package/gone.js", kind=tarfile.SYMTYPE, target="a.js")
+        add("package/gone.js", b"own")
+    frame = spark.createDataFrame([("d/p@1.tgz", buffer.getvalue())], "path string, content binary")
+    found = ar.extract_members(frame).collect()
+    shown = sorted((r["path"], r["kind"], bytes(r["content"]).decode() if r["content"] is not None else None) for r in found)
+    assert shown == [
+        ("package/a.js", "file", "second"), ("package/a.js", "superseded", None),
+        ("package/early.js", "hardlink", "first"), ("package/gone.js", "file", "own"),
+        ("package/gone.js", "symlink", None), ("package/late.js", "hardlink", "second"),
+        ("package/lib/soft.js", "symlink", "second"), ("package/loop.js", "symlink", "second"),
+        ("package/out.js", "symlink", None), ("package/package.json", "file", "{}"), ("package/self.js", "symlink", None),
+    ]
+    assert sorted({r["ordinal"] for r in found}) == list(range(11))

@@ -136,7 +136,7 @@ def test_upserts_keep_what_is_known(spark):
 
 
 def test_queue_merge_keeps_status(spark, work):
-    store = Store(spark, work + "/store", buckets=2)
+    store = Store(spark, work + "/store")
     columns = "name string, version string, tarball string, integrity string, shasum string, published_at string"
     record = lambda n, url: spark.createDataFrame([(n, "1", url, None, None, None)], columns)
     assert store.merge_queue(1, record("a", "u1"))
@@ -164,11 +164,11 @@ def test_worker_equals_the_batch_scan(spark, work):
     names = [("plain", "1.0.0"), ("@s/p", "2.0.0"), ("dropper", "3.1.0"), ("escape", "1.0.0"), ("gone", "1")]
     lines = [json.dumps({"name": n, "version": v, "queued_at": "2025-01-01T00:00:00Z"}) for n, v in names * 2]
     (landed / "1.json").write_text("\n".join(lines) + "\n\n")
-    store = Store(spark, work + "/store", buckets=2)
+    store = Store(spark, work + "/store")
 
     def run():
         writer = worker.analyse_worker(
-            qs.stream_queue(spark, str(landed)), store, worker.downloaded(folder),
+            qs.stream_queue(spark, str(landed)), store, worker.downloaded(spark, folder),
             work + "/state", folder=work + "/shared",
         )
         worker.run_available(writer)
