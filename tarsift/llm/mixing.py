@@ -114,12 +114,13 @@ def thresholds(docs: DataFrame, budgets: DataFrame) -> DataFrame:
                 F.col("source").eqNullSafe(F.col("of")),
             )
         limit = (F.col("upper") * (1 << BITS) if level else F.lit(0).cast("long")) + F.col("bucket")
-        found = end.select("source", "bucket", "left", "words", limit.alias("limit"))
+        # Written down: a row for each source, and next the rows of one bucket of each. A level
+        # that were a plan over the levels before it would double with each of them.
+        found = stored(end.select("source", "bucket", "left", "words", limit.alias("limit")))
         if level < LEVELS - 1:
             keys = found.select(F.col("source").alias("of"), F.col("bucket").alias("at"))
-            inside = inside.join(keys, F.col("source").eqNullSafe(F.col("of")) & (bucket(level) == F.col("at"))).drop(
-                "of", "at"
-            )
+            within = F.col("source").eqNullSafe(F.col("of")) & (bucket(level) == F.col("at"))
+            inside = stored(inside.join(keys, within).drop("of", "at"))
     # The last bucket holds the documents of one hash: taken if that is nearer to the target.
     nearer = (F.col("left") >= F.col("words") - F.col("left")).cast("long")
     return found.select("source", (F.col("limit") + nearer).alias("limit"))
