@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
-from tarsift.catalog.registry import flat, query, sql_list, sql_text
+from tarsift.catalog.registry import ORACLES, flat, query, sql_list, sql_text
 from tarsift.config import ScanConfig
 from tarsift.operators.content_rules import content_rule, scan_files
 from tarsift.operators.locate import locate_matches
@@ -515,38 +515,51 @@ def sh1(spark, folder):
     return content_rule(files(spark, folder), "shell_download").select(*KEYS)
 
 
-_PASS_COUNTS = """
-SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files FROM (
-  SELECT path, CASE WHEN d.bad THEN 'url_outside_allowlist' ELSE 'url_in_code' END AS rule, CASE WHEN d.bad THEN 'high' ELSE 'medium' END AS severity
-  FROM (SELECT DISTINCT path, regexp_extract(url, '(?i)^https?://([^/?#]*)', 1) AS domain,
-               NOT regexp_full_match(lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)), {allowed}) AS bad
-        FROM (SELECT path, unnest(regexp_extract_all(content, {url})) AS url FROM files WHERE {code}) q) d WHERE domain <> ''
-  UNION ALL SELECT path, 'net_client_usage', 'medium' FROM files WHERE {code} AND regexp_matches(content, {net})
-  UNION ALL SELECT path, 'c2_webhook', 'high' FROM files WHERE {code} AND regexp_matches(content, {c2})
-  UNION ALL SELECT path, 'writes_outside_pkg', 'high' FROM files WHERE {code} AND regexp_matches(content, {write}) AND regexp_matches(content, {hint})
-  UNION ALL SELECT path, 'ci_evasion', 'low' FROM files WHERE {code} AND regexp_matches(content, {ci})
-  UNION ALL SELECT path, 'env_snoop', 'medium' FROM files WHERE {code} AND regexp_matches(content, {env})
-  UNION ALL SELECT path, 'http_server', 'medium' FROM files WHERE suffix = '.py' AND regexp_matches(content, {server})
-) f GROUP BY rule, severity"""
+# --- all rules in one pass ---------------------------------------------------------------
+
+# Thresholds low enough that the two rules find something in the driver's texts.
+LOWERED = ScanConfig(high_entropy=4.0, big_js_bytes=2000)
+# The checking SQL of each rule's own query, and the rule it checks.
+_CHECKED = [
+    ("c2_net_client_usage", "net_client_usage"), ("c3_c2_webhook", "c2_webhook"),
+    ("c4_writes_outside_pkg", "writes_outside_pkg"),
+    ("c5_writes_outside_pkg_candidate", "writes_outside_pkg_candidate"), ("c6_ci_evasion", "ci_evasion"),
+    ("c7_env_snoop", "env_snoop"), ("c8_large_js", "large_js"), ("c9_webpack_bundle", "webpack_bundle"),
+    ("c10_minified_long_lines", "minified_long_lines"), ("c12_big_base64_blob", "big_base64_blob"),
+    ("c15_native_fetcher_present", "native_fetcher_present"), ("c16_suspicious_pattern", "suspicious_pattern"),
+    ("p1_http_server", "http_server"), ("p2_port_binding", "port_binding"),
+    ("p3_python_download", "script_download"), ("sh1_shell_download", "script_download"),
+]
+_CHECKED_PAGES = [
+    ("h1_phishing_form", "phishing_form", "high"), ("h2_fake_captcha", "fake_captcha", "medium"),
+    ("h3_external_cdn_load", "external_cdn_load", "medium"), ("h4_iframe_embed", "iframe_embed", "medium"),
+]
+
+
+def found_sql() -> str:
+    """name, version, path, rule, severity and weight variant of every finding in files."""
+    row = "SELECT name, version, path, '{}' AS rule, {} AS severity, {} AS variant FROM ({}) q"
+    parts = [row.format(rule, "severity", "''", ORACLES[name]) for name, rule in _CHECKED]
+    parts.append(f"SELECT name, version, path, rule, severity, '' FROM ({ORACLES['c1_url_domains']}) q")
+    parts.append(row.format("high_entropy_blob", "severity", "''", ORACLES["c11_high_entropy_blob"]) + " WHERE measured = 'whole'")
+    by_confidence = "CASE confidence WHEN 'high' THEN 'high' ELSE 'other' END"
+    parts.append(row.format("advanced_obfuscation", "severity", by_confidence, ORACLES["o1_advanced_obfuscation"]))
+    for name, rule, severity in _CHECKED_PAGES:
+        where = ORACLES[name].split("FROM html_files WHERE ", 1)[1]
+        pages = view_sql("files", tail=f"SELECT * FROM files WHERE suffix IN ('.html', '.htm') AND ({where})")
+        parts.append(row.format(rule, f"'{severity}'", "''", pages))
+    magic = f"{CODE} AND (starts_with(content, 'MZ') OR starts_with(content, concat(chr(127), 'ELF')))"
+    parts.append(row.format("native_binary_present", "'high'", "''", view_sql("files", tail=f"SELECT * FROM files WHERE {magic}")))
+    return " UNION ALL ".join(parts)
 
 
 @query(
     "scan_rule_counts",
-    view_sql(
-        "files",
-        tail=_PASS_COUNTS.format(
-            allowed=sql_text(ALLOWED), url=URL, code=CODE, net=NET, c2=C2, write=WRITE, hint=HINT,
-            ci=CI, env=ENV, server=sql_text(fv.PY_SERVER),
-        ),
-    ),
+    f"SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files FROM ({found_sql()}) f GROUP BY rule, severity",
 )
 def scan_counts(spark, folder):
-    """Several rules in one pass over the files, counted."""
-    rules = [
-        "url_domains", "net_client_usage", "c2_webhook", "writes_outside_pkg", "ci_evasion",
-        "env_snoop", "http_server",
-    ]
-    found = scan_files(files(spark, folder), rules=rules)
+    """All rules in one pass over the files, counted."""
+    found = scan_files(files(spark, folder), LOWERED)
     return found.groupBy("rule", "severity").agg(
         F.count("*").alias("findings"), F.countDistinct("file_path").alias("files")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
-from tarsift.catalog.content import ALLOWED, CODE, files
+from tarsift.catalog.content import ALLOWED, CODE, LOWERED, files, found_sql
 from tarsift.catalog.registry import flat, query, sql_list, sql_text
 from tarsift.config import (
     ScanConfig,
@@ -740,31 +740,34 @@ def rs1(spark, folder):
     )
 
 
-_FLAGSHIP = f"""
-, u AS (SELECT DISTINCT name, version, path, lower(regexp_extract(url, '(?i)^https?://([^/?#]*)', 1)) AS domain FROM (
-    SELECT name, version, path, unnest(regexp_extract_all(content, '(?i)https?://[^\\s''"]+')) AS url FROM files WHERE {CODE}) x),
-f AS (SELECT name, version, CASE WHEN regexp_full_match(domain, {sql_text(ALLOWED)}) THEN 5 ELSE 6 END AS w FROM u WHERE domain <> ''),
-s AS (SELECT name, version, sum(w) AS score, count(*) AS n FROM f GROUP BY name, version)
+def _flagship_sql() -> str:
+    weights = ", ".join(f"('{rule}', '{variant}', {weight})" for rule, variant, weight in weight_rows(LOWERED))
+    return view_sql(
+        "files",
+        tail=f"""
+, weights(rule, variant, weight) AS (VALUES {weights}),
+s AS (SELECT f.name, f.version, sum(coalesce(w.weight, 0)) AS score, count(*) AS n FROM ({found_sql()}) f
+      LEFT JOIN weights w ON w.rule = f.rule AND w.variant = f.variant GROUP BY f.name, f.version)
 SELECT v.name, v.version, CAST(coalesce(s.score, 0) AS INT) AS score,
        CASE WHEN coalesce(s.score, 0) >= 12 THEN 'malicious' WHEN coalesce(s.score, 0) >= 7 THEN 'suspicious' ELSE 'clean' END AS label,
        coalesce(s.n, 0) AS findings
-FROM (SELECT DISTINCT name, version FROM files) v LEFT JOIN s ON s.name = v.name AND s.version = v.version"""
+FROM (SELECT DISTINCT name, version FROM files) v LEFT JOIN s ON s.name = v.name AND s.version = v.version""",
+    )
 
 
-@query("flagship_score_board", view_sql("files", tail=_FLAGSHIP))
+@query("flagship_score_board", _flagship_sql())
 def flagship(spark, folder):
-    """URL findings of all files, scored and counted per version."""
+    """The findings of all file rules in all files, scored and counted per version."""
     from tarsift.operators.content_rules import scan_files
 
     source = files(spark, folder)
-    found = scan_files(source, rules=["url_domains"])
-    # The details are not needed here, and the findings are read once for both results.
-    totals = scoring.weighted(found, ScanConfig()).groupBy("name", "version").agg(
+    # The findings are read once for both results.
+    totals = scoring.weighted(scan_files(source, LOWERED), LOWERED).groupBy("name", "version").agg(
         F.sum("weight").cast("int").alias("total"), F.count("*").alias("n")
     )
     versions = source.select("name", "version").distinct()
     score = F.coalesce(c("total"), F.lit(0))
     return versions.join(totals, ["name", "version"], "left").select(
-        "name", "version", score.alias("score"), scoring.label_of(score, ScanConfig()).alias("label"),
+        "name", "version", score.alias("score"), scoring.label_of(score, LOWERED).alias("label"),
         F.coalesce("n", F.lit(0)).alias("findings"),
     )

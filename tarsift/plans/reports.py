@@ -13,7 +13,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
@@ -50,29 +50,42 @@ def zero(name: str) -> Column:
     return F.coalesce(c(name), lit(0))
 
 
-def tally(frames: dict[str, DataFrame]) -> DataFrame:
-    """Row counts of several frames as one row."""
+def tally(frames: dict[str, DataFrame], counted: DataFrame | None = None, keys: tuple = ()) -> DataFrame:
+    """Row counts of several frames as one row; and the columns ``keys`` of a row of counts."""
     counts = [
         df.agg(F.count("*").alias("n")).select(lit(key).alias("kind"), "n")
         for key, df in frames.items()
     ]
+    if counted is not None:
+        pairs = F.array(*[F.struct(lit(key).alias("kind"), c(key).alias("n")) for key in keys])
+        counts.append(counted.select(F.inline(pairs)))
     stacked = reduce(lambda a, b: a.unionByName(b), counts)
-    return stacked.agg(*[F.sum(F.when(c("kind") == key, c("n"))).alias(key) for key in frames])
+    return stacked.agg(
+        *[F.sum(F.when(c("kind") == key, c("n"))).alias(key) for key in (*frames, *keys)]
+    )
 
 
 # --- overview ---------------------------------------------------------------------------
 
 
 def summary(t: Tables) -> DataFrame:
-    labelled = lambda label: t.scores.filter(c("label") == label).select("name").distinct()
+    # Scores are read once: per package a flag for each label, then their counts.
+    flags = t.scores.groupBy("name").agg(
+        F.bool_or(c("label") == "malicious").alias("malicious"),
+        F.bool_or(c("label") == "suspicious").alias("suspicious"),
+    )
+    labelled = flags.agg(
+        F.count_if("malicious").alias("malicious_packages"),
+        F.count_if("suspicious").alias("suspicious_packages"),
+    )
     return tally(
         {
             "total_packages": t.packages.select("name"),
             "total_versions": t.versions.select("name"),
             "total_findings": t.findings.select("rule"),
-            "malicious_packages": labelled("malicious"),
-            "suspicious_packages": labelled("suspicious"),
-        }
+        },
+        labelled,
+        ("malicious_packages", "suspicious_packages"),
     )
 
 
@@ -215,8 +228,8 @@ def c2_versions(t: Tables, limit: int = 50) -> DataFrame:
         count("writes_outside_pkg", "writes_count"),
         F.count("*").alias("total_findings"),
     )
-    packages = t.findings.filter(has_rule("c2_webhook")).select("name").distinct()
-    found = versions.join(packages, "name", "left_semi").join(t.scores, VERSION, "left")
+    most = F.max("c2_count").over(Window.partitionBy("name"))
+    found = versions.withColumn("most", most).filter("most > 0").join(t.scores, VERSION, "left")
     return (
         found.select(
             *VERSION, "score", "label", "c2_count", "env_snoop_count", "writes_count",
