@@ -394,6 +394,7 @@ def _net_rows(config: ScanConfig) -> Column:
         methods=methods,
         explanation=explain("net_client_usage", joined(methods)),
         locations=c("net_locations"),
+        match_count=F.size(c("net")),
     )
 
 
@@ -417,6 +418,7 @@ def _c2_rows(config: ScanConfig) -> Column:
             F.coalesce(F.get(full_urls, lit(0)), lit("N/A")),
         ),
         locations=c("c2_locations"),
+        match_count=F.size(c("c2")),
     )
 
 
@@ -432,6 +434,7 @@ def _write_rows(config: ScanConfig) -> Column:
         target_paths=targets,
         explanation=explain("writes_outside_pkg", joined(F.slice(targets, 1, 3))),
         locations=c("hint_locations"),
+        match_count=F.size(c("hints")),
     )
 
 
@@ -440,6 +443,7 @@ def _write_candidate_rows(config: ScanConfig) -> Column:
         tx.has(c("writes")) & ~tx.has(c("hints")), "writes_outside_pkg_candidate", "medium",
         write_methods=_write_methods(),
         locations=c("write_locations"),
+        match_count=F.size(c("writes")),
     )
 
 
@@ -448,6 +452,7 @@ def _ci_rows(config: ScanConfig) -> Column:
         tx.has(c("ci")), "ci_evasion", "low",
         checks=tx.first_distinct(c("ci"), 10, 5),
         locations=c("ci_locations"),
+        match_count=F.size(c("ci")),
     )
 
 
@@ -458,6 +463,7 @@ def _env_rows(config: ScanConfig) -> Column:
         env_keys=keys,
         explanation=explain("env_snoop", joined(F.slice(keys, 1, 5))),
         locations=c("env_locations"),
+        match_count=F.size(c("env_keys")),
     )
 
 
@@ -576,6 +582,7 @@ def _generic_rows(config: ScanConfig) -> Column:
             pattern=lit(fv.GENERIC_PATTERN_NAMES[pattern]),
             samples=tx.first_distinct(shown, 10, 5),
             locations=c(places),
+            match_count=F.size(c(matches)),
         )
         return F.when(tx.has(c(matches)), item)
 
@@ -611,6 +618,7 @@ def _phishing_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("form_actions")), "phishing_form", "high",
         form_actions=F.slice(c("form_actions"), 1, 5),
+        match_count=F.size(c("form_actions")),
         explanation=explain("phishing_form", F.get(c("form_actions"), lit(0))),
     )
 
@@ -621,6 +629,7 @@ def _captcha_rows(config: ScanConfig) -> Column:
         button_samples=F.coalesce(
             real_text(F.slice(c("lure_buttons"), 1, 3)), F.array().cast("array<string>")
         ),
+        match_count=F.coalesce(F.size(c("lure_buttons")), lit(0)),
         explanation=explain("fake_captcha"),
     )
 
@@ -640,6 +649,7 @@ def _iframe_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("iframes")), "iframe_embed", "medium",
         iframe_urls=urls,
+        match_count=F.size(c("iframes")),
         explanation=explain("iframe_embed", F.get(urls, lit(0))),
     )
 
@@ -649,6 +659,7 @@ def _py_server_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("py_servers")), "http_server", "medium",
         frameworks=found,
+        match_count=F.size(c("py_servers")),
         explanation=explain("http_server", F.get(found, lit(0))),
     )
 
@@ -666,6 +677,7 @@ def _py_download_rows(config: ScanConfig) -> Column:
         tx.has(c("py_downloads")), "script_download", "medium",
         methods=methods,
         explanation=explain("script_download_python", joined(methods)),
+        match_count=F.size(c("py_downloads")),
     )
 
 

@@ -161,11 +161,12 @@ def test_entropy(spark):
     noise = bytes(rng.randrange(256) for _ in range(20_000))
     plain_head = b"a" * 4096 + noise
     contents = {"noise.js": noise, "short.js": noise[:9000], "text.js": b"words and words " * 2000, "late.js": plain_head}
+    # Whole files are measured, also behind a plain head; a number of bytes measures heads only.
     hits = found(spark, "high_entropy_blob", contents)
-    assert set(hits) == {"noise.js"}
-    assert 7.2 <= hits["noise.js"]["entropy"] <= 8
-    whole = found(spark, "high_entropy_blob", contents, ScanConfig(entropy_sample_bytes=None, high_entropy=5.0))
-    assert set(whole) == {"noise.js", "late.js"}
+    assert set(hits) == {"noise.js", "late.js"}
+    assert 7.2 <= hits["late.js"]["entropy"] < hits["noise.js"]["entropy"] <= 8
+    heads = found(spark, "high_entropy_blob", contents, ScanConfig(entropy_sample_bytes=4096))
+    assert set(heads) == {"noise.js"}
 
 
 def test_large_js_boundary(spark):
@@ -186,7 +187,11 @@ def test_base64_previews(spark):
         "exotic.js": exotic,
         "three.js": b" ".join([b"Qk" * 60] * 4),
     }
+    # Every run is reported; max_blobs keeps the first ones.
     rows = content_rule(files(spark, contents), "big_base64_blob").collect()
+    first = content_rule(files(spark, contents), "big_base64_blob", ScanConfig(max_blobs=3)).collect()
+    assert len([r for r in rows if r["path"] == "three.js"]) == 4
+    assert len([r for r in first if r["path"] == "three.js"]) == 3
 
     def preview(run: bytes) -> str:
         try:
@@ -197,7 +202,7 @@ def test_base64_previews(spark):
         return shown if shown.isprintable() else f"<binary data: {len(raw)} bytes>"
 
     for path, content in contents.items():
-        runs = re.findall(rb"[A-Za-z0-9+/]{120,}={0,2}", content)[:3]
+        runs = re.findall(rb"[A-Za-z0-9+/]{120,}={0,2}", content)
         got = [r for r in rows if r["path"] == path]
         assert sorted(r["decoded_preview"] for r in got) == sorted(preview(run) for run in runs)
         assert sorted(r["blob_length"] for r in got) == sorted(len(run) for run in runs)
@@ -326,3 +331,15 @@ def test_suffixes(spark):
     cases = {"a/b.JS": ".js", ".npmrc": "", "a/.eslintrc.json": ".json", "LICENSE": "", "x.tar.gz": ".gz", "a.d/b": ""}
     rows = spark.createDataFrame([(p,) for p in cases], "p string").select("p", tx.suffix_of(F.col("p"))).collect()
     assert {r[0]: r[1] for r in rows} == cases
+
+
+def test_byte_patterns():
+    from tarsift.functions import text as tx
+
+    assert tx.byte_pattern("abc[d-f]+") == "abc[d-f]+"
+    assert tx.byte_pattern("né+") == "n(?:" + "é".encode().decode("latin-1") + ")+"
+    both = tx.byte_pattern("É", nocase=True)
+    assert all(f.encode().decode("latin-1") in both for f in "éÉ")
+    for refused in ("[äö]", "\\ä"):
+        with pytest.raises(ValueError):
+            tx.byte_pattern(refused)
