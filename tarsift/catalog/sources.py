@@ -106,6 +106,8 @@ _SCAN_SQL = f"""WITH {BASE_SQL},
 t AS (SELECT name, version, {_TECHNIQUES} AS techniques FROM o WHERE k <> 3 AND path LIKE '%.js' AND strlen(content) > 1000),
 w AS (
   SELECT name, version, 'advanced_obfuscation' AS rule, CASE WHEN len(techniques) >= 3 THEN 5 ELSE 3 END AS weight FROM t WHERE len(techniques) > 0
+  UNION ALL SELECT name, version, 'minified_long_lines', 2 FROM o WHERE k <> 3 AND path LIKE '%.js'
+    AND list_contains(list_transform(string_split(content, chr(10)), lambda l: strlen(l) >= 4000), true)
   UNION ALL SELECT name, version, 'npmrc_present', 4 FROM a WHERE k = 5
   UNION ALL SELECT name, version, 'lockfile_present', 1 FROM a WHERE k = 5
   UNION ALL SELECT name, version, 'symlink_escape', 0 FROM a, range(3) WHERE k = 1
