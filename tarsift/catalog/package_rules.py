@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
 from tarsift.catalog.content import ALLOWED, CODE, LOWERED, files, found_sql
-from tarsift.catalog.registry import flat, query, sql_list, sql_text
+from tarsift.catalog.registry import ORACLES, flat, query, sql_list, sql_text
 from tarsift.config import (
     ScanConfig,
     allow_domains_frame,
@@ -383,6 +383,22 @@ def t8(spark, folder):
     return _pairs(spark, folder).withColumn("similarity_score", F.round("similarity_score", 6))
 
 
+@query("t8_protected_table", ORACLES["t8_all_pairs"])
+def t8_table(spark, folder):
+    """The same pairs, with the protected names as a table."""
+    protected = spark.createDataFrame([(n,) for n in typosquat.detector_names()], "name string")
+    found = typosquat.typosquat_pairs_of_table(view(spark, folder, "names"), protected)
+    return found.withColumn("similarity_score", F.round("similarity_score", 6))
+
+
+@query("t2_protected_table", ORACLES["t2_edit_distance_matches"])
+def t2_table(spark, folder):
+    protected = spark.createDataFrame([(n,) for n in fv.POPULAR_NAMES], "name string")
+    names = view(spark, folder, "names")
+    found = typosquat.typosquats_of_table(names, protected).drop("bare_name")
+    return names.join(found, "name").filter("typosquat_type <> 'unicode_substitution'")
+
+
 @query(
     "t9_character_substitution",
     view_sql("names", tail=_PAIRS_SQL + " SELECT suspicious_package, legitimate_package, hamming FROM p2 WHERE hamming BETWEEN 1 AND 2"),

@@ -203,9 +203,13 @@ def typosquat_pairs(names: DataFrame, protected: list[str] | None = None) -> Dat
     base = names.select(c("name").alias("suspicious_package"))
     base = base.withColumn("bare", bare_name(c("suspicious_package")))
     near = F.filter(listed, lambda p: _resembles(c("bare"), bare_name(p)))
-    pairs = base.select(
+    return _described(base.select(
         "suspicious_package", "bare", F.explode(F.array_compact(near)).alias("legitimate_package")
-    )
+    ))
+
+
+def _described(pairs: DataFrame) -> DataFrame:
+    """The detector's columns of (suspicious_package, bare, legitimate_package)."""
     full = [F.lower("suspicious_package"), F.lower("legitimate_package")]
     target = bare_name(c("legitimate_package"))
     same = F.when(few_substitutions(c("bare"), target), lit("character_substitution")).otherwise(
@@ -222,6 +226,116 @@ def typosquat_pairs(names: DataFrame, protected: list[str] | None = None) -> Dat
     )
 
 
+# --- protected names as a table ---------------------------------------------------------
+# For lists of any length: keys that two names share if one resembles the other, an
+# equi-join on them, and the exact test on what meets.
+
+_KEY = "array<struct<size:int,part:int,text:string>>"
+# Parts of look-alike keys are numbered from here on, by position.
+_LOOKS_FROM = 100
+
+
+def _parts_of(size: Column) -> Column:
+    """One part more than the edits that a target of this length allows: of two names within
+    that distance some part is in both, moved by no more than the edits."""
+    return F.when(size > 6, lit(4)).otherwise(lit(3))
+
+
+def _part_start(i: Column, size: Column) -> Column:
+    return F.floor(i * size / _parts_of(size)).cast("int")
+
+
+def _key(size: Column, part: Column, text: Column) -> Column:
+    return F.struct(
+        size.cast("int").alias("size"), part.cast("int").alias("part"), text.alias("text")
+    )
+
+
+def _short(size: Column) -> Column:
+    """Targets too short to be cut meet all names of about their length."""
+    return F.array(_key(size, lit(-1), lit(""))).cast(_KEY)
+
+
+def target_keys(target: Column) -> Column:
+    """The keys of a protected bare name (lower case)."""
+    size = F.length(target)
+
+    def part(i: Column) -> Column:
+        start, end = _part_start(i, size), _part_start(i + 1, size)
+        return _key(size, i, F.substring(target, start + 1, end - start))
+
+    cut = F.transform(F.sequence(lit(0), _parts_of(size) - 1), part).cast(_KEY)
+    at = F.transform(
+        F.sequence(lit(0), size - 1),
+        lambda p: _key(size, p + _LOOKS_FROM, F.substring(target, p + 1, lit(1))),
+    ).cast(_KEY)
+    looked_for = F.filter(at, lambda k: k["text"].isin(*fv.CONFUSABLES))
+    parts = F.when(size <= 3, _short(size)).otherwise(cut)
+    return F.when(size > 0, F.concat(parts, looked_for)).otherwise(parts)
+
+
+def name_keys(name: Column) -> Column:
+    """The keys under which a protected name that this bare name (lower case) resembles lies."""
+    n = F.length(name)
+
+    def of_part(size: Column, i: Column) -> Column:
+        start, width = _part_start(i, size), _part_start(i + 1, size) - _part_start(i, size)
+        moved = F.transform(F.sequence(lit(-3), lit(3)), lambda s: start + s)
+        inside = F.filter(moved, lambda at: (at >= 0) & (at + width <= n))
+        return F.transform(inside, lambda at: _key(size, i, F.substring(name, at + 1, width))).cast(_KEY)
+
+    def of_size(size: Column) -> Column:
+        cut = F.transform(F.sequence(lit(0), _parts_of(size) - 1), lambda i: of_part(size, i))
+        return F.when(size <= 3, _short(size)).otherwise(F.flatten(cut))
+
+    parts = F.flatten(F.transform(F.sequence(F.greatest(n - 3, lit(0)), n + 3), of_size))
+    meant: dict[str, list[str]] = {}
+    for char, looks in fv.CONFUSABLES.items():
+        for look in looks:
+            meant.setdefault(look, []).append(char)
+    by_look = F.create_map(*[x for k, v in meant.items() for x in (lit(k), F.array(*map(lit, v)))])
+    at = F.transform(
+        F.sequence(lit(0), n - 1),
+        lambda p: F.transform(
+            F.coalesce(F.try_element_at(by_look, F.substring(name, p + 1, lit(1))), F.array().cast("array<string>")),
+            lambda char: _key(n, p + _LOOKS_FROM, char),
+        ),
+    )
+    return F.array_distinct(F.concat(parts, F.when(n > 0, F.flatten(at)).otherwise(F.array().cast(_KEY))))
+
+
+def near_names(names: DataFrame, protected: DataFrame) -> DataFrame:
+    """(name, bare, target): pairs that may resemble each other; none that does is missing.
+
+    Both frames have a column ``name``; names are taken once each. Names meet by short keys, so
+    both sides spread over as many partitions as there are.
+    """
+    keyed = lambda df, keys: (
+        df.select("name").filter(c("name").isNotNull()).distinct()
+        .withColumn("bare", bare_name(c("name")))
+        .select("name", "bare", F.explode(keys(F.lower("bare"))).alias("key"))
+    )
+    targets = keyed(protected, target_keys).select(c("name").alias("target"), "key")
+    return keyed(names, name_keys).join(targets, "key").select("name", "bare", "target").distinct()
+
+
+def typosquats_of_table(names: DataFrame, protected: DataFrame) -> DataFrame:
+    """All matches of `detect_typosquats` against a table of protected names."""
+    found = near_names(names, protected).filter(c("name") != c("target"))
+    rows = found.withColumn("match", _match(c("bare"), c("target"))).filter(c("match").isNotNull())
+    return rows.select("name", c("bare").alias("bare_name"), "match.*").select(
+        "name", "bare_name", "target_package", "edit_distance", "similarity", "typosquat_type"
+    )
+
+
+def typosquat_pairs_of_table(names: DataFrame, protected: DataFrame) -> DataFrame:
+    """`typosquat_pairs` against a table of protected names."""
+    found = near_names(names, protected).filter(_resembles(c("bare"), bare_name(c("target"))))
+    return _described(found.select(
+        c("name").alias("suspicious_package"), "bare", c("target").alias("legitimate_package")
+    ))
+
+
 # --- permutations -----------------------------------------------------------------------
 
 

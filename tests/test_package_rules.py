@@ -324,3 +324,32 @@ def test_signature_findings_only_for_known_versions(spark):
 
 def test_no_findings_no_scores(spark):
     assert scoring.score_versions(findings(spark, [])).count() == 0
+
+
+def test_protected_names_as_a_table(spark):
+    """The same matches as names compared with the whole list in their own row."""
+    import random
+
+    from tarsift.operators import typosquat
+
+    rng = random.Random(5)
+    letters = "abcdeilos015$3-"
+    targets = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(60)] + ["@s/lodash", "Express"]
+    names = []
+    for t in targets:
+        for _ in range(6):
+            n = list(t)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(n) + 1)
+                n[at : at + rng.randint(0, 1)] = rng.choice(["", rng.choice(letters)])
+            names.append("".join(n) or "x")
+    names = sorted(set(names + targets + ["@o/" + t for t in targets[:10]]))
+    frame = spark.createDataFrame([(n,) for n in names], "name string")
+    protected = spark.createDataFrame([(t,) for t in targets], "name string")
+    of = lambda df, *cols: sorted(tuple(r) for r in df.select(*cols).distinct().collect())
+    columns = ("name", "target_package", "edit_distance", "similarity", "typosquat_type")
+    inline = typosquat.detect_typosquats(frame, sorted(set(targets)), all_matches=True)
+    assert of(typosquat.typosquats_of_table(frame, protected), *columns) == of(inline, *columns)
+    pairs = ("suspicious_package", "legitimate_package", "typosquat_type")
+    listed = typosquat.typosquat_pairs(frame, sorted(set(targets)))
+    assert of(typosquat.typosquat_pairs_of_table(frame, protected), *pairs) == of(listed, *pairs)
