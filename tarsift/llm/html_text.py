@@ -38,8 +38,8 @@ from tarsift.session import ship_with_tasks
 
 SAMPLE = 300
 LONGEST = 100_000
-EPOCHS = 6
-VARIANTS = 4
+EPOCHS = 7
+VARIANTS = 6
 HIDDEN = 20
 PATH_PLACES = 256
 WORD_PLACES = 24
@@ -92,15 +92,30 @@ OTHER_PLACES = {
     "comments": ("div.comments", "section.comments", "div.comment", "ol.comments", "ul.commentlist", "div.discussion",
                  "div.replies", "div.reply", "div.disqus", "article.comment", "li.comment", "section.responses",
                  "div.reader"),
-    "share": ("div.share", "div.social", "div.tags", "div.meta", "div.byline", "div.pagination", "div.pager"),
+    "share": ("div.share", "div.social", "div.tag", "div.meta", "div.byline", "div.pagination", "div.pager"),
     "head": ("title", "head"),
 }
+#: Words that stand beside those in real names (site-nav, post-comments, ad-slot) and mean nothing.
+FILLERS = ("site", "main", "post", "box", "list", "bar", "wrap", "inner", "block", "area", "top", "container", "slot", "item")
+
+
+def stem(word: str) -> str:
+    """A class word without a plural's s: comments and comment are one name."""
+    return word[:-1] if len(word) > 2 and word.endswith("s") else word
+
+
+def stemmed(place: str) -> str:
+    tag, *words = place.split(".")
+    return ".".join([tag, *map(stem, words)])
+
+
+OTHER_PLACES = {kind: tuple(map(stemmed, places)) for kind, places in OTHER_PLACES.items()}
 OTHER_NAMES = frozenset(
     part
     for places in OTHER_PLACES.values()
     for place in places
     for part in place.split(".")
-    if part not in ("div", "section", "article", "ul", "ol", "li", "site", "ins")
+    if part not in ("div", "section", "article", "ul", "ol", "li", "ins", *FILLERS)
 )
 
 
@@ -175,7 +190,7 @@ def blocks_of(page: str) -> list[Block]:
 @lru_cache(maxsize=4096)
 def named(tag: str, attributes: str) -> str:
     """The tag, and the words of its class, id and role."""
-    words = [p for found in NAMES.findall(attributes) for p in PARTS.findall("".join(found).lower())]
+    words = [stem(p) for found in NAMES.findall(attributes) for p in PARTS.findall("".join(found).lower())]
     return ".".join([tag, *words]) if words else tag
 
 
@@ -325,6 +340,8 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
     """The page under other names: its article's container, and more surroundings in and around it."""
     labels = [markup_says(b) for b in blocks]
     place = MAIN_PLACES[rng.integers(len(MAIN_PLACES))]
+    if rng.random() < 0.3:
+        place = f"{place}.{FILLERS[rng.integers(len(FILLERS))]}"
     wrap = ("html", "body", *(["div.page"] if rng.random() < 0.3 else []))
     inner = ((), (), ("section",), ("div",), ("div.body",))[rng.integers(5)]
     out, marks = [], []
@@ -337,6 +354,8 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
         options = OTHER_PLACES[kind]
         outer = (*wrap, place, *inner) if inside else wrap
         name = options[rng.integers(len(options))]
+        if "." in name and rng.random() < 0.4:
+            name = f"{name}.{FILLERS[rng.integers(len(FILLERS))]}"
         leaf = (("p",), ("div",), (), ("ul", "li"), ("h2",), ("h3",), ("blockquote", "p"))[rng.integers(7)]
         for _ in range(rng.integers(1, 5)):
             source = blocks[rng.integers(len(blocks))]
@@ -352,10 +371,10 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
             leaf = block.path[-1].split(".")[0] if block.path else "p"
             if leaf == "p" and rng.random() < 0.15:
                 leaf = ("h2", "h3", "blockquote", "pre", "figcaption", "td")[rng.integers(6)]
-            nested = ("ul", "li") if rng.random() < 0.05 else (leaf,)
+            nested = ("ul", "li") if rng.random() < 0.15 else (leaf,)
             out.append(Block((*wrap, place, *inner, *nested), block.text, block.links))
             marks.append(True)
-            if rng.random() < 0.04:
+            if rng.random() < 0.07:
                 surrounding(True)
         elif keep_own or "title" in block.path or rng.random() < 0.5:
             out.append(block)
