@@ -43,11 +43,11 @@ PAIRS = 1 << 20
 ONES = U64(0x0101010101010101)
 
 
-def simhash(text: bytes, shingle: int) -> int:
-    """The fingerprint of one text: bits set in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The hashes of one text's word shingles, repeated ones too."""
     found = text.lower().split()
     if not found:
-        return 0
+        return np.zeros(0, np.uint64)
     line = b" ".join(found)
     size = np.fromiter(map(len, found), np.int64, len(found))
     end = np.cumsum(size + 1) - 1
@@ -55,9 +55,16 @@ def simhash(text: bytes, shingle: int) -> int:
     n = max(1, len(found) - shingle + 1)
     of = xxhash.xxh64_intdigest
     last = end[min(shingle, len(found)) - 1 :]
-    hashes = np.fromiter(
+    return np.fromiter(
         (of(line[a:b], 42) for a, b in zip(start[:n].tolist(), last.tolist(), strict=True)), np.uint64, n
     )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Bits set in over half of the hashes."""
+    n = len(hashes)
+    if not n:
+        return 0
     cuts = np.arange(0, n, LANES)
     value = 0
     for bit in range(8):
@@ -68,6 +75,11 @@ def simhash(text: bytes, shingle: int) -> int:
     return value
 
 
+def simhash(text: bytes, shingle: int) -> int:
+    """The fingerprint of one text: bits set in over half of the shingles' hashes."""
+    return majority(shingle_hashes(text, shingle))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a long, for each row."""
 
@@ -270,12 +282,17 @@ def one_of_each(docs: DataFrame, shingle: int, radius: int, segments: int) -> Da
     Rows with one doc_id are one document, of which one row stays (the smallest hash of its
     text). Rows without doc_id stay.
     """
+    seen = docs.select("doc_id", "text")
+    near = near_duplicates(seen, shingle, radius, segments)
+    return smallest_rows(docs, near)
+
+
+def smallest_rows(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is a component_id of near, one for each; and those without doc_id."""
     names = docs.columns
     hidden = [f"c{k}" for k in range(len(names))]
     frame = docs.toDF(*hidden)
     doc_id, text = hidden[names.index("doc_id")], hidden[names.index("text")]
-    seen = frame.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    near = near_duplicates(seen, shingle, radius, segments)
     stays = near.where("doc_id = component_id").select(F.col("doc_id").alias("id")).distinct()
     first = Window.partitionBy("id").orderBy(F.xxhash64(text))
     kept = (
