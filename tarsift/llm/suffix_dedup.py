@@ -6,22 +6,27 @@ that occur twice can lie in a repeated string, so the suffix structures are buil
 suffixes that begin at those anchors, not over all suffixes:
 
 1. `anchors`: one pass over the texts; per bucket of anchor hashes one packed row of
-   (anchor, hash of its surroundings, doc_id, place).
+   (anchor, hash of its surroundings, doc_id, place). Of the occurrences in a batch with equal
+   surroundings only the earliest goes there; the others are known to be later.
 2. `repeated_anchors`: a bucket keeps anchors that occur more than once. Occurrences with equal
    surroundings are one weighted string: all but the first are covered whole, the first stands
    for them.
-3. `surroundings`: the bytes around the remaining anchors.
+3. `surroundings`: the bytes around the remaining anchors. Of an anchor with more than HOT kinds
+   of surroundings, instead, a 96-bit hash of each string of `length` bytes that holds it, by
+   buckets of that hash.
 4. `repeats`: per bucket, shards of sorted suffixes with their preceding bytes (the transform's
    column) are merged by interleave refinement: the merged order starts as the shards after one
    another; each round splits the blocks by the next eight bytes, shards keep their own order,
    and blocks of one shard or one suffix are left alone. The round in which a border appears
    gives the common prefix of its neighbours. Then the column of preceding bytes extends all
    intervals backwards, one byte a step; an interval whose left and right parts reach the length
-   is a repeated string, and all its places but the first are covered.
+   is a repeated string, and all its places but the first are covered. The strings of hot anchors
+   are grouped by their hashes.
 5. `remove`: the covered ranges of each document meet its text.
 
-Nothing of this is gathered in one place: hot strings collapse to their distinct surroundings
-on both sides of the shuffle, and an anchor with many of these is dealt out by window offset.
+Equal strings collapse on both sides of the shuffle. The bytes and strings of a hot anchor are
+dealt out by content, to as many buckets as there are; step 2 alone has all kinds of surroundings
+of one anchor in one task, at 28 bytes each.
 
 Rows with null text count as empty. Rows without doc_id are kept unchanged. doc_id names a
 document: rows that repeat one repeat its text and get equal results, none is earlier than the
@@ -55,6 +60,7 @@ from tarsift.llm.common import (
     text_bytes,
     unpack,
 )
+from tarsift.llm.window_dedup import merged
 from tarsift.session import ship_with_tasks
 
 LENGTH = 100
@@ -63,13 +69,15 @@ GRAM = 32
 BUCKET_BYTES = 4 << 20
 #: Suffixes of one shard.
 SHARD = 4096
-#: Distinct surroundings of one anchor beyond which its window offsets are dealt out.
+#: Distinct surroundings of one anchor beyond which its strings are dealt out by their hashes.
 HOT = 4096
-#: Window offsets that one part of a hot anchor deals with.
-HOT_OFFSETS = 9
+#: What a packed row of step 3 holds: surroundings, hashes of a hot anchor's strings, known ranges.
+PLAIN, STRINGS, RANGES = range(3)
 NEVER = (1 << 64) - 1
 #: 48 bits of an anchor's hash (its bucket knows more) and of its surroundings', doc_id, place.
 KINDS = ("u4", "u2", "u4", "u2", "i8", "i4")
+#: Two hashes of a string, doc_id, where it starts.
+STRING_KINDS = ("u8", "u4", "i8", "i4")
 
 
 def find_anchors(data: np.ndarray, at: np.ndarray, length: int, gram: int):
@@ -100,7 +108,30 @@ def halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h.astype(np.uint32), (h >> U64(32)).astype(np.uint16)
 
 
+def labelled(batch: pa.RecordBatch, name: str, value: int) -> pa.RecordBatch:
+    """bucket, the named column with one value, packed."""
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(np.full(len(batch), value, np.int32)), batch.column(1)], ["bucket", name, "packed"]
+    )
+
+
+def earliest(names: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows that are the first (doc, place) of their name, one for each; and rows that are later."""
+    order = np.argsort(names[0], kind="stable")
+    new = runs(*(c[order] for c in names))
+    many = ~(new & np.append(new[1:], True)) if len(new) else new
+    single, order = order[~many], order[many]
+    order = order[np.lexsort((place[order], doc[order], *(c[order] for c in names[::-1])))]
+    new = runs(*(c[order] for c in names))
+    first = order[new][np.cumsum(new) - 1] if len(order) else order
+    later = (doc[order] != doc[first]) | (place[order] != place[first])
+    return np.concatenate((single, order[new])), order[later]
+
+
 def anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Per bucket, packed: kind 0, the occurrences, one for each batch, anchor and surroundings;
+    kind 1 (doc_id, place), those that the batch has earlier with equal surroundings."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, at = flat(batch.column(1))
@@ -111,9 +142,13 @@ def anchors(docs: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
                 found.append((gram_hash, around, ids[a + row], place.astype(np.int32)))
             if found:
                 gram_hash, around, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
-                yield by_bucket(bucket_of(gram_hash, buckets), [*halves(gram_hash), *halves(around), doc, place])
+                i, later = earliest([around, gram_hash], doc, place)
+                own = [*halves(gram_hash[i]), *halves(around[i]), doc[i], place[i]]
+                yield labelled(by_bucket(bucket_of(gram_hash[i], buckets), own), "kind", 0)
+                whose = doc[later]
+                yield labelled(by_bucket(bucket_of(whose.astype(np.uint64), buckets), [whose, place[later]]), "kind", 1)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "bucket int, packed binary")
+    return docs.select("doc_id", "text").mapInArrow(scan, "bucket int, kind int, packed binary")
 
 
 def repeated_anchors(packed: DataFrame, length: int, gram: int) -> DataFrame:
@@ -125,7 +160,11 @@ def repeated_anchors(packed: DataFrame, length: int, gram: int) -> DataFrame:
     """
 
     def reduce(table: pa.Table) -> pa.Table:
-        low, high, low_around, high_around, doc, place = unpack(table["packed"].to_pylist(), KINDS)
+        kind, blobs = table["kind"].to_pylist(), table["packed"].to_pylist()
+        known_doc, known_place = unpack([b for b, k in zip(blobs, kind, strict=True) if k], ("i8", "i4"))
+        low, high, low_around, high_around, doc, place = unpack(
+            [b for b, k in zip(blobs, kind, strict=True) if not k], KINDS
+        )
         anchor = low.astype(np.uint64) | high.astype(np.uint64) << U64(32)
         around = low_around.astype(np.uint64) | high_around.astype(np.uint64) << U64(32)
         order = np.lexsort((place, doc, around, anchor))
@@ -139,14 +178,14 @@ def repeated_anchors(packed: DataFrame, length: int, gram: int) -> DataFrame:
         wanted = new_class & (classes > 1)
         keep = later | wanted
         bucket = table["bucket"][0].as_py()
-        n = int(keep.sum())
+        n, known = int(keep.sum()), np.zeros(len(known_doc), bool)
         return pa.table(
             {
-                "doc_id": doc[keep],
-                "place": place[keep],
-                "first": wanted[keep],
-                "bucket": np.full(n, bucket, np.int32),
-                "hot": (classes[keep] > HOT),
+                "doc_id": np.concatenate((doc[keep], known_doc)),
+                "place": np.concatenate((place[keep], known_place)),
+                "first": np.concatenate((wanted[keep], known)),
+                "bucket": np.full(n + len(known), bucket, np.int32),
+                "hot": np.concatenate((classes[keep] > HOT, known)),
             }
         )
 
@@ -155,8 +194,10 @@ def repeated_anchors(packed: DataFrame, length: int, gram: int) -> DataFrame:
     )
 
 
-def surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
-    """Per bucket and part, packed: left and right sizes, doc_id, place; and the bytes."""
+def surroundings(joined: DataFrame, buckets: int, length: int, gram: int) -> DataFrame:
+    """Per bucket, packed. PLAIN: left and right sizes, doc_id, place; and the bytes. Of hot anchors
+    STRINGS: two hashes, doc_id and start, one for each batch and string; RANGES: doc_id, start and
+    end of what the batch has earlier."""
     reach = length - gram
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,20 +210,36 @@ def surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
             ids = batch.column("id").to_numpy(zero_copy_only=False)
             take = np.flatnonzero(first)
             of, place, bucket, hot = of[take], place[take].astype(np.int64), bucket[take], hot[take]
-            # (part, least offset, most offset) of each string; ordinary anchors have one part.
-            parts = [(np.flatnonzero(~hot), 0, 0, reach)] + [
-                (np.flatnonzero(hot), 1 + k, o, min(reach, o + HOT_OFFSETS - 1))
-                for k, o in enumerate(range(0, reach + 1, HOT_OFFSETS))
-            ]
-            for some, part, low, high in parts:
-                for c in range(0, len(some), 1 << 14):
-                    i = some[c : c + (1 << 14)]
-                    j = at[of[i]] + place[i]
-                    left = np.minimum(place[i], high).astype(np.int16)
-                    right = (np.minimum(at[of[i] + 1], j + length - low) - j).astype(np.int16)
-                    yield strings(data, j, left, right, high, length - low, bucket[i], part, ids[of[i]], place[i])
-
-    def strings(data, j, left, right, most_left, most_right, bucket, part, doc, place):
+            some = np.flatnonzero(~hot)
+            for c in range(0, len(some), 1 << 14):
+                i = some[c : c + (1 << 14)]
+                j = at[of[i]] + place[i]
+                left = np.minimum(place[i], reach).astype(np.int16)
+                right = (np.minimum(at[of[i] + 1], j + length) - j).astype(np.int16)
+                yield strings(data, j, left, right, reach, length, bucket[i], ids[of[i]], place[i])
+            if hot.any():
+                yield from hashed(data, at, ids, of[hot], place[hot])
+
+    def hashed(data, at, ids, of, place) -> Iterator[pa.RecordBatch]:
+        for a, b in chunks(data, at):
+            own = (of >= a) & (of < b)
+            if not own.any():
+                continue
+            sums = [prefix_sums(data[at[a] : at[b]], k) for k in range(2)]
+            # Each place where a string that holds the anchor starts, once for each row of docs.
+            row = np.repeat(of[own], reach + 1)
+            start = np.repeat(place[own], reach + 1) - np.tile(np.arange(reach + 1), int(own.sum()))
+            inside = (start >= 0) & (start + length <= (at[1:] - at[:-1])[row])
+            row, start = row[inside], start[inside]
+            i = at[row] - at[a] + start
+            h0, h1 = (range_hash(sums[k], i, i + length, k) for k in range(2))
+            h1, doc, start = h1.astype(np.uint32), ids[row], start.astype(np.int32)
+            i, later = earliest([h0, h1], doc, start)
+            yield labelled(by_bucket(bucket_of(h0[i], buckets), [h0[i], h1[i], doc[i], start[i]]), "part", STRINGS)
+            low, high, whose = merged(doc[later], start[later].astype(np.int64), length)
+            yield labelled(by_bucket(bucket_of(whose.astype(np.uint64), buckets), [whose, low, high]), "part", RANGES)
+
+    def strings(data, j, left, right, most_left, most_right, bucket, doc, place):
         span = np.arange(-most_left, most_right)
         inside = (span >= -left[:, None]) & (span < right[:, None])
         index = np.clip(j[:, None] + span, 0, max(0, len(data) - 1))
@@ -196,7 +253,7 @@ def surroundings(joined: DataFrame, length: int, gram: int) -> DataFrame:
             names.append(bucket[k[0]])
         n = len(names)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.array(names, np.int32)), pa.array(np.full(n, part, np.int32)), pa.array(blobs, pa.binary())],
+            [pa.array(np.array(names, np.int32)), pa.array(np.full(n, PLAIN, np.int32)), pa.array(blobs, pa.binary())],
             ["bucket", "part", "packed"],
         )
 
@@ -258,10 +315,16 @@ def repeats(context: DataFrame, length: int, gram: int) -> DataFrame:
 
     def reduce(table: pa.Table) -> pa.Table:
         part = table["part"][0].as_py()
-        low, high = (0, reach) if part == 0 else ((part - 1) * HOT_OFFSETS, min(reach, part * HOT_OFFSETS - 1))
-        wide = high + length - low
         blobs = table["packed"].to_pylist()
         del table
+        if part == STRINGS:
+            h0, h1, doc, start = unpack(blobs, STRING_KINDS)
+            _, later = earliest([h0, h1], doc, start)
+            start, end, whose = merged(doc[later], start[later].astype(np.int64), length)
+            return pa.table({"doc_id": whose, "start": start, "end": end})
+        if part == RANGES:
+            return pa.table(dict(zip(("doc_id", "start", "end"), unpack(blobs, ("i8", "i4", "i4")), strict=True)))
+        wide = reach + length
         left, right, doc, place, body = [], [], [], [], []
         for blob in blobs:
             n = len(blob) // (16 + wide)
@@ -271,7 +334,7 @@ def repeats(context: DataFrame, length: int, gram: int) -> DataFrame:
         left, right, doc, place = map(np.concatenate, (left, right, doc, place))
         body = np.concatenate(body)
         del blobs
-        low_cut, high_cut = backward(left, right, doc, place, body, low, high)
+        low_cut, high_cut = backward(left, right, doc, place, body)
         hit = np.flatnonzero(high_cut >= 0)
         return pa.table(
             {
@@ -281,9 +344,10 @@ def repeats(context: DataFrame, length: int, gram: int) -> DataFrame:
             }
         )
 
-    def backward(left, right, doc, place, body, low, high):
+    def backward(left, right, doc, place, body):
         """Least and most offset of the windows that an earlier place has, by suffix; -1: none."""
-        n, most_right = len(left), body.shape[1] - high
+        n, high = len(left), reach
+        most_right = body.shape[1] - high
         padded = np.zeros((n, -(-most_right // 8) * 8), np.uint8)
         padded[:, :most_right] = body[:, high:]
         words = padded.view(">u8").astype(np.uint64)
@@ -303,8 +367,6 @@ def repeats(context: DataFrame, length: int, gram: int) -> DataFrame:
                 key = block[live] * 256 + body[live, high - o]
                 _, block_live = np.unique(key, return_inverse=True)
                 block[live] = block_live
-            if o < low:
-                continue
             interval = np.cumsum(common < length - o)
             some = live[right[live] >= length - o]
             if len(some) < 2:
@@ -339,7 +401,7 @@ def covered_ranges(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     # alias, and the exchanges would no longer be equal.
     texts = keyed.withColumnRenamed("doc_id", "id")
     marked = texts.join(per_doc.hint("shuffle_hash"), F.col("id") == F.col("of"), "left").drop("of")
-    context = surroundings(marked.where("exists(marks, m -> m.first)"), length, gram)
+    context = surroundings(marked.where("exists(marks, m -> m.first)"), buckets, length, gram)
     cut = (
         repeats(context, length, gram)
         .groupBy(F.col("doc_id").alias("of"))

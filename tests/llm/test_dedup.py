@@ -186,3 +186,44 @@ def test_empty_tables(no_docs):
     assert window_dedup.dedup_windows(no_docs).count() == 0
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
     assert simhash_dedup.one_of_each(no_docs, 5, 7, 4).count() == 0
+
+
+def with_phrase(phrase, documents):
+    """Documents with one phrase in words that no other has; every tenth is the one before again."""
+    texts = [" ".join([*(f"a{k}x{j}" for j in range(30)), phrase, *(f"b{k}x{j}" for j in range(30))]) for k in range(documents)]
+    return [(k, texts[k - (k % 10 == 9)]) for k in range(documents)]
+
+
+def largest_share(rows, of=lambda r: (r.bucket,)):
+    sizes = Counter()
+    for r in rows:
+        sizes[of(r)] += len(r.packed)
+    return max(sizes.values()) / sum(sizes.values())
+
+
+def test_hot_anchor_is_dealt_out(spark, monkeypatch):
+    """A phrase below the length, in other surroundings each time: no task gets it all."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 16)
+    rows = with_phrase("a license line of some seventy bytes that is in every one of them", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    context, whole = [], suffix_dedup.repeats
+
+    def seen(frame, length, gram):
+        context.extend(frame.collect())
+        return whole(frame, length, gram)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", seen)
+    found = suffix_dedup.dedup_repeats(docs).collect()
+    want = without_strings(rows)
+    assert {(r.doc_id, r.n_removed, bytes(r.kept)) for r in found} == {(i, n, b) for (i, _), (n, _, b) in want.items()}
+    assert largest_share(context, lambda r: (r.bucket, r.part)) < 0.05
+
+
+def test_equal_surroundings_meet_before_the_shuffle(spark):
+    text = with_phrase("some words", 1)[0][1]
+    sizes = []
+    for copies in (1, 50):
+        docs = spark.createDataFrame([(k, text) for k in range(copies)], "doc_id long, text string").coalesce(1)
+        found = suffix_dedup.anchors(docs, 8, 100, 32).collect()
+        sizes.append(sum(len(r.packed) for r in found if r.kind == 0))
+    assert sizes[0] == sizes[1] > 0
