@@ -161,17 +161,18 @@ def windows_of(joined: DataFrame, buckets: int, window: int, gram: int) -> DataF
                 flagged = sliding(flagged, window - gram + 1, np.minimum, NEVER)
                 i = np.flatnonzero(w.valid & (flagged == w.least))
                 h0, h1 = w.keys(i, window)
-                found.append((h0, h1.astype(np.uint32), w.least[i], ids[a + w.row[i]], w.place[i].astype(np.int32)))
+                found.append((h0, h1.astype(np.uint32), ids[a + w.row[i]], w.place[i].astype(np.int32)))
             if not found:
                 continue
-            h0, h1, anchor, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
+            h0, h1, doc, place = (np.concatenate(c) for c in zip(*found, strict=True))
             order = np.lexsort((place, doc, h1, h0))
-            h0, h1, anchor, doc, place = h0[order], h1[order], anchor[order], doc[order], place[order]
+            h0, h1, doc, place = h0[order], h1[order], doc[order], place[order]
             new = runs(h0, h1)
             least = doc[new][np.cumsum(new) - 1] if len(doc) else doc
             here = doc > least
             start, end, whose = merged(doc[here], place[here].astype(np.int64), window)
-            yield kinds(0, by_bucket(bucket_of(anchor[~here], buckets), [x[~here] for x in (h0, h1, doc, place)]))
+            # By the window, not by its gram: a frequent phrase has other windows in each document.
+            yield kinds(0, by_bucket(bucket_of(h0[~here], buckets), [x[~here] for x in (h0, h1, doc, place)]))
             yield kinds(1, by_bucket(bucket_of(whose.astype(np.uint64), buckets), [whose, start, end]))
 
     def kinds(kind: int, batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -227,3 +227,18 @@ def test_equal_surroundings_meet_before_the_shuffle(spark):
         found = suffix_dedup.anchors(docs, 8, 100, 32).collect()
         sizes.append(sum(len(r.packed) for r in found if r.kind == 0))
     assert sizes[0] == sizes[1] > 0
+
+
+def test_windows_of_a_hot_gram_are_dealt_out(spark, monkeypatch):
+    rows = with_phrase("six words that every document has", 300)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    packed, whole = [], window_dedup.repeated_windows
+
+    def seen(frame, window):
+        packed.extend(frame.where("kind = 0").collect())
+        return whole(frame, window)
+
+    monkeypatch.setattr(window_dedup, "repeated_windows", seen)
+    found = {r.doc_id: r.n_removed for r in window_dedup.dedup_windows(docs).collect()}
+    assert found == {k: 66 if k % 10 == 9 else 0 for k, _ in rows}
+    assert largest_share(packed) < 0.05
