@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tarsift.llm.common import chunks, flat
 from tarsift.session import ship_with_tasks
 
 SAMPLE = 300
@@ -45,8 +46,11 @@ PATH_PLACES = 256
 WORD_PLACES = 24
 MEASURES = 8
 WIDTH = PATH_PLACES + WORD_PLACES + MEASURES
-#: Pages whose blocks are labelled together.
+#: Pages whose blocks are labelled together, their bytes (or one page), and the blocks, with
+#: padding, of one array; a page with more blocks is labelled in pieces.
 TOGETHER = 256
+TOGETHER_BYTES = 1 << 20
+CELLS = 1 << 15
 
 # HTML's block-level elements, those without an end tag, and what closes what.
 BLOCKS = frozenset(
@@ -206,10 +210,12 @@ def path_places(path: tuple[str, ...]) -> np.ndarray:
     return np.array(sorted(found), np.int64)
 
 
-def vectors(blocks: list[Block]) -> np.ndarray:
-    out = np.zeros((len(blocks), WIDTH), np.float32)
-    for k, block in enumerate(blocks):
-        text, row = block.text, out[k]
+def vectors(blocks: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
+    """Of the blocks of a page, or of some of them."""
+    some = blocks[first:end]
+    out = np.zeros((len(some), WIDTH), np.float32)
+    for k, block in enumerate(some, first):
+        text, row = block.text, out[k - first]
         row[path_places(block.path)] = 1
         some = text.split()
         places = np.bincount([word_place(word) for word in some], minlength=WORD_PLACES)
@@ -250,11 +256,16 @@ class Labeller:
         w["ob"] = np.zeros(1, np.float32)
         return cls(w)
 
-    def run(self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (steps, pages, HIDDEN); x: (steps, pages, WIDTH)."""
+    def run(
+        self, way: str, x: np.ndarray, mask: np.ndarray, keep: list | None = None, state: list | None = None
+    ) -> np.ndarray:
+        """Hidden states (steps, pages, HIDDEN); x: (steps, pages, WIDTH). state: where the piece
+        before ended (empty: none), and then where this one did."""
         w, (steps, pages) = self.weights, mask.shape
         ready = x @ w[way + "x"] + w[way + "b"]
         h, c = np.zeros((pages, HIDDEN), np.float32), np.zeros((pages, HIDDEN), np.float32)
+        if state:
+            h, c = state
         out = np.zeros((steps, pages, HIDDEN), np.float32)
         for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
             z = ready[t] + h @ w[way + "h"]
@@ -267,22 +278,37 @@ class Labeller:
             c = np.where(live, new, c)
             h = np.where(live, o * np.tanh(new), h)
             out[t] = h
+        if state is not None:
+            state[:] = h, c
         return out
 
     def chances(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """Chance of main text, by page and block."""
         order = sorted(range(len(pages)), key=lambda k: len(pages[k]))
         out: list[np.ndarray] = [np.zeros(0)] * len(pages)
-        for a in range(0, len(order), 64):
-            some = [k for k in order[a : a + 64] if len(pages[k])]
-            if some:
-                x, mask = padded([pages[k] for k in some])
-                both = np.concatenate((self.run("f", x, mask), self.run("b", x, mask)), axis=2)
-                chance = sigmoid(both @ self.weights["out"] + self.weights["ob"])[:, :, 0]
-                for j, k in enumerate(some):
-                    out[k] = chance[: len(pages[k]), j]
+        for some in grouped([len(p) for p in pages], order):
+            x, mask = padded([pages[k] for k in some])
+            both = np.concatenate((self.run("f", x, mask), self.run("b", x, mask)), axis=2)
+            chance = sigmoid(both @ self.weights["out"] + self.weights["ob"])[:, :, 0]
+            for j, k in enumerate(some):
+                out[k] = chance[: len(pages[k]), j]
         return out
 
+    def chances_of(self, pages: list[list[Block]]) -> list[np.ndarray]:
+        """As chances, from the blocks; never more than CELLS vectors of one page at once."""
+        short = iter(self.chances([vectors(b) for b in pages if len(b) <= CELLS]))
+        return [next(short) if len(b) <= CELLS else self.in_pieces(b) for b in pages]
+
+    def in_pieces(self, blocks: list[Block]) -> np.ndarray:
+        both = np.zeros((len(blocks), 2 * HIDDEN), np.float32)
+        cuts = range(0, len(blocks), CELLS)
+        for way, order, at in (("f", cuts, 0), ("b", reversed(cuts), HIDDEN)):
+            state: list = []
+            for a in order:
+                x = vectors(blocks, a, a + CELLS)[:, None]
+                both[a : a + len(x), at : at + HIDDEN] = self.run(way, x, np.ones(x.shape[:2], bool), state=state)[:, 0]
+        return sigmoid(both @ self.weights["out"] + self.weights["ob"])[:, 0]
+
     def gradients(self, pages: list[np.ndarray], labels: list[np.ndarray]) -> dict[str, np.ndarray]:
         """Of the mean cross-entropy, by backpropagation through time."""
         w = self.weights
@@ -320,6 +346,19 @@ class Labeller:
         return grad
 
 
+def grouped(sizes: list[int], order: list[int]) -> Iterator[list[int]]:
+    """The pages with blocks, in this order (shortest first): at most 64, and CELLS padded blocks or one page."""
+    some: list[int] = []
+    for k in order:
+        if some and (len(some) == 64 or (len(some) + 1) * sizes[k] > CELLS):
+            yield some
+            some = []
+        if sizes[k]:
+            some.append(k)
+    if some:
+        yield some
+
+
 def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     steps = max(map(len, pages))
     x = np.zeros((steps, len(pages), pages[0].shape[1]), np.float32)
@@ -400,6 +439,8 @@ def train(pages: list[str], seed: int = 11) -> Labeller:
             if some:
                 xs.append(vectors(some))
                 ys.append(marks)
+    if not xs:  # nothing to learn from: every chance is 0.5, and pages keep all their text
+        return Labeller({k: np.zeros_like(v) for k, v in labeller.weights.items()})
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in labeller.weights.items()}
     step = 0
     for epoch in range(EPOCHS):
@@ -421,12 +462,14 @@ def train(pages: list[str], seed: int = 11) -> Labeller:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
-    """The labeller from about `sample` pages, chosen by a hash of page_id."""
+    """The labeller from about `sample` pages, chosen by a hash of page_id; of longer ones it learns from the beginning."""
     total = pages.count()
     uniform = F.pmod(F.xxhash64(F.lit("page"), F.col("page_id").cast("long")), F.lit(1 << 30)) / float(1 << 30)
     rows = (
-        pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-        .where(F.col("html").isNotNull() & (F.octet_length("html") <= LONGEST))
+        pages.select(
+            F.col("page_id").cast("long").alias("page_id"), F.substring(F.col("html").cast("string"), 1, LONGEST).alias("html")
+        )
+        .where(F.col("html").isNotNull())
         .withColumn("page_id", F.coalesce("page_id", F.lit(0)))
         .where(uniform < min(1.0, sample / max(1, total)))
         .limit(2 * sample)
@@ -443,10 +486,9 @@ def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = shared.value
         for whole in batches:
-            for a in range(0, len(whole), TOGETHER):
-                batch = whole.slice(a, TOGETHER)
+            for batch in slices(whole):
                 found = [blocks_of(t or "") for t in batch.column(2).to_pylist()]
-                chances = labeller.chances([vectors(b) for b in found])
+                chances = labeller.chances_of(found)
                 kept = [
                     [b.text for b, chance in zip(own, by, strict=True) if chance >= 0.5]
                     for own, by in zip(found, chances, strict=True)
@@ -462,6 +504,12 @@ def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
                     ["page_id", "url", "text", "n_blocks", "n_main"],
                 )
 
+    def slices(whole: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        at = flat(whole.column(2))[1]
+        for a, b in chunks(np.zeros(0, np.uint8), at, TOGETHER_BYTES):
+            for k in range(a, b, TOGETHER):
+                yield whole.slice(k, min(TOGETHER, b - k))
+
     chosen = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
         F.col("url").cast("string").alias("url"),

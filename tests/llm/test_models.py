@@ -337,3 +337,39 @@ def test_probes_guarantee_the_radius():
         for b in bits:
             value ^= 1 << int(b)
         assert items.within(len(items.grams[0]), value, 20) == ([0] if len(bits) <= 20 else [])
+
+
+def test_long_page_does_not_widen_the_others(monkeypatch):
+    """Arrays stay within the budget of blocks, or hold one page; a longer page goes in pieces."""
+    model, sizes, pad = html_text.Labeller.fresh(), [], html_text.padded
+    rng = np.random.default_rng(2)
+    pages = [rng.random((n, html_text.WIDTH)).astype(np.float32) for n in (0, 3, 700, 5, 4, 9)]
+    want = [model.chances([p])[0] for p in pages]
+
+    def recorded(some):
+        x, mask = pad(some)
+        sizes.append(mask.size)
+        return x, mask
+
+    monkeypatch.setattr(html_text, "CELLS", 40)
+    monkeypatch.setattr(html_text, "padded", recorded)
+    for a, b in zip(model.chances(pages), want, strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    assert max(sizes) == 700 and sum(sizes) < 760
+    blocks = [html_text.Block(("html", "body", "p"), f"word {k} and more.", 0) for k in range(130)]
+    (whole,) = model.chances([html_text.vectors(blocks)])
+    for got in model.chances_of([blocks[:7], blocks])[1:]:
+        assert np.allclose(got, whole, atol=1e-5)
+
+
+def test_labeller_without_short_pages(spark):
+    """Long pages are learnt from; where there is nothing to learn, pages keep all their text."""
+    page = "<html><body><nav><ul><li>Home</li></ul></nav><article>{}</article><footer><p>All rights</p></footer></body></html>"
+    rows = [(k, "u", page.format(f"<p>{'A long sentence of the article. ' * 400}</p>" * 9)) for k in range(4)]
+    schema = "page_id long, url string, html string"
+    assert min(len(r[2]) for r in rows) > html_text.LONGEST
+    model = html_text.fit(spark.createDataFrame(rows, schema))
+    assert not np.array_equal(model.weights["out"], html_text.Labeller.fresh().weights["out"])
+    nothing = html_text.fit(spark.createDataFrame([(1, "u", ""), (2, "u", None)], schema))
+    (found,) = html_text.main_text(spark.createDataFrame([(1, "u", page.format("<p>Text</p>"))], schema), nothing).collect()
+    assert found.text == "Home\nText\nAll rights" and found.n_main == found.n_blocks
