@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarsift.llm import (
+    conversation_repair,
     decontamination,
     fingerprint,
     html_text,
@@ -14,7 +17,9 @@ from tarsift.llm import (
     quality,
     simhash_dedup,
     suffix_dedup,
+    token_alignment,
     token_counts,
+    vector_dedup,
     window_dedup,
 )
 from tarsift.llm.common import held_out
@@ -95,6 +100,30 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, folder, "embeddings"), least_cosine=0.93)
+
+
+def file_bytes(spark: SparkSession, path: str) -> bytes:
+    return bytes(spark.read.format("binaryFile").load(path).select("content").first()[0])
+
+
+def op12_token_alignment(
+    spark: SparkSession, folder: str, a_file: str | None = None, b_file: str | None = None
+) -> DataFrame:
+    """a_file, b_file: paths that Spark can read; none: the installed public tokenizers' files."""
+    import public_tokenizers
+
+    contents = []
+    for path, name in ((a_file, "byte_bpe_50k.json"), (b_file, "piece_bpe_32k.model")):
+        contents.append(file_bytes(spark, path) if path else Path(public_tokenizers.path(name)).read_bytes())
+    return token_alignment.alignment(table(spark, folder, "documents"), *contents)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_repair.repair(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
@@ -108,6 +137,9 @@ QUERIES = {
         op8_html_extraction,
         op9_benchmark_decontamination,
         op10_language_id,
+        op11_embedding_near_dedup,
+        op12_token_alignment,
+        op13_conversation_repair,
     )
 }
 #: The others are held against brute force, held-out labels or an exact rule in tests/llm.
