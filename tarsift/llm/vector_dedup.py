@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarsift.llm.common import bucket_count, stored
+from tarsift.llm.common import bucket_count, flat, stored
 from tarsift.llm.simhash_dedup import components, forest
 from tarsift.session import ship_with_tasks
 
@@ -38,10 +38,10 @@ from tarsift.session import ship_with_tasks
 SAMPLE = 20000
 CELLS = 4096
 #: Vectors of the largest label for each cell.
-PER_CELL = 64
+PER_CELL = 512
 ROUNDS = 12
 #: Mean projections of a pair's difference that the bound on visits allows for.
-REACH = 4.0
+REACH = 3.0
 #: Rows of one cell and label in one part of a tile.
 PART = 4096
 #: Rows of all tiles that one task gets, on average.
@@ -130,10 +130,10 @@ def placed(vectors: DataFrame, means: np.ndarray, least_cosine: float) -> DataFr
         apart = np.sqrt(np.maximum(0, 2 - 2 * means @ means.T))
         reach = chord * min(1.0, REACH / np.sqrt(means.shape[1]))
         for batch in batches:
-            flat, cuts = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().cumsum()
-            rows = [flat[end - n : end] for end, n in zip(cuts, np.diff(cuts, prepend=0), strict=True)]
+            values, cuts = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy().cumsum()
+            rows = [values[end - n : end] for end, n in zip(cuts, np.diff(cuts, prepend=0), strict=True)]
             fits = np.array([len(v) == means.shape[1] for v in rows], bool)
-            cells: list[np.ndarray] = [np.zeros(1, np.int32)] * len(rows)
+            cells = [np.zeros(1, np.int32)] * len(rows)
             for at in range(0, len(rows), 1024):
                 some = [k for k in range(at, min(at + 1024, len(rows))) if fits[k]]
                 if not some:
@@ -196,18 +196,17 @@ class Side:
         table = table.take(pa.array(rows))
         self.id = table["id"].to_numpy()
         self.copies = table["copies"].to_numpy()
-        self.unit = unit(np.stack([np.frombuffer(b) for b in table["body"].to_pylist()]))
-        self.cells = [np.frombuffer(b, np.int32) for b in table["cells"].to_pylist()]
-        self.home = np.array([c[0] for c in self.cells], np.int32)
+        self.unit = unit(flat(table["body"])[0].view(np.float64).reshape(len(rows), -1))
+        cells, ends = flat(table["cells"])
+        self.cells, self.starts = cells.view(np.int32), ends // 4
+        self.home = self.cells[self.starts[:-1]]
 
     def meets_at(self, homes: np.ndarray) -> np.ndarray:
         """For each row and each of the (sorted) homes: does the row live there or visit it?"""
-        count = np.array([len(c) for c in self.cells])
-        flat = np.concatenate(self.cells)
-        at = np.minimum(np.searchsorted(homes, flat), len(homes) - 1)
-        here = homes[at] == flat
-        out = np.zeros((len(self.cells), len(homes)), bool)
-        out[np.repeat(np.arange(len(count)), count)[here], at[here]] = True
+        at = np.minimum(np.searchsorted(homes, self.cells), len(homes) - 1)
+        here = homes[at] == self.cells
+        out = np.zeros((len(self.home), len(homes)), bool)
+        out[np.repeat(np.arange(len(self.home)), np.diff(self.starts))[here], at[here]] = True
         return out
 
 

@@ -204,7 +204,8 @@ def all_pairs(rows: list[tuple], least: float) -> list[tuple]:
 
 @pytest.mark.parametrize("dims", [5, 16])
 def test_vectors_link_as_all_pairs_do(spark, monkeypatch, dims):
-    """Up to sixteen dimensions the visits are exact; parts of 3 rows make tiles of every kind."""
+    """Visits are exact up to REACH**2 dimensions; parts of 3 rows make tiles of every kind."""
+    monkeypatch.setattr(vector_dedup, "REACH", 4.0)
     monkeypatch.setattr(vector_dedup, "PART", 3)
     monkeypatch.setattr(vector_dedup, "PER_CELL", 8)
     monkeypatch.setattr(vector_dedup, "BLOCK", 4)
