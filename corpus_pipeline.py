@@ -4,9 +4,8 @@ Each stage takes (spark, docs, sf_dir) and works on all rows that the stage befo
 the last return the columns of documents.
 
 1. quality_classifier: documents that the classifier rejects go.
-2. simhash_near_dedup: of each group of near copies the smallest doc_id stays. A link is an exact
-   Jaccard share of 0.8 or more of the sets of five-word shingles. Pairs are those that share a
-   MinHash key and differ in at most 22 of 64 SimHash bits; each is counted before it links.
+2. simhash_near_dedup: of each group of near copies the smallest doc_id stays. Documents link
+   whose SimHash fingerprints (three-word shingles) differ in at most 2 of 64 bits, as in op5.
 3. suffix_array_dedup: strings of 100 bytes that an earlier place has are cut from the texts.
 4. benchmark_decontamination: documents that hold a benchmark item go.
 5. source_mixing: documents that the mix takes, with `copies`: how often it takes them.
@@ -20,7 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarsift.llm import decontamination, mixing, near_copies, quality, suffix_dedup
+from tarsift.llm import decontamination, mixing, quality, simhash_dedup, suffix_dedup
 from tarsift.llm.common import stored
 
 
@@ -30,7 +29,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.one_of_each(docs, shingle=5)
+    return simhash_dedup.one_of_each(docs, shingle=3, radius=2, segments=3)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
