@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -138,6 +139,17 @@ def _url_domains(config: ScanConfig) -> Column:
     return F.when(tx.has(starts), F.transform(starts, of_domain))
 
 
+def _c2_urls(config: ScanConfig) -> Column:
+    """The first URLs that carry one of the file's endpoints."""
+
+    def carrying(known: Column) -> Column:
+        inside = lambda url: F.exists(known, lambda m: F.contains(F.lower(url), m))
+        return F.slice(F.filter(F.coalesce(c("urls"), F.array()), inside), 1, 5)
+
+    marks = F.array_distinct(F.transform(c("c2"), F.lower))
+    return F.when(tx.has(c("c2")), tx.let(marks, carrying))
+
+
 def _env_locations(config: ScanConfig) -> Column:
     def of(head: Column) -> Column:
         gaps = F.split(c("decoded"), fv.ENV_SECRET, 6)
@@ -186,6 +198,17 @@ def entropy_wanted(config: ScanConfig) -> Column:
     return is_code(config) & (c("size") > fv.ENTROPY_MIN_BYTES)
 
 
+def _head(config: ScanConfig) -> Column:
+    """The start of a script that is reported for its size."""
+    return F.when(is_js(config) & (c("size") >= config.big_js_bytes), tx.snippet_at(c("content"), lit(0), lit(1)))
+
+
+def _long_head(config: ScanConfig) -> Column:
+    """The start of a file that is reported for its entropy."""
+    snippet = tx.snippet_at(c("content"), lit(0), F.least(c("size"), lit(200)).cast("int"))
+    return F.when(c("entropy") >= config.high_entropy, snippet)
+
+
 def _entropy_input(config: ScanConfig) -> Column:
     data = c("content")
     if config.entropy_sample_bytes is not None:
@@ -201,29 +224,47 @@ def _base64_blobs(config: ScanConfig) -> Column:
     return found if config.max_blobs is None else F.slice(found, 1, config.max_blobs)
 
 
+def _blobs_shown(config: ScanConfig) -> Column:
+    """What a finding says of each blob."""
+    return F.when(
+        tx.has(c("blobs")),
+        F.zip_with(
+            c("blobs"),
+            c("blob_locations"),
+            lambda blob, place: F.struct(
+                F.length(blob).alias("length"), _preview(blob).alias("preview"), place.alias("place")
+            ),
+        ),
+    )
+
+
 def _hex_runs(config: ScanConfig) -> Column:
     # After the first escape of a run comes space, a backslash or the next escape's x.
     gate = is_large_enough_js(config) & c("body").rlike(fv.HEX_RUN_START)
     return F.when(gate, F.nullif(F.regexp_extract(c("decoded"), fv.HEX_RUN, 0), lit("")))
 
 
-def _techniques(config: ScanConfig) -> Column:
-    text, low = c("decoded"), c("low")
-    functions = F.when(
+def _function_count(config: ScanConfig) -> Column:
+    text = c("decoded")
+    return F.when(
         F.contains(text, lit("function")),
         (F.length(text) - F.length(F.replace(text, lit("function"), lit("")))) / 8,
     )
+
+
+def _xor_code(config: ScanConfig) -> Column:
+    marks = ["fromcharcode(", ".charcodeat(", "xor"]
+    return tx.contains_any(c("low"), marks) & c("decoded").rlike(fv.XOR_CODE)
+
+
+def _techniques(config: ScanConfig) -> Column:
     checks = [
         ("hex_encoding", c("hex_runs").isNotNull()),
-        (
-            "xor_encryption",
-            tx.contains_any(low, ["fromcharcode(", ".charcodeat(", "xor"])
-            & text.rlike(fv.XOR_CODE),
-        ),
+        ("xor_encryption", c("xor_code")),
         ("unicode_obfuscation", c("non_ascii_runs") > 3),
-        ("string_array_obfuscation", F.contains(low, lit("_0x")) & text.rlike(fv.STRING_ARRAY)),
-        ("control_flow_flattening", F.contains(low, lit("!!")) & text.rlike(fv.FLATTENED_LOOP)),
-        ("dead_code_injection", (functions > 50) & (F.length(text) < 50000)),
+        ("string_array_obfuscation", c("string_array")),
+        ("control_flow_flattening", c("flattened_loop")),
+        ("dead_code_injection", (c("function_count") > 50) & (c("decoded_length") < 50000)),
     ]
     found = F.array(*[F.when(test, lit(name)) for name, test in checks])
     return F.when(is_large_enough_js(config), F.array_compact(found))
@@ -299,6 +340,7 @@ FEATURES: dict[str, Feature | Located] = {
         ),
     ),
     "c2_locations": Located(fv.C2_ENDPOINT, "c2"),
+    "c2_urls": Feature(3, _c2_urls),
     "writes": Feature(
         2,
         _found(
@@ -330,8 +372,20 @@ FEATURES: dict[str, Feature | Located] = {
     "long_line_location": Feature(3, _long_line_location),
     # Before there are texts: rows that wait for Python carry the content alone.
     "entropy": Feature(0, _entropy_input),
+    "head": Feature(2, _head),
+    "long_head": Feature(3, _long_head),
+    "wasm": Feature(2, lambda config: _magic(fv.WASM_MAGIC)),
+    "native": Feature(2, lambda config: _magic(*fv.NATIVE_MAGICS)),
+    "webpack": Feature(2, lambda config: tx.contains_any(c("low"), fv.WEBPACK_MARKS)),
+    "fetcher": Feature(2, lambda config: tx.contains_any(c("low"), fv.NATIVE_FETCHERS)),
+    "captcha": Feature(2, lambda config: tx.contains_any(c("low"), fv.CAPTCHA_TEXTS)),
+    "py_socket": Feature(2, lambda config: tx.contains_any(c("low"), fv.PY_SOCKET_CALLS)),
+    "shell_fetch": Feature(
+        2, lambda config: F.contains(c("low"), lit("://")) & c("body").rlike(fv.SHELL_DOWNLOAD)
+    ),
     "blobs": Feature(2, _base64_blobs),
     "blob_locations": Located(fv.BASE64_RUN, "blobs", count=None),
+    "blobs_shown": Feature(5, _blobs_shown),
     "spawns": Feature(2, _found(fv.CHILD_PROCESS, "child_process")),
     "spawn_calls": Feature(2, _found(fv.CHILD_PROCESS, "child_process", group=1)),
     "spawn_locations": Located(fv.CHILD_PROCESS, "spawns", "spawn_calls"),
@@ -341,6 +395,15 @@ FEATURES: dict[str, Feature | Located] = {
     "env_reads": Feature(2, _found(fv.PROCESS_ENV, "process.env.")),
     "env_read_locations": Located(fv.PROCESS_ENV, "env_reads"),
     "hex_runs": Feature(3, _hex_runs),
+    "xor_code": Feature(3, _xor_code),
+    "string_array": Feature(
+        3, lambda config: F.contains(c("low"), lit("_0x")) & c("decoded").rlike(fv.STRING_ARRAY)
+    ),
+    "flattened_loop": Feature(
+        3, lambda config: F.contains(c("low"), lit("!!")) & c("decoded").rlike(fv.FLATTENED_LOOP)
+    ),
+    "function_count": Feature(3, _function_count),
+    "decoded_length": Feature(3, lambda config: F.length(c("decoded"))),
     "non_ascii_runs": Feature(3, _non_ascii_runs),
     "techniques": Feature(4, _techniques),
     "has_cdn": Feature(
@@ -367,8 +430,19 @@ FEATURES: dict[str, Feature | Located] = {
     ),
 }
 
+#: Match features that rules count.
+COUNTED = (
+    "net", "c2", "writes", "hints", "ci", "env_keys", "spawns", "dynamic", "urls", "env_reads",
+    "form_actions", "lure_buttons", "iframes", "py_servers", "py_downloads",
+)
+FEATURES |= {
+    f"{key}_count": Feature(FEATURES[key].layer + 1, lambda config, key=key: F.size(c(key))) for key in COUNTED
+}
+
 
 # --- rows -------------------------------------------------------------------------------
+# Rows are built from features and the columns of a file other than its content, so that they
+# can also be built from features that were put together from parts of a file.
 
 
 def _url_rows(config: ScanConfig) -> Column:
@@ -394,20 +468,13 @@ def _net_rows(config: ScanConfig) -> Column:
         methods=methods,
         explanation=explain("net_client_usage", joined(methods)),
         locations=c("net_locations"),
-        match_count=F.size(c("net")),
+        match_count=c("net_count"),
     )
 
 
 def _c2_rows(config: ScanConfig) -> Column:
     endpoints = F.array_sort(tx.first_distinct(real_text(F.slice(c("c2"), 1, 5)), 5))
-    marks = F.array_distinct(F.transform(c("c2"), F.lower))
-
-    def carrying(known: Column) -> Column:
-        inside = lambda url: F.exists(known, lambda m: F.contains(F.lower(url), m))
-        first = F.slice(F.filter(F.coalesce(c("urls"), F.array()), inside), 1, 5)
-        return F.array_sort(F.array_distinct(real_text(first)))
-
-    full_urls = tx.let(marks, carrying)
+    full_urls = F.array_sort(F.array_distinct(real_text(c("c2_urls"))))
     return row(
         tx.has(c("c2")), "c2_webhook", "high",
         endpoints=endpoints,
@@ -418,7 +485,7 @@ def _c2_rows(config: ScanConfig) -> Column:
             F.coalesce(F.get(full_urls, lit(0)), lit("N/A")),
         ),
         locations=c("c2_locations"),
-        match_count=F.size(c("c2")),
+        match_count=c("c2_count"),
     )
 
 
@@ -434,7 +501,7 @@ def _write_rows(config: ScanConfig) -> Column:
         target_paths=targets,
         explanation=explain("writes_outside_pkg", joined(F.slice(targets, 1, 3))),
         locations=c("hint_locations"),
-        match_count=F.size(c("hints")),
+        match_count=c("hints_count"),
     )
 
 
@@ -443,7 +510,7 @@ def _write_candidate_rows(config: ScanConfig) -> Column:
         tx.has(c("writes")) & ~tx.has(c("hints")), "writes_outside_pkg_candidate", "medium",
         write_methods=_write_methods(),
         locations=c("write_locations"),
-        match_count=F.size(c("writes")),
+        match_count=c("writes_count"),
     )
 
 
@@ -452,7 +519,7 @@ def _ci_rows(config: ScanConfig) -> Column:
         tx.has(c("ci")), "ci_evasion", "low",
         checks=tx.first_distinct(c("ci"), 10, 5),
         locations=c("ci_locations"),
-        match_count=F.size(c("ci")),
+        match_count=c("ci_count"),
     )
 
 
@@ -463,17 +530,13 @@ def _env_rows(config: ScanConfig) -> Column:
         env_keys=keys,
         explanation=explain("env_snoop", joined(F.slice(keys, 1, 5))),
         locations=c("env_locations"),
-        match_count=F.size(c("env_keys")),
+        match_count=c("env_keys_count"),
     )
 
 
-def _head_location(span: Column) -> Column:
+def _head_location(snippet: Column) -> Column:
     return F.array(
-        F.struct(
-            lit(1).alias("line"),
-            lit(1).alias("column"),
-            tx.snippet_at(c("content"), lit(0), span).alias("snippet"),
-        )
+        F.struct(lit(1).alias("line"), lit(1).alias("column"), snippet.alias("snippet"))
     )
 
 
@@ -483,12 +546,12 @@ def _large_js_rows(config: ScanConfig) -> Column:
         c("size") >= config.big_js_bytes, "large_js", "medium",
         bytes=c("size"),
         explanation=explain("large_js", megabytes.cast("string")),
-        locations=_head_location(lit(1)),
+        locations=_head_location(c("head")),
     )
 
 
 def _webpack_rows(config: ScanConfig) -> Column:
-    return row(tx.contains_any(c("low"), fv.WEBPACK_MARKS), "webpack_bundle", "medium")
+    return row(c("webpack"), "webpack_bundle", "medium")
 
 
 def _long_line_rows(config: ScanConfig) -> Column:
@@ -506,7 +569,7 @@ def _entropy_rows(config: ScanConfig) -> Column:
         entropy=shown,
         bytes=c("size"),
         explanation=explain("high_entropy_blob", shown.cast("string")),
-        locations=_head_location(F.least(c("size"), lit(200)).cast("int")),
+        locations=_head_location(c("long_head")),
     )
 
 
@@ -530,19 +593,20 @@ def _preview(blob: Column) -> Column:
 
 
 def _base64_rows(config: ScanConfig) -> Column:
-    def of(blob: Column, place: Column) -> Column:
+    def of(blob: Column) -> Column:
+        place = blob["place"]
         return finding(
             "big_base64_blob", "medium",
             size=c("size"),
-            blob_length=F.length(blob),
-            decoded_preview=_preview(blob),
+            blob_length=blob["length"],
+            decoded_preview=blob["preview"],
             explanation=explain("big_base64_blob"),
             locations=F.array(
                 F.struct(place["line"], place["column"], place["snippet"])
             ),
         )
 
-    return F.when(tx.has(c("blobs")), F.zip_with(c("blobs"), c("blob_locations"), of))
+    return F.transform(c("blobs_shown"), of)
 
 
 def _magic(*hexes: str) -> Column:
@@ -555,20 +619,20 @@ def _magic(*hexes: str) -> Column:
 
 def _wasm_rows(config: ScanConfig) -> Column:
     return row(
-        _magic(fv.WASM_MAGIC), "wasm_present", "medium", explanation=explain("wasm_present")
+        c("wasm"), "wasm_present", "medium", explanation=explain("wasm_present")
     )
 
 
 def _native_rows(config: ScanConfig) -> Column:
     return row(
-        _magic(*fv.NATIVE_MAGICS), "native_binary_present", "high",
+        c("native"), "native_binary_present", "high",
         explanation=explain("native_binary_present"),
     )
 
 
 def _native_fetcher_rows(config: ScanConfig) -> Column:
     return row(
-        tx.contains_any(c("low"), fv.NATIVE_FETCHERS), "native_fetcher_present", "low"
+        c("fetcher"), "native_fetcher_present", "low"
     )
 
 
@@ -582,7 +646,7 @@ def _generic_rows(config: ScanConfig) -> Column:
             pattern=lit(fv.GENERIC_PATTERN_NAMES[pattern]),
             samples=tx.first_distinct(shown, 10, 5),
             locations=c(places),
-            match_count=F.size(c(matches)),
+            match_count=c(f"{matches}_count"),
         )
         return F.when(tx.has(c(matches)), item)
 
@@ -618,18 +682,18 @@ def _phishing_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("form_actions")), "phishing_form", "high",
         form_actions=F.slice(c("form_actions"), 1, 5),
-        match_count=F.size(c("form_actions")),
+        match_count=c("form_actions_count"),
         explanation=explain("phishing_form", F.get(c("form_actions"), lit(0))),
     )
 
 
 def _captcha_rows(config: ScanConfig) -> Column:
     return row(
-        tx.has(c("lure_buttons")) | tx.contains_any(c("low"), fv.CAPTCHA_TEXTS), "fake_captcha", "medium",
+        tx.has(c("lure_buttons")) | c("captcha"), "fake_captcha", "medium",
         button_samples=F.coalesce(
             real_text(F.slice(c("lure_buttons"), 1, 3)), F.array().cast("array<string>")
         ),
-        match_count=F.coalesce(F.size(c("lure_buttons")), lit(0)),
+        match_count=F.coalesce(c("lure_buttons_count"), lit(0)),
         explanation=explain("fake_captcha"),
     )
 
@@ -649,7 +713,7 @@ def _iframe_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("iframes")), "iframe_embed", "medium",
         iframe_urls=urls,
-        match_count=F.size(c("iframes")),
+        match_count=c("iframes_count"),
         explanation=explain("iframe_embed", F.get(urls, lit(0))),
     )
 
@@ -659,14 +723,14 @@ def _py_server_rows(config: ScanConfig) -> Column:
     return row(
         tx.has(c("py_servers")), "http_server", "medium",
         frameworks=found,
-        match_count=F.size(c("py_servers")),
+        match_count=c("py_servers_count"),
         explanation=explain("http_server", F.get(found, lit(0))),
     )
 
 
 def _py_socket_rows(config: ScanConfig) -> Column:
     return row(
-        tx.contains_any(c("low"), fv.PY_SOCKET_CALLS), "port_binding", "medium",
+        c("py_socket"), "port_binding", "medium",
         explanation=explain("port_binding"),
     )
 
@@ -677,18 +741,23 @@ def _py_download_rows(config: ScanConfig) -> Column:
         tx.has(c("py_downloads")), "script_download", "medium",
         methods=methods,
         explanation=explain("script_download_python", joined(methods)),
-        match_count=F.size(c("py_downloads")),
+        match_count=c("py_downloads_count"),
     )
 
 
 def _shell_download_rows(config: ScanConfig) -> Column:
-    carries = F.contains(c("low"), lit("://")) & c("body").rlike(fv.SHELL_DOWNLOAD)
-    return row(carries, "script_download", "high", explanation=explain("script_download_shell"))
+    return row(c("shell_fetch"), "script_download", "high", explanation=explain("script_download_shell"))
 
 
 _TEXT = ("body", "low")
+
+
+def _counting(rule: FileRule) -> FileRule:
+    return replace(rule, needs=(*rule.needs, *(f"{n}_count" for n in rule.needs if n in COUNTED)))
+
+
 RULES: dict[str, FileRule] = {
-    rule.key: rule
+    rule.key: _counting(rule)
     for rule in [
         FileRule(
             "url_domains", is_code,
@@ -696,7 +765,7 @@ RULES: dict[str, FileRule] = {
             _url_rows,
         ),
         FileRule("net_client_usage", is_code, (*_TEXT, "net", "net_locations"), _net_rows),
-        FileRule("c2_webhook", is_code, (*_TEXT, "urls", "c2", "c2_locations"), _c2_rows),
+        FileRule("c2_webhook", is_code, (*_TEXT, "urls", "c2", "c2_urls", "c2_locations"), _c2_rows),
         FileRule(
             "writes_outside_pkg", is_code, (*_TEXT, "writes", "hints", "hint_locations"),
             _write_rows,
@@ -709,17 +778,19 @@ RULES: dict[str, FileRule] = {
         FileRule(
             "env_snoop", is_code, (*_TEXT, "decoded", "env_keys", "env_locations"), _env_rows
         ),
-        FileRule("large_js", is_js, (), _large_js_rows),
-        FileRule("webpack_bundle", is_js, _TEXT, _webpack_rows),
+        FileRule("large_js", is_js, ("head",), _large_js_rows),
+        FileRule("webpack_bundle", is_js, (*_TEXT, "webpack"), _webpack_rows),
         FileRule(
             "minified_long_lines", is_js, ("body", "long_line_at", "long_line_location"),
             _long_line_rows,
         ),
-        FileRule("high_entropy_blob", is_code, ("entropy",), _entropy_rows),
-        FileRule("big_base64_blob", is_code, ("body", "blobs", "blob_locations"), _base64_rows),
-        FileRule("wasm_present", may_be_binary, (), _wasm_rows),
-        FileRule("native_binary_present", may_be_binary, (), _native_rows),
-        FileRule("native_fetcher_present", is_code, _TEXT, _native_fetcher_rows),
+        FileRule("high_entropy_blob", is_code, ("entropy", "long_head"), _entropy_rows),
+        FileRule(
+            "big_base64_blob", is_code, ("body", "blobs", "blob_locations", "blobs_shown"), _base64_rows
+        ),
+        FileRule("wasm_present", may_be_binary, ("wasm",), _wasm_rows),
+        FileRule("native_binary_present", may_be_binary, ("native",), _native_rows),
+        FileRule("native_fetcher_present", is_code, (*_TEXT, "fetcher"), _native_fetcher_rows),
         FileRule(
             "suspicious_pattern", is_code,
             (
@@ -730,17 +801,20 @@ RULES: dict[str, FileRule] = {
         ),
         FileRule(
             "advanced_obfuscation", is_large_enough_js,
-            (*_TEXT, "decoded", "hex_runs", "non_ascii_runs", "techniques"),
+            (
+                *_TEXT, "decoded", "hex_runs", "non_ascii_runs", "xor_code", "string_array",
+                "flattened_loop", "function_count", "decoded_length", "techniques",
+            ),
             _obfuscation_rows,
         ),
         FileRule("phishing_form", is_html, (*_TEXT, "form_actions"), _phishing_rows),
-        FileRule("fake_captcha", is_html, (*_TEXT, "lure_buttons"), _captcha_rows),
+        FileRule("fake_captcha", is_html, (*_TEXT, "lure_buttons", "captcha"), _captcha_rows),
         FileRule("external_cdn_load", is_html, (*_TEXT, "has_cdn", "cdn_urls"), _cdn_rows),
         FileRule("iframe_embed", is_html, (*_TEXT, "iframes"), _iframe_rows),
         FileRule("http_server", is_python, (*_TEXT, "py_servers"), _py_server_rows),
-        FileRule("port_binding", is_python, _TEXT, _py_socket_rows),
+        FileRule("port_binding", is_python, (*_TEXT, "py_socket"), _py_socket_rows),
         FileRule("python_download", is_python, (*_TEXT, "py_downloads"), _py_download_rows),
-        FileRule("shell_download", is_shell, _TEXT, _shell_download_rows),
+        FileRule("shell_download", is_shell, (*_TEXT, "shell_fetch"), _shell_download_rows),
     ]
 }
 
