@@ -32,26 +32,31 @@ def with_user_weights(config: ScanConfig, specs: list[RuleSpec]) -> ScanConfig:
     return config.with_(user_weights={**config.user_weights, **weights})
 
 
+def user_rule_pattern(spec: RuleSpec) -> str:
+    return tx.byte_pattern(spec.pattern, nocase="(?i)" in spec.pattern)
+
+
+def user_row(spec: RuleSpec, samples: Column, count: Column) -> Column:
+    """The finding of a rule, from its distinct matches and the number of all."""
+    return F.when(
+        F.coalesce(count, F.lit(0)) > 0,
+        finding(
+            spec.name,
+            spec.severity,
+            samples=F.transform(samples, tx.utf8),
+            match_count=count,
+            explanation=F.lit(spec.explanation).cast("string"),
+        ),
+    )
+
+
 def user_rows(specs: list[RuleSpec]) -> Column:
     """array<struct<rule, severity, details>> over ``body``."""
 
     def row(spec: RuleSpec) -> Column:
-        pattern = tx.byte_pattern(spec.pattern, nocase="(?i)" in spec.pattern)
-        found = tx.all_matches(F.col("body"), pattern, F.col("suffix").isin(*spec.suffixes))
-        return tx.let(found, lambda matches: of(spec, matches))
-
-    def of(spec: RuleSpec, matches: Column) -> Column:
-        samples = F.transform(F.slice(F.array_distinct(matches), 1, spec.limit), tx.utf8)
-        return F.when(
-            tx.has(matches),
-            finding(
-                spec.name,
-                spec.severity,
-                samples=samples,
-                match_count=F.size(matches),
-                explanation=F.lit(spec.explanation).cast("string"),
-            ),
-        )
+        found = tx.all_matches(F.col("body"), user_rule_pattern(spec), F.col("suffix").isin(*spec.suffixes))
+        samples = lambda matches: F.slice(F.array_distinct(matches), 1, spec.limit)
+        return tx.let(found, lambda matches: user_row(spec, samples(matches), F.size(matches)))
 
     return F.array_compact(F.array(*[row(spec) for spec in specs]))
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,15 +22,19 @@ from tarsift.operators import manifests as mf
 from tarsift.operators.content_rules import FEATURES, RULES, entropy_wanted
 from tarsift.operators.file_rules import Feature, as_found, with_found
 from tarsift.operators.findings import to_findings, union_findings
+from tarsift.operators.long_files import found_in_parts, part_features
 from tarsift.operators.scoring import cross_rule_findings, score_versions
 from tarsift.operators.signatures import Signature, signature_rows
 from tarsift.operators.typosquat import typosquat_findings
 from tarsift.operators.user_rules import RuleSpec, user_rows, with_user_weights
 from tarsift.session import checkpoint_folder
 from tarsift.sources import archives as ar
+from tarsift.sources.unpack import CONTEXT_BYTES, LONG_BYTES, PART_BYTES
 
 c, lit = F.col, F.lit
 KEYS = ["name", "version"]
+# Archives with long members that are opened together.
+PATHS = 10_000
 
 
 @dataclass(frozen=True)
@@ -57,7 +62,8 @@ def scan_members(
     is_file = ar.is_content()
     manifest = F.when(is_file & (base_name == "package.json"), tx.clean_text(c("content")))
     # Only files of archives with a manifest are scanned; without a suffix no rule applies.
-    suffix = F.when(is_file & c("has_manifest"), tx.suffix_of(c("path")))
+    # A long member's content comes in parts; see `with_long_members`.
+    suffix = F.when(is_file & c("has_manifest") & ~c("long"), tx.suffix_of(c("path")))
     base = members.withColumns(
         {
             "is_file": is_file,
@@ -79,6 +85,43 @@ def scan_members(
     return with_found(base, RULES.values(), features, config, more).drop("measured_entropy")
 
 
+def with_long_members(
+    facts: DataFrame,
+    archives: DataFrame | None,
+    config: ScanConfig,
+    rules: list[RuleSpec] | None = None,
+    folder: str | None = None,
+    part_bytes: int = PART_BYTES,
+    context_bytes: int = CONTEXT_BYTES,
+    long_bytes: int = LONG_BYTES,
+) -> DataFrame:
+    """Facts with what rules find in long members, which `scan_members` only names.
+
+    Their archives are read once more, PATHS at a time by name, or out of ``archives``; the
+    members come in parts, the parts leave features, and these are joined by member.
+    """
+    spark = facts.sparkSession
+    long = facts.filter(c("long") & c("is_file") & c("has_manifest"))
+    names = long.select("archive").distinct()
+    if names.isEmpty():
+        return facts
+    if archives is not None:
+        chosen = [archives.join(names.withColumnRenamed("archive", "path"), "path", "left_semi")]
+    else:
+        paths = [row["archive"] for row in names.toLocalIterator()]
+        chosen = [ar.archive_files(spark, paths[k : k + PATHS], "*") for k in range(0, len(paths), PATHS)]
+    found = []
+    for some in chosen:
+        parts = ar.long_member_parts(some, config.max_extract_bytes, long_bytes, part_bytes, context_bytes)
+        features = written(part_features(parts, config, rules), "scan-parts", folder)
+        found.append(found_in_parts(features, config, rules))
+    more = reduce(DataFrame.unionByName, found).withColumnRenamed("found", "found_in_parts")
+    joined = facts.join(more, ["archive", "ordinal"], "left").withColumn(
+        "found", F.when(c("long") & c("has_manifest"), F.coalesce("found_in_parts", "found")).otherwise(c("found"))
+    )
+    return written(joined.select(*facts.columns), "scan-facts", folder)
+
+
 def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder: read back, never recomputed."""
     root = checkpoint_folder(df.sparkSession, folder)
@@ -159,12 +202,20 @@ def scan_archives(
     signatures: list[Signature] | None = None,
     rules: list[RuleSpec] | None = None,
     folder: str | None = None,
+    archives: DataFrame | None = None,
+    long_bytes: int = LONG_BYTES,
 ) -> ScanResult:
-    """Scan archive members to the end: the whole batch job."""
+    """Scan archive members to the end: the whole batch job.
+
+    ``archives`` are what the members were extracted from, where that is not a folder of files
+    that can be read by the members' ``archive``; ``long_bytes`` is what they were extracted
+    with.
+    """
     config = config or ScanConfig()
     if rules:
         config = with_user_weights(config, rules)
     facts = written(scan_members(members, config, signatures, rules), "scan-facts", folder)
+    facts = with_long_members(facts, archives, config, rules, folder, long_bytes=long_bytes)
     facts = one_archive_each(facts)
     manifests = written(manifests_of(facts), "scan-manifests", folder)
     found = findings_of_facts(facts, manifests, config)

@@ -5,7 +5,8 @@ spreads. Python is used for exactly that: unpacking. Everything derived from a m
 column work afterwards.
 
 Inside a task memory is bounded: headers are read first, which settles whether the
-archive is accepted at all, and contents then leave in batches of a fixed byte size.
+archive is accepted at all, and contents then leave in batches of a fixed byte size. A member
+above LONG_BYTES is only named there; `long_member_parts` reads it in parts.
 """
 
 from __future__ import annotations
@@ -15,7 +16,17 @@ from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
 from tarsift.functions import text as tx
-from tarsift.sources.unpack import MEMBER_SCHEMA, OK, OVER_LIMIT, unpacker
+from tarsift.sources.unpack import (
+    CONTEXT_BYTES,
+    LONG_BYTES,
+    MEMBER_SCHEMA,
+    OK,
+    OVER_LIMIT,
+    PART_BYTES,
+    PART_SCHEMA,
+    part_maker,
+    unpacker,
+)
 
 c, lit = F.col, F.lit
 
@@ -23,15 +34,23 @@ c, lit = F.col, F.lit
 # An archive of more compressed bytes than this has its members spread.
 LARGE_ARCHIVE_BYTES = 64 << 20
 
+# A value of a row ends at 2 GB: archives of more compressed bytes than this come without content.
+MAX_ARCHIVE_BYTES = 1 << 30
+
 UNNAMED = "unnamed"
 
 
-def archive_files(spark: SparkSession, path: str, glob: str = "*.tgz") -> DataFrame:
-    """The archives under a folder as (path, length, content)."""
+def archive_files(spark: SparkSession, path: str | list[str], glob: str = "*.tgz") -> DataFrame:
+    """The archives under a folder as (path, length, content).
+
+    An archive that no row can hold comes without content and ends as "too_large"."""
     reader = spark.read.format("binaryFile").option("pathGlobFilter", glob)
-    return reader.option("recursiveFileLookup", "true").load(path).select(
-        "path", "length", "content"
+    found = reader.option("recursiveFileLookup", "true").load(path)
+    held = found.filter(c("length") <= MAX_ARCHIVE_BYTES).select("path", "length", "content")
+    named = found.filter(c("length") > MAX_ARCHIVE_BYTES).select(
+        "path", "length", lit(None).cast("binary").alias("content")
     )
+    return held.unionByName(named)
 
 
 def read_archives(
@@ -48,6 +67,7 @@ def extract_members(
     archives: DataFrame,
     max_extract_bytes: int | None = None,
     large_bytes: int = LARGE_ARCHIVE_BYTES,
+    long_bytes: int = LONG_BYTES,
 ) -> DataFrame:
     """One row per archive member, for a frame of (path, content) and best their length.
     Without content an archive counts as missing.
@@ -57,25 +77,52 @@ def extract_members(
     that has no members. The members of an accepted
     archive are regular files ("file"), links ("symlink", "hardlink") and the rest. They are
     what extraction leaves: of several members of one path the last counts, the others are
-    "superseded" and without content, and a link to a file of the archive has its content.
+    "superseded" and without content, and a link to a file of the archive has its content. A
+    member of more than ``long_bytes`` is marked "long" and has no content here.
 
     Members of a large archive are spread over the cluster before anything scans them, so
     that one huge archive does not keep one task busy with all rules.
     """
-    limit = max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
+    limit = _limit(max_extract_bytes)
+    sized = _sized(archives)
 
-    unpacked = lambda some: some.select("path", "content").mapInPandas(unpacker(limit), MEMBER_SCHEMA)
+    unpacked = lambda some: some.mapInPandas(unpacker(limit, long_bytes), MEMBER_SCHEMA)
     if "length" in archives.columns:
         is_large = F.coalesce(c("length") > large_bytes, lit(False))
-        rows = unpacked(archives.filter(~is_large)).unionByName(
-            unpacked(archives.filter(is_large)).repartition("archive", "ordinal")
+        rows = unpacked(sized.filter(~is_large)).unionByName(
+            unpacked(sized.filter(is_large)).repartition("archive", "ordinal")
         )
     else:
-        rows = unpacked(archives)
+        rows = unpacked(sized)
     name, version = name_and_version(c("archive"))
     return rows.select(name.alias("name"), version.alias("version"), "*")
 
 
+def long_member_parts(
+    archives: DataFrame,
+    max_extract_bytes: int | None = None,
+    long_bytes: int = LONG_BYTES,
+    part_bytes: int = PART_BYTES,
+    context_bytes: int = CONTEXT_BYTES,
+) -> DataFrame:
+    """The members of more than ``long_bytes`` in parts, each with what surrounds it.
+
+    One task reads a member, since its archive cannot be split, and holds one part at a time;
+    the parts are dealt out before anything looks at them. See `unpack.cut` for the columns.
+    """
+    parts = part_maker(_limit(max_extract_bytes), long_bytes, part_bytes, context_bytes)
+    return _sized(archives).mapInPandas(parts, PART_SCHEMA).repartition("archive", "ordinal", "part")
+
+
+def _limit(max_extract_bytes: int | None) -> int | None:
+    return max_extract_bytes if max_extract_bytes and max_extract_bytes > 0 else None
+
+
+def _sized(archives: DataFrame) -> DataFrame:
+    length = c("length") if "length" in archives.columns else F.octet_length("content")
+    return archives.select("path", length.cast("bigint").alias("length"), "content")
+
+
 def name_and_version(archive):
     """(name, version) from an archive path: the version follows the last @, and __
     stands for the / of a scope. Without an @ both are NULL."""
@@ -107,13 +154,13 @@ def storage_key(name, version):
 
 def is_content() -> Column:
     """Members that are files once the archive is extracted: files, and links to files in it."""
-    link = c("kind").isin("symlink", "hardlink") & c("content").isNotNull()
+    link = c("kind").isin("symlink", "hardlink") & (c("content").isNotNull() | c("long"))
     return (c("kind") == "file") | link
 
 
 def regular_files(members: DataFrame) -> DataFrame:
     """The files to scan. An archive without a manifest is not scanned further."""
-    kept = members.filter(is_content() & c("has_manifest"))
+    kept = members.filter(is_content() & ~c("long") & c("has_manifest"))
     return kept.select(
         "name", "version", "path", tx.suffix_of(c("path")).alias("suffix"), "size", "content"
     )
@@ -125,7 +172,7 @@ def pick_manifests(members: DataFrame) -> DataFrame:
     Only manifest files take part, and each task first keeps its own best one.
     """
     base = F.substring_index("path", "/", -1)
-    found = members.filter(is_content() & (base == "package.json"))
+    found = members.filter(is_content() & ~c("long") & (base == "package.json"))
     found = found.filter(c("name").isNotNull())
     order = F.struct(c("path") != "package/package.json", c("path"))
     best = F.min_by(F.struct("path", "content"), order)
