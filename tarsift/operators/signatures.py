@@ -1,16 +1,18 @@
 """Matching a table of signatures against a table of files.
 
-Signatures are a small, driver-side list. Each becomes literal columns over the file
-text, so every pattern is compiled once per task, a plain string is a substring search,
-and files are read once for all signatures.
+Signatures are a driver-side list of any length. One index of literal fragments serves all of
+them (`pattern_index`): a file meets it once, and what comes back is the strings that can occur
+in it, with their signatures. Only these are matched, by one expression for all: the plan is the
+same for ten signatures and for ten thousand.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ from tarsift import fixed_values as fv
 from tarsift.config import ScanConfig
 from tarsift.functions import text as tx
 from tarsift.operators.file_rules import FILE_KEYS, prepared
+from tarsift.operators.pattern_index import PatternIndex
 from tarsift.operators.scoring import score_versions
 
 c, lit = F.col, F.lit
@@ -65,38 +68,73 @@ def severity_of_tags(tags: Column) -> Column:
     )
 
 
-def _occurs(string: SignatureString) -> Column:
-    # The lower-cased byte reading is that of ASCII text only.
-    if string.is_regex or (string.nocase and not string.value.isascii()):
-        return c("body").rlike(string.pattern)
-    if not string.value.isascii():
-        return F.contains(c("body"), lit(tx.byte_literal(string.value)))
-    text, value = (c("low"), string.value.lower()) if string.nocase else (c("body"), string.value)
-    return F.contains(text, lit(value))
+CANDIDATES = (
+    "array<struct<rule:string,tags:array<string>,meta:map<string,string>,needed:int,"
+    "strings:array<struct<identifier:string,pattern:string>>>>"
+)
+
+
+def signature_candidates(signatures: list[Signature], config: ScanConfig) -> Column:
+    """The signatures of which enough strings may occur in a file, with those strings.
+
+    Best taken before a file's text is: rows that wait for Python carry the content alone."""
+    needed = [len(s.strings) if s.needed is None else s.needed for s in signatures]
+    strings = [(k, s.identifier, s.pattern) for k, one in enumerate(signatures) for s in one.strings]
+    index = PatternIndex([pattern for _, _, pattern in strings])
+    plain = [(s.rule, list(s.tags), list(s.meta.items())) for s in signatures]
+    always = [k for k, n in enumerate(needed) if n <= 0]
+
+    @F.arrow_udf(CANDIDATES)
+    def candidates(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(
+            pa.struct(
+                [
+                    ("rule", pa.string()), ("tags", pa.list_(pa.string())), ("meta", pa.map_(pa.string(), pa.string())),
+                    ("needed", pa.int32()),
+                    ("strings", pa.list_(pa.struct([("identifier", pa.string()), ("pattern", pa.string())]))),
+                ]
+            )
+        )
+
+        def of(text: bytes | None) -> list[dict] | None:
+            if text is None:
+                return None
+            found: dict[int, list[dict]] = {k: [] for k in always}
+            for k in index.candidates(text):
+                signature, identifier, pattern = strings[k]
+                found.setdefault(signature, []).append({"identifier": identifier, "pattern": pattern})
+            return [
+                dict(zip(("rule", "tags", "meta"), plain[k]), needed=needed[k], strings=found[k])
+                for k in sorted(found)
+                if len(found[k]) >= needed[k]
+            ] or None
+
+        for batch in batches:
+            yield pa.array([of(text.as_py()) for text in batch], kind)
+
+    small_enough = c("size") <= config.signature_max_mb * 1024 * 1024
+    return candidates(F.when(small_enough, c("content")))
 
 
-def _matched_strings(string: SignatureString) -> Column:
+def _matched_strings(string: Column) -> Column:
     """Every match of one string with its place in the file."""
 
     def of(matches: Column) -> Column:
-        steps = tx.match_steps(F.split(c("body"), string.pattern, -1), matches)
+        steps = tx.match_steps(F.split(c("body"), string["pattern"], lit(-1)), matches)
         return F.zip_with(
             tx.match_positions(steps),
             matches,
             lambda place, value: F.struct(
                 place["offset"].alias("offset"),
-                lit(string.identifier).alias("identifier"),
+                string["identifier"].alias("identifier"),
                 place["line"].alias("line_number"),
                 F.length(value).alias("data_length"),
                 value.alias("value"),
             ),
         )
 
-    found = tx.all_matches(c("body"), string.pattern, _occurs(string))
-    none = F.array().cast(
-        "array<struct<offset:int,identifier:string,line_number:int,data_length:int,value:string>>"
-    )
-    return F.coalesce(F.when(tx.has(found), tx.let(found, of)), none)
+    found = F.regexp_extract_all(c("body"), string["pattern"], lit(0))
+    return tx.let(found, lambda matches: F.when(tx.has(matches), of(matches)))
 
 
 def _shown(match: Column) -> Column:
@@ -117,32 +155,29 @@ def _shown(match: Column) -> Column:
     )
 
 
-def _signature_row(signature: Signature) -> Column:
+def _signature_row(signature: Column) -> Column:
     """A struct where the file satisfies the signature, NULL elsewhere."""
-    hits = [_occurs(s).cast("int") for s in signature.strings]
-    needed = len(hits) if signature.needed is None else signature.needed
-    satisfied = reduce(lambda a, b: a + b, hits) >= needed
-    tags = F.array(*[lit(t) for t in signature.tags]).cast("array<string>")
-    places = tx.let(
-        F.array_sort(F.flatten(F.array(*[_matched_strings(s) for s in signature.strings]))),
-        lambda all_matches: F.struct(
-            F.size(all_matches).alias("match_count"),
-            F.transform(F.slice(all_matches, 1, SHOWN), _shown).alias("matched_strings"),
-        ),
-    )
-    meta = F.create_map(*[lit(x) for kv in signature.meta.items() for x in kv]).cast(
-        "map<string,string>"
-    )
-    return F.when(
-        satisfied,
-        F.struct(
-            lit(signature.rule).alias("yara_rule"),
-            tags.alias("yara_tags"),
-            meta.alias("yara_metadata"),
-            severity_of_tags(tags).alias("severity"),
-            places.alias("places"),
-        ),
-    )
+
+    def of(matched: Column) -> Column:
+        places = tx.let(
+            F.array_sort(F.flatten(matched)),
+            lambda all_matches: F.struct(
+                F.size(all_matches).alias("match_count"),
+                F.transform(F.slice(all_matches, 1, SHOWN), _shown).alias("matched_strings"),
+            ),
+        )
+        return F.when(
+            F.size(matched) >= signature["needed"],
+            F.struct(
+                signature["rule"].alias("yara_rule"),
+                signature["tags"].alias("yara_tags"),
+                signature["meta"].alias("yara_metadata"),
+                severity_of_tags(signature["tags"]).alias("severity"),
+                places.alias("places"),
+            ),
+        )
+
+    return tx.let(F.array_compact(F.transform(signature["strings"], _matched_strings)), of)
 
 
 def _typed(row: Column) -> Column:
@@ -180,21 +215,20 @@ def _typed(row: Column) -> Column:
     )
 
 
-def signature_rows(signatures: list[Signature], config: ScanConfig) -> Column:
-    """array<struct<rule, severity, details>> over ``body``, ``low`` and ``content``."""
-    rows = F.array_compact(F.array(*[_signature_row(s) for s in signatures]))
-    small_enough = c("size") <= config.signature_max_mb * 1024 * 1024
-    return F.when(small_enough, F.transform(rows, _typed))
+def signature_rows() -> Column:
+    """array<struct<rule, severity, details>> over ``candidates``, ``body`` and ``content``."""
+    rows = F.array_compact(F.transform(c("candidates"), _signature_row))
+    return F.transform(rows, _typed)
 
 
 def scan_signatures(
     files: DataFrame, signatures: list[Signature], config: ScanConfig | None = None
 ) -> DataFrame:
     """One row per (file, signature), typed."""
-    base = prepared(files).withColumn("body", tx.byte_text(c("content")))
-    base = base.withColumn("low", F.lower("body"))
-    rows = F.array_compact(signature_rows(signatures, config or ScanConfig()))
-    return base.select(*FILE_KEYS, F.inline(rows)).select(
+    base = prepared(files)
+    base = base.withColumn("candidates", signature_candidates(signatures, config or ScanConfig()))
+    base = base.filter(c("candidates").isNotNull()).withColumn("body", tx.byte_text(c("content")))
+    return base.select(*FILE_KEYS, F.inline(F.array_compact(signature_rows()))).select(
         "name", "version", "rule", "severity", "details.*"
     )
 

@@ -24,9 +24,9 @@ from tarsift.operators.file_rules import Feature, as_found, with_found
 from tarsift.operators.findings import to_findings, union_findings
 from tarsift.operators.long_files import found_in_parts, part_features
 from tarsift.operators.scoring import cross_rule_findings, score_versions
-from tarsift.operators.signatures import Signature, signature_rows
+from tarsift.operators.signatures import Signature, signature_candidates, signature_rows
 from tarsift.operators.typosquat import typosquat_findings
-from tarsift.operators.user_rules import RuleSpec, user_rows, with_user_weights
+from tarsift.operators.user_rules import RuleSpec, rule_candidates, user_rows, with_user_weights
 from tarsift.session import checkpoint_folder
 from tarsift.sources import archives as ar
 from tarsift.sources.unpack import CONTEXT_BYTES, LONG_BYTES, PART_BYTES
@@ -74,15 +74,19 @@ def scan_members(
     )
     more = []
     if signatures:
-        more.append(F.transform(signature_rows(signatures, config), as_found))
+        base = base.withColumn("candidates", signature_candidates(signatures, config))
+        more.append(F.transform(signature_rows(), as_found))
     if rules:
-        more.append(F.transform(user_rows(rules), as_found))
+        base = base.withColumn("rule_candidates", rule_candidates(rules))
+        more.append(F.transform(user_rows(), as_found))
     features = dict(FEATURES)
     base = base.withColumnRenamed("entropy", "measured_entropy")
     if "entropy" in members.columns and config.entropy_sample_bytes is None:
         # Measured where the archive was unpacked: no Python stage in the scan.
         features["entropy"] = Feature(2, lambda config: F.when(entropy_wanted(config), c("measured_entropy")))
-    return with_found(base, RULES.values(), features, config, more).drop("measured_entropy")
+    return with_found(base, RULES.values(), features, config, more).drop(
+        "measured_entropy", "candidates", "rule_candidates"
+    )
 
 
 def with_long_members(
