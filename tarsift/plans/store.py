@@ -1,17 +1,16 @@
-"""Stored tables on plain Parquet: commits append, readers take the latest rows.
+"""Stored tables on plain Parquet: a folder for each table, partitioned by commit.
 
-A commit writes the rows of what it touched, and nothing else, into folders of its own, each
-row with the commit's sequence number; one appended log file makes all of it current at once.
-A merge therefore costs what its batch costs, however much is stored. Of a package or version
-the row of the latest commit counts; of findings and scores, the rows of the latest scan of
-their version, which the small ``scans`` table names.
+A merge writes the rows of what it touched, and nothing else, into its commit's partitions,
+replacing what an earlier try of the same commit left there. A batch that is delivered again
+therefore changes nothing, and no log has to say so: a merge reads only commits before its own,
+so a second run sees what the first one saw.
 
-``compact`` writes what is current into one folder per table, after which readers need that
-folder and the commits since; ``vacuum`` removes what nobody reads any more and rolls the log
-up. A failed merge leaves folders nobody reads; a merge that is run again under the same id is
-skipped. Ids count per writer, so a stream and a batch job can share a store.
+Readers take the latest row of each key, by one `max_by` over the commit. Of findings and scores
+the rows of the latest scan of their version count, which the small ``scans`` table names; it is
+written last, so a merge that broke off shows none of its findings. Commits are ordered by their
+number: a stream uses its batch ids, a batch job any number above those before it.
 
-Merges into one store must not overlap: one writer at a time.
+Files pile up by commit; gathering them is left to the user's table format.
 """
 
 from __future__ import annotations
@@ -42,98 +41,66 @@ SCHEMAS = {
         "details string"
     ),
     "scores": "name string, version string, score int, label string",
-    # Which versions a commit scanned: of findings and scores the last scan's rows count.
-    "scans": "name string, version string",
     "scan_runs": merge.RUN_SCHEMA,
     "scan_run_findings": (
         "name string, version string, rule string, severity string, file_path string, "
         "details string, completed_at timestamp"
     ),
     "rejects": "archive string, name string, version string, status string, completed_at timestamp",
+    # Which versions a commit scanned: of findings and scores the last scan's rows count.
+    "scans": "name string, version string",
 }
 ROW_KEYS = {"packages": ["name"], "versions": VERSION_KEYS, "scans": VERSION_KEYS}
 OF_LAST_SCAN = ("findings", "scores")
-LOG_SCHEMA = "seq bigint, writer string, commit bigint, table_name string, is_base boolean, folder string"
 
 
 @dataclass(frozen=True)
 class Store:
     spark: SparkSession
     root: str
-    writer: str = "scan"
 
     # --- reading
 
-    def log(self) -> DataFrame:
-        path = f"{self.root}/_log"
-        if not _exists(self.spark, path):
-            return self.spark.createDataFrame([], LOG_SCHEMA)
-        # A roll-up and what it replaces may both be there for a moment.
-        return self.spark.read.schema(LOG_SCHEMA).json(path).distinct()
-
-    def _folders(self, table: str) -> list[str]:
-        """The latest base and the commits after it: as many as there were since compaction."""
-        rows = self.log().filter((c("table_name") == table) & c("folder").isNotNull()).collect()
-        base = max((r["seq"] for r in rows if r["is_base"]), default=-1)
-        return sorted(r["folder"] for r in rows if r["seq"] > base or (r["is_base"] and r["seq"] == base))
-
-    def _rows(self, table: str, keys: DataFrame | None = None) -> DataFrame:
-        """All stored rows that may still count, with their commit's seq; of some keys only."""
-        schema, folders = f"{SCHEMAS[table]}, seq bigint", self._folders(table)
-        if not folders:
+    def _rows(self, table: str, keys: DataFrame | None, before: int | None) -> DataFrame:
+        """All stored rows with their commit; of some keys, or of earlier commits only."""
+        schema, path = f"{SCHEMAS[table]}, commit bigint", f"{self.root}/{table}"
+        if not exists(self.spark, path):
             return self.spark.createDataFrame([], schema)
-        rows = self.spark.read.schema(schema).parquet(*folders)
+        rows = self.spark.read.schema(schema).parquet(path)
+        if before is not None:
+            rows = rows.filter(c("commit") < before)
         if keys is None:
             return rows
         by = ROW_KEYS.get(table, VERSION_KEYS)
         return rows.join(keys.select(*by).distinct(), by, "left_semi")
 
-    def current(self, table: str, keys: DataFrame | None = None) -> DataFrame:
-        """The current rows of a table, or those of some keys (a frame that has them)."""
-        return self._current(table, keys).drop("seq")
+    def current(self, table: str, keys: DataFrame | None = None, before: int | None = None) -> DataFrame:
+        """The current rows of a table, or those of some keys (a frame that has them); as of
+        the commits before one."""
+        return self._current(table, keys, before).drop("commit")
 
-    def _current(self, table: str, keys: DataFrame | None = None) -> DataFrame:
-        rows = self._rows(table, keys)
+    def _current(self, table: str, keys: DataFrame | None, before: int | None) -> DataFrame:
+        rows = self._rows(table, keys, before)
         if table in OF_LAST_SCAN:
-            return rows.join(self._current("scans", keys), [*VERSION_KEYS, "seq"], "left_semi")
+            return rows.join(self._current("scans", keys, before), [*VERSION_KEYS, "commit"], "left_semi")
         if table not in ROW_KEYS:
             return rows
         whole = F.struct(*rows.columns)
-        return rows.groupBy(*ROW_KEYS[table]).agg(F.max_by(whole, "seq").alias("r")).select("r.*")
+        return rows.groupBy(*ROW_KEYS[table]).agg(F.max_by(whole, "commit").alias("r")).select("r.*")
 
     def history(self, table: str) -> DataFrame:
-        """Appended rows of all recorded commits."""
+        """The rows of all commits."""
         return self.current(table)
 
-    def has_commit(self, commit: int) -> bool:
-        mine = (c("writer") == self.writer) & (c("commit") == commit)
-        return not self.log().filter(mine).isEmpty()
-
-    # --- writing
+    # --- merges
 
-    def _write(self, label: str, seq: int, tables: dict[str, DataFrame]) -> list[tuple]:
-        """Rows of a commit, each table in a folder of its own; gives the log's records."""
-        records = []
-        for table, rows in tables.items():
+    def _write(self, commit: int, tables: dict[str, DataFrame]) -> None:
+        """Rows of a commit, each table's in its partition, in the order of SCHEMAS."""
+        for table in (t for t in SCHEMAS if t in tables):
             names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
-            folder = f"{self.root}/{table}/{label}"
-            rows = rows.select(*names, *([] if "seq" not in rows.columns else ["seq"]))
-            rows = rows if "seq" in rows.columns else rows.withColumn("seq", lit(seq).cast("bigint"))
             # Few files for a small commit, more for a large one, whatever made the rows.
-            rows.hint("rebalance").write.mode("overwrite").parquet(folder)
-            records.append((table, folder))
-        return records
-
-    def _next(self) -> int:
-        return (self.log().agg(F.max("seq")).first()[0] or 0) + 1
-
-    def _publish(self, seq: int, commit: int | None, records: list[tuple], base: bool = False) -> None:
-        """One file, one rename: the commit is visible as a whole or not at all."""
-        rows = [(seq, self.writer, commit, table, base, folder) for table, folder in records]
-        log = self.spark.createDataFrame(rows, LOG_SCHEMA)
-        log.coalesce(1).write.mode("append").json(f"{self.root}/_log")
-
-    # --- merges
+            rows = tables[table].select(*names).hint("rebalance")
+            rows.write.mode("overwrite").parquet(f"{self.root}/{table}/commit={commit}")
 
     def merge_scan(
         self,
@@ -142,113 +109,47 @@ class Store:
         at: Column | None = None,
         messages: DataFrame | None = None,
         **run_details,
-    ) -> bool:
-        """Store a scan. False when this commit is already in.
+    ) -> None:
+        """Store a scan.
 
         ``messages`` are the queue's messages, a row per version at most: what they say of a
         run (queued_at, source, rerun_reason, ...) is kept with it.
         """
-        if self.has_commit(commit):
-            return False
-        at, seq = _now() if at is None else at, self._next()
+        at = _now() if at is None else at
         scanned = result.versions
         people = scanned.join(result.metadata, VERSION_KEYS, "left")
         runs = merge.scan_run_rows(result.scores, result.findings, at, messages, **run_details)
-        records = self._write(
-            f"commit={self.writer}-{commit}",
-            seq,
+        self._write(
+            commit,
             {
-                "packages": merge.upsert_packages(self.current("packages", scanned), people, at),
-                "versions": merge.upsert_versions(self.current("versions", scanned), scanned, at),
+                "packages": merge.upsert_packages(self.current("packages", scanned, commit), people, at),
+                "versions": merge.upsert_versions(self.current("versions", scanned, commit), scanned, at),
                 "findings": merge.sanitized(result.findings),
                 "scores": result.scores,
-                "scans": scanned.select(*VERSION_KEYS).distinct(),
                 "scan_runs": runs,
                 "scan_run_findings": merge.scan_run_findings(result.findings, at),
                 "rejects": result.rejects.withColumn("completed_at", at),
+                "scans": scanned.select(*VERSION_KEYS).distinct(),
             },
         )
-        self._publish(seq, commit, records)
-        return True
 
-    def merge_queue(self, commit: int, queued: DataFrame, at: Column | None = None) -> bool:
+    def merge_queue(self, commit: int, queued: DataFrame, at: Column | None = None) -> None:
         """Record queued versions: new ones as queued, known ones refreshed."""
         from tarsift.operators.queue_building import upsert_queued
 
-        if self.has_commit(commit):
-            return False
-        at, seq = _now() if at is None else at, self._next()
+        at = _now() if at is None else at
         people = queued.select(
             *VERSION_KEYS,
             lit(None).cast("string").alias("author"),
             lit(None).cast("string").alias("description"),
         )
-        records = self._write(
-            f"commit={self.writer}-{commit}",
-            seq,
+        self._write(
+            commit,
             {
-                "packages": merge.upsert_packages(self.current("packages", queued), people, at),
-                "versions": upsert_queued(self.current("versions", queued), queued),
+                "packages": merge.upsert_packages(self.current("packages", queued, commit), people, at),
+                "versions": upsert_queued(self.current("versions", queued, commit), queued),
             },
         )
-        self._publish(seq, commit, records)
-        return True
-
-    # --- upkeep
-
-    def compact(self, latest_runs_only: bool = False) -> int:
-        """Write what is current into one folder per table; gives the base's number.
-
-        Files get their size from the data (rebalanced). With ``latest_runs_only`` the run
-        history keeps the latest run of every version.
-        """
-        from tarsift.plans.reports import latest_runs
-
-        seq, tables = self._next(), {}
-        for table in SCHEMAS:
-            if not self._folders(table):
-                continue
-            rows = self._current(table)
-            if latest_runs_only and table == "scan_runs":
-                rows = latest_runs(rows)
-            if latest_runs_only and table == "scan_run_findings":
-                kept = latest_runs(self._current("scan_runs")).select(*VERSION_KEYS, "completed_at")
-                rows = rows.join(kept, [*VERSION_KEYS, "completed_at"], "left_semi")
-            tables[table] = rows
-        self._publish(seq, None, self._write(f"base={seq}", seq, tables), base=True)
-        return seq
-
-    def vacuum(self) -> list[str]:
-        """Remove folders and log files that nobody reads any more; gives what went.
-
-        Only between merges: a merge that is under way has folders that no log names yet.
-        """
-        path = self.spark._jvm.org.apache.hadoop.fs.Path
-        root = path(self.root)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        used = {table: set(self._folders(table)) for table in SCHEMAS}
-        live = {f for folders in used.values() for f in folders}
-        log = f"{self.root}/_log"
-        if not fs.exists(path(log)):
-            return []
-        old_logs = [s.getPath() for s in fs.listStatus(path(log))]
-        # Commits stay known by their ids; folders that went are named no more.
-        rows = [
-            (r["seq"], r["writer"], r["commit"], r["table_name"], r["is_base"], r["folder"] if r["folder"] in live else None)
-            for r in self.log().collect()
-        ]
-        self.spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").json(log)
-        for place in old_logs:
-            fs.delete(place, False)
-        gone = []
-        for table, folders in used.items():
-            top = path(f"{self.root}/{table}")
-            names = {f.rsplit("/", 1)[1] for f in folders}
-            for status in fs.listStatus(top) if fs.exists(top) else []:
-                if status.getPath().getName() not in names:
-                    gone.append(f"{table}/{status.getPath().getName()}")
-                    fs.delete(status.getPath(), True)
-        return sorted(gone)
 
 
 def _now() -> Column:
@@ -256,6 +157,6 @@ def _now() -> Column:
     return lit(datetime.now(timezone.utc)).cast("timestamp")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)

@@ -1,7 +1,7 @@
 """The queue worker as a stream, and live reports.
 
 Delivery is at least once: a batch may come again after a failure. Every batch therefore
-writes under its own id and is skipped when that id is already stored.
+writes the partitions of its own id, which a second delivery replaces by the same rows.
 """
 
 from __future__ import annotations
@@ -20,15 +20,15 @@ from tarsift.functions.timestamps import parse_timestamp
 from tarsift.operators.queue_building import skip_analyzed
 from tarsift.operators.signatures import Signature
 from tarsift.plans.scan import scan_archives
-from tarsift.plans.store import Store
-from tarsift.sources.archives import archive_path, extract_members
+from tarsift.plans.store import Store, exists
+from tarsift.sources.archives import archive_files, archive_path, extract_members
 from tarsift.sources.unpack import MISSING
 
 c, lit = F.col, F.lit
 KEYS = ["name", "version"]
 
 
-# A message whose archive is not there is queued again so many times.
+# A message whose archive is not there is tried so many times; then it stays in the rejects.
 MAX_ATTEMPTS = 5
 
 
@@ -75,24 +75,19 @@ def daily_totals(spark: SparkSession, path: str) -> DataFrame:
 def downloaded(spark: SparkSession, folder: str) -> Callable[[DataFrame], DataFrame]:
     """Archives by their place under a download folder on any Hadoop file system.
 
-    A listing without contents says which of a batch's archives are there; those paths (as many
-    as the batch has messages) are what is opened. The others come without content.
+    Where an archive lies follows from name and version: just the batch's places are asked for,
+    however many archives the folder holds. Places without an archive come without content.
     """
 
     def opened(wanted: DataFrame) -> DataFrame:
         paths = wanted.select(archive_path(folder, c("name"), c("version")).alias("path")).distinct()
-        file_name = lambda path: F.substring_index(path, "/", -1).alias("file")
-        listing = spark.read.format("binaryFile").option("pathGlobFilter", "*.tgz").load(folder)
-        there = listing.select(c("path").alias("place"), file_name("path"))
-        met = paths.withColumn("file", F.substring_index("path", "/", -1)).join(there, "file", "left")
-        places = [r["place"] for r in met.filter("place IS NOT NULL").select("place").collect()]
-        missing = met.filter("place IS NULL").select(
+        places = [row["path"] for row in paths.toLocalIterator()]
+        there = [place for place in places if exists(spark, place)]
+        gone = [(place,) for place in set(places) - set(there)]
+        missing = spark.createDataFrame(gone, "path string").select(
             "path", lit(None).cast("bigint").alias("length"), lit(None).cast("binary").alias("content")
         )
-        if not places:
-            return missing
-        found = spark.read.format("binaryFile").load(places).select("path", "length", "content")
-        return found.unionByName(missing)
+        return archive_files(spark, there, "*").unionByName(missing) if there else missing
 
     return opened
 
@@ -107,22 +102,23 @@ def once_each(messages: DataFrame) -> DataFrame:
 def analyse_batch(
     store: Store,
     batch: DataFrame,
-    batch_id: int,
+    commit: int,
     open_archives: Callable[[DataFrame], DataFrame],
     config: ScanConfig | None = None,
     signatures: list[Signature] | None = None,
     folder: str | None = None,
     requeue: str | None = None,
-) -> bool:
+) -> None:
     """Scan the archives of one batch of queue messages and store the result.
 
     ``open_archives`` turns (name, version) into (path, content), without content where there
     is no archive. Rejected archives are stored with the commit. Messages whose archive is
     missing go back to the queue folder ``requeue`` with their attempts counted; a batch that is
-    delivered again may send them twice, which the next batch's `once_each` makes good.
+    delivered again may send them twice, which the next batch's `once_each` makes good. What is
+    known is what commits before this one stored, so a second delivery does the same work.
     """
     config = config or ScanConfig()
-    messages = skip_analyzed(once_each(batch), store.current("versions", batch.select(*KEYS)))
+    messages = skip_analyzed(once_each(batch), store.current("versions", batch.select(*KEYS), commit))
     members = extract_members(open_archives(messages.select(*KEYS)), config.max_extract_bytes)
     started = lit(datetime.now(timezone.utc)).cast("timestamp")
     result = scan_archives(members, config, signatures, folder=folder)
@@ -131,10 +127,10 @@ def analyse_batch(
         gone = result.rejects.filter(c("status") == MISSING).select(*KEYS).distinct()
         again = messages.join(gone, KEYS, "left_semi").withColumn("attempts", (tries + 1).cast("int"))
         again.filter(c("attempts") < MAX_ATTEMPTS).coalesce(1).write.mode("append").json(requeue)
-    return store.merge_scan(
-        batch_id, result, messages=messages, source="queue", started_at=started,
+    store.merge_scan(
+        commit, result, messages=messages, source="queue", started_at=started,
         analyzer_version=__version__, config_hash=hashlib.sha256(repr(config).encode()).hexdigest()[:16],
-        findings_s3_key=f"{store.root}/findings/commit={store.writer}-{batch_id}",
+        findings_s3_key=f"{store.root}/findings/commit={commit}",
     )
 
 
@@ -147,12 +143,15 @@ def analyse_worker(
     signatures: list[Signature] | None = None,
     folder: str | None = None,
     requeue: str | None = None,
+    first_commit: int = 0,
 ) -> DataStreamWriter:
-    """The continuous worker. Choose a trigger and start the writer that comes back."""
+    """The continuous worker. Choose a trigger and start the writer that comes back.
+
+    Batches are commits from ``first_commit`` on."""
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        if not store.has_commit(batch_id):
-            analyse_batch(store, batch, batch_id, open_archives, config, signatures, folder, requeue)
+        commit = first_commit + batch_id
+        analyse_batch(store, batch, commit, open_archives, config, signatures, folder, requeue)
 
     return messages.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
 
