@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tarsift.catalog.content import _TECHNIQUES
@@ -19,6 +20,7 @@ from tarsift.plans.store import Store
 from tarsift.session import checkpoint_folder
 from tarsift.sources import archives as ar
 from tarsift.sources import queue as qs
+from tarsift.sources.feed import stream_feed
 from tarsift.sources.findings_io import finding_documents, read_documents, write_documents
 from tarsift.streaming import worker
 from tarsift.views import table, view, view_sql
@@ -420,7 +422,10 @@ def q10(spark, folder):
 
 @query("q11_run_counters", f"WITH {LATEST} SELECT count(*) AS last_processed, count(*) AS last_new FROM latest")
 def q11(spark, folder):
-    return qb.run_counters(qb.latest_versions(documents(spark, folder)))
+    """Counted while the queue is written, in the same pass."""
+    queue, counters = qb.observed(qb.latest_versions(documents(spark, folder)))
+    queue.write.json(scratch(spark, "q11"))
+    return spark.createDataFrame([Row(**counters.get)], "last_processed bigint, last_new bigint")
 
 
 # --- merges -----------------------------------------------------------------------------
@@ -715,12 +720,13 @@ def st3(spark, folder):
     view_sql("changes", tail="SELECT id AS name, count(*) AS changes FROM changes WHERE NOT deleted GROUP BY id"),
 )
 def st4(spark, folder):
-    """The feed lands in two parts; the second run reads on from the first one's end."""
+    """The feed lands in two parts; the second run reads on behind the first one's last seq."""
     landed, out, state = (scratch(spark, f"st4-{part}") for part in ("feed", "queue", "state"))
-    feed = view(spark, folder, "changes").withColumn("seq", c("seq").cast("string"))
-    early = F.pmod(F.xxhash64("seq"), lit(2)) == 0
-    for part in (early, ~early):
-        feed.filter(part).write.mode("append").json(landed)
-        worker.run_available(worker.follow_changes(qs.stream_changes(spark, landed), out, state))
+    feed = view(spark, folder, "changes").select(c("seq").cast("bigint").alias("seq"), "id", "deleted")
+    middle = feed.agg(F.expr("percentile_approx(seq, 0.5)")).first()[0] or 0
+    for part in (c("seq") <= middle, c("seq") > middle):
+        feed.filter(part).write.mode("append").parquet(landed)
+        changes = qs.live_changes(stream_feed(spark, landed))
+        worker.run_available(worker.follow_changes(changes, out, state))
     names = spark.read.schema("name string").json(out)
     return names.groupBy("name").agg(F.count("*").alias("changes"))

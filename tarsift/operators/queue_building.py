@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tarsift.functions.timestamps import parse_timestamp
 
@@ -163,6 +164,54 @@ def upsert_queued(versions: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def run_counters(queued: DataFrame) -> DataFrame:
+    """The counters of a run as a table: a second pass over what was queued."""
     return queued.agg(
         F.count("*").alias("last_processed"), F.count("*").alias("last_new")
     )
+
+
+def observed(queued: DataFrame, new: Column | None = None) -> tuple[DataFrame, Observation]:
+    """The queued rows as they are, and counters that fill while they are written: no second
+    pass. ``new`` says which rows are new; all by default. The counters are there
+    (``Observation.get``) once an action over the rows has ended."""
+    counters = Observation("run counters")
+    is_new = lit(True) if new is None else F.coalesce(new, lit(False))
+    counted = queued.observe(
+        counters, F.count(lit(1)).alias("last_processed"), F.count_if(is_new).alias("last_new")
+    )
+    return counted, counters
+
+
+class StreamCounters(StreamingQueryListener):
+    """Sums of the observed counters over the batches of the streams of a session.
+
+    `counted` marks a stream's rows; a batch that is delivered again counts once."""
+
+    NAME = "queue_counters"
+
+    def __init__(self) -> None:
+        self.batches: dict[tuple[str, int], dict[str, int]] = {}
+
+    @classmethod
+    def counted(cls, rows: DataFrame, new: Column | None = None) -> DataFrame:
+        is_new = lit(True) if new is None else F.coalesce(new, lit(False))
+        return rows.observe(
+            cls.NAME, F.count(lit(1)).alias("last_processed"), F.count_if(is_new).alias("last_new")
+        )
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        metrics = event.progress.observedMetrics.get(self.NAME)
+        if metrics is not None:
+            self.batches[str(event.progress.id), event.progress.batchId] = metrics.asDict()
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+    def totals(self) -> dict[str, int]:
+        return {
+            name: sum(metrics[name] for metrics in self.batches.values())
+            for name in ("last_processed", "last_new")
+        }
