@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,10 +19,11 @@ from tarsift.config import ScanConfig
 from tarsift.functions.timestamps import parse_timestamp
 from tarsift.operators.queue_building import skip_analyzed
 from tarsift.operators.signatures import Signature
-from tarsift.plans.scan import scan_archives
+from tarsift.plans.scan import scan_archives, written
 from tarsift.plans.store import Store, exists
 from tarsift.sources.archives import archive_files, archive_path, extract_members
 from tarsift.sources.unpack import MISSING
+from tarsift.streaming.messages import told_apart
 
 c, lit = F.col, F.lit
 KEYS = ["name", "version"]
@@ -144,12 +145,26 @@ def analyse_worker(
     folder: str | None = None,
     requeue: str | None = None,
     first_commit: int = 0,
+    keep: timedelta | None = None,
 ) -> DataStreamWriter:
     """The continuous worker. Choose a trigger and start the writer that comes back.
 
-    Batches are commits from ``first_commit`` on."""
+    Batches are commits from ``first_commit`` on. With ``keep`` messages of versions that were
+    asked for within that time are left out before their batch is looked at (`told_apart`);
+    what was queued again for a missing archive passes. Such a stream always has a next batch,
+    so it takes a time trigger and not availableNow.
+    """
+    if keep is not None:
+        messages = told_apart(messages, keep)
 
     def run(batch: DataFrame, batch_id: int) -> None:
+        if keep is not None:
+            # Written down first: the batch is read several times, its state is asked once.
+            tried = F.coalesce(c("attempts"), lit(0)) if "attempts" in batch.columns else lit(0)
+            batch = batch.filter((c("kind") != "repeat") | (tried > 0)).drop("kind")
+            batch = written(batch, "messages", folder)
+            if batch.isEmpty():
+                return
         commit = first_commit + batch_id
         analyse_batch(store, batch, commit, open_archives, config, signatures, folder, requeue)
 
