@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarsift import fixed_values as fv
+from tarsift.functions import text as tx
 
 c, lit = F.col, F.lit
 
@@ -228,17 +229,20 @@ def _described(pairs: DataFrame) -> DataFrame:
 
 # --- protected names as a table ---------------------------------------------------------
 # For lists of any length: keys that two names share if one resembles the other, an
-# equi-join on them, and the exact test on what meets.
+# equi-join on them, and the exact test on what meets. Short names share what is left of them
+# after a few deletions, long ones one of their quarters.
 
 _KEY = "array<struct<size:int,part:int,text:string>>"
 # Parts of look-alike keys are numbered from here on, by position.
 _LOOKS_FROM = 100
+# Targets of up to so many letters are found by deletion variants, longer ones by parts.
+_VARIANTS_UPTO = 9
 
 
 def _parts_of(size: Column) -> Column:
-    """One part more than the edits that a target of this length allows: of two names within
-    that distance some part is in both, moved by no more than the edits."""
-    return F.when(size > 6, lit(4)).otherwise(lit(3))
+    """One part more than the edits that a long target allows: of two names within that
+    distance some part is in both, moved by no more than the edits."""
+    return lit(4)
 
 
 def _part_start(i: Column, size: Column) -> Column:
@@ -251,9 +255,28 @@ def _key(size: Column, part: Column, text: Column) -> Column:
     )
 
 
-def _short(size: Column) -> Column:
-    """Targets too short to be cut meet all names of about their length."""
-    return F.array(_key(size, lit(-1), lit(""))).cast(_KEY)
+def _variants(text: Column, edits: int) -> Column:
+    """The text and all that is left of it after up to so many deletions. Two texts within an
+    edit distance have such a rest in common: each edit is a deletion on one side or both."""
+
+    def shorter(one: Column) -> Column:
+        without = lambda i: F.concat(F.left(one, i - 1), F.substring(one, i + 1, F.length(one)))
+        return F.when(F.length(one) > 0, F.transform(F.sequence(lit(1), F.length(one)), without)).otherwise(
+            F.array().cast("array<string>")
+        )
+
+    found = last = F.array(text)
+    for _ in range(edits):
+        step = lambda texts: F.array_distinct(F.flatten(F.transform(texts, shorter)))
+        last = tx.let(last, step)
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
+def _variant_keys(text: Column, allowed: int) -> Column:
+    """Keys of the targets that allow so many edits; two substitutions are always looked for."""
+    found = _variants(text, max(allowed, 2))
+    return F.transform(found, lambda v: _key(lit(-1), lit(-allowed), v)).cast(_KEY)
 
 
 def target_keys(target: Column) -> Column:
@@ -270,13 +293,16 @@ def target_keys(target: Column) -> Column:
         lambda p: _key(size, p + _LOOKS_FROM, F.substring(target, p + 1, lit(1))),
     ).cast(_KEY)
     looked_for = F.filter(at, lambda k: k["text"].isin(*fv.CONFUSABLES))
-    parts = F.when(size <= 3, _short(size)).otherwise(cut)
-    return F.when(size > 0, F.concat(parts, looked_for)).otherwise(parts)
+    limit = allowed_distance(target)
+    short = F.when(limit == 1, _variant_keys(target, 1)).when(limit == 2, _variant_keys(target, 2))
+    keys = F.when(size > _VARIANTS_UPTO, cut).otherwise(short.otherwise(_variant_keys(target, 3)))
+    return F.when(size > 0, F.concat(keys, looked_for)).otherwise(keys)
 
 
 def name_keys(name: Column) -> Column:
     """The keys under which a protected name that this bare name (lower case) resembles lies."""
     n = F.length(name)
+    none = F.array().cast(_KEY)
 
     def of_part(size: Column, i: Column) -> Column:
         start, width = _part_start(i, size), _part_start(i + 1, size) - _part_start(i, size)
@@ -285,10 +311,15 @@ def name_keys(name: Column) -> Column:
         return F.transform(inside, lambda at: _key(size, i, F.substring(name, at + 1, width))).cast(_KEY)
 
     def of_size(size: Column) -> Column:
-        cut = F.transform(F.sequence(lit(0), _parts_of(size) - 1), lambda i: of_part(size, i))
-        return F.when(size <= 3, _short(size)).otherwise(F.flatten(cut))
-
-    parts = F.flatten(F.transform(F.sequence(F.greatest(n - 3, lit(0)), n + 3), of_size))
+        return F.flatten(F.transform(F.sequence(lit(0), _parts_of(size) - 1), lambda i: of_part(size, i)))
+
+    first = F.greatest(n - 3, lit(_VARIANTS_UPTO + 1))
+    parts = F.when(n + 3 > _VARIANTS_UPTO, F.flatten(F.transform(F.sequence(first, n + 3), of_size))).otherwise(none)
+    # Which targets allow one, two or three edits follows from their length.
+    short = [
+        F.when(n.between(least, most), _variant_keys(name, allowed)).otherwise(none)
+        for allowed, least, most in ((1, 0, 3 + 1), (2, 4 - 2, 6 + 2), (3, 7 - 3, _VARIANTS_UPTO + 3))
+    ]
     meant: dict[str, list[str]] = {}
     for char, looks in fv.CONFUSABLES.items():
         for look in looks:
@@ -301,14 +332,17 @@ def name_keys(name: Column) -> Column:
             lambda char: _key(n, p + _LOOKS_FROM, char),
         ),
     )
-    return F.array_distinct(F.concat(parts, F.when(n > 0, F.flatten(at)).otherwise(F.array().cast(_KEY))))
+    looks = F.when(n > 0, F.flatten(at)).otherwise(none)
+    return F.array_distinct(F.concat(parts, *short, looks))
 
 
 def near_names(names: DataFrame, protected: DataFrame) -> DataFrame:
     """(name, bare, target): pairs that may resemble each other; none that does is missing.
 
-    Both frames have a column ``name``; names are taken once each. Names meet by short keys, so
-    both sides spread over as many partitions as there are.
+    Both frames have a column ``name``; names are taken once each. Short targets are met by what
+    is left after deletions, long ones by a quarter of them, so that no key gathers more than
+    the names that are nearly alike; only the listed look-alike characters, which match whatever
+    else differs, bring names together by a single letter.
     """
     keyed = lambda df, keys: (
         df.select("name").filter(c("name").isNotNull()).distinct()
