@@ -711,7 +711,7 @@ def st3(spark, folder):
     events.repartition(4, "name").write.parquet(landed)
     stream = spark.readStream.schema("name string, analyzed_at timestamp, findings bigint").option("maxFilesPerTrigger", 2).parquet(landed)
     out = scratch(spark, "st3-out")
-    worker.run_available(worker.write_updates(worker.daily_activity(stream), out, scratch(spark, "st3-state")))
+    worker.run_available(worker.write_daily(stream, out, scratch(spark, "st3-state")))
     return worker.daily_totals(spark, out).withColumn("date", c("date").cast("string"))
 
 

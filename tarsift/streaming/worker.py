@@ -51,10 +51,7 @@ def fresh_messages(
 
 
 def daily_activity(versions: DataFrame) -> DataFrame:
-    """Analysed versions and their findings by day and package, kept up to date (update mode).
-
-    Counting packages exactly takes a state entry for each; `daily_totals` adds them up.
-    """
+    """Analysed versions and their findings by day and package."""
     findings = c("findings") if "findings" in versions.columns else lit(None)
     return (
         versions.filter(c("analyzed_at").isNotNull())
@@ -63,10 +60,36 @@ def daily_activity(versions: DataFrame) -> DataFrame:
     )
 
 
-def daily_totals(spark: SparkSession, path: str) -> DataFrame:
-    """Versions, packages and findings per day, from what a `daily_activity` stream wrote."""
-    latest = latest_by_key(spark, path, ["date", "name"], "batch")
-    return latest.groupBy("date").agg(
+def write_daily(versions: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
+    """The daily report of a stream of analysed versions, without state.
+
+    Each batch leaves its own sums by day and package, in folders by step and day; a batch that
+    is delivered again replaces its step. Sums add up (`daily_totals`), so no day has to be held
+    open: a row that comes late, however late, is one more sum of its day.
+    """
+
+    def run(batch: DataFrame, batch_id: int) -> None:
+        sums = daily_activity(batch)
+        sums.write.mode("overwrite").partitionBy("date").parquet(f"{path}/step={batch_id}")
+
+    return versions.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+
+
+DAILY_SCHEMA = "name string, versions bigint, findings bigint, step bigint, date date"
+
+
+def daily_totals(
+    spark: SparkSession, path: str, first: str | None = None, last: str | None = None
+) -> DataFrame:
+    """Versions, packages and findings per day, from what `write_daily` wrote: of all days, or
+    of those from ``first`` to ``last``, whose folders alone are then read."""
+    sums = spark.read.schema(DAILY_SCHEMA).parquet(path)
+    if first is not None:
+        sums = sums.filter(c("date") >= lit(first).cast("date"))
+    if last is not None:
+        sums = sums.filter(c("date") <= lit(last).cast("date"))
+    by_package = sums.groupBy("date", "name").agg(F.sum("versions").alias("versions"), F.sum("findings").alias("findings"))
+    return by_package.groupBy("date").agg(
         F.sum("versions").alias("versions"),
         F.count("*").alias("packages"),
         F.sum("findings").alias("findings"),
@@ -186,25 +209,3 @@ def run_available(writer: DataStreamWriter) -> StreamingQuery:
     query = writer.trigger(availableNow=True).start()
     query.awaitTermination()
     return query
-
-
-def latest_by_key(spark: SparkSession, path: str, key: str | list[str], order: str) -> DataFrame:
-    """The last state of rows that an update-mode stream wrote batch by batch."""
-    rows = spark.read.parquet(path)
-    whole = F.struct(*rows.columns)
-    keys = [key] if isinstance(key, str) else key
-    return rows.groupBy(*keys).agg(F.max_by(whole, c(order)).alias("r")).select("r.*").drop(order)
-
-
-def write_updates(updates: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """An update-mode stream as appended rows, tagged with their batch."""
-
-    def run(batch: DataFrame, batch_id: int) -> None:
-        tagged = batch.withColumn("batch", lit(batch_id).cast("bigint"))
-        tagged.write.mode("overwrite").parquet(f"{path}/step={batch_id}")
-
-    return (
-        updates.writeStream.outputMode("update")
-        .foreachBatch(run)
-        .option("checkpointLocation", checkpoint)
-    )

@@ -1,4 +1,4 @@
-"""Messages once each, by state that ends."""
+"""Messages once each, by state that ends; the daily report without state."""
 
 from __future__ import annotations
 
@@ -69,3 +69,37 @@ def test_the_worker_leaves_repeats_out(spark, work):
     assert store.current("findings").count() > 0
     # The second batch held a repeat alone and wrote nothing.
     assert not Path(work, "store", "scans", "commit=1").exists()
+
+
+def test_daily_report_takes_late_rows_and_replays(spark, work):
+    schema = "name string, analyzed_at timestamp, findings bigint"
+
+    def land(rows):
+        rows = [(n, datetime.fromisoformat(at), f) for n, at, f in rows]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(work + "/days")
+
+    def follow():
+        stream = spark.readStream.schema(schema).parquet(work + "/days")
+        worker.run_available(worker.write_daily(stream, work + "/sums", work + "/state"))
+
+    def totals(**days):
+        return sorted((str(r["date"]), r["versions"], r["packages"], r["findings"]) for r in worker.daily_totals(spark, work + "/sums", **days).collect())
+
+    utc = "+00:00"
+    land([("a", "2025-01-01T10:00:00" + utc, 2), ("a", "2025-01-01T11:00:00" + utc, None), ("b", "2025-01-02T01:00:00" + utc, 1)])
+    follow()
+    assert totals() == [("2025-01-01", 2, 1, 2), ("2025-01-02", 1, 1, 1)]
+    # A year late: the day is reopened; a package counts once a day however many batches it is in.
+    land([("a", "2025-01-01T09:00:00" + utc, 5), ("c", "2025-01-01T09:00:00" + utc, 0), ("b", "2026-02-02T00:00:00" + utc, 1)])
+    follow()
+    want = [("2025-01-01", 4, 2, 7), ("2025-01-02", 1, 1, 1), ("2026-02-02", 1, 1, 1)]
+    assert totals() == want
+    assert totals(first="2025-01-02", last="2025-12-31") == want[1:2]
+    # A batch that comes again replaces its step: forget that the second one was committed.
+    (commit,) = [p for p in Path(work, "state", "commits").iterdir() if p.name == "1"]
+    commit.unlink()
+    crc = commit.with_name(".1.crc")
+    if crc.exists():
+        crc.unlink()
+    follow()
+    assert totals() == want
