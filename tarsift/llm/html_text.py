@@ -72,7 +72,7 @@ TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)"
     r"|<(?P<raw>script|style|iframe|noembed|noframes|xmp)\b[^>]*>.*?(?:</(?P=raw)\s*[^>]*>|\Z)"
     r"|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|=\s*\"[^\"]*\"|=\s*'[^']*'|[\"'])*?)(?:>|\Z)"
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"'=]+|=\s*\"[^\"]*\"|=\s*'[^']*'|[=\"'])*?)(?:>|\Z)"
     r"|</[^>]*(?:>|\Z)",
     re.S | re.I,
 )

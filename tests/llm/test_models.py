@@ -373,3 +373,20 @@ def test_labeller_without_short_pages(spark):
     nothing = html_text.fit(spark.createDataFrame([(1, "u", ""), (2, "u", None)], schema))
     (found,) = html_text.main_text(spark.createDataFrame([(1, "u", page.format("<p>Text</p>"))], schema), nothing).collect()
     assert found.text == "Home\nText\nAll rights" and found.n_main == found.n_blocks
+
+
+@pytest.mark.parametrize(("page", "texts"), [
+    ('<p data-x="1 > 0">hello</p>', ["hello"]),
+    ("<p data-x='a > b' title = \"c > d\">hello</p>", ["hello"]),
+    ('<p>see <a title="x > y" href=/z>this</a> one</p>', ["see this one"]),
+    ('<p class=a"b>odd</p><p title="open>rest</p>', ["odd", "rest"]),
+    ("<p a=1 b = 2>plain</p><p =>x</p>", ["plain", "x"]),
+    ('<img alt="a > b"><p>after', ["after"]),
+])
+def test_quoted_values_do_not_end_a_tag(page, texts):
+    assert [block.text for block in html_text.blocks_of(page)] == texts
+
+
+def test_a_class_behind_a_quoted_sign_is_seen():
+    (block,) = html_text.blocks_of("""<div data-json='{"a":">"}' class=sidebar>y</div>""")
+    assert block.text == "y" and "sidebar" in block.path[-1]
