@@ -7,10 +7,11 @@ documents, so that hashing and word finding are array operations, never per-word
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +57,38 @@ def discard(frame: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def sent(spark: SparkSession, value) -> Callable[[], object]:
+    """Broadcasts an object together with its class, so that workers need no copy of this
+    package; in a task the result gives the object, decoded at each call."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: cloudpickle.loads(shared.value)
+
+
+class Remembered:
+    """A function of texts with its last results, those of long texts left out, so that what it
+    holds has a bound. It travels to the workers without results."""
+
+    def __init__(self, work: Callable, most: int, longest: int):
+        self.work, self.most, self.longest, self.have = work, most, longest, {}
+
+    def __call__(self, *texts: str):
+        value = self.have.get(texts)
+        if value is None:
+            value = self.work(*texts)
+            if sum(map(len, texts)) <= self.longest:
+                if len(self.have) >= self.most:
+                    self.have.clear()
+                self.have[texts] = value
+        return value
+
+    def __getstate__(self) -> dict:
+        return {**self.__dict__, "have": {}}
+
+
+def remembered(most: int, longest: int = 256) -> Callable[[Callable], Remembered]:
+    return lambda work: Remembered(work, most, longest)
+
+
 def documents(frame: DataFrame, *others: str) -> DataFrame:
     """doc_id (long), text (null: empty) and the named columns; other columns are left out."""
     return frame.select(
@@ -93,13 +126,16 @@ def flat(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return body[at[0] : at[-1]], at - at[0]
 
 
-def chunks(data: np.ndarray, at: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose bytes are at most `most` together, or one row."""
+def chunks(
+    data: np.ndarray, at: np.ndarray, most: int = CHUNK, most_rows: int | None = None
+) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose bytes are at most `most` together, or one row; of at most `most_rows`."""
     row, rows = 0, len(at) - 1
     while row < rows:
         end = max(row + 1, int(np.searchsorted(at, at[row] + most, "right")) - 1)
-        yield row, min(end, rows)
-        row = min(end, rows)
+        end = min(end, rows, row + (most_rows or rows))
+        yield row, end
+        row = end
 
 
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarsift.llm.common import U64, chunks, flat, held_out
+from tarsift.llm.common import U64, chunks, flat, held_out, sent
 from tarsift.session import ship_with_tasks
 
 ROWS = 1 << 16
@@ -175,10 +175,10 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
         return chosen.select(
             "doc_id", F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(True).alias("rejected")
         )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = sent(docs.sparkSession, model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         names = np.array([*model.names, UNKNOWN], object)
         for batch in batches:
             data, at = flat(batch.column(1))

@@ -6,7 +6,7 @@ earlier line; are short, long, end in signs). Terms are weighted by inverse docu
 over a bounded sample of labelled rows, and projected on the sample's leading singular vectors.
 The sample's vectors, labels and the projection are broadcast (`SAMPLE` rows of `RANK` numbers,
 whatever the corpus holds). Every document's cosine to every labelled vector is computed exactly
-in blocks; its `NEIGHBOURS` nearest vote with their similarity as weight.
+in blocks; its `NEIGHBOURS` nearest vote with their similarity, to the power `VOTE_POWER`, as weight.
 
 Texts are read whole, in one pass without a shuffle. Labels are learned only from rows that are
 not held out; several labels of one doc_id each count, null labels do not, texts of more than
@@ -26,15 +26,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarsift.llm.common import U64, chunks, documents, flat, held_out, prefix_sums, range_hash, words
+from tarsift.llm.common import U64, chunks, documents, flat, held_out, prefix_sums, range_hash, sent, words
 from tarsift.session import ship_with_tasks
 
 SAMPLE = 4000
 LONGEST = 20_000
 RANK = 48
 NEIGHBOURS = 15
+#: A vote's weight is the cosine to this power: nearer neighbours count for more.
+VOTE_POWER = 8
 THRESHOLD = 0.3
-#: Documents whose cosines to all labelled vectors are computed together.
+#: Documents whose terms are counted, and whose cosines to all labelled vectors are computed, together.
 BLOCK = 512
 
 #: Character classes, a number for each byte.
@@ -124,7 +126,7 @@ class Model:
             vectors = self.project(bag[a : a + BLOCK])
             near = vectors @ self.vectors.T
             top = np.argpartition(-near, some - 1, axis=1)[:, :some]
-            weight = np.maximum(0, np.take_along_axis(near, top, 1)).astype(np.float64) ** 8
+            weight = np.maximum(0, np.take_along_axis(near, top, 1)).astype(np.float64) ** VOTE_POWER
             vote = (weight * self.labels[top]).sum(1)
             empty = ~bag[a : a + BLOCK].any(axis=1) | (weight.sum(1) <= 0)
             out[a : a + BLOCK] = np.where(empty, self.labels.mean(), vote / np.maximum(weight.sum(1), 1e-300))
@@ -152,7 +154,7 @@ def bag_rows(docs: DataFrame) -> DataFrame:
         for batch in batches:
             data, at = flat(batch.column(1))
             packed = []
-            for a, b in chunks(data, at):
+            for a, b in chunks(data, at, most_rows=BLOCK):
                 for bag in bags(data[at[a] : at[b]], at[a : b + 1] - at[a]):
                     i = np.flatnonzero(bag)
                     packed.append(i.astype("<u4").tobytes() + bag[i].astype("<f4").tobytes())
@@ -190,13 +192,16 @@ def scored(frame: DataFrame, model: Model | None, columns: list[str], schema: st
     """The columns and the score of their text, by row."""
     if model is None:
         return frame.select(*columns, F.lit(0.5).alias("score"))
-    shared = frame.sparkSession.sparkContext.broadcast(model)
+    shared = sent(frame.sparkSession, model)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
+        model = shared()
         for batch in batches:
             data, at = flat(batch.column("text"))
-            parts = [model.scores(bags(data[at[a] : at[b]], at[a : b + 1] - at[a])) for a, b in chunks(data, at)]
+            parts = [
+                model.scores(bags(data[at[a] : at[b]], at[a : b + 1] - at[a]))
+                for a, b in chunks(data, at, most_rows=BLOCK)
+            ]
             score = np.concatenate(parts) if parts else np.zeros(0)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array(score)], [*columns, "score"]
