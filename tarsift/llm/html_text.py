@@ -26,7 +26,6 @@ import html
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -34,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarsift.llm.common import chunks, flat
+from tarsift.llm.common import chunks, flat, remembered, sent
 from tarsift.session import ship_with_tasks
 
 SAMPLE = 300
@@ -123,17 +122,57 @@ OTHER_NAMES = frozenset(
 )
 
 
+#: Bits of a path's purposes.
+MAIN, OTHER, TITLE = 1, 2, 4
+
+
+class Place:
+    """An open element: its parent, and the places of all names on its path as the bits of a number.
+
+    Elements share their parents, so that a page takes room by its elements and not by their depth.
+    """
+
+    __slots__ = ("parent", "tag", "name", "bits", "purpose")
+
+    def __init__(self, parent: Place | None, name: str):
+        self.parent, self.name, self.tag = parent, name, name.split(".", 1)[0]
+        self.bits = (parent.bits if parent else 0) | name_bits(name)
+        self.purpose = (parent.purpose if parent else 0) | purpose(name)
+
+    @classmethod
+    def of(cls, path: tuple[str, ...]) -> Place | None:
+        place = None
+        for name in path:
+            place = cls(place, name)
+        return place
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]  # outermost first; each a tag with the words of its class and id
+    place: Place | tuple[str, ...] | None  # the innermost element, or the names of its path
     text: str
     links: int = 0
 
+    def __post_init__(self) -> None:
+        if isinstance(self.place, tuple):
+            self.place = Place.of(self.place)
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Outermost first; each a tag with the words of its class and id."""
+        out, place = [], self.place
+        while place:
+            out.append(place.name)
+            place = place.parent
+        return tuple(reversed(out))
+
 
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text, in order."""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Place] = []
+    opened: dict[str, list[int]] = {}  # where on the stack each tag stands
+    barriers: list[int] = []
     pieces: list[str] = []
     state = {"anchor": 0, "links": 0}
 
@@ -141,17 +180,24 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                out.append(Block(tuple(name for _, name in stack), text, state["links"]))
+                out.append(Block(stack[-1] if stack else None, text, state["links"]))
             pieces.clear()
         state["links"] = 0
 
-    def close(tags: tuple[str, ...], every: bool = False) -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in tags:
-                del stack[k:]
-                return close(tags) if every else None
-            if stack[k][0] in BARRIERS:
-                return None
+    def cut(k: int) -> None:
+        while len(stack) > k:
+            tag = stack.pop().tag
+            opened[tag].pop()
+            if tag in BARRIERS:
+                barriers.pop()
+
+    def close(tags: tuple[str, ...], most: int = 1) -> None:
+        """Ends the innermost of these elements that no barrier hides, and the next if most is 2."""
+        for _ in range(most):
+            k = max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+            if k < 0 or (barriers and k < barriers[-1]):
+                return
+            cut(k)
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -174,24 +220,25 @@ def blocks_of(page: str) -> list[Block]:
         flush()
         state["anchor"] = 0
         if ends:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if opened.get(tag):
+                cut(opened[tag][-1])
             continue
         if tag not in PARAGRAPH_STAYS:
             close(("p",))
         if tag in CLOSES:
-            close(CLOSES[tag], every=True)
+            close(CLOSES[tag], most=2)
         if tag not in VOID:
-            stack.append((tag, named(tag, m["rest"])))
+            opened.setdefault(tag, []).append(len(stack))
+            if tag in BARRIERS:
+                barriers.append(len(stack))
+            stack.append(Place(stack[-1] if stack else None, named(tag, m["rest"])))
     if at < len(page):
         pieces.append(page[at:])
     flush()
     return out
 
 
-@lru_cache(maxsize=4096)
+@remembered(4096)
 def named(tag: str, attributes: str) -> str:
     """The tag, and the words of its class, id and role."""
     words = [stem(p) for found in NAMES.findall(attributes) for p in PARTS.findall("".join(found).lower())]
@@ -202,12 +249,39 @@ def place_of(word: str, places: int) -> int:
     return crc32(word.encode()) % places
 
 
-@lru_cache(maxsize=65536)
-def path_places(path: tuple[str, ...]) -> np.ndarray:
-    """The places of a path's names; the innermost two stand for themselves too."""
-    found = {place_of(part, PATH_PLACES) for name in path for part in name.split(".")}
-    found |= {place_of(f"{k}:{name.split('.')[0]}", PATH_PLACES) for k, name in enumerate(path[:-3:-1])}
-    return np.array(sorted(found), np.int64)
+@remembered(4096)
+def name_bits(name: str) -> int:
+    """The places of a name's parts, as bits."""
+    bits = 0
+    for part in name.split("."):
+        bits |= 1 << place_of(part, PATH_PLACES)
+    return bits
+
+
+@remembered(4096)
+def purpose(name: str) -> int:
+    """What the markup says by this name, for training only."""
+    parts = name.split(".")
+    main = MAIN if any(p in ("article", "main") for p in parts) else 0
+    return main | (OTHER if any(p in OTHER_NAMES for p in parts) else 0) | (TITLE if name == "title" else 0)
+
+
+@remembered(4096)
+def innermost_bits(*tags: str) -> int:
+    """The places that the innermost two elements have for themselves, innermost first."""
+    bits = 0
+    for k, tag in enumerate(tags):
+        bits |= 1 << place_of(f"{k}:{tag}", PATH_PLACES)
+    return bits
+
+
+def path_row(place: Place | None) -> np.ndarray:
+    """1 at each place of a path's names; the innermost two stand for themselves too."""
+    bits = 0
+    if place:
+        inner = (place.tag, place.parent.tag) if place.parent else (place.tag,)
+        bits = place.bits | innermost_bits(*inner)
+    return np.unpackbits(np.frombuffer(bits.to_bytes(PATH_PLACES // 8, "little"), np.uint8), bitorder="little")
 
 
 def vectors(blocks: list[Block], first: int = 0, end: int | None = None) -> np.ndarray:
@@ -216,7 +290,7 @@ def vectors(blocks: list[Block], first: int = 0, end: int | None = None) -> np.n
     out = np.zeros((len(some), WIDTH), np.float32)
     for k, block in enumerate(some, first):
         text, row = block.text, out[k - first]
-        row[path_places(block.path)] = 1
+        row[:PATH_PLACES] = path_row(block.place)
         some = text.split()
         places = np.bincount([word_place(word) for word in some], minlength=WORD_PLACES)
         row[PATH_PLACES : PATH_PLACES + WORD_PLACES] = places / len(some)
@@ -229,7 +303,7 @@ def vectors(blocks: list[Block], first: int = 0, end: int | None = None) -> np.n
     return out
 
 
-@lru_cache(maxsize=65536)
+@remembered(65536)
 def word_place(word: str) -> int:
     return place_of(word.lower(), WORD_PLACES)
 
@@ -371,8 +445,7 @@ def padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def markup_says(block: Block) -> bool:
     """The training label: in article or main, and in nothing of another purpose."""
-    parts = [part for name in block.path for part in name.split(".")]
-    return any(p in ("article", "main") for p in parts) and not any(p in OTHER_NAMES for p in parts)
+    return bool(block.place) and block.place.purpose & (MAIN | OTHER) == MAIN
 
 
 def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block], np.ndarray]:
@@ -407,7 +480,7 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
             if not (marks and any(marks)):
                 for _ in range(rng.integers(3)):
                     surrounding(False)
-            leaf = block.path[-1].split(".")[0] if block.path else "p"
+            leaf = block.place.tag if block.place else "p"
             if leaf == "p" and rng.random() < 0.15:
                 leaf = ("h2", "h3", "blockquote", "pre", "figcaption", "td")[rng.integers(6)]
             nested = ("ul", "li") if rng.random() < 0.15 else (leaf,)
@@ -415,7 +488,7 @@ def varied(blocks: list[Block], rng: np.random.Generator) -> tuple[list[Block],
             marks.append(True)
             if rng.random() < 0.07:
                 surrounding(True)
-        elif keep_own or "title" in block.path or rng.random() < 0.5:
+        elif keep_own or (block.place and block.place.purpose & TITLE) or rng.random() < 0.5:
             out.append(block)
             marks.append(False)
         if k + 1 < len(labels) and main and not any(labels[k + 1 :]):
@@ -481,10 +554,10 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
 
 def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     """page_id, url, text, n_blocks (of the page), n_main (of the text), by row."""
-    shared = pages.sparkSession.sparkContext.broadcast(labeller)
+    shared = sent(pages.sparkSession, labeller)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        labeller = shared.value
+        labeller = shared()
         for whole in batches:
             for batch in slices(whole):
                 found = [blocks_of(t or "") for t in batch.column(2).to_pylist()]
