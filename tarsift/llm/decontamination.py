@@ -12,12 +12,13 @@
 
 Words are runs of letters, digits and non-ASCII characters, A-Z as a-z. Benchmarks are small
 beside the corpus but need not be: items are taken in blocks of at most `ITEM_WORDS` words,
-each block against all documents, so that what a task holds has a fixed bound. Items with fewer
-words than a shingle match nothing. The documents are not shuffled; matches are grouped by
-document only when there are several blocks.
+each block against all documents, so that what a task holds has a fixed bound. An item with
+fewer words than a shingle is one shingle as a whole: documents match that hold its words in a
+row (`shortest` sets the fewest words an item must have to be looked for). The documents are not
+shuffled; matches are grouped by document only when there are several blocks.
 
 A null text has no words and matches nothing, nor does a null item. Documents without doc_id
-are looked at like others. Equal rows get equal results, equal items are all named. Only
+are looked at like others; an item without item_id is named by a null. Equal rows get equal results, equal items are all named. Only
 doc_id and text, item_id and text are read. Empty tables: no documents give no rows, no items
 give rows without matches.
 """
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarsift.llm.common import U64, chunks, documents, flat, mix, prefix_sums, range_hash, value_sums, words
+from tarsift.llm.common import U64, chunks, documents, flat, mix, prefix_sums, range_hash, sent, value_sums, words
 from tarsift.session import ship_with_tasks
 
 SHINGLE = 5
@@ -85,7 +86,7 @@ def flips(width: int, most: int) -> list[int]:
 class Items:
     """A block of items, ready for lookups."""
 
-    ids: np.ndarray
+    ids: list[int | None]
     grams: list[np.ndarray]
     names: np.ndarray  # distinct shingles, sorted
     weight: np.ndarray  # of each, and at the end of one that no item has
@@ -94,9 +95,10 @@ class Items:
     first_use: np.ndarray
     prints: np.ndarray
     tables: dict  # (words, block, value) to items
+    short: dict  # of items with fewer words than a shingle, by words: sorted hashes and their items
 
     @classmethod
-    def of(cls, rows: list[tuple[int, str]], shingle: int) -> Items:
+    def of(cls, rows: list[tuple[int | None, str]], shingle: int, shortest: int = 1) -> Items:
         texts = [(text or "").encode() for _, text in rows]
         at = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         # Long gaps of documents keep items apart: shingles never cross a text's end.
@@ -113,9 +115,16 @@ class Items:
         weight = np.log1p(len(rows) / np.maximum(1, np.append(shared, 1)))
         gate = np.zeros(1 << GATE, bool)
         gate[(names >> U64(64 - GATE)).astype(np.int64)] = True
+        short = {}
+        for size in range(shortest, shingle):
+            few = np.flatnonzero(np.diff(first)[: len(rows)] == size)
+            if len(few):
+                own = shingles(data, at, size)[0][first[few]]
+                by_hash = np.argsort(own, kind="stable")
+                short[size] = own[by_hash], few[by_hash]
         made = cls(
-            np.array([i for i, _ in rows], np.int64), grams, names, weight, gate,
-            np.stack((item[order], offset[order])), np.append(begin, len(every)), np.zeros(len(rows), np.uint64), {},
+            [i for i, _ in rows], grams, names, weight, gate, np.stack((item[order], offset[order])),
+            np.append(begin, len(every)), np.zeros(len(rows), np.uint64), {}, short,
         )
         for k, g in enumerate(grams):
             if not len(g):
@@ -158,6 +167,13 @@ def blocks(value: int) -> list[int]:
 
 def matches(items: Items, data: np.ndarray, at: np.ndarray, shingle: int, radius: int, least: float):
     """(row, item, similarity) of the documents of a chunk."""
+    for size, (hashes, whose) in items.short.items():
+        own, first = shingles(data, at, size)
+        low, high = (np.searchsorted(hashes, own, side) for side in ("left", "right"))
+        for place in np.flatnonzero(high > low):
+            row = int(np.searchsorted(first, place, "right")) - 1
+            for k in whose[low[place] : high[place]].tolist():
+                yield row, k, 1.0
     grams, first = shingles(data, at, shingle)
     maybe = np.flatnonzero(items.gate[(grams >> U64(64 - GATE)).astype(np.int64)] & (grams != 0))
     name = np.minimum(np.searchsorted(items.names, grams[maybe]), max(0, len(items.names) - 1))
@@ -190,35 +206,36 @@ def matches(items: Items, data: np.ndarray, at: np.ndarray, shingle: int, radius
                         yield r, k, found
 
 
-def item_blocks(benchmark: DataFrame, shingle: int) -> Iterator[Items]:
+def item_blocks(benchmark: DataFrame, shingle: int, shortest: int = 1) -> Iterator[Items]:
     rows, size = [], 0
     chosen = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).where("text is not null")
     for item, text in chosen.toLocalIterator():
-        rows.append((-1 if item is None else item, text))
+        rows.append((item, text))
         size += len(text.split())
         if size >= ITEM_WORDS:
-            yield Items.of(rows, shingle)
+            yield Items.of(rows, shingle, shortest)
             rows, size = [], 0
     if rows or not size:
-        yield Items.of(rows, shingle)
+        yield Items.of(rows, shingle, shortest)
 
 
 def found_in(
     docs: DataFrame, items: Items, shingle: int, radius: int, least: float, columns: list[str], schema: str
 ) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(items)
+    shared = sent(docs.sparkSession, items)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+        items = shared()
         for batch in batches:
             data, at = flat(batch.column("text"))
-            best: dict[int, dict[int, float]] = {}
+            best: dict[int, dict[int | None, float]] = {}
             for a, b in chunks(data, at):
                 for row, k, value in matches(items, data[at[a] : at[b]], at[a : b + 1] - at[a], shingle, radius, least):
-                    own, item = best.setdefault(a + row, {}), int(items.ids[k])
+                    own, item = best.setdefault(a + row, {}), items.ids[k]
                     own[item] = max(value, own.get(item, 0.0))
             rows = len(at) - 1
-            hits = [sorted(best.get(i, {}).items()) for i in range(rows)]
+            # In order, a null first, as sort_array has them.
+            hits = [sorted(best.get(i, {}).items(), key=lambda h: (h[0] is not None, h[0] or 0)) for i in range(rows)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in columns]
                 + [
@@ -237,11 +254,12 @@ def contamination(
     shingle: int = SHINGLE,
     radius: int = RADIUS,
     least: float = SIMILARITY,
+    shortest: int = 1,
 ) -> DataFrame:
     """doc_id, contaminated, item_ids (ascending) and the greatest similarity, a row per document."""
     parts = [
         found_in(documents(docs), items, shingle, radius, least, ["doc_id"], "doc_id long")
-        for items in item_blocks(benchmark, shingle)
+        for items in item_blocks(benchmark, shingle, shortest)
     ]
     out = parts[0]
     if len(parts) > 1:
@@ -276,7 +294,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     hidden = [f"c{k}" for k in range(len(names))]
     text = hidden[names.index("text")]
     frame = docs.toDF(*hidden)
-    for items in item_blocks(benchmark, shingle):
+    for items in item_blocks(benchmark, shingle, settings.get("shortest", 1)):
         frame = frame.withColumn("text", F.coalesce(F.col(text).cast("string"), F.lit("")))
         schema = ", ".join(f"{c} {frame.schema[c].dataType.simpleString()}" for c in hidden)
         found = found_in(frame, items, shingle, radius, least, hidden, schema)

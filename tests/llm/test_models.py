@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import os
 import random
+import re
+import subprocess
+import sys
+import tracemalloc
+from html.parser import HTMLParser
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tarsift.llm import decontamination, html_text, language_id, quality, token_counts
+from tarsift.llm import common, decontamination, html_text, language_id, quality, token_counts
 from tarsift.llm.common import held_out
 
 SF = "/root/testdata/sf0.01"
@@ -326,6 +333,29 @@ def test_decontamination_odd_rows(spark, docs, no_docs, rows):
     assert decontamination.clean(docs, bench).count() == sum(not r.contaminated for r in found)
 
 
+@pytest.mark.parametrize("block_words", [3, 1 << 20])
+def test_items_shorter_than_a_shingle(spark, monkeypatch, block_words):
+    """One shingle as a whole; equal items are all named, a missing item_id by a null."""
+    monkeypatch.setattr(decontamination, "ITEM_WORDS", block_words)
+    items = [(4, "Alpha beta, gamma delta"), (2, "alpha BETA gamma delta"), (None, "beta gamma"), (7, "omega"), (8, ""),
+             (9, "one two three four five six")]
+    texts = ["alpha beta gamma delta", "x alpha beta y gamma delta", "zz beta\ngamma zz", "omega", "omegas betagamma",
+             "", None, "one two three four five six", "one two three four five", "alpha beta gamma"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = {r.doc_id: r.item_ids for r in decontamination.contamination(docs, bench).collect()}
+    want = {}
+    for k, text in enumerate(texts):
+        whole = " " + " ".join(plain_words(text)) + " "
+        hits = [i for i, t in items if t and " " + " ".join(plain_words(t)) + " " in whole]
+        want[k] = sorted(hits, key=lambda i: (i is not None, i or 0))
+    assert found == want and want[0] == [None, 2, 4] and want[3] == [7]
+    kept = {r.doc_id for r in decontamination.clean(docs, bench).collect()}
+    assert kept == {k for k, hits in want.items() if not hits}
+    few = decontamination.contamination(docs, bench, shortest=4)
+    assert {r.doc_id for r in few.where("contaminated").collect()} == {0, 7}
+
+
 def test_probes_guarantee_the_radius():
     rng = np.random.default_rng(3)
     words = " ".join("".join(rng.choice(list("abcdef"), 4)) for _ in range(30))
@@ -390,3 +420,99 @@ def test_quoted_values_do_not_end_a_tag(page, texts):
 def test_a_class_behind_a_quoted_sign_is_seen():
     (block,) = html_text.blocks_of("""<div data-json='{"a":">"}' class=sidebar>y</div>""")
     assert block.text == "y" and "sidebar" in block.path[-1]
+
+
+class Outline(HTMLParser):
+    """The blocks of well-formed pages, from another parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.text, self.blocks = [], "", []
+
+    def cut(self):
+        if self.text.split():
+            self.blocks.append((tuple(self.open), " ".join(self.text.split())))
+        self.text = ""
+
+    def handle_starttag(self, tag, attributes):
+        if tag in html_text.BLOCKS:
+            self.cut()
+            words = [w for key, value in attributes if key in ("class", "id", "role") for w in re.findall("[a-z]+", value)]
+            self.open.append(".".join([tag, *map(html_text.stem, words)]))
+
+    def handle_endtag(self, tag):
+        if tag in html_text.BLOCKS:
+            self.cut()
+            self.open.pop()
+
+    def handle_data(self, data):
+        self.text += data
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_blocks_against_another_parser(seed):
+    rng = random.Random(seed)
+    values = ["site-nav", "ads", "a > b", "it's", "x=1", "", "post body"]
+
+    def element(depth):
+        tag = rng.choice(["div", "section", "article", "ul", "blockquote", "nav", "main"])
+        attributes = ""
+        for key in rng.sample(["class", "id", "role", "data-x", "title"], rng.randint(0, 3)):
+            attributes += f' {key} = "{rng.choice(values)}"' if rng.random() < 0.7 else f" {key}='{rng.choice(values[:3])}'"
+        inner = ""
+        for _ in range(rng.randint(0, 4)):
+            if depth and rng.random() < 0.6:
+                inner += element(depth - 1)
+            else:
+                inner += rng.choice([" some  text ", "a &lt; b &amp;c", '<a title="x > y" href=/>link</a>', "<b>x</b>\n", "1 > 0 "])
+        return f"<{tag}{attributes}>{inner}</{tag}>"
+
+    page = "".join(element(5) for _ in range(4))
+    model = Outline()
+    model.feed(page)
+    model.close()
+    model.cut()
+    assert [(b.path, b.text) for b in html_text.blocks_of(page)] == model.blocks
+
+
+def test_deep_pages_take_room_by_their_elements():
+    tracemalloc.start()
+    blocks = html_text.blocks_of('<div class="post body">x' * 50_000 + "</div></p>" * 50_000)
+    assert len(blocks) == 50_000 and tracemalloc.get_traced_memory()[1] < 60_000_000
+    tracemalloc.stop()
+    rows = html_text.vectors(blocks, 49_990)
+    assert np.array_equal(rows[-1, : html_text.PATH_PLACES], rows[0, : html_text.PATH_PLACES])
+
+
+def test_chunks_are_cut_by_rows_too():
+    at = np.arange(1, 12) * 3
+    cuts = list(common.chunks(np.zeros(0, np.uint8), at, most_rows=4))
+    assert cuts == [(0, 4), (4, 8), (8, 10)] and list(common.chunks(np.zeros(0, np.uint8), at, 9, 4))[0] == (0, 3)
+
+
+def test_workers_need_no_copy_of_the_package(tmp_path):
+    """Started from another folder, executors cannot import this package: all comes with the tasks."""
+    root = Path(__file__).resolve().parents[2]
+    script = tmp_path / "away.py"
+    script.write_text(
+        f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from tarsift.llm import queries
+from tarsift.session import build_session
+spark = build_session("away", "local[2]", **{{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2",
+    "spark.checkpoint.dir": {str(tmp_path / "shared")!r}}})
+def absent(_):
+    try:
+        import tarsift
+    except ImportError:
+        return True
+assert spark.sparkContext.parallelize([0], 1).map(absent).first()
+for name in ("op4_quality_classifier", "op8_html_extraction", "op9_benchmark_decontamination", "op10_language_id"):
+    print(name, queries.QUERIES[name](spark, "/root/testdata/sf0.001").count())
+"""
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(script)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert len(done.stdout.split()) == 8
