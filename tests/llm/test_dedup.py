@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import numpy as np
@@ -242,3 +243,41 @@ def test_windows_of_a_hot_gram_are_dealt_out(spark, monkeypatch):
     found = {r.doc_id: r.n_removed for r in window_dedup.dedup_windows(docs).collect()}
     assert found == {k: 66 if k % 10 == 9 else 0 for k, _ in rows}
     assert largest_share(packed) < 0.05
+
+
+@pytest.mark.parametrize("size", [8, 1 << 10])
+def test_small_sketches_overestimate_and_lose_nothing(spark, docs, rows, monkeypatch, size):
+    """With few counters nearly all windows are estimated repeated; the result stays."""
+    as_is = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept) for r in window_dedup.dedup_windows(docs).collect())
+    monkeypatch.setattr(window_dedup, "COUNTERS", size)
+    few = sorted((r.doc_id or -1, r.n_words, r.n_removed, r.kept) for r in window_dedup.dedup_windows(docs).collect())
+    assert few == as_is
+
+
+def test_added_sketches_never_underestimate(spark, monkeypatch):
+    """Every gram that several groups hold, or one twice, is estimated repeated; with wide sketches only few others."""
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") + str(rng.randrange(400)) for _ in range(90)) for _ in range(60)]
+    texts += [f"{t} {texts[k]}" for k, t in enumerate(texts[:20], 7)]
+    rows = [(k, t, k % 5) for k, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "id long, text string, grp int")
+    for size, most in ((1 << 20, 0.05), (16, 1.01)):
+        monkeypatch.setattr(window_dedup, "COUNTERS", size)
+        reached = {k: [] for k in range(5)}
+        for r in window_dedup.added(window_dedup.sketched(frame, 3, 13, 5)).collect():
+            reached[r.grp] += [r.block << 32 | int(c) for c in np.frombuffer(r.counters, "<u4")]
+        grams, count = {}, Counter()
+        for _, t, grp in rows:
+            data = np.frombuffer(t.encode(), np.uint8)
+            w = window_dedup.Windows(data, np.array([0, len(data)]), 13, 5)
+            own = w.grams[w.smallest(9)]
+            grams.setdefault(grp, []).append(own)
+            count.update(own.tolist())
+        false, single = 0, 0
+        for grp, parts in grams.items():
+            own = np.concatenate(parts)
+            said = window_dedup.estimated_repeated(own, np.sort(np.array(reached[grp], np.int64)), 3)
+            twice = np.array([count[g] > 1 for g in own.tolist()])
+            assert said[twice].all()
+            false, single = false + said[~twice].sum(), single + (~twice).sum()
+        assert false <= most * single
