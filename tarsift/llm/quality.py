@@ -2,8 +2,9 @@
 
 A text is a bag of terms: trigrams of character classes (lower case, upper case, digits, stops,
 brackets, signs, ...), and what its words do (repeat the word before, the one before that, an
-earlier line; are short, long, end in signs). Terms are weighted by inverse document frequency
-over a bounded sample of labelled rows, and projected on the sample's leading singular vectors.
+earlier line; are short, long, end in signs), and the words themselves, hashed to `WORDS` places.
+Terms are weighted by inverse document frequency over a bounded sample of labelled rows, and
+projected on the sample's leading singular vectors.
 The sample's vectors, labels and the projection are broadcast (`SAMPLE` rows of `RANK` numbers,
 whatever the corpus holds). Every document's cosine to every labelled vector is computed exactly
 in blocks; its `NEIGHBOURS` nearest vote with their similarity, to the power `VOTE_POWER`, as weight.
@@ -54,11 +55,17 @@ LETTER[list(GROUPS[2] + GROUPS[3])] = True
 LETTER[128:] = True
 #: What words and lines do.
 HABITS = 12
-TERMS = CLASSES**3 + HABITS
+#: Places that words, A-Z as a-z, are hashed to.
+WORDS = 1024
+#: How much of a text's weight its words are beside the trigrams.
+WORD_PART = 0.25
+TERMS = CLASSES**3 + HABITS + WORDS
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def bags(data: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Terms of each text, as shares: of the trigrams, and of the words."""
+    """Terms of each text, as shares: of the trigrams, of the words that have a habit, of the words."""
     rows, n = len(at) - 1, len(data)
     out = np.zeros((rows, TERMS), np.float32)
     if not n:
@@ -69,10 +76,20 @@ def bags(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     gram = (kind[i] * CLASSES + kind[i + 1]) * CLASSES + kind[i + 2]
     count = np.bincount(row[i] * CLASSES**3 + gram, minlength=rows * CLASSES**3).reshape(rows, -1)
     out[:, : CLASSES**3] = count / np.maximum(1, count.sum(1, keepdims=True))
-    out[:, CLASSES**3 :] = habits(data, at)
+    out[:, CLASSES**3 : CLASSES**3 + HABITS] = habits(data, at)
+    out[:, CLASSES**3 + HABITS :] = word_shares(LOWER[data], at)
     return out
 
 
+def word_shares(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    start, end, first = words(data, at)
+    place = (range_hash(prefix_sums(data), start, end) % U64(WORDS)).astype(np.int64)
+    rows = len(at) - 1
+    whose = np.repeat(np.arange(rows), np.diff(first))
+    count = np.bincount(whose * WORDS + place, minlength=rows * WORDS).reshape(rows, WORDS)
+    return WORD_PART * count / np.maximum(1, count.sum(1, keepdims=True))
+
+
 def habits(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     start, end, first = words(data, at)
     total, rows = np.maximum(1, np.diff(first)), len(at) - 1
@@ -133,15 +150,23 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def leading(matrix: np.ndarray, rank: int, rounds: int = 20) -> np.ndarray:
+    """The leading right singular vectors, by block power iteration."""
+    some = min(matrix.shape[1], rank + 32)
+    block = np.linalg.qr(np.random.default_rng(7).normal(size=(matrix.shape[1], some)))[0]
+    for _ in range(rounds):
+        block = np.linalg.qr(matrix.T @ (matrix @ block))[0]
+    return block @ np.linalg.svd(matrix @ block, full_matrices=False)[2].T[:, :rank]
+
+
 def train(bag: np.ndarray, labels: np.ndarray) -> Model:
     """Term weights and the leading singular vectors of the sample (by its terms' products)."""
     seen = (bag > 0).sum(0)
     weight = np.where(seen > 0, np.log((1 + len(bag)) / (1 + seen)) + 1, 0).astype(np.float32)
     matrix = np.sqrt(bag) * weight
     used = np.flatnonzero(seen)
-    values, vectors = np.linalg.eigh(matrix[:, used].T.astype(np.float64) @ matrix[:, used])
-    basis = np.zeros((bag.shape[1], min(RANK, len(used))), np.float32)
-    basis[used] = vectors[:, ::-1][:, : basis.shape[1]]
+    basis = np.zeros((bag.shape[1], min(RANK, len(used), len(bag))), np.float32)
+    basis[used] = leading(matrix[:, used].astype(np.float64), basis.shape[1])
     model = Model(weight, basis, np.zeros((0, 0), np.float32), labels.astype(np.float64))
     model.vectors = model.project(bag)
     return model

@@ -25,6 +25,48 @@ def utf8(text):
     return (text or "").encode()
 
 
+# --- quality terms ---
+
+
+def test_bags_against_plain_counts():
+    """Shares of class trigrams and of words, counted one by one."""
+    texts = ["", "One two two, thrée!", "a", "  x\ny  X  ", "|| ** 12 a1", "word " * 40]
+    at = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    found = quality.bags(np.frombuffer("".join(texts).encode(), np.uint8), at)
+    grams, first = quality.CLASSES**3, quality.CLASSES**3 + quality.HABITS
+    places = {}
+    for text, bag in zip(texts, found, strict=True):
+        kinds = [int(quality.KIND[b]) for b in text.encode()]
+        want = np.zeros(grams)
+        for a, b, c in zip(kinds, kinds[1:], kinds[2:], strict=False):
+            want[(a * quality.CLASSES + b) * quality.CLASSES + c] += 1 / (len(kinds) - 2)
+        assert np.allclose(bag[:grams], want, atol=1e-6)
+        own = text.encode().lower().split()
+        shares = sorted(quality.WORD_PART * own.count(w) / len(own) for w in set(own))
+        assert np.allclose(sorted(bag[first:][bag[first:] > 0]), shares, atol=1e-6)
+        for w in set(own):
+            alone = quality.bags(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0, first:]
+            places[w] = int(alone.argmax())
+            assert bag[first + places[w]] > 0
+
+
+def test_leading_vectors_are_those_of_the_decomposition():
+    rng = np.random.default_rng(5)
+    matrix = rng.normal(size=(90, 12)) @ np.diag(2.0 ** -np.arange(12)) @ rng.normal(size=(12, 150))
+    ours, theirs = quality.leading(matrix, 6), np.linalg.svd(matrix)[2][:6].T
+    assert np.allclose(ours @ ours.T, theirs @ theirs.T, atol=1e-6)
+
+
+def test_texts_that_differ_in_words_alone(spark):
+    """Both kinds have words of one shape and the same punctuation; only which words differs."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(120)]
+    rows = [(k, " ".join(rng.choice(words[60 * (k % 2) :][:60]) for _ in range(50)) + ".", k % 2) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    found = quality.quality(docs.drop("quality"), quality.fit(docs, docs)).where("held_out").collect()
+    assert len(found) > 50 and sum(r.predicted == r.doc_id % 2 for r in found) >= 0.95 * len(found)
+
+
 # --- token counts -----------------------------------------------------------------------
 
 
