@@ -57,8 +57,8 @@ def signature_documents(
 
 
 def write_documents(documents: DataFrame, path: str, mode: str = "append") -> None:
-    """Under one prefix, any Hadoop path."""
-    documents.write.mode(mode).json(path)
+    """Under one prefix, any Hadoop path; compressed, since documents repeat themselves."""
+    documents.write.mode(mode).json(path, compression="gzip")
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:

@@ -21,3 +21,13 @@ def test_findings_move_once_into_documents(spark, work):
     found = {r["part"]: r["findings"] for r in docs.collect()}
     assert [len(found[k]) for k in sorted(found)] == [3] * 13 + [1]
     assert sorted(f["details"] for fs in found.values() for f in fs) == sorted(r[-1] for r in rows)
+
+
+def test_documents_are_written_compressed(spark, work):
+    rows = [(*FINDING, json.dumps({"path": "package/f.js", "i": i})) for i in range(2000)]
+    docs = findings_io.finding_documents(spark.createDataFrame(rows, SCHEMAS["findings"]), size=500)
+    findings_io.write_documents(docs, work + "/docs")
+    written = sum(row["length"] for row in spark.read.format("binaryFile").load(work + "/docs").select("length").collect())
+    assert written < sum(len(r[-1]) for r in rows)
+    back = findings_io.findings_of_documents(findings_io.read_documents(spark, work + "/docs"))
+    assert sorted(r["details"] for r in back.collect()) == sorted(r[-1] for r in rows)
