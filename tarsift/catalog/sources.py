@@ -584,15 +584,18 @@ def u_store(spark, folder):
     # Tables, as a scan leaves them: each is derived once.
     derived = tables(spark, folder)
     stored = lambda df: written(df, "input", scratch(spark, "store-input"))
-    all_versions = stored(derived.versions.select(*KEYS).distinct().withColumn("part", F.pmod(F.xxhash64(*KEYS), lit(4))))
-    all_findings, all_scores = stored(derived.findings), stored(derived.scores)
+    parted = lambda df: df.withColumn("part", F.pmod(F.xxhash64(*KEYS), lit(4)))
+    all_versions = stored(parted(derived.versions.select(*KEYS).distinct()))
+    all_findings, all_scores = stored(parted(derived.findings)), stored(parted(derived.scores))
     store = Store(spark, scratch(spark, "store"))
 
     def scan(share: str, findings=all_findings, scores=all_scores) -> ScanResult:
         versions = all_versions.filter(share).select(*KEYS)
         none = versions.select(*KEYS, *[lit(None).cast("string").alias(a) for a in ("author", "description")])
         rejects = versions.select(lit("d/x").alias("archive"), *KEYS, lit("unreadable").alias("status")).limit(0)
-        of = lambda df: df.join(versions, KEYS, "left_semi")
+        # Rows of a version have its part, so a scan's own rows need no join; without their
+        # version they would never be read back.
+        of = lambda df: df.filter(share).drop("part")
         return ScanResult(versions, of(findings), of(scores), none, rejects)
 
     nothing, wrong = all_findings.limit(0), all_scores.withColumn("score", lit(-1))

@@ -130,7 +130,7 @@ def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """The frame as a table in the shared folder: read back, never recomputed."""
     root = checkpoint_folder(df.sparkSession, folder)
     path = f"{root}/{label}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.parquet(path)
 
 

@@ -51,6 +51,8 @@ SCHEMAS = {
     "scans": "name string, version string",
 }
 ROW_KEYS = {"packages": ["name"], "versions": VERSION_KEYS, "scans": VERSION_KEYS}
+# Findings repeat themselves, and each is stored with its run, too.
+CODEC = "zstd"
 OF_LAST_SCAN = ("findings", "scores")
 
 
@@ -98,9 +100,10 @@ class Store:
         """Rows of a commit, each table's in its partition, in the order of SCHEMAS."""
         for table in (t for t in SCHEMAS if t in tables):
             names = [part.split()[0] for part in SCHEMAS[table].split(", ")]
-            # Few files for a small commit, more for a large one, whatever made the rows.
-            rows = tables[table].select(*names).hint("rebalance")
-            rows.write.mode("overwrite").parquet(f"{self.root}/{table}/commit={commit}")
+            # Rows do not move to be written. They come out of a shuffle, whose small partitions
+            # the adaptive planner joins, or out of a table, whose small files one task reads.
+            rows = tables[table].select(*names)
+            rows.write.mode("overwrite").parquet(f"{self.root}/{table}/commit={commit}", compression=CODEC)
 
     def merge_scan(
         self,

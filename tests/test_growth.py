@@ -6,7 +6,8 @@ import json
 
 from test_plans import plan_of
 
-from tarsift.plans.store import SCHEMAS
+from tarsift.plans.scan import ScanResult
+from tarsift.plans.store import SCHEMAS, Store
 from tarsift.sources import findings_io
 
 FINDING = ("n", "1", "r", "high", "f.js")
@@ -31,3 +32,17 @@ def test_documents_are_written_compressed(spark, work):
     assert written < sum(len(r[-1]) for r in rows)
     back = findings_io.findings_of_documents(findings_io.read_documents(spark, work + "/docs"))
     assert sorted(r["details"] for r in back.collect()) == sorted(r[-1] for r in rows)
+
+
+def test_findings_do_not_move_to_be_stored(spark, work):
+    rows = [("n", "1", "r", "high", f"f{i:03}.js", "{}") for i in range(200)]
+    spark.createDataFrame(rows, SCHEMAS["findings"]).coalesce(1).write.parquet(work + "/findings")
+    versions = spark.createDataFrame([("n", "1")], "name string, version string")
+    none = versions.selectExpr("*", "CAST(NULL AS STRING) AS author", "CAST(NULL AS STRING) AS description")
+    rejects = versions.selectExpr("'a' AS archive", "*", "'unreadable' AS status").limit(0)
+    scores = versions.selectExpr("*", "1 AS score", "'clean' AS label")
+    found = spark.read.parquet(work + "/findings")
+    Store(spark, work + "/store").merge_scan(1, ScanResult(versions, found, scores, none, rejects))
+    for table in ("findings", "scan_run_findings"):
+        stored = spark.read.parquet(f"{work}/store/{table}/commit=1").select("file_path").collect()
+        assert [r["file_path"] for r in stored] == [r[4] for r in rows]
