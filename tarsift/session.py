@@ -14,6 +14,11 @@ REQUIRED = {
     "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+# Rows go to Python in batches of so many bytes, however many rows that is: what a worker holds
+# does not grow with the rows of a task.
+BATCH_BYTES = 4 << 20
+REQUIRED["spark.sql.execution.arrow.maxBytesPerBatch"] = str(BATCH_BYTES)
+
 # Worth having on any cluster; a value the deployment already chose is kept.
 RECOMMENDED = {
     # Rules are built from many small column calls; recording the call site of each one

@@ -31,7 +31,7 @@ PART_SCHEMA = (
 _COLUMNS = [part.split()[0] for part in MEMBER_SCHEMA.split(", ")]
 
 # A batch of members leaves the task when it holds this much content.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 4 << 20
 BATCH_ROWS = 2000
 # An archive that decompresses to no more than this is held decompressed.
 KEPT_BYTES = 32 << 20

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from test_plans import plan_of
 
 from tarsift.plans.scan import ScanResult
 from tarsift.plans.store import SCHEMAS, Store
+from tarsift.session import BATCH_BYTES
 from tarsift.sources import findings_io
 
 FINDING = ("n", "1", "r", "high", "f.js")
@@ -46,3 +48,13 @@ def test_findings_do_not_move_to_be_stored(spark, work):
     for table in ("findings", "scan_run_findings"):
         stored = spark.read.parquet(f"{work}/store/{table}/commit=1").select("file_path").collect()
         assert [r["file_path"] for r in stored] == [r[4] for r in rows]
+
+
+def test_batches_for_python_end_by_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pd.DataFrame({"bytes": [int(batch["content"].str.len().sum())]})
+
+    frame = spark.range(0, 4000, 1, 1).selectExpr("CAST(repeat('x', 4096) AS BINARY) AS content")
+    found = [r["bytes"] for r in frame.mapInPandas(sizes, "bytes bigint").collect()]
+    assert sum(found) == 4000 * 4096 and max(found) <= BATCH_BYTES + 4096
