@@ -26,6 +26,7 @@ from tarsift.operators.signatures import (
 )
 from tarsift.operators.findings import to_findings
 from tarsift.operators.user_rules import RuleSpec, apply_user_rules, with_user_weights
+from tarsift.sources.tables import spread
 from tarsift.views import FINDING_RULES, view, view_sql
 
 c = F.col
@@ -262,7 +263,7 @@ hits AS (SELECT s_suppkey, name, target AS target_package,
 )
 def t2(spark, folder):
     """All matches within the edit-distance limit, with similarity (T3) and type (T4)."""
-    found = typosquat.detect_typosquats(view(spark, folder, "names"), all_matches=True)
+    found = typosquat.detect_typosquats(spread(view(spark, folder, "names"), "s_suppkey"), all_matches=True)
     return found.filter("typosquat_type <> 'unicode_substitution'").drop("bare_name")
 
 
@@ -271,7 +272,7 @@ def t2(spark, folder):
     view_sql("names", tail=_EDIT_SQL + " SELECT similarity, count(*) AS pairs FROM hits GROUP BY similarity"),
 )
 def t3(spark, folder):
-    found = typosquat.detect_typosquats(view(spark, folder, "names"), all_matches=True)
+    found = typosquat.detect_typosquats(spread(view(spark, folder, "names"), "s_suppkey"), all_matches=True)
     return found.groupBy("similarity").agg(F.count("*").alias("pairs"))
 
 
@@ -280,7 +281,7 @@ def t3(spark, folder):
     view_sql("names", tail=_EDIT_SQL + " SELECT typosquat_type, count(*) AS pairs FROM hits GROUP BY typosquat_type"),
 )
 def t4(spark, folder):
-    found = typosquat.detect_typosquats(view(spark, folder, "names"), all_matches=True)
+    found = typosquat.detect_typosquats(spread(view(spark, folder, "names"), "s_suppkey"), all_matches=True)
     return found.groupBy("typosquat_type").agg(F.count("*").alias("pairs"))
 
 
@@ -297,7 +298,7 @@ def t5(spark, folder):
     parts = spark.read.parquet(f"{folder}/part.parquet").select(
         "p_partkey", F.translate(F.replace("p_name", F.lit(" "), F.lit("")), "l", "1").alias("name")
     )
-    found = typosquat.detect_typosquats(parts, all_matches=True)
+    found = typosquat.detect_typosquats(spread(parts, "p_partkey"), all_matches=True)
     return found.filter("typosquat_type = 'unicode_substitution'").select(
         "p_partkey", "name", "target_package", "edit_distance", "similarity"
     )
@@ -331,7 +332,7 @@ SELECT s_suppkey, name, target_package, edit_distance, similarity, typosquat_typ
     ),
 )
 def t7(spark, folder):
-    return typosquat.detect_typosquats(view(spark, folder, "names")).drop("bare_name")
+    return typosquat.detect_typosquats(spread(view(spark, folder, "names"), "s_suppkey")).drop("bare_name")
 
 
 @query(

@@ -5,8 +5,9 @@ from __future__ import annotations
 import json
 
 import pandas as pd
-from test_plans import plan_of
+from test_plans import FOLDER, plan_of
 
+from tarsift.catalog import QUERIES
 from tarsift.plans.scan import ScanResult
 from tarsift.plans.store import SCHEMAS, Store
 from tarsift.session import BATCH_BYTES
@@ -50,6 +51,11 @@ def test_findings_do_not_move_to_be_stored(spark, work):
         assert [r["file_path"] for r in stored] == [r[4] for r in rows]
 
 
+def test_names_in_one_piece_are_compared_by_all_cores(spark):
+    frame = QUERIES["t5_confusable_substitution"](spark, FOLDER)
+    assert "hashpartitioning(p_partkey" in plan_of(frame)
+
+
 def test_batches_for_python_end_by_bytes(spark):
     def sizes(batches):
         for batch in batches:
