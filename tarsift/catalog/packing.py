@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-import io
+import gzip
 import tarfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,17 +58,19 @@ def _archive(doc: int, text: str) -> tuple[str, bytes]:
             ("package/lib/soft.js", tarfile.SYMTYPE, "../hard.js"),
             ("package/gone.js", tarfile.SYMTYPE, "nowhere.js"),
         ]
-    buffer = io.BytesIO()
-    with tarfile.open(fileobj=buffer, mode="w:gz", compresslevel=1) as tar:
-        for name, content in members:
-            info = tarfile.TarInfo(name)
-            info.size = len(content)
-            tar.addfile(info, io.BytesIO(content))
-        for name, link, target in links:
-            info = tarfile.TarInfo(name)
-            info.type, info.linkname = link, target
-            tar.addfile(info)
-    return path, buffer.getvalue()
+    pieces = []
+    for name, content in members:
+        pieces += [_header(name, len(content)), content, bytes(-len(content) % tarfile.BLOCKSIZE)]
+    pieces += [_header(name, 0, link, target) for name, link, target in links]
+    # The end of an archive is two blocks of zeros; all of it is compressed at once.
+    return path, gzip.compress(b"".join([*pieces, bytes(2 * tarfile.BLOCKSIZE)]), 1)
+
+
+@lru_cache(4096)
+def _header(name: str, size: int, kind: bytes = tarfile.REGTYPE, target: str = "") -> bytes:
+    info = tarfile.TarInfo(name)
+    info.size, info.type, info.linkname = size, kind, target
+    return info.tobuf(tarfile.USTAR_FORMAT)
 
 
 # The same archives in SQL: one row per archive, and one per member.

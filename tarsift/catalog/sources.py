@@ -636,9 +636,7 @@ def worked_queue(spark, folder):
     # Two batches, and a third one with what is known already.
     messages.unionByName(missing).repartition(2).write.json(landed)
     store = Store(spark, scratch(spark, "worker-store"))
-    found = lambda wanted: table_of.join(wanted, KEYS, "right").select(
-        F.coalesce("path", ar.archive_path("downloads", c("name"), c("version"))).alias("path"), "content"
-    )
+    found = worker.out_of_table(table_of)
     state, shared = scratch(spark, "worker-state"), scratch(spark, "worker-shared")
     for _ in range(2):
         stream = qs.stream_queue(spark, landed, files_per_batch=1)

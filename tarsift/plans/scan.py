@@ -10,7 +10,7 @@ table instead of unpacking again, also when executors are lost.
 from __future__ import annotations
 
 import uuid
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -134,17 +134,19 @@ def written(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def one_archive_each(facts: DataFrame) -> DataFrame:
+def one_archive_each(facts: DataFrame, folder: str | None = None) -> DataFrame:
     """Facts with one archive per version: where several were read, the last by path.
 
-    The superfluous archives are few, so they are what is joined away.
+    The superfluous archives are few, so they are what is joined away; they are written down,
+    since everything later reads the facts, and mostly there are none.
     """
     pairs = facts.filter(c("name").isNotNull()).select(*KEYS, "archive").distinct()
     several = pairs.groupBy(*KEYS).agg(
         F.max("archive").alias("kept"), F.count("*").alias("n")
     ).filter("n > 1")
     dropped = pairs.join(several, KEYS).filter(c("archive") != c("kept")).select("archive")
-    return facts.join(dropped, "archive", "left_anti")
+    dropped = written(dropped, "scan-superfluous", folder)
+    return facts if dropped.isEmpty() else facts.join(dropped, "archive", "left_anti")
 
 
 def scanned_versions(facts: DataFrame) -> DataFrame:
@@ -220,7 +222,15 @@ def scan_archives(
         config = with_user_weights(config, rules)
     facts = written(scan_members(members, config, signatures, rules), "scan-facts", folder)
     facts = with_long_members(facts, archives, config, rules, folder, long_bytes=long_bytes)
-    facts = one_archive_each(facts)
-    manifests = written(manifests_of(facts), "scan-manifests", folder)
-    found = findings_of_facts(facts, manifests, config)
-    return result_of(facts, manifests, written(found, "scan-findings", folder), config)
+    facts = one_archive_each(facts, folder)
+    # Manifests are short and costly: as many files as there are cores, read by all of them, and
+    # parsed once for all rules. (By the keys themselves they would count as dealt already.)
+    cores = facts.sparkSession.sparkContext.defaultParallelism
+    manifests = mf.parse_manifests(manifests_of(facts).repartition(cores, F.xxhash64(*KEYS)))
+    manifests = written(manifests, "scan-manifests", folder)
+    found = written(findings_of_facts(facts, manifests, config), "scan-findings", folder)
+    result = result_of(facts, manifests, found, config)
+    # Read several times by whoever stores them.
+    versions = written(result.versions, "scan-versions", folder)
+    scores = written(score_versions(found, config, versions), "scan-scores", folder)
+    return replace(result, versions=versions, scores=scores)

@@ -9,6 +9,7 @@ import re
 import tarfile
 import zlib
 from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 
 import numpy as np
 import pandas as pd
@@ -100,14 +101,18 @@ def _batched(rows: Iterator[tuple], columns: list[str]) -> Iterator[pd.DataFrame
 
 def _members(path: str, content: bytes, limit: int | None, long_bytes: int) -> Iterator[tuple]:
     size = len(content)
-    opened = _opener(content)
-    status, has_manifest, heads = _verdict(opened, limit)
+    data, opened = _opener(content)
+    status, has_manifest, heads, members = _verdict(opened, limit, data is not None)
     archive = (path, size, status, has_manifest)
     if status != OK or not heads:
         yield (*archive, *NO_MEMBER)
         return
     current, links = _as_extracted(heads)
-    with opened() as tar:
+    read_by: dict[int, list[int]] = {}
+    for link, target in links.items():
+        read_by.setdefault(target, []).append(link)
+    # Of an archive that is held the headers are read once, and contents are cut out of it.
+    with opened() if data is None else nullcontext(members) as tar:
         for ordinal, member in enumerate(tar):
             place, kind, linkname = heads[ordinal]
             if kind != "file" or current[place] != ordinal:
@@ -117,24 +122,32 @@ def _members(path: str, content: bytes, limit: int | None, long_bytes: int) -> I
                     yield (*archive, ordinal, place, shown, 0, linkname, None, False, None)
                 if kind != "file":
                     continue
-            readers = [link for link, target in links.items() if target == ordinal]
+            readers = read_by.get(ordinal, [])
             if current[place] != ordinal and not readers:
                 continue
             long = member.size > long_bytes
-            data = None if long else tar.extractfile(member).read()
-            measured = bits_per_byte(data) if data and len(data) > ENTROPY_MIN_BYTES else None
+            if long:
+                text = None
+            elif data is None:
+                text = tar.extractfile(member).read()
+            elif member.issparse():
+                with opened() as again:
+                    text = again.extractfile(member).read()
+            else:
+                text = data[member.offset_data : member.offset_data + member.size]
+            measured = bits_per_byte(text) if text and len(text) > ENTROPY_MIN_BYTES else None
             if current[place] == ordinal:
-                yield (*archive, ordinal, place, "file", member.size, linkname, measured, long, data)
+                yield (*archive, ordinal, place, "file", member.size, linkname, measured, long, text)
             for link in readers:
                 name, how, target = heads[link]
-                yield (*archive, link, name, how, member.size, target, measured, long, data)
+                yield (*archive, link, name, how, member.size, target, measured, long, text)
 
 
 def _long_members(
     path: str, content: bytes, limit: int | None, long_bytes: int, part_bytes: int, context: int
 ) -> Iterator[tuple]:
-    opened = _opener(content)
-    status, _, heads = _verdict(opened, limit)
+    _, opened = _opener(content)
+    status, _, heads, _ = _verdict(opened, limit)
     if status != OK:
         return
     current, links = _as_extracted(heads)
@@ -233,40 +246,54 @@ def _as_extracted(heads: list[tuple[str, str, str | None]]) -> tuple[dict[str, i
     return current, {k: v for k, v in links.items() if current[heads[k][0]] == k}
 
 
-def _opener(content: bytes) -> Callable[[], tarfile.TarFile]:
-    """How to read the archive, more than once. A small one is decompressed once and kept;
-    any other is decompressed again each time, member by member."""
+def _opener(content: bytes) -> tuple[bytes | None, Callable[[], tarfile.TarFile]]:
+    """How to read the archive, more than once. A small one is decompressed once and kept, and
+    comes along; any other is decompressed again each time, member by member."""
     if len(content) <= KEPT_BYTES:
+        data = _at_once(content)
         try:
-            data = gzip.GzipFile(fileobj=io.BytesIO(content)).read(KEPT_BYTES + 1)
+            if data is None:
+                data = gzip.GzipFile(fileobj=io.BytesIO(content)).read(KEPT_BYTES + 1)
         except (EOFError, OSError, zlib.error):
             data = None
         if data is not None and len(data) <= KEPT_BYTES:
-            return lambda: tarfile.open(fileobj=io.BytesIO(data), mode="r:")
+            return data, lambda: tarfile.open(fileobj=io.BytesIO(data), mode="r:")
     stream = lambda: gzip.GzipFile(fileobj=io.BytesIO(content))
-    return lambda: tarfile.open(fileobj=stream(), mode="r|")
+    return None, lambda: tarfile.open(fileobj=stream(), mode="r|")
+
+
+def _at_once(content: bytes) -> bytes | None:
+    """What one gzip stream without anything behind it holds, where that is little."""
+    stream = zlib.decompressobj(16 + zlib.MAX_WBITS)
+    try:
+        data = stream.decompress(content, KEPT_BYTES + 1)
+    except zlib.error:
+        return None
+    return data if stream.eof and not stream.unused_data else None
 
 
 def _verdict(
-    opened: Callable[[], tarfile.TarFile], limit: int | None
-) -> tuple[str, bool, list[tuple[str, str, str | None]]]:
-    """What becomes of an archive, from its headers in order: the first breach decides; and
-    path, kind and link name of its members."""
-    total, has_manifest, heads = 0, False, []
+    opened: Callable[[], tarfile.TarFile], limit: int | None, held: bool = False
+) -> tuple[str, bool, list[tuple[str, str, str | None]], list[tarfile.TarInfo]]:
+    """What becomes of an archive, from its headers in order: the first breach decides; path,
+    kind and link name of its members; and, where it is ``held``, the members."""
+    total, has_manifest, heads, members = 0, False, [], []
     try:
         with opened() as tar:
             for member in tar:
                 if _escapes(member.name):
-                    return TRAVERSAL, False, []
+                    return TRAVERSAL, False, [], []
                 heads.append((posixpath.normpath(member.name), _kind(member), member.linkname or None))
                 if member.isfile():
                     total += member.size
                     if limit is not None and total > limit:
-                        return OVER_LIMIT, False, []
+                        return OVER_LIMIT, False, [], []
                     has_manifest |= posixpath.basename(member.name) == "package.json"
+            if held:
+                members = tar.getmembers()
     except (tarfile.TarError, EOFError, OSError, zlib.error):
-        return UNREADABLE, False, []
-    return OK, has_manifest, heads
+        return UNREADABLE, False, [], []
+    return OK, has_manifest, heads, members
 
 
 def _escapes(name: str) -> bool:

@@ -116,6 +116,24 @@ def downloaded(spark: SparkSession, folder: str) -> Callable[[DataFrame], DataFr
     return opened
 
 
+def out_of_table(archives: DataFrame) -> Callable[[DataFrame], DataFrame]:
+    """Archives out of a table (name, version, path, content), without content where it has none.
+
+    Contents move once and are not sorted. There are several pieces a core and the adaptive
+    planner joins none of them: what comes next, unpacking and all rules, is long for few bytes.
+    """
+    cores = archives.sparkSession.sparkContext.defaultParallelism
+    pieces = max(4 * cores, archives.rdd.getNumPartitions())
+
+    def opened(wanted: DataFrame) -> DataFrame:
+        asked = wanted.repartition(pieces, *KEYS).hint("shuffle_hash")
+        path = F.coalesce("path", archive_path("downloads", c("name"), c("version")))
+        dealt = archives.repartition(pieces, *KEYS)
+        return dealt.join(asked, KEYS, "right").select(path.alias("path"), "content")
+
+    return opened
+
+
 def once_each(messages: DataFrame) -> DataFrame:
     """One message per version: the one queued last."""
     whole = F.struct(*messages.columns)
@@ -143,6 +161,8 @@ def analyse_batch(
     """
     config = config or ScanConfig()
     messages = skip_analyzed(once_each(batch), store.current("versions", batch.select(*KEYS), commit))
+    # Read for the archives, the rejects and the runs: the batch is read and narrowed down once.
+    messages = written(messages, "messages", folder)
     members = extract_members(open_archives(messages.select(*KEYS)), config.max_extract_bytes)
     started = lit(datetime.now(timezone.utc)).cast("timestamp")
     result = scan_archives(members, config, signatures, folder=folder)
@@ -150,7 +170,8 @@ def analyse_batch(
         tries = F.coalesce(c("attempts"), lit(0)) if "attempts" in messages.columns else lit(0)
         gone = result.rejects.filter(c("status") == MISSING).select(*KEYS).distinct()
         again = messages.join(gone, KEYS, "left_semi").withColumn("attempts", (tries + 1).cast("int"))
-        again.filter(c("attempts") < MAX_ATTEMPTS).coalesce(1).write.mode("append").json(requeue)
+        # Few rows are one file; the join before that is not one task's work.
+        again.filter(c("attempts") < MAX_ATTEMPTS).hint("rebalance").write.mode("append").json(requeue)
     store.merge_scan(
         commit, result, messages=messages, source="queue", started_at=started,
         analyzer_version=__version__, config_hash=hashlib.sha256(repr(config).encode()).hexdigest()[:16],

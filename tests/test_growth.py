@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import glob
+import gzip
 import json
+import tarfile
 
 import pandas as pd
+from archive_fixtures import tgz, write_archives
+from pyspark.sql import functions as F
 from test_plans import FOLDER, plan_of
 
 from tarsift.catalog import QUERIES
-from tarsift.plans.scan import ScanResult
+from tarsift.operators import manifests as mf
+from tarsift.plans.scan import ScanResult, scan_archives
 from tarsift.plans.store import SCHEMAS, Store
 from tarsift.session import BATCH_BYTES
-from tarsift.sources import findings_io
+from tarsift.sources import archives as ar
+from tarsift.sources import findings_io, unpack
+from tarsift.streaming import worker
 
 FINDING = ("n", "1", "r", "high", "f.js")
 
@@ -64,3 +72,73 @@ def test_batches_for_python_end_by_bytes(spark):
     frame = spark.range(0, 4000, 1, 1).selectExpr("CAST(repeat('x', 4096) AS BINARY) AS content")
     found = [r["bytes"] for r in frame.mapInPandas(sizes, "bytes bigint").collect()]
     assert sum(found) == 4000 * 4096 and max(found) <= BATCH_BYTES + 4096
+
+
+def test_manifests_are_checked_once_and_by_all_cores(spark, work, monkeypatch):
+    checks, checked = [], mf.valid_json
+    monkeypatch.setattr(mf, "valid_json", lambda text: checks.append(1) or checked(text))
+    result = scan_archives(ar.read_archives(spark, write_archives(work)), folder=work + "/shared")
+    assert {r["name"]: r["author"] for r in result.metadata.collect()}["@s/p"] == "Ann"
+    assert len(checks) == 1
+    assert len(result.metadata.inputFiles()) > 1
+
+
+def test_archives_out_of_a_table_stay_in_pieces(spark):
+    rows = [(f"p{k}", "1", f"d/p{k}@1.tgz", b"x") for k in range(40)]
+    table = spark.createDataFrame(rows, "name string, version string, path string, content binary")
+    wanted = table.select("name", "version").filter("name <> 'p3'").unionByName(
+        spark.createDataFrame([("gone", "2")], "name string, version string")
+    )
+    opened = worker.out_of_table(table)(wanted)
+    assert "Sort" not in plan_of(opened)
+    found = {r["path"]: r["content"] for r in opened.collect()}
+    assert found == {f"d/p{k}@1.tgz": b"x" for k in range(40) if k != 3} | {"downloads/gone@2.tgz": None}
+    cores = spark.sparkContext.defaultParallelism
+    assert opened.select(F.spark_partition_id()).distinct().count() > cores
+
+
+def test_headers_of_a_held_archive_are_read_once(monkeypatch):
+    opens, opened = [], tarfile.open
+    monkeypatch.setattr(tarfile, "open", lambda **how: opens.append(1) or opened(**how))
+    packed = tgz([("package/package.json", b"{}"), ("package/a.js", b"one"), ("package/b.js", "hard", "package/a.js")])
+    opens.clear()
+    members = lambda content: [(r[5], r[6], r[-1]) for r in unpack._members("d/a@1.tgz", content, None, 100)]
+    found = members(packed)
+    assert len(opens) == 1
+    assert found == [
+        ("package/package.json", "file", b"{}"), ("package/a.js", "file", b"one"), ("package/b.js", "hardlink", b"one"),
+    ]
+    # Of several gzip streams or with something behind them, contents are the same.
+    plain = gzip.decompress(packed)
+    assert members(gzip.compress(plain[:700]) + gzip.compress(plain[700:])) == found
+    assert members(packed + b"\0" * 600) == found
+
+
+def test_holes_of_a_sparse_member_are_filled():
+    head = tarfile.TarInfo("package/holes.js")
+    head.type, head.size = tarfile.GNUTYPE_SPARSE, 4
+    head = bytearray(head.tobuf(tarfile.GNU_FORMAT))
+    head[386:410], head[483:495] = b"00000000010\0" + b"00000000004\0", b"00000000014\0"
+    head[148:156] = b" " * 8
+    head[148:156] = b"%06o\0 " % sum(head)
+    content = gzip.compress(bytes(head) + b"data".ljust(512, b"\0") + b"\0" * 1024)
+    (row,) = unpack._members("d/a@1.tgz", content, None, 100)
+    assert row[-1] == b"\0" * 8 + b"data"
+
+
+def test_a_batch_of_messages_is_read_once(spark, work):
+    reads = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def seen(name):
+        reads.add(1)
+        return name
+
+    rows = [("dropper", "3.1.0"), ("gone", "1")]
+    batch = spark.createDataFrame(rows, "name string, version string").withColumn("rerun_reason", seen("name"))
+    folder = write_archives(work)
+    store = Store(spark, work + "/store")
+    worker.analyse_batch(store, batch, 1, worker.downloaded(spark, folder), folder=work + "/shared", requeue=work + "/again")
+    assert reads.value == 2
+    again = [json.loads(line) for p in glob.glob(work + "/again/part-*") for line in open(p)]
+    assert [(r["name"], r["attempts"], r["rerun_reason"]) for r in again] == [("gone", 1, "gone")]
