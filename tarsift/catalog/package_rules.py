@@ -719,8 +719,9 @@ def y4(spark, folder):
         F.lit("package/s.js").alias("path"), F.lit("Demo").alias("yara_rule"),
     )
     found = to_findings(found)
-    once = append_signature_findings(base, found, versions)
-    twice = append_signature_findings(once, found, versions)
+    added = lambda df: stored(df, "added")
+    once = append_signature_findings(base, found, versions, added)
+    twice = append_signature_findings(once, found, versions, added)
     scores = rescore(twice, known_scores, analysed)
     counts = twice.groupBy("name", "version").agg(F.count("*").alias("findings"))
     return scores.join(counts, ["name", "version"], "left").select(

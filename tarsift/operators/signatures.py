@@ -9,7 +9,7 @@ same for ten signatures and for ten thousand.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -237,28 +237,33 @@ FINDING_KEY = ["name", "version", "rule", "file_path", "signature"]
 
 
 def append_signature_findings(
-    findings: DataFrame, found: DataFrame, versions: DataFrame
+    findings: DataFrame,
+    found: DataFrame,
+    versions: DataFrame,
+    stored: Callable[[DataFrame], DataFrame] = lambda added: added,
 ) -> DataFrame:
     """Findings with the signature findings of known versions added, each only once.
 
     Both inputs are findings tables. A rerun adds nothing: rows already present are
-    recognised by (version, rule, path, signature).
+    recognised by (version, rule, path, signature). Whoever reads the result more than once
+    writes the added rows down by ``stored``, so that they are looked for once.
     """
     signature = F.get_json_object("details", "$.yara_rule")
     keyed = lambda df: df.withColumn("signature", F.coalesce(signature, lit(""))).withColumn(
         "file_path", F.coalesce("file_path", lit(""))
     )
-    known = keyed(found).join(versions.select("name", "version").distinct(), ["name", "version"], "left_semi")
+    known = keyed(found).join(versions.select("name", "version"), ["name", "version"], "left_semi")
     present = keyed(findings.filter(c("rule") == "yara_match")).select(*FINDING_KEY).distinct()
     fresh = known.dropDuplicates(FINDING_KEY).join(present, FINDING_KEY, "left_anti")
-    return findings.unionByName(fresh.select(*findings.columns))
+    return findings.unionByName(stored(fresh.select(*findings.columns)))
 
 
 def rescore(
     findings: DataFrame, scores: DataFrame, touched: DataFrame, config: ScanConfig | None = None
 ) -> DataFrame:
-    """Scores with those of the touched versions computed anew."""
+    """Scores with those of the touched versions computed anew. Findings are summed up where
+    they are read; to find the touched among them first would move each with its details."""
     keys = ["name", "version"]
     touched = touched.select(*keys).distinct()
-    fresh = score_versions(findings.join(touched, keys, "left_semi"), config, touched)
+    fresh = score_versions(findings, config, touched)
     return scores.join(touched, keys, "left_anti").unionByName(fresh)

@@ -14,6 +14,7 @@ from test_plans import FOLDER, plan_of
 
 from tarsift.catalog import QUERIES
 from tarsift.operators import manifests as mf
+from tarsift.operators import signatures
 from tarsift.plans.scan import ScanResult, scan_archives
 from tarsift.plans.store import SCHEMAS, Store
 from tarsift.session import BATCH_BYTES
@@ -142,3 +143,27 @@ def test_a_batch_of_messages_is_read_once(spark, work):
     assert reads.value == 2
     again = [json.loads(line) for p in glob.glob(work + "/again/part-*") for line in open(p)]
     assert [(r["name"], r["attempts"], r["rerun_reason"]) for r in again] == [("gone", 1, "gone")]
+
+
+def test_scores_are_computed_again_without_moving_details(spark, work):
+    rows = [("n", f"{k // 3}", "yara_match", "high", f"f{k}.js", json.dumps({"i": k})) for k in range(30)]
+    spark.createDataFrame(rows, SCHEMAS["findings"]).write.parquet(work + "/findings")
+    found = spark.read.parquet(work + "/findings")
+    scores = spark.createDataFrame([("n", str(k), 1, "clean") for k in range(10)], SCHEMAS["scores"])
+    touched = scores.filter("version < '4'")
+    again = signatures.rescore(found, scores, touched)
+    assert {r["version"]: r["score"] for r in again.collect()} == {str(k): 21 if k < 4 else 1 for k in range(10)}
+    # Nothing joins the findings before they are summed up.
+    assert again._jdf.queryExecution().optimizedPlan().toString().count("LeftSemi") == 0
+
+
+def test_added_findings_are_written_down_once(spark):
+    rows = [("n", "1", "r", "high", "f.js", "{}")]
+    base = spark.createDataFrame(rows, SCHEMAS["findings"])
+    found = base.withColumn("rule", F.lit("yara_match"))
+    kept = []
+    keep = lambda added: kept.append(added) or added
+    once = signatures.append_signature_findings(base, found, found.select("name", "version"), keep)
+    twice = signatures.append_signature_findings(once, found, found.select("name", "version"), keep)
+    assert sorted(r["rule"] for r in twice.collect()) == ["r", "yara_match"]
+    assert [added.count() for added in kept] == [1, 0]
